@@ -116,7 +116,7 @@ ESTATE_TYPES = (t.STORAGE, t.NSG, t.KEY_VAULT, t.AKS, t.SQL_SERVER, t.SQL_DATABA
 ESTATE_TIERS = ("Free", "Basic", "Standard", "Premium", "Custom")
 
 
-def _pick(options: tuple[str, ...], index: Column) -> Column:
+def pick_from(options: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), index.cast("int") + 1)
 
 
@@ -124,8 +124,8 @@ def estate_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Estate resources with map columns, some of them hidden."""
     key = F.col("o_orderkey")
     owner = F.col("o_custkey").cast("string")
-    type_name = _pick(ESTATE_TYPES, key % 8)
-    tier = _pick(ESTATE_TIERS, key % 5)
+    type_name = pick_from(ESTATE_TYPES, key % 8)
+    tier = pick_from(ESTATE_TIERS, key % 5)
     stage = F.when(F.col("o_orderstatus") == "F", "production").when(F.col("o_orderstatus") == "O", "staging")
     tags = F.map_concat(
         F.when(stage.isNotNull(), F.create_map(F.lit("environment"), stage)).otherwise(empty_map()),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from estatelens.catalogues import archetypes as catalogue
 from estatelens.catalogues import words
 from estatelens.catalogues.archetypes import ARCHETYPES, GENERIC_TOKENS, Archetype
-from estatelens.functions.text import ColumnOrName, col, with_ancestor_types
+from estatelens.functions.text import with_ancestor_types
 
 # --- fixed values: must equal the reference's for right results ---------------------
 MAX_CROSS_PERCENT = 1.0
@@ -21,170 +21,185 @@ MIN_ROLE_GROUPS_AUDITED = 1
 EXAMPLES = 5
 
 
-def _names(types) -> Column:
-    lowered = sorted({t.lower() for t in types})
-    return F.array(*[F.lit(t) for t in lowered]).cast("array<string>")
+class Evidence:
+    """Columns that say which catalogue types a group holds.
 
-
-def _hits(types: Column, wanted) -> Column:
-    return F.size(F.array_intersect(types, _names(wanted))) if wanted else F.lit(0)
-
-
-def _normal(types: ColumnOrName) -> Column:
-    present = F.filter(col(types), lambda t: t.isNotNull() & (t != ""))
-    return F.array_distinct(F.transform(present, F.lower))
-
-
-def match_archetype(types: ColumnOrName, entries: tuple[Archetype, ...] = ARCHETYPES) -> Column:
-    """The shape that a set of types looks like.
-
-    ``shared`` without any anchor, ``core`` where no shape leads clearly.
+    The type list is normalised once and every catalogue type is looked up once; scores
+    are then sums of booleans.
     """
-    plain = _normal(types)
-    credited = with_ancestor_types(plain)
-    scores = F.filter(
-        F.array(*[
-            F.when(
-                _hits(credited, e.anchors) > 0,
-                F.struct(
-                    (
-                        F.lit(catalogue.ANCHOR_WEIGHT)
-                        + catalogue.STRONG_WEIGHT * _hits(credited, e.supporting + e.generic)
-                        - catalogue.NEGATIVE_WEIGHT * _hits(credited, e.negative)
-                    ).alias("score"),
-                    F.lit(e.token).alias("token"),
-                ),
-            )
-            for e in entries
-        ]),
-        lambda s: s.isNotNull(),
+
+    def __init__(self, entries: tuple[Archetype, ...]):
+        self.entries = entries
+        every = [t for e in entries for t in e.anchors + e.supporting + e.generic + e.negative]
+        self.types = sorted({t.lower() for t in every + list(catalogue.UBIQUITOUS_TYPES)})
+
+    def add(self, df: DataFrame, types: str) -> DataFrame:
+        present = F.filter(F.col(types), lambda t: t.isNotNull() & (t != ""))
+        plain = F.array_distinct(F.transform(present, F.lower))
+        rows = df.withColumn("__plain", plain)
+        rows = rows.withColumn("__credited", with_ancestor_types("__plain"))
+        checks = ["*", "coalesce(size(__plain) <= 0, true) AS __empty",
+                  f"coalesce(array_contains(__plain, '{words.MISC}'), false) AS __folded"]
+        for i, t in enumerate(self.types):
+            checks.append(f"coalesce(array_contains(__credited, '{t}'), false) AS __held{i}")
+            checks.append(f"coalesce(array_contains(__plain, '{t}'), false) AS __own{i}")
+        return rows.selectExpr(*checks)
+
+    def drop(self, df: DataFrame) -> DataFrame:
+        helpers = [c for c in df.columns if c.startswith(("__held", "__own"))]
+        return df.drop("__plain", "__credited", "__empty", "__folded", *helpers)
+
+    def _columns(self, wanted, credited: bool) -> list[str]:
+        prefix = "__held" if credited else "__own"
+        return [f"{prefix}{self.types.index(t)}" for t in sorted({t.lower() for t in wanted})]
+
+    def hits(self, wanted, credited: bool = True) -> Column:
+        return F.expr(" + ".join(["0", *[f"int({c})" for c in self._columns(wanted, credited)]]))
+
+    def any_of(self, wanted, credited: bool = True) -> Column:
+        return F.expr(" OR ".join(["false", *self._columns(wanted, credited)]))
+
+
+def _looks_like(evidence: Evidence) -> Column:
+    """The shape with the best score, if its lead is clear."""
+    nowhere = F.lit(float("-inf"))
+    scores = {
+        e.token: F.when(
+            evidence.any_of(e.anchors),
+            F.lit(catalogue.ANCHOR_WEIGHT)
+            + catalogue.STRONG_WEIGHT * evidence.hits(e.supporting + e.generic)
+            - catalogue.NEGATIVE_WEIGHT * evidence.hits(e.negative),
+        ).otherwise(nowhere)
+        for e in evidence.entries
+    }
+    ordered = F.sort_array(
+        F.array(*[F.struct(s.alias("score"), F.lit(token).alias("token")) for token, s in scores.items()]),
+        asc=False,
+    )
+    best = F.element_at(ordered, 1)
+    second = F.get(ordered, F.lit(1))["score"]
+    clear = (best["score"] >= catalogue.MIN_SCORE) & (
+        best["score"] - F.coalesce(second, nowhere) >= catalogue.MIN_LEAD
     )
-    ordered = F.sort_array(scores, asc=False)
-    best, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
-    lead = best["score"] - F.coalesce(second["score"], F.lit(float("-inf")))
-    clear = (best["score"] >= catalogue.MIN_SCORE) & (lead >= catalogue.MIN_LEAD)
+    anchored = evidence.any_of([t for e in evidence.entries for t in e.anchors])
     return (
-        F.when((F.size(plain) == 0) | F.array_contains(plain, words.MISC), "shared")
-        .when(F.size(scores) == 0, "shared")
+        F.when(F.col("__empty") | F.col("__folded") | ~anchored, "shared")
         .when(clear, best["token"])
         .otherwise("core")
     )
 
 
-def _confirms(entry: Archetype, types: Column, entries: tuple[Archetype, ...]) -> Column:
-    anchored = _hits(types, entry.anchors) > 0
+def _confirms(evidence: Evidence, entry: Archetype, credited: bool) -> Column:
+    anchored = evidence.any_of(entry.anchors, credited)
     if not entry.signals_confirm:
         return anchored
-    own = _hits(types, entry.supporting)
-    others = [_hits(types, e.supporting) for e in entries if e is not entry]
+    own = evidence.hits(entry.supporting, credited)
+    others = [evidence.hits(e.supporting, credited) for e in evidence.entries if e is not entry]
     rival = F.greatest(F.lit(0), *others) if others else F.lit(0)
-    by_signals = (own >= catalogue.MIN_SUPPORTING) & (
-        own - rival >= catalogue.MIN_SUPPORTING_LEAD
+    return anchored | (
+        (own >= catalogue.MIN_SUPPORTING) & (own - rival >= catalogue.MIN_SUPPORTING_LEAD)
     )
-    return anchored | by_signals
 
 
-def confirm_archetype(
-    token: ColumnOrName, types: ColumnOrName, entries: tuple[Archetype, ...] = ARCHETYPES
-) -> Column:
-    """Struct (token, confirmed, by_ancestors) for a claimed shape and actual contents.
+def _per_token(token: Column, entries, value, default) -> Column:
+    """The value belonging to the entry a token names."""
+    out = F.when(token == entries[0].token, value(entries[0]))
+    for e in entries[1:]:
+        out = out.when(token == e.token, value(e))
+    return out.otherwise(default)
 
-    A claim without proof falls back to ``core``, or ``shared`` for an empty group;
-    generic and unknown tokens pass through.
-    """
-    claimed = col(token)
-    plain = _normal(types)
-    credited = with_ancestor_types(plain)
-    known = claimed.isin(*[e.token for e in entries])
-    backed = F.lit(False)
-    backed_plain = F.lit(False)
-    for e in entries:
-        backed = F.when(claimed == e.token, _confirms(e, credited, entries)).otherwise(backed)
-        backed_plain = F.when(claimed == e.token, _confirms(e, plain, entries)).otherwise(
-            backed_plain
-        )
-    passes = claimed.isin(*GENERIC_TOKENS) | ~known
+
+def _confirmation(evidence: Evidence, token: Column) -> Column:
+    entries = evidence.entries
+    known = token.isin(*[e.token for e in entries])
+    backed = _per_token(token, entries, lambda e: _confirms(evidence, e, True), F.lit(False))
+    plainly = _per_token(token, entries, lambda e: _confirms(evidence, e, False), F.lit(False))
+    passes = token.isin(*GENERIC_TOKENS) | ~known
     kept = (
-        F.when(passes, claimed)
-        .when(F.size(plain) == 0, "shared")
-        .when(backed, claimed)
-        .otherwise("core")
+        F.when(passes, token).when(F.col("__empty"), "shared").when(backed, token).otherwise("core")
     )
-    confirmed = ~passes & (F.size(plain) > 0) & backed
+    confirmed = ~passes & ~F.col("__empty") & backed
     return F.struct(
-        kept.alias("token"),
-        confirmed.alias("confirmed"),
-        (confirmed & ~backed_plain).alias("by_ancestors"),
+        kept.alias("token"), confirmed.alias("confirmed"), (confirmed & ~plainly).alias("by_ancestors")
     )
 
 
-def _anchor_facts(token: Column, credited: Column, entries) -> dict[str, Column]:
-    """Per claimed token: is it anchored, and only by undeclared ubiquitous types?"""
-    has_anchor, needs_anchor, role, undeclared = (F.lit(False),) * 4
-    everywhere = {t.lower() for t in catalogue.UBIQUITOUS_TYPES}
-    for e in entries:
-        here = token == e.token
-        hit = F.array_intersect(credited, _names(e.anchors))
-        only_common = (F.size(hit) > 0) & (F.size(F.array_except(hit, _names(everywhere))) == 0)
-        foreign = F.size(F.array_except(hit, _names(e.owned_ubiquitous))) > 0
-        has_anchor = F.when(here, F.size(hit) > 0).otherwise(has_anchor)
-        needs_anchor = F.when(here, F.lit(e.needs_anchor)).otherwise(needs_anchor)
-        role = F.when(here, F.lit(not e.signals_confirm)).otherwise(role)
-        undeclared = F.when(here, only_common & foreign).otherwise(undeclared)
-    return {
-        "has_anchor": has_anchor, "needs_anchor": needs_anchor, "role": role,
-        "undeclared": undeclared,
-    }
+def match_archetype(
+    df: DataFrame, types: str, out: str, entries: tuple[Archetype, ...] = ARCHETYPES
+) -> DataFrame:
+    """Add the shape that a set of types looks like.
+
+    ``shared`` without any anchor, ``core`` where no shape leads clearly. Nested types
+    count for their ancestors too.
+    """
+    evidence = Evidence(entries)
+    return evidence.drop(evidence.add(df, types).withColumn(out, _looks_like(evidence)))
+
+
+def confirm_archetype(
+    df: DataFrame, token: str, types: str, out: str, entries: tuple[Archetype, ...] = ARCHETYPES
+) -> DataFrame:
+    """Add a struct (token, confirmed, by_ancestors) for a claim and the actual contents.
+
+    A claim without proof falls back to ``core``, or ``shared`` for an empty group;
+    generic and unknown tokens pass through. ``by_ancestors`` marks claims that only the
+    ancestors of nested types prove.
+    """
+    evidence = Evidence(entries)
+    rows = evidence.add(df, types).withColumn(out, _confirmation(evidence, F.col(token)))
+    return evidence.drop(rows)
 
 
 def audit(
-    groups: DataFrame, token: str = "token", types: str = "type_set", name: str = "resource_group",
+    groups: DataFrame, token: str = "token", types: str = "type_set",
     entries: tuple[Archetype, ...] = ARCHETYPES,
 ) -> DataFrame:
-    """Per claimed token: how many groups, and how their contents compare with the claim.
+    """Per claimed token: how many groups, and how their contents compare with the claim."""
+    evidence = Evidence(entries)
+    everywhere = {t.lower() for t in catalogue.UBIQUITOUS_TYPES}
 
-    Up to five names of unconfirmed groups are kept as examples.
-    """
-    plain = _normal(types)
-    credited = with_ancestor_types(plain)
-    known = F.col(token).isin(*[e.token for e in entries])
-    claim = F.col(token)
-    facts = _anchor_facts(claim, credited, entries)
-    rows = groups.select(
-        claim.alias("token"),
-        F.col(name).cast("string").alias("__name"),
-        (F.size(plain) == 0).alias("__empty"),
-        match_archetype(types, entries).alias("__looks"),
-        confirm_archetype(token, types, entries)["token"].alias("__kept"),
-        known.alias("__known"),
+    def only_common(e: Archetype) -> Column:
+        """Anchored by ubiquitous types alone, one of them not declared as its own."""
+        owned = {t.lower() for t in e.owned_ubiquitous}
+        rare = [t for t in e.anchors if t.lower() not in everywhere]
+        foreign = [t for t in e.anchors if t.lower() in everywhere - owned]
+        return evidence.any_of(foreign) & ~evidence.any_of(rare)
+
+    claim = F.col("token")
+    rows = evidence.add(groups.withColumn("token", F.col(token)), types).select(
+        "token",
+        "__empty",
+        _looks_like(evidence).alias("__looks"),
+        _confirmation(evidence, claim)["token"].alias("__kept"),
+        claim.isin(*[e.token for e in entries]).alias("__known"),
         claim.isin(*GENERIC_TOKENS).alias("__generic"),
-        *[c.alias(f"__{n}") for n, c in facts.items()],
+        _per_token(claim, entries, lambda e: evidence.any_of(e.anchors), F.lit(False)).alias("__anchored"),
+        _per_token(claim, entries, lambda e: F.lit(e.needs_anchor), F.lit(False)).alias("__needs"),
+        _per_token(claim, entries, lambda e: F.lit(not e.signals_confirm), F.lit(False)).alias("__role"),
+        _per_token(claim, entries, only_common, F.lit(False)).alias("__undeclared"),
     )
     full = ~F.col("__empty")
     claims = full & ~F.col("__generic")
     looks_generic = F.col("__looks").isin(*GENERIC_TOKENS)
     same = F.col("__looks") == F.col("token")
-
-    def n(condition: Column, alias: str) -> Column:
-        return F.count_if(condition).alias(alias)
-
-    unconfirmed = claims & (F.col("__kept") != F.col("token"))
     known_claim = claims & F.col("__known")
-    return rows.groupBy("token").agg(
-        n(F.col("__empty"), "empty"),
-        n(full, "nonempty"),
-        n(full & F.col("__generic") & ~looks_generic, "contents_semantic"),
-        n(unconfirmed, "unconfirmed"),
-        n(known_claim & F.col("__has_anchor"), "with_anchor"),
-        n(known_claim & ~F.col("__has_anchor"), "anchorless"),
-        n(known_claim & ~F.col("__has_anchor") & F.col("__needs_anchor"), "anchorless_needed"),
-        n(known_claim & F.col("__needs_anchor"), "needing_anchor"),
-        n(known_claim & F.col("__role"), "role_groups"),
-        n(known_claim & F.col("__undeclared"), "undeclared_ubiquitous"),
-        n(claims & same, "agree"),
-        n(claims & ~same & looks_generic, "thin"),
-        n(claims & ~same & ~looks_generic, "cross"),
-    )
+    anchored, needs = F.col("__anchored"), F.col("__needs")
+    measures = {
+        "empty": F.col("__empty"),
+        "nonempty": full,
+        "contents_semantic": full & F.col("__generic") & ~looks_generic,
+        "unconfirmed": claims & (F.col("__kept") != F.col("token")),
+        "with_anchor": known_claim & anchored,
+        "anchorless": known_claim & ~anchored,
+        "anchorless_needed": known_claim & ~anchored & needs,
+        "needing_anchor": known_claim & needs,
+        "role_groups": known_claim & F.col("__role"),
+        "undeclared_ubiquitous": known_claim & F.col("__undeclared"),
+        "agree": claims & same,
+        "thin": claims & ~same & looks_generic,
+        "cross": claims & ~same & ~looks_generic,
+    }
+    return rows.groupBy("token").agg(*[F.count_if(c).alias(name) for name, c in measures.items()])
 
 
 def examples(
@@ -192,10 +207,10 @@ def examples(
     entries: tuple[Archetype, ...] = ARCHETYPES, limit: int = EXAMPLES,
 ) -> DataFrame:
     """The first ``limit`` groups by name whose contents do not back their claim."""
-    kept = confirm_archetype(token, types, entries)["token"]
     rows = groups.where((F.size(types) > 0) & ~F.col(token).isin(*GENERIC_TOKENS))
+    judged = confirm_archetype(rows, token, types, "__v", entries)
     return (
-        rows.select(F.col(token).alias("token"), kept.alias("kept"), F.col(name).alias("name"))
+        judged.select(F.col(token).alias("token"), F.col("__v.token").alias("kept"), F.col(name).alias("name"))
         .where(F.col("kept") != F.col("token"))
         .orderBy("name", "token")
         .limit(limit)
@@ -223,7 +238,7 @@ def audit_metrics(audited: DataFrame) -> DataFrame:
 
 
 def evaluate_gates(metrics: DataFrame) -> DataFrame:
-    """Seven rules (gate, value, passed); the first two demand enough evidence."""
+    """Seven rules (gate, measure, value, passed); the first two demand enough evidence."""
     rules = [
         ("semantic_groups", lambda c: c >= MIN_GROUPS_AUDITED),
         ("role_groups", lambda c: c >= MIN_ROLE_GROUPS_AUDITED),

@@ -79,19 +79,18 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     edged = F.concat(F.lit(EDGE), F.col("text"), F.lit(EDGE))
     gaps = rows.select("key", F.explode(F.array_distinct(_runs(edged, OTHER_RUN))).alias("gap"))
     # A term inside a gap must leave one separator on either side, or reach the text's end.
-    starts = F.sequence(F.lit(2), F.length("gap") - 1)
     pieces = (
-        gaps.where((F.length("gap") > 2) & (longest > 0))
-        .select("key", "gap", F.explode(starts).alias("start"))
+        gaps.where(F.length("gap") > 2)
+        .withColumn("longest", longest)
+        .where(F.col("longest") > 0)
+        .select("key", "gap", "longest", F.explode(F.sequence(F.lit(2), F.length("gap") - 1)).alias("start"))
         .select(
-            "key",
+            "key", "gap", "start",
             F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.least(longest.cast("int"), F.length("gap") - F.col("start"))),
-                    lambda n: F.substring(F.col("gap"), F.col("start"), n),
-                )
-            ).alias("term"),
+                F.sequence(F.lit(1), F.least(F.col("longest"), F.length("gap") - F.col("start")))
+            ).alias("size"),
         )
+        .select("key", F.substring(F.col("gap"), F.col("start"), F.col("size")).alias("term"))
         .distinct()
     )
     separators = pieces.join(bare, "term").select("key", "term")
