@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "serving", "audits")
+MODULES = ("profiling", "serving", "audits", "streams", "changes")
 
 
 def all_queries():

@@ -239,9 +239,9 @@ def rule_rates(spark, folder):
     "WHERE o_orderkey % 8 = 7 AND c_nationkey % 2 = 0",
 )
 def public_machines(spark, folder):
-    machines = b.table(spark, folder, "orders").where("o_orderkey % 8 = 7").select(
-        F.concat(F.lit("vm-"), "o_orderkey").alias("id"), F.lit(t.VM).alias("type"),
-        F.concat(F.lit('{"networkProfile":{"networkInterfaces":[{"id":"nic-'), "o_custkey", F.lit('"}]}}')).alias("properties"))
+    machines = b.estate_rows(spark, folder).select(
+        F.concat(F.lit("vm-"), "number").alias("id"), "type",
+        F.concat(F.lit('{"networkProfile":{"networkInterfaces":[{"id":"nic-'), "subscription_id", F.lit('"}]}}')).alias("properties"))
     public = F.when(F.col("c_nationkey") % 2 == 0, '"publicIPAddress":{"id":"ip"}').otherwise('"subnet":{"id":"net"}')
     interfaces = b.table(spark, folder, "customer").select(
         F.concat(F.lit("nic-"), "c_custkey").alias("id"), F.lit(t.NIC).alias("type"),
@@ -255,7 +255,7 @@ def public_machines(spark, folder):
     "SELECT o_orderkey FROM orders WHERE o_orderkey % 8 = 7 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
 )
 def machines_without_backup(spark, folder):
-    machines = b.table(spark, folder, "orders").where("o_orderkey % 8 = 7").select("o_orderkey")
+    machines = b.estate_rows(spark, folder).where(F.col("type") == t.VM).select(F.col("number").alias("o_orderkey"))
     backups = b.table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return governance.without_link(machines, backups, "o_orderkey")
 

@@ -599,11 +599,11 @@ def generic_tags(spark, folder):
 
 @query(
     "completed_owners",
-    "SELECT DISTINCT owner FROM (SELECT c_custkey AS owner FROM customer WHERE c_custkey % 3 = 0 "
+    "SELECT DISTINCT owner FROM (SELECT c_custkey AS owner FROM customer WHERE c_mktsegment = 'BUILDING' "
     "UNION ALL SELECT o_custkey FROM orders)",
 )
 def completed_owners(spark, folder):
-    declared = b.table(spark, folder, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("owner"))
+    declared = b.table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("owner"))
     children = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("owner"))
     return complete_parents(children, declared, "owner")
 

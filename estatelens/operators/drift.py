@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from estatelens.catalogues import types as t
 from estatelens.catalogues.words import TIER_LADDER
 from estatelens.functions.jsonmaps import (
-    TEXT_MAP, empty_map, remove_key, revert_field, set_key, sorted_map_text,
+    TEXT_MAP, empty_map, revert_field, set_key, sorted_map_text,
 )
 from estatelens.functions.keyed import keyed_letters
 from estatelens.functions.text import resource_path
@@ -187,35 +187,61 @@ def sample_changes(
     return sample_exactly(hits, plan, ["drift_code"], [key], seed, "drift"), plan
 
 
-def _apply_one(rows: DataFrame, change: Change) -> DataFrame:
-    on = F.array_contains("__codes", change.code)
-    held = F.col(change.container)
-    if change.container == change.path:
-        before, after_map = held, change.after(held)
-        before_text, after_text, updated = sorted_map_text(before), sorted_map_text(after_map), after_map
-    else:
-        before = F.element_at(held, change.key)
-        after = change.after(before)
-        if change.path.endswith("[]"):
-            inner = F.regexp_replace(F.coalesce(before, F.lit("[]")), "^\\[|\\]$", "")
-            appended = F.concat(
-                F.lit("["), F.when(inner != "", F.concat(inner, F.lit(","))).otherwise(""), after, F.lit("]")
-            )
-            before_text, after_text = F.lit(None).cast("string"), after
-            updated = set_key(held, F.lit(change.key), appended)
-        else:
-            before_text, after_text = before, after
-            updated = F.when(after.isNull(), remove_key(held, F.lit(change.key))).otherwise(
-                set_key(held, F.lit(change.key), after)
-            )
-    delta = F.struct(
-        F.lit(change.code).alias("drift_code"), F.lit(change.path).alias("field_path"),
-        before_text.alias("before"), after_text.alias("after"),
+def _delta(change: Change, position: int, before: Column, after: Column) -> Column:
+    return F.struct(
+        F.lit(position).alias("position"), F.lit(change.code).alias("drift_code"),
+        F.lit(change.path).alias("field_path"), before.alias("before"), after.alias("after"),
+    )
+
+
+def _appended(list_json: Column, element: Column) -> Column:
+    inner = F.regexp_replace(F.coalesce(list_json, F.lit("[]")), "^\\[|\\]$", "")
+    return F.concat(
+        F.lit("["), F.when(inner != "", F.concat(inner, F.lit(","))).otherwise(""), element, F.lit("]")
     )
-    return rows.withColumns({
-        "__deltas": F.when(on, F.concat("__deltas", F.array(delta))).otherwise(F.col("__deltas")),
-        change.container: F.when(on, updated).otherwise(held),
-    })
+
+
+def _none_of(names) -> Callable[[Column, Column], Column]:
+    return lambda key, _: ~key.isin(*names)
+
+
+def _folded(changes: list[Change], on: dict[str, Column]) -> tuple[dict[str, Column], Column]:
+    """New container columns and the array of deltas.
+
+    The value of each field is followed through the changes that touch it, so a later
+    change sees an earlier one; fields that nobody touches twice stay flat expressions.
+    """
+    fields: dict[tuple[str, str], Column] = {}
+    whole: dict[str, Column] = {}
+    deltas = []
+    for position, change in enumerate(changes):
+        hit = on[change.code]
+        if change.container == change.path:
+            before = whole.get(change.container, F.col(change.container))
+            after = change.after(before)
+            whole[change.container] = F.when(hit, after).otherwise(before)
+            delta = _delta(change, position, sorted_map_text(before), sorted_map_text(after))
+        else:
+            field = (change.container, change.key)
+            before = fields.get(field, F.element_at(F.col(change.container), change.key))
+            after = change.after(before)
+            if change.path.endswith("[]"):
+                delta = _delta(change, position, F.lit(None).cast("string"), after)
+                fields[field] = F.when(hit, _appended(before, after)).otherwise(before)
+            else:
+                delta = _delta(change, position, before, after)
+                fields[field] = F.when(hit, after).otherwise(before)
+        deltas.append(F.when(hit, delta))
+    columns = dict(whole)
+    for container in sorted({c for c, _ in fields}):
+        held = F.coalesce(F.col(container), empty_map())
+        mine = {key: value for (c, key), value in fields.items() if c == container}
+        others = F.map_filter(held, _none_of(mine))
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in mine.items()])
+        # A field keeps a NULL only if it had one and nobody touched it.
+        present = F.filter(entries, lambda x: x["value"].isNotNull())
+        columns[container] = F.map_concat(others, F.map_from_entries(present))
+    return columns, F.filter(F.array(*deltas), lambda d: d.isNotNull())
 
 
 def compute_deltas(
@@ -229,23 +255,29 @@ def compute_deltas(
     row and needs no shuffle at all.
     """
     chosen = _chosen(kind, codes, changes)
-    none = F.array().cast("array<string>")
+    if not chosen:
+        raise ValueError(f"no change of kind {kind!r} is selected")
+    marked = rows
     if intensity == 1.0:
-        marked = rows.withColumn("__codes", _eligible_codes(chosen, types))
+        allowed = F.lit(True) if types is None else F.col("type").isin(*types)
+        on = {c.code: c.eligible() & allowed for c in chosen}
     else:
         picked, _ = sample_changes(rows, kind, intensity, seed, codes, types, changes, key)
         # At most one entry per code and row.
         per_row = picked.groupBy(key).agg(F.collect_set("drift_code").alias("__codes"))
-        marked = rows.join(per_row, key, "left").withColumn("__codes", F.coalesce("__codes", none))
-    shape = "array<struct<drift_code: string, field_path: string, before: string, after: string>>"
-    marked = marked.withColumn("__deltas", F.array().cast(shape))
-    for change in chosen:
-        marked = _apply_one(marked, change)
-    deltas = marked.where(F.size("__deltas") > 0).select(
-        F.col(key).alias("resource_id"), "subscription_id",
-        F.posexplode("__deltas").alias("position", "d"),
-    ).select("resource_id", "subscription_id", "position", "d.*")
-    return marked.drop("__codes", "__deltas"), deltas
+        marked = rows.join(per_row, key, "left")
+        on = {c.code: F.coalesce(F.array_contains("__codes", c.code), F.lit(False)) for c in chosen}
+    columns, deltas = _folded(chosen, on)
+    touched = F.lit(False)
+    for hit in on.values():
+        touched = touched | hit
+    logged = marked.select(
+        F.col(key).alias("resource_id"), "subscription_id", F.inline(deltas)
+    )
+    changed = marked.withColumns(
+        {c: F.when(touched, new).otherwise(F.col(c)) for c, new in columns.items()}
+    ).drop("__codes")
+    return changed, logged
 
 
 def disappearing(rows: DataFrame, references: list[DataFrame], count: int, seed: int) -> DataFrame:
