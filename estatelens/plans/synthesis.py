@@ -1,0 +1,603 @@
+"""A synthetic estate from a profile.
+
+The stages follow each other as in an inventory's life: owners, groups, rows, resizing,
+names, wiring, tags, defects, edges, renaming, costs, identities. Rows are keyed by owner,
+group and position, and every draw is a function of the seed and that key.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from estatelens.catalogues import types as t
+from estatelens.catalogues import words
+from estatelens.functions.jsonmaps import empty_map, set_key
+from estatelens.functions.keyed import (
+    bernoulli, key_hash, keyed_letters, keyed_uuid, normal, normal_count, pick_weighted, pick_word, skewed_count, uniform,
+)
+from estatelens.functions.periods import DEFAULT_PERIODS, day_periods, month_periods
+from estatelens.functions.text import canonical_namespace, group_path, resource_path, typed_value
+from estatelens.operators import governance, renaming, sampling, wiring
+from estatelens.operators.coherence import match_archetype
+from estatelens.operators.joins import beside
+from estatelens.operators.ranking import keyed_rank
+from estatelens.session import settle
+
+OWNER = "subscription_id"
+
+
+@dataclass(frozen=True)
+class Synthetic:
+    tables: dict[str, DataFrame]
+    clamped: list[tuple[str, int, int]]
+
+
+def _section(profile: DataFrame, *names: str) -> DataFrame:
+    return profile.where(F.col("section").isin(*names))
+
+
+def _stats(profile: DataFrame, section: str, key: str, measures: list[str]) -> DataFrame:
+    """One row per template or archetype with its measures as columns."""
+    return _section(profile, section).groupBy(F.col("key1").alias(key)).agg(
+        *[F.coalesce(F.max(F.when(F.col("key2") == m, F.col("value"))), F.lit(0.0)).alias(m) for m in measures])
+
+
+def json_object(fields: Column) -> Column:
+    """JSON text of a map from field to JSON text."""
+    entries = F.array_sort(F.map_entries(fields))
+    pairs = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def quoted(text: Column) -> Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+# --- owners, groups, rows: SAM-04, SAM-06, SAM-15 --------------------------------------
+
+def make_owners(spark: SparkSession, profile: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` owners with an archetype, a name and a number of groups."""
+    measures = [f"{c}_{m}" for c in ("rg_count",) for m in ("mean", "std", "min", "max")] + [
+        "weight", "tag_density_mean", "tag_density_std"]
+    kinds = _stats(profile, "archetypes", "archetype", measures)
+    base = spark.range(n).withColumn(OWNER, keyed_uuid(seed, "owner", "id"))
+    chosen = sampling.choose(base, kinds, [], uniform(seed, "archetype", "id"), "archetype", "archetype", "weight")
+    # As many archetypes as clusters.
+    detailed = chosen.join(F.broadcast(kinds.drop("weight")), "archetype", "left")
+    count = normal_count(
+        F.coalesce("rg_count_mean", F.lit(1.0)), F.coalesce("rg_count_std", F.lit(0.0)), normal(seed, "groups", "id"),
+        F.coalesce("rg_count_min", F.lit(1.0)), F.coalesce("rg_count_max", F.lit(1.0)))
+    name = F.concat_ws(
+        "-", pick_word(words.BUSINESS_UNITS, seed, "unit", "id"), pick_word(words.ENVIRONMENTS, seed, "stage", "id"),
+        pick_word(words.WORKLOADS, seed, "work", "id"), F.lit("sub"))
+    return detailed.withColumn("groups", F.greatest(F.lit(1), count)).withColumn("display_name", name)
+
+
+def template_labels(profile: DataFrame) -> DataFrame:
+    """(template, token): the shape each template's types look like."""
+    sets = _section(profile, "template_types").groupBy(F.col("key1").alias("template")).agg(
+        F.collect_set("key2").alias("type_set"))
+    return match_archetype(sets, "type_set", "token").select("template", "token")
+
+
+def make_groups(owners: DataFrame, profile: DataFrame, seed: int) -> DataFrame:
+    """Each owner's groups with template, location, name token and number of rows."""
+    stats = _stats(profile, "templates", "template", ["weight", "mean", "std", "min", "max", "empty_share"])
+    rows = sampling.expand(owners.select(OWNER, "archetype", "groups", "tag_density_mean", "tag_density_std"), "groups", "nth")
+    key = (OWNER, "nth")
+    rows = sampling.choose(rows, _keep_folded(stats), [], uniform(seed, "template", *key), "template", "template", "weight", True)
+    rows = rows.withColumn("template", F.when(F.col("template") == "(folded)", words.MISC).otherwise(F.col("template")))
+    places = _section(profile, "archetype_locations").select(
+        F.col("key1").alias("archetype"), F.col("key2").alias("label"), F.col("value").alias("weight"))
+    rows = sampling.choose(rows, places, ["archetype"], uniform(seed, "location", *key), "location", keep_other=True)
+    drawn = F.when(F.col("location") == words.OTHER, words.DEFAULT_REGION).otherwise(F.col("location"))
+    rows = rows.withColumn("location", F.coalesce(drawn, F.lit(words.DEFAULT_REGION)))
+    # About thirty templates.
+    rows = rows.join(F.broadcast(stats.drop("weight")), "template", "left").join(
+        F.broadcast(template_labels(profile)), "template", "left")
+    size = F.greatest(F.lit(1), skewed_count(
+        F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(0.0)), normal(seed, "size", *key),
+        F.coalesce("min", F.lit(0.0)), F.coalesce("max", F.lit(0.0))))
+    empty = bernoulli("empty_share", seed, "empty", *key)
+    token = F.coalesce("token", F.lit("shared"))
+    stem = F.concat_ws("-", F.lit("rg"), pick_word(words.BUSINESS_UNITS, seed, "rg-unit", *key),
+                       pick_word(words.ENVIRONMENTS, seed, "rg-stage", *key), token, F.lit(""))
+    return rows.select(
+        OWNER, "nth", "template", "location", token.alias("token"), stem.alias("stem"),
+        "tag_density_mean", "tag_density_std", F.when(empty, 0).otherwise(size).alias("size"))
+
+
+def _keep_folded(stats: DataFrame) -> DataFrame:
+    """The folded template may be drawn, so it takes part under a name of its own."""
+    return stats.withColumn("template", F.when(F.col("template") == words.MISC, "(folded)").otherwise(F.col("template")))
+
+
+def name_groups(groups: DataFrame) -> DataFrame:
+    """Names that are free within their owner, numbered behind their stem."""
+    taken = groups.sparkSession.createDataFrame([], f"{OWNER} string, name string")
+    named = sampling.next_free(groups, [OWNER], "stem", taken, "nth", "name").drop("stem")
+    return named.withColumn("id", group_path(OWNER, "name"))
+
+
+def type_mix(profile: DataFrame) -> DataFrame:
+    """(template, label, weight): own types by global frequency, else the folded mass, else all."""
+    frequency = _section(profile, "resource_types").select(F.col("key1").alias("label"), F.col("value").alias("weight"))
+    own = _section(profile, "template_types").where(F.col("key2") != words.MISC).select(
+        F.col("key1").alias("template"), canonical_namespace("key2").alias("label"))
+    real = own.join(frequency, "label", "left").na.fill(0.0, ["weight"]).select("template", "label", "weight")
+    folded = _section(profile, "template_type_weights").select(
+        F.col("key1").alias("template"), canonical_namespace("key2").alias("label"), F.col("value").alias("weight"))
+    bare = _section(profile, "templates").select(F.col("key1").alias("template")).distinct().join(
+        real.unionByName(folded).select("template").distinct(), "template", "left_anti")
+    everything = beside(bare, frequency.agg(F.collect_list(F.struct("label", "weight")).alias("all")))
+    return real.unionByName(folded).unionByName(everything.select("template", F.inline("all")))
+
+
+def draw_rows(groups: DataFrame, profile: DataFrame, seed: int, count: str = "size", first: int = 0) -> DataFrame:
+    """The rows of each group with their type; ``place`` numbers them within the group."""
+    rows = sampling.expand(groups, count, "place").withColumn("place", F.col("place") + first)
+    mix = settle(type_mix(profile))
+    return sampling.choose(
+        rows, mix, ["template"], uniform(seed, "type", OWNER, "nth", "place"), "type"
+    ).where(F.col("type").isNotNull())
+
+
+def resize(rows: DataFrame, groups: DataFrame, profile: DataFrame, target: int, seed: int) -> DataFrame:
+    """Trim or pad the drawn rows to within 5 % of a target."""
+    sizes = settle(rows.groupBy(OWNER, "nth").agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    excess, deficit = sampling.resize_plan(total, target)
+    if excess:
+        keyed = rows.withColumn("__key", F.concat_ws("/", OWNER, "nth", "place"))
+        return sampling.trim(keyed, [OWNER, "nth"], "__key", excess, seed).drop("__key")
+    if deficit and total:
+        quotas = sampling.pad_quotas(sizes, [OWNER, "nth"], deficit, seed)
+        padded = groups.join(quotas, [OWNER, "nth"])
+        # Places behind any drawn one, so keys stay unique.
+        return rows.unionByName(draw_rows(padded, profile, seed + 1, "quota", 1_000_000_000), allowMissingColumns=True).select(*rows.columns)
+    return rows
+
+
+# --- names, properties, tags: SAM-07, SAM-08, SAM-15 -----------------------------------
+
+def name_rows(rows: DataFrame, seed: int) -> DataFrame:
+    """Name and id of each row; the place in the group keeps names apart."""
+    key = (OWNER, "nth", "place")
+    known = F.create_map(*[F.lit(x) for pair in t.TYPE_ABBREVIATIONS.items() for x in pair])
+    tail = F.regexp_replace(F.lower(F.element_at(F.split("type", "/"), -1)), "[^a-z0-9]", "")
+    short = F.coalesce(F.element_at(known, F.col("type")), F.when(tail != "", F.substring(tail, 1, 6)), F.lit("res"))
+    letters = keyed_letters(4, seed, "name", *key)
+    number = F.lpad(F.col("place").cast("string"), 4, "0")
+    number = F.when(F.length(F.col("place").cast("string")) > 4, F.col("place").cast("string")).otherwise(number)
+    name = F.when(F.col("type") == t.STORAGE, F.concat(F.lit("st"), letters, number)).otherwise(
+        F.concat_ws("-", short, letters, number))
+    named = rows.withColumn("name", name)
+    return named.withColumn("id", resource_path(OWNER, "resource_group_name", "type", "name"))
+
+
+def _field_table(profile: DataFrame, part: str) -> DataFrame:
+    """(type, fields): per type its fields with the upper ends of their labels' shares."""
+    rows = _section(profile, "type_shapes").where(F.col("key1").startswith(f"{part}|")).select(
+        F.regexp_replace("key1", "^[^|]*\\|", "").alias("type"), F.col("key2").alias("field"),
+        F.col("key3").alias("label"), F.col("value").alias("weight"))
+    # A field whose values were all folded keeps one made-up value.
+    folded = rows.groupBy("type", "field").agg(F.bool_and(F.col("label") == words.OTHER).alias("all"))
+    spare = folded.where("all").select(
+        "type", "field",
+        F.when(F.col("field").isin(*words.BOOLEAN_FIELDS), "false").when(F.col("field").isin(*words.INTEGER_FIELDS), "1")
+        .otherwise(F.concat(F.col("field"), F.lit("-001"))).alias("label"), F.lit(1.0).alias("weight"))
+    spans = sampling.cumulative(rows.unionByName(spare), ["type", "field"], "label", "weight")
+    per_field = spans.select(
+        "type", "field", F.struct("high", typed_value("field", "label").alias("json")).alias("s")
+    ).groupBy("type", "field").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    return per_field.groupBy("type").agg(F.sort_array(F.collect_list(F.struct("field", "spans"))).alias("fields"))
+
+
+def _drawn_fields(seed: int, purpose: str) -> Column:
+    """A map of the fields drawn for a row; a drawn ``null`` leaves the field out."""
+    def draw(f: Column) -> Column:
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(purpose), F.col("id"), f["field"]), 11) / F.lit(float(2**53))
+        ahead = F.filter(f["spans"], lambda s: s["high"] > u)
+        hit = F.coalesce(F.get(ahead, F.lit(0)), F.element_at(f["spans"], -1))
+        return F.struct(f["field"].alias("key"), hit["json"].alias("value"))
+
+    drawn = F.filter(F.transform("fields", draw), lambda e: e["value"].isNotNull())
+    return F.when(F.col("fields").isNotNull(), F.map_from_entries(drawn)).otherwise(empty_map())
+
+
+def draw_fields(rows: DataFrame, profile: DataFrame, part: str, out: str, seed: int) -> DataFrame:
+    # One row per frequent type: fifteen at most.
+    table = F.broadcast(_field_table(profile, part))
+    return rows.join(table, "type", "left").withColumn(out, _drawn_fields(seed, part)).drop("fields")
+
+
+# --- fixed values: must equal the reference's for right results ---------------------
+FLAT_DEFAULTS = {
+    t.NIC: {"enableAcceleratedNetworking": "false", "enableIPForwarding": "false", "nicType": '"Standard"'},
+    t.DISK: {"diskSizeGB": "128", "diskState": '"Unattached"'},
+    t.PUBLIC_IP: {"publicIPAllocationMethod": '"Static"', "publicIPAddressVersion": '"IPv4"'},
+    t.NSG: {"defaultSecurityRulesOnly": "false"},
+    t.VNET: {"enableDdosProtection": "false", "addressSpace": '{"addressPrefixes":["10.0.0.0/16"]}'},
+    t.WEBSITE: {"state": '"Running"', "httpsOnly": "true"},
+    t.SERVER_FARM: {"reserved": "false"},
+    t.SQL_SERVER: {"version": '"12.0"', "publicNetworkAccess": '"Enabled"', "minimalTlsVersion": '"1.2"'},
+    t.SQL_DATABASE: {
+        "status": '"Online"', "collation": '"SQL_Latin1_General_CP1_CI_AS"', "transparentDataEncryption": '"Enabled"'},
+    t.KEY_VAULT: {"enableSoftDelete": "true", "enablePurgeProtection": "true", "enableRbacAuthorization": "false"},
+    t.AKS: {"kubernetesVersion": '"1.29"', "enableRBAC": "true"},
+}
+DEFAULT_RULES = 3
+
+
+def _rules_json(n: Column) -> Column:
+    """``n`` ordinary inbound rules, ten priorities apart."""
+    rules = F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda i: F.concat(
+            F.lit('{"name":"rule-'), F.lpad(i.cast("string"), 2, "0"), F.lit('","properties":{"priority":'),
+            (F.lit(100) + i * 10).cast("string"), F.lit(',"direction":"Inbound","access":"Allow","protocol":"Tcp"}}')))
+    return F.concat(F.lit("["), F.when(n > 0, F.array_join(rules, ",")).otherwise(""), F.lit("]"))
+
+
+def shape_properties(rows: DataFrame) -> DataFrame:
+    """The nested shape of twelve types, with defaults; flat for the others."""
+    flat = F.col("flat")
+    defaults = empty_map()
+    for type_name, fields in FLAT_DEFAULTS.items():
+        held = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
+        defaults = F.when(F.col("type") == type_name, held).otherwise(defaults)
+    missing = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(flat, k))
+    filled = F.map_concat(flat, missing)
+
+    def get(field: str, default: str) -> Column:
+        return F.coalesce(F.element_at(flat, field), F.lit(default))
+
+    machine = F.create_map(
+        F.lit("hardwareProfile"), F.concat(F.lit('{"vmSize":'), get("vmSize", '"Standard_D2s_v3"'), F.lit("}")),
+        F.lit("osType"), get("osType", '"Linux"'))
+    rule_count = F.coalesce(F.element_at(flat, "securityRuleCount").try_cast("int"), F.lit(DEFAULT_RULES))
+    firewall = F.map_concat(
+        F.map_filter(filled, lambda k, _: k != "securityRuleCount"),
+        F.create_map(F.lit("securityRules"), _rules_json(rule_count)))
+    cluster = F.map_concat(
+        F.map_filter(filled, lambda k, _: k != "networkPlugin"),
+        F.create_map(F.lit("networkProfile"), F.concat(F.lit('{"networkPlugin":'), get("networkPlugin", '"azure"'), F.lit("}"))))
+    shaped = (
+        F.when(F.col("type") == t.VM, machine).when(F.col("type") == t.NSG, firewall)
+        .when(F.col("type") == t.AKS, cluster).otherwise(filled))
+    state = F.element_at(flat, "provisioningState")
+    return (
+        rows.withColumn("provisioning_state", F.coalesce(F.trim(F.translate(state, '"', "")), F.lit("Succeeded")))
+        .withColumn("props", F.map_filter(shaped, lambda k, _: k != "provisioningState"))
+        .drop("flat"))
+
+
+def draw_tags(rows: DataFrame, profile: DataFrame, seed: int) -> DataFrame:
+    """Keys by frequency, capped by the owner's tag density, values by histogram.
+
+    A key without publishable values gets one of five synthetic ones.
+    """
+    frequencies = _section(profile, "tag_key_frequencies").select(F.col("key1").alias("key"), F.col("value").alias("share"))
+    listed = _section(profile, "tag_value_distributions").select(
+        F.col("key1").alias("key"), F.col("key2").alias("label"), F.col("value").alias("weight"))
+    real = listed.where(F.col("label") != words.OTHER)
+    spare = frequencies.join(real.select("key").distinct(), "key", "left_anti").select(
+        "key", F.posexplode(F.array(*[F.lit(w) for w in words.SYNTHETIC_VALUE_WEIGHTS])).alias("i", "weight"))
+    synthetic = spare.select("key", F.concat(F.col("key"), F.lit("-0"), (F.col("i") + 1).cast("string")).alias("label"), "weight")
+    spans = sampling.cumulative(real.unionByName(synthetic), ["key"], "label", "weight")
+    values = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("high", "label"))).alias("spans"))
+    table = frequencies.join(values, "key").agg(
+        F.sort_array(F.collect_list(F.struct("key", "share", "spans"))).alias("keys"))
+
+    def u(purpose: str, k: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(purpose), F.col("id"), k["key"]), 11) / F.lit(float(2**53))
+
+    def value(k: Column) -> Column:
+        ahead = F.filter(k["spans"], lambda s: s["high"] > u("tag-value", k))
+        return F.coalesce(F.get(ahead, F.lit(0)), F.element_at(k["spans"], -1))["label"]
+
+    present = F.filter("keys", lambda k: u("tag", k) < k["share"])
+    shuffled = F.array_sort(F.transform(present, lambda k: F.struct(u("tag-order", k).alias("o"), k.alias("k"))))
+    cap = F.when(
+        F.col("tag_density_mean").isNotNull(),
+        normal_count(F.col("tag_density_mean"), F.coalesce("tag_density_std", F.lit(0.0)), normal(seed, "tag-cap", "id")),
+    ).otherwise(F.lit(1 << 30))
+    return (
+        beside(rows, table)
+        .withColumn("kept", F.slice(shuffled, F.lit(1), F.least(cap, F.lit(1 << 30)).cast("int")))
+        .withColumn("tags", F.map_from_entries(F.transform("kept", lambda e: F.struct(e["k"]["key"], value(e["k"])))))
+        .drop("keys", "kept"))
+
+
+# --- wiring and defects: SAM-10, SAM-13 -------------------------------------------------
+
+def minted(lacking: DataFrame, type_name: str, like: DataFrame, seed: int) -> DataFrame:
+    """One new row per owner in the given group, shaped like the drawn rows."""
+    abbreviation = t.TYPE_ABBREVIATIONS.get(type_name, "res")
+    name = F.concat_ws("-", F.lit(abbreviation), keyed_letters(4, seed, f"mint/{type_name}", OWNER), F.lit("m001"))
+    if type_name == t.STORAGE:
+        name = F.concat(F.lit("st"), keyed_letters(4, seed, "mint", OWNER), F.lit("m001"))
+    rows = lacking.withColumn("type", F.lit(type_name)).withColumn("name", name)
+    rows = rows.withColumn("id", resource_path(OWNER, "resource_group_name", "type", "name"))
+    blank = rows.withColumn("flat", empty_map()).withColumn("tags", empty_map()).withColumn("sku", empty_map()).withColumn(
+        "kind", F.lit(None).cast("string"))
+    return shape_properties(blank).select(*[
+        F.col(c) if c in ("id", "name", "type", "location", OWNER, "resource_group_name", "props", "tags", "sku", "kind", "provisioning_state")
+        else F.lit(None).cast(dict(like.dtypes)[c]).alias(c) for c in like.columns])
+
+
+def wire(rows: DataFrame, seed: int) -> DataFrame:
+    """Machines get an interface and a disk, interfaces a subnet and, where there is one, a
+    public address, all within the owner. Missing partners are added first, so nothing dangles.
+    """
+    for need, have in ((t.VM, t.NIC), (t.VM, t.DISK), (t.NIC, t.VNET)):
+        rows = settle(rows.unionByName(minted(wiring.owners_lacking(rows, need, have), have, rows, seed)))
+    networks = rows.where(F.col("type") == t.VNET)
+    count = F.greatest(F.lit(1), F.coalesce(F.element_at("props", "subnetCount").try_cast("int"), F.lit(1)))
+    nets = networks.withColumn("__i", F.explode(F.sequence(F.lit(0), count - 1)))
+    subnet_name = F.concat(F.lit("subnet-"), F.lpad(F.col("__i").cast("string"), 2, "0"))
+    prefix = F.concat(F.lit('"10.0.'), F.col("__i"), F.lit('.0/24"'))
+    subnets = nets.select(*[
+        {
+            "id": F.concat("id", F.lit("/subnets/"), subnet_name).alias("id"),
+            "name": subnet_name.alias("name"),
+            "type": F.lit(f"{t.VNET}/subnets").alias("type"),
+            "props": F.create_map(F.lit("addressPrefix"), prefix).alias("props"),
+            "tags": empty_map().alias("tags"), "sku": empty_map().alias("sku"),
+            "kind": F.lit(None).cast("string").alias("kind"),
+            "managed_by": F.col("id").alias("managed_by"),
+        }.get(c, F.col(c)) for c in rows.columns])
+    subnet_type = f"{t.VNET}/subnets"
+    every = settle(rows.unionByName(subnets))
+
+    def partner(of: str, pool_type: str, out: str) -> DataFrame:
+        pool = wiring.numbered_pool(every, pool_type, seed)
+        return wiring.pick_partner(every.where(F.col("type") == of).select(OWNER, "id"), pool, seed, out, out).select("id", out)
+
+    linked = (
+        every.join(partner(t.VM, t.NIC, "nic"), "id", "left")
+        .join(partner(t.VM, t.DISK, "disk"), "id", "left")
+        .join(partner(t.NIC, subnet_type, "subnet"), "id", "left")
+        .join(partner(t.NIC, t.PUBLIC_IP, "address"), "id", "left"))
+    listed = networks.select("id", count.alias("__n"))
+    linked = linked.join(listed, "id", "left")
+
+    def ref(c: str) -> Column:
+        return F.concat(F.lit('{"id":"'), F.col(c), F.lit('"}'))
+
+    os_disk = F.concat(
+        F.lit('{"osDisk":{"osType":'), F.coalesce(F.element_at("props", "osType"), F.lit('"Linux"')), F.lit(',"managedDisk":'),
+        ref("disk"), F.lit("}}"))
+    machine = F.map_concat(
+        F.map_filter("props", lambda k, _: k != "osType"),
+        F.create_map(
+            F.lit("storageProfile"), os_disk,
+            F.lit("networkProfile"), F.concat(F.lit('{"networkInterfaces":['), ref("nic"), F.lit("]}"))))
+    public = F.when(F.col("address").isNotNull(), F.concat(F.lit(',"publicIPAddress":'), ref("address"))).otherwise("")
+    interface = set_key("props", F.lit("ipConfigurations"), F.concat(
+        F.lit('[{"name":"ipconfig1","properties":{"privateIPAllocationMethod":"Dynamic","subnet":'), ref("subnet"), public, F.lit("}}]")))
+    subnet_refs = F.transform(
+        F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1),
+        lambda i: F.concat(
+            F.lit('{"name":"subnet-'), F.lpad(i.cast("string"), 2, "0"), F.lit('","id":"'), F.col("id"), F.lit("/subnets/subnet-"),
+            F.lpad(i.cast("string"), 2, "0"), F.lit('"}')))
+    network = set_key("props", F.lit("subnets"), F.concat(F.lit("["), F.array_join(subnet_refs, ","), F.lit("]")))
+    props = (
+        F.when(F.col("type") == t.VM, machine).when(F.col("type") == t.NIC, interface)
+        .when(F.col("type") == t.VNET, network).otherwise(F.col("props")))
+    public_machine = F.lit(None).cast("string")
+    return linked.withColumn("props", props).withColumn("nic_id", F.coalesce("nic", public_machine)).withColumn(
+        "has_address", F.col("address").isNotNull()).drop("nic", "disk", "subnet", "address", "__n")
+
+
+# --- fixed values: must equal the reference's for right results ---------------------
+DEFECT_FIELDS = {
+    "STORAGE_NO_ENCRYPTION": ("encryption", '{"services":{"blob":{"enabled":false}},"keySource":"Microsoft.Storage"}'),
+    "STORAGE_PUBLIC_ACCESS": ("allowBlobPublicAccess", "true"),
+    "STORAGE_HTTP_ALLOWED": ("supportsHttpsTrafficOnly", "false"),
+    "STORAGE_OLD_TLS": ("minimumTlsVersion", '"TLS1_0"'),
+    "KV_NO_SOFT_DELETE": ("enableSoftDelete", "false"),
+    "KV_NO_PURGE_PROTECT": ("enablePurgeProtection", "false"),
+    "VM_NO_BACKUP": ("_noRecoveryServicesLink", "true"),
+    "SQL_NO_AUDIT": ("auditingSettings", '{"state":"Disabled"}'),
+    "SQL_NO_TDE": ("transparentDataEncryption", '"Disabled"'),
+    "AKS_RBAC_DISABLED": ("enableRBAC", "false"),
+    "DISK_UNENCRYPTED": ("encryption", '{"type":"EncryptionAtRestWithPlatformKey","enabled":false}'),
+}
+DEFECT_PORTS = {
+    "NSG_OPEN_SSH": ("AllowSSH-Inbound", "22", "Tcp"), "NSG_OPEN_RDP": ("AllowRDP-Inbound", "3389", "Tcp"),
+    "NSG_OPEN_ALL": ("AllowAll-Inbound", "*", "*"),
+}
+DEFECT_TAGS = {"TAG_MISSING_ENV": "environment", "TAG_MISSING_OWNER": "owner", "TAG_MISSING_COSTCENTER": "costCenter"}
+
+
+def inject_defects(rows: DataFrame, seed: int, rates: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Defects drawn independently per code; a row may get several.
+
+    Returns the rows with the defects in place and the violations. A missing-tag defect
+    needs the tag to be there; a public machine is one whose interface has an address.
+    """
+    rates = rates or {}
+    rules = {r.code: r for r in governance.RULES}
+    hit: dict[str, Column] = {}
+    for code, rule in rules.items():
+        drawn = bernoulli(rates.get(code, rule.expected_rate), seed, f"defect/{code}", "id")
+        may = F.map_contains_key("tags", DEFECT_TAGS[code]) if code in DEFECT_TAGS else F.col("type") == rule.eligible_type
+        hit[code] = F.coalesce(may & drawn, F.lit(False))
+    codes = F.filter(F.array(*[F.when(h, F.lit(code)) for code, h in hit.items()]), lambda c: c.isNotNull())
+    marked = rows.withColumn("__codes", codes)
+
+    def has(code: str) -> Column:
+        return F.array_contains("__codes", code)
+
+    set_fields = F.array(*[
+        F.when(has(code), F.struct(F.lit(field).alias("key"), F.lit(value).alias("value")))
+        for code, (field, value) in DEFECT_FIELDS.items()])
+    fresh = F.map_from_entries(F.filter(set_fields, lambda e: e.isNotNull()))
+    marked = marked.withColumn("__set", fresh)
+    kept = F.map_filter("props", lambda k, _: ~F.map_contains_key(F.col("__set"), k))
+    last = F.element_at("props", "securityRules")
+    top = F.array_max(F.transform(
+        F.from_json(last, governance.SECURITY_RULES), lambda r: r["properties"]["priority"]))
+    extra = []
+    for i, (code, (name, port, protocol)) in enumerate(DEFECT_PORTS.items()):
+        extra.append(F.when(has(code), F.concat(
+            F.lit(f'{{"name":"{name}","properties":{{"access":"Allow","direction":"Inbound","protocol":"{protocol}",'
+                  f'"destinationPortRange":"{port}","sourceAddressPrefix":"*","destinationAddressPrefix":"*","priority":'),
+            (F.coalesce(top, F.lit(100)) + 10 * (i + 1)).cast("string"), F.lit("}}"))))
+    opened = F.array_compact(F.array(*extra))
+    inner = F.regexp_replace(F.coalesce(last, F.lit("[]")), "^\\[|\\]$", "")
+    rules_json = F.concat(F.lit("["), F.concat_ws(",", F.when(inner != "", inner), F.array_join(opened, ",")), F.lit("]"))
+    props = F.map_concat(kept, F.col("__set"))
+    props = F.when(F.size(opened) > 0, set_key(props, F.lit("securityRules"), rules_json)).otherwise(props)
+    gone = F.transform(
+        F.filter("__codes", lambda c: c.isin(*DEFECT_TAGS)),
+        lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in DEFECT_TAGS.items() for x in pair]), c))
+    changed = marked.withColumn("props", props).withColumn(
+        "tags", F.map_filter("tags", lambda k, _: ~F.array_contains(gone, k)))
+    severity = F.create_map(*[F.lit(x) for r in rules.values() for x in (r.code, r.severity)])
+    violations = marked.select(F.col("id").alias("resource_id"), F.explode("__codes").alias("violation_type")).withColumn(
+        "severity", F.element_at(severity, F.col("violation_type")))
+    code, rate, level = governance.VM_PUBLIC_IP
+    addressed = rows.where((F.col("type") == t.NIC) & F.col("has_address")).select(F.col("id").alias("nic_id"))
+    public = rows.where((F.col("type") == t.VM) & bernoulli(rates.get(code, rate), seed, f"defect/{code}", "id")).join(
+        addressed, "nic_id", "left_semi").select(F.col("id").alias("resource_id"), F.lit(code).alias("violation_type"), F.lit(level).alias("severity"))
+    return changed.drop("__codes", "__set"), violations.unionByName(public)
+
+
+# --- edges, costs, identities: SAM-05, SAM-11, SAM-12 -----------------------------------
+
+def make_edges(rows: DataFrame, owners: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with every anchor the edges need, and the edges; no owner links to itself."""
+    hubs = settle(wiring.pick_owners(owners, wiring.HUBS[1], seed, "hub"))
+    vaults = settle(wiring.pick_owners(owners, wiring.VAULT_HOSTS[1], seed, "vault"))
+    logs = settle(wiring.pick_owners(owners, wiring.LOG_HOSTS[1], seed, "log"))
+    registries = settle(wiring.pick_owners(owners, wiring.REGISTRY_HOSTS[1], seed, "registry"))
+    home = groups.groupBy(OWNER).agg(F.min_by(F.struct(F.col("name").alias("resource_group_name"), "location"), "name").alias("g"))
+    wanted = [(vaults, t.KEY_VAULT), (logs, t.LOG_WORKSPACE), (registries, t.REGISTRY)]
+    # Any owner may become a hub's spoke, so every owner needs a network.
+    for hosts, type_name in [(owners, t.VNET), *wanted]:
+        having = rows.where(F.col("type") == type_name).select(OWNER).distinct()
+        lacking = hosts.select(OWNER).join(having, OWNER, "left_anti").join(home, OWNER).select(OWNER, "g.*")
+        rows = rows.unionByName(minted(lacking, type_name, rows, seed))
+    plan = settle(wiring.endpoint_plan(rows, groups, seed))
+    endpoints = minted(plan.select(OWNER, "resource_group_name", "location").distinct(), t.PRIVATE_ENDPOINT, rows, seed)
+    rows = settle(rows.unionByName(endpoints))
+    sources = rows.groupBy(OWNER).agg(F.min("id").alias("source"))
+    low, high = wiring.VAULT_CONSUMERS
+    consumers = low + (seed * 7919) % (high - low + 1)
+    networks = wiring.first_of_type(rows, t.VNET)
+    edges = [
+        wiring.hub_edges(owners, hubs, networks, seed),
+        wiring.shared_edges("shared-keyvault", owners, vaults, wiring.first_of_type(rows, t.KEY_VAULT), sources, consumers, seed),
+        wiring.shared_edges("log-analytics", owners, logs, wiring.first_of_type(rows, t.LOG_WORKSPACE), sources, wiring.LOG_CONSUMERS, seed),
+        wiring.registry_edges(rows, registries, wiring.first_of_type(rows, t.REGISTRY), seed),
+        plan.join(endpoints.select(OWNER, "resource_group_name", F.col("id").alias("endpoint")), [OWNER, "resource_group_name"]).select(
+            F.lit("private-endpoint").alias("dependency_type"), F.col("endpoint").alias("source_resource_id"),
+            F.col("target").alias("target_resource_id"), F.col(OWNER).alias("source_subscription"),
+            F.col("target_owner").alias("target_subscription")),
+    ]
+    out = edges[0]
+    for part in edges[1:]:
+        out = out.unionByName(part)
+    return rows, out
+
+
+def make_identities(
+    spark: SparkSession, owners: DataFrame, groups: DataFrame, rows: DataFrame, n_owners: int, n_rows: int, seed: int,
+    over_privilege_rate: float = 0.05,
+) -> tuple[DataFrame, DataFrame]:
+    """Principals and their role assignments; a share gets an extra Owner grant.
+
+    Scopes are numbered within their tier bucket by bucket, and a principal draws a
+    number, so the scopes are met by equality and never gathered.
+    """
+    n = t.PRINCIPALS_PER_OWNER * n_owners + n_rows // t.ROWS_PER_PRINCIPAL
+    people = spark.range(n).select(
+        "id", keyed_uuid(seed, "principal", "id").alias("oid"),
+        pick_weighted(t.PRINCIPAL_TYPE_WEIGHTS, seed, "principal-type", "id").alias("principal_type"))
+    principals = people.select(
+        "oid", "principal_type", F.lit(None).cast("string").alias("display_name"),
+        F.when(F.col("principal_type") == "ServicePrincipal", keyed_uuid(seed, "app", "oid")).alias("app_id"))
+    pool = (
+        owners.select(F.lit("subscription").alias("tier"), F.concat(F.lit("/subscriptions/"), OWNER).alias("scope"), OWNER)
+        .unionByName(groups.select(F.lit("resourceGroup").alias("tier"), F.col("id").alias("scope"), OWNER))
+        .unionByName(rows.select(F.lit("resource").alias("tier"), F.col("id").alias("scope"), OWNER)))
+    numbered = keyed_rank(pool, ["tier"], ["scope"], seed, "scope", "number")
+    sizes = pool.groupBy("tier").agg(F.count(F.lit(1)).alias("size"))
+    roles = F.create_map(*[F.lit(x) for role, guid in t.ROLES.items() for x in (role, t.ROLE_PREFIX + guid)])
+
+    def assigned(who: DataFrame, tier: Column, role: Column, purpose: str) -> DataFrame:
+        # Three tiers.
+        asked = who.withColumn("tier", tier).join(F.broadcast(sizes), "tier")
+        asked = asked.withColumn("number", F.pmod(key_hash(seed, f"{purpose}-scope", "oid"), F.col("size")) + 1)
+        return asked.join(numbered, ["tier", "number"]).select(
+            keyed_uuid(seed, purpose, "oid").alias("assignment_id"), OWNER, F.col("oid").alias("principal_oid"), "principal_type",
+            F.element_at(roles, role).alias("role_definition_id"), "scope")
+
+    usual = assigned(
+        people, pick_weighted(t.SCOPE_TIER_WEIGHTS, seed, "tier", "oid"), pick_weighted(t.ROLE_WEIGHTS, seed, "role", "oid"), "assignment")
+    favoured = people.where(bernoulli(over_privilege_rate, seed, "over-privilege", "oid"))
+    extra = assigned(favoured, F.lit("subscription"), F.lit("Owner"), "extra")
+    return principals, usual.unionByName(extra)
+
+
+def cost_fits(profile: DataFrame) -> DataFrame:
+    return _stats(profile, "cost_distributions", "type", ["mu", "sigma"])
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """The resources table as it is stored."""
+    return rows.select(
+        "id", OWNER, "resource_group_name", "name", "type", "location", F.to_json("tags").alias("tags"),
+        F.when(F.size("sku") > 0, json_object(F.col("sku"))).alias("sku"), "kind", json_object(F.col("props")).alias("properties"),
+        "provisioning_state", "managed_by", F.lit(None).cast("timestamp").alias("drift_deleted_at"))
+
+
+def synthesise(
+    spark: SparkSession, profile: DataFrame, n_owners: int, n_rows: int, seed: int = 42, granularity: str = "monthly",
+    as_of: dt.date = dt.date(2024, 1, 1), over_privilege_rate: float = 0.05, rates: dict[str, float] | None = None,
+) -> Synthetic:
+    """All estate tables of about ``n_rows`` resources under ``n_owners`` owners."""
+    profile = settle(profile)
+    owners = settle(make_owners(spark, profile, n_owners, seed))
+    groups = settle(name_groups(make_groups(owners, profile, seed)))
+    drawn = draw_rows(groups, profile, seed)
+    rows = resize(drawn, groups, profile, n_rows, seed).withColumnRenamed("name", "resource_group_name").drop("id")
+    named = name_rows(rows, seed)
+    with_props = shape_properties(draw_fields(named, profile, "properties", "flat", seed))
+    with_sku = draw_fields(with_props, profile, "sku", "sku", seed)
+    kinds = draw_fields(with_sku, profile, "kind", "__kind", seed)
+    tagged = draw_tags(kinds, profile, seed).withColumn("kind", F.translate(F.element_at("__kind", "kind"), '"', ""))
+    base = tagged.select(
+        "id", OWNER, "resource_group_name", "name", "type", "location", "tags", "sku", "kind", "props", "provisioning_state",
+        F.lit(None).cast("string").alias("managed_by"))
+    wired = settle(wire(settle(base), seed))
+    defective, violations = inject_defects(wired, seed, rates)
+    linked, edges = make_edges(settle(defective), owners, groups, seed)
+    stored = finished(linked)
+    sets = linked.groupBy(OWNER, "resource_group_name").agg(F.collect_set("type").alias("type_set"))
+    claimed = groups.join(sets.withColumnRenamed("resource_group_name", "name"), [OWNER, "name"], "left").withColumn(
+        "type_set", F.coalesce("type_set", F.array().cast("array<string>")))
+    renames = settle(renaming.confirmed_names(claimed.select(OWNER, "name", "token", "type_set")))
+    tables = renaming.rename_estate(
+        {
+            "resource_groups": groups.select(
+                "id", OWNER, "name", "location", F.col("template").alias("template_type"), F.lit("{}").alias("tags"),
+                F.lit("Succeeded").alias("provisioning_state")),
+            "resources": stored, "dependencies": edges, "violations": violations,
+        },
+        renames)
+    tables["resources"] = settle(tables["resources"])
+    periods = day_periods(F.lit(as_of)) if granularity == "daily" else month_periods(F.lit(as_of), DEFAULT_PERIODS)
+    tables["subscriptions"] = owners.select(
+        OWNER, "display_name", F.lit("Enabled").alias("state"), "archetype", F.lit("{}").alias("tags"))
+    tables["cost_records"] = sampling.cost_facts(tables["resources"], settle(cost_fits(profile)), periods, seed)
+    tables["principals"], tables["role_assignments"] = make_identities(
+        spark, tables["subscriptions"], tables["resource_groups"], tables["resources"], n_owners, tables["resources"].count(),
+        seed, over_privilege_rate)
+    return Synthetic(tables, wiring.clamped(n_owners))

@@ -48,8 +48,13 @@ def write_estate(tables: dict[str, DataFrame], folder: str, force: bool = False)
         df, partitions = tables[name], PARTITIONED.get(name, [])
         if name == "resources":
             df = df.withColumn("owner_bucket", F.pmod(F.xxhash64("subscription_id"), F.lit(BUCKETS)).cast("int"))
-            df = df.sortWithinPartitions("owner_bucket", "subscription_id", "id")
             partitions = ["owner_bucket"]
+        if partitions:
+            # Adaptive execution splits a hot partition over several tasks and files, and
+            # joins small ones.
+            df = df.hint("rebalance", *[F.col(c) for c in partitions])
+        if name == "resources":
+            df = df.sortWithinPartitions("owner_bucket", "subscription_id", "id")
         df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{folder}/{name}")
 
 
