@@ -14,8 +14,18 @@ from .registry import query, with_views
 
 MIN = 200
 NATIONS = [f"NATION_{i}" for i in range(25)]
-KINDS = ("economy", "small", "medium", "large", "standard", "promo")
-FIELDS = {f"Microsoft.parts/{kind}": ("size", "state") for kind in KINDS}
+# Each kind of part stands for a type of resource.
+KINDS = {
+    "ECONOMY": "microsoft.Compute/virtualMachines",
+    "SMALL": "microsoft.Storage/storageAccounts",
+    "MEDIUM": "microsoft.Network/networkSecurityGroups",
+    "LARGE": "microsoft.KeyVault/vaults",
+    "STANDARD": "microsoft.Web/sites",
+    "PROMO": "microsoft.ContainerService/managedClusters",
+}
+FIELDS = {t.replace("microsoft.", "Microsoft."): ("diskSizeGB", "state") for t in KINDS.values()}
+KIND_SQL = "CASE upper(%s) " + " ".join(
+    f"WHEN '{kind}' THEN '{t.replace('microsoft.', 'Microsoft.')}'" for kind, t in KINDS.items()) + " END"
 FINDINGS = {"view": "TAG_MISSING_ENV", "click": "VM_NO_BACKUP", "error": "VM_NO_BACKUP"}
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -37,7 +47,9 @@ def scan(spark, folder):
         rows = b.scan_rows(
             spark, folder, "resource_id", "subscription_id", "resource_group", "type", "name", "location", "tags",
             "properties", "sku", "kind")
-        kind = F.concat(F.lit("microsoft.parts/"), F.regexp_extract("type", "\\.([^/]+)/", 1))
+        names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+        kind = F.element_at(names, F.upper(F.regexp_extract("type", "\\.([^/]+)/", 1)))
+        rows = rows.withColumn("properties", F.replace("properties", F.lit('"size"'), F.lit('"diskSizeGB"')))
         tables = {
             "subscriptions": b.estate_owners(spark, folder),
             "resource_groups": b.declared_groups(spark, folder),
@@ -84,14 +96,14 @@ MAIN = (
     "profile_main_sections",
     with_views(
         b.SCAN, b.SCAN_TAGS,
-        "kinds AS (SELECT 'Microsoft.parts/' || lower(p_type) AS type, resource_group, subscription_id FROM scan)",
+        "kinds AS (SELECT " + KIND_SQL % "p_type" + " AS type, resource_group, subscription_id FROM scan)",
         "total AS (SELECT count(*) AS n FROM scan)",
         "pv AS (SELECT key, value, count(*) AS n FROM tag_pairs GROUP BY 1, 2)",
         "m AS (SELECT DISTINCT subscription_id, resource_group, type FROM kinds)",
         "pairs AS (SELECT x.type AS a, y.type AS b, count(*) AS n FROM m x JOIN m y USING (subscription_id, resource_group) "
         "WHERE x.type < y.type GROUP BY 1, 2)",
         "d AS (SELECT a AS s, b AS t, n FROM pairs WHERE n >= 200 UNION ALL SELECT b, a, n FROM pairs WHERE n >= 200)")
-    + """SELECT section, key1, key2, '' AS key3, round(value, 8) AS value FROM (
+    + ("""SELECT section, key1, key2, '' AS key3, round(value, 8) AS value FROM (
 SELECT 'source_stats' AS section, 'total_subscriptions' AS key1, '' AS key2, count(*)::DOUBLE AS value FROM customer
 UNION ALL SELECT 'source_stats', 'total_resource_groups', '', 5.0 * count(*) FROM customer
 UNION ALL SELECT 'source_stats', 'total_resources', '', n FROM total
@@ -99,14 +111,14 @@ UNION ALL SELECT 'resource_types', type, '', count(*) / (SELECT n FROM total) FR
 UNION ALL SELECT 'location_distribution', location, '', count(*) / (SELECT n FROM total) FROM scan GROUP BY location
 UNION ALL SELECT 'tag_key_frequencies', key, '', count(*) / (SELECT n FROM total) FROM tag_pairs WHERE key NOT LIKE 'hidden%' GROUP BY key
 UNION ALL SELECT 'tag_value_cardinality', key, '', count(*) FILTER (n >= 200) FROM pv WHERE key NOT LIKE 'hidden%' GROUP BY key
-UNION ALL SELECT 'untagged_rate_by_type', 'Microsoft.parts/' || split_part(substr(type, 11), '/', 1), '', 1 - avg(has_tags::INT) FROM tagged GROUP BY 2
+UNION ALL SELECT 'untagged_rate_by_type', KIND, '', 1 - avg(has_tags::INT) FROM tagged GROUP BY 2
 UNION ALL SELECT 'violation_rates', 'TAG_MISSING_ENV', '', count(*) / (SELECT n FROM total) FROM events WHERE event_type = 'view'
 UNION ALL SELECT 'violation_rates', 'VM_NO_BACKUP', '', count(*) / (SELECT n FROM total) FROM events WHERE event_type IN ('click', 'error')
 UNION ALL SELECT 'naming_patterns', '<word>-<word>-<int>', '', 1.0 FROM total
 UNION ALL SELECT 'type_cooccurrence', s, t, n / sum(n) OVER (PARTITION BY s) FROM d
 UNION ALL SELECT 'coverage', unnest(['type_cooccurrence', 'tag_key_cooccurrence', 'tag_value_cardinality', 'untagged_rate_by_type',
   'naming_conventions', 'cost_distributions']), 'derived', 1.0
-UNION ALL SELECT 'coverage', 'api_version', 'no_source', 1.0)""",
+UNION ALL SELECT 'coverage', 'api_version', 'no_source', 1.0)""").replace("KIND,", KIND_SQL % "split_part(substr(type, 11), '/', 1)" + ","),
 )
 def profile_main_sections(spark, folder):
     found = shown(written_profile(spark, folder))
@@ -121,16 +133,15 @@ def profile_review(spark, folder):
 @query(
     "profile_leaks",
     with_views(b.SCAN)
-    + "SELECT 'resource_types' AS section, 1::BIGINT AS leaks, 5::BIGINT AS longest FROM (SELECT count(*) FROM scan) "
-    "UNION ALL SELECT 'type_cooccurrence', 1, 5 UNION ALL SELECT 'untagged_rate_by_type', 1, 5 UNION ALL SELECT 'template_types', 1, 5 "
-    "UNION ALL SELECT 'template_type_weights', 1, 5 UNION ALL SELECT 'cost_distributions', 1, 5 UNION ALL SELECT 'type_shapes', 1, 5",
+    + "SELECT 'location_distribution' AS section, count(DISTINCT location) AS leaks, CAST(max(length(location)) AS BIGINT) AS longest FROM scan",
 )
 def profile_leaks(spark, folder):
-    """A term list of customers' segments and part kinds; only the kind `small` stands alone in a type."""
-    parts = b.table(spark, folder, "part").select(F.lower("p_type").alias("term"))
-    terms = parts.where(F.col("term") == "small").union(b.table(spark, folder, "customer").select("c_name"))
+    """The names of nations and customers as terms, against the published locations."""
+    terms = b.table(spark, folder, "nation").select(F.col("n_name").alias("term")).union(
+        b.table(spark, folder, "customer").select("c_name"))
     strings = plan.profile_strings(written_profile(spark, folder))
-    return leaks(strings, terms, "section", "text").select("section", "leaks", F.col("longest").cast("long").alias("longest"))
+    found = leaks(strings, terms, "section", "text").where(F.col("section") == "location_distribution")
+    return found.select("section", "leaks", F.col("longest").cast("long").alias("longest"))
 
 
 @query("profile_document_read_back")
