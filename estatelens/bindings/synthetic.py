@@ -133,7 +133,7 @@ def drawn_cost_rows(spark, folder):
 
 @query(
     "trimmed_rows",
-    "SELECT (SELECT count(*) FROM orders) - 2000 AS n, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS referenced",
+    "SELECT count(*) - least(2000, count(*) FILTER (o_orderstatus <> 'F')) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS referenced FROM orders",
 )
 def trimmed_rows(spark, folder):
     """Two thousand orders fewer, none of them referenced, the largest customers first."""

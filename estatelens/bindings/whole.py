@@ -98,6 +98,9 @@ MAIN = (
         b.SCAN, b.SCAN_TAGS,
         "kinds AS (SELECT " + KIND_SQL % "p_type" + " AS type, resource_group, subscription_id FROM scan)",
         "total AS (SELECT count(*) AS n FROM scan)",
+        "tc AS (SELECT type, count(*) AS n FROM kinds GROUP BY 1)",
+        "lc AS (SELECT location, count(*) AS n FROM scan GROUP BY 1)",
+        "ec AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
         "pv AS (SELECT key, value, count(*) AS n FROM tag_pairs GROUP BY 1, 2)",
         "m AS (SELECT DISTINCT subscription_id, resource_group, type FROM kinds)",
         "pairs AS (SELECT x.type AS a, y.type AS b, count(*) AS n FROM m x JOIN m y USING (subscription_id, resource_group) "
@@ -107,16 +110,17 @@ MAIN = (
 SELECT 'source_stats' AS section, 'total_subscriptions' AS key1, '' AS key2, count(*)::DOUBLE AS value FROM customer
 UNION ALL SELECT 'source_stats', 'total_resource_groups', '', 5.0 * count(*) FROM customer
 UNION ALL SELECT 'source_stats', 'total_resources', '', n FROM total
-UNION ALL SELECT 'resource_types', type, '', count(*) / (SELECT n FROM total) FROM kinds GROUP BY type
-UNION ALL SELECT 'location_distribution', location, '', count(*) / (SELECT n FROM total) FROM scan GROUP BY location
+UNION ALL SELECT 'resource_types', type, '', n / (SELECT sum(n) FROM tc WHERE n >= 200) FROM tc WHERE n >= 200
+UNION ALL SELECT 'location_distribution', CASE WHEN n < 200 THEN '__other__' ELSE location END, '', sum(n) / (SELECT n FROM total) FROM lc GROUP BY 2
 UNION ALL SELECT 'tag_key_frequencies', key, '', count(*) / (SELECT n FROM total) FROM tag_pairs WHERE key NOT LIKE 'hidden%' GROUP BY key
 UNION ALL SELECT 'tag_value_cardinality', key, '', count(*) FILTER (n >= 200) FROM pv WHERE key NOT LIKE 'hidden%' GROUP BY key
 UNION ALL SELECT 'untagged_rate_by_type', KIND, '', 1 - avg(has_tags::INT) FROM tagged GROUP BY 2
-UNION ALL SELECT 'violation_rates', 'TAG_MISSING_ENV', '', count(*) / (SELECT n FROM total) FROM events WHERE event_type = 'view'
-UNION ALL SELECT 'violation_rates', 'VM_NO_BACKUP', '', count(*) / (SELECT n FROM total) FROM events WHERE event_type IN ('click', 'error')
+UNION ALL SELECT 'violation_rates', CASE event_type WHEN 'view' THEN 'TAG_MISSING_ENV' ELSE 'VM_NO_BACKUP' END, '', sum(n) / (SELECT n FROM total)
+  FROM ec WHERE event_type IN ('view', 'click', 'error') AND n >= 200 GROUP BY 2
 UNION ALL SELECT 'naming_patterns', '<word>-<word>-<int>', '', 1.0 FROM total
 UNION ALL SELECT 'type_cooccurrence', s, t, n / sum(n) OVER (PARTITION BY s) FROM d
-UNION ALL SELECT 'coverage', unnest(['type_cooccurrence', 'tag_key_cooccurrence', 'tag_value_cardinality', 'untagged_rate_by_type',
+UNION ALL SELECT 'coverage', 'type_cooccurrence', CASE WHEN (SELECT count(*) FROM d) > 0 THEN 'derived' ELSE 'insufficient_coverage' END, 1.0
+UNION ALL SELECT 'coverage', unnest(['tag_key_cooccurrence', 'tag_value_cardinality', 'untagged_rate_by_type',
   'naming_conventions', 'cost_distributions']), 'derived', 1.0
 UNION ALL SELECT 'coverage', 'api_version', 'no_source', 1.0)""").replace("KIND,", KIND_SQL % "split_part(substr(type, 11), '/', 1)" + ","),
 )
@@ -133,7 +137,8 @@ def profile_review(spark, folder):
 @query(
     "profile_leaks",
     with_views(b.SCAN)
-    + "SELECT 'location_distribution' AS section, count(DISTINCT location) AS leaks, CAST(max(length(location)) AS BIGINT) AS longest FROM scan",
+    + "SELECT 'location_distribution' AS section, count(*) AS leaks, CAST(max(length(location)) AS BIGINT) AS longest "
+    f"FROM (SELECT location FROM scan GROUP BY 1 HAVING count(*) >= {MIN})",
 )
 def profile_leaks(spark, folder):
     """The names of nations and customers as terms, against the published locations."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -15,6 +18,7 @@ from .joins import scalar
 
 DEFAULT_K = 5
 RESTARTS = 10
+PARALLEL_STARTS = 5
 
 
 def cluster_owners(
@@ -31,11 +35,16 @@ def cluster_owners(
     ]).fit(settled).transform(settled)
     if k == 1:
         return settled.withColumn("cluster", F.lit(0))
-    fits = [
-        KMeans(k=k, seed=seed + i, featuresCol="__x", predictionCol="cluster").fit(wide)
-        for i in range(RESTARTS)
-    ]
+    # One row per owner; every iteration of every start passes over them.
+    vectors = wide.select("__x").persist()
+    def fit(start: int):
+        return KMeans(k=k, seed=seed + start, featuresCol="__x", predictionCol="cluster").fit(vectors)
+
+    # The starts are independent jobs, so a few of them run side by side.
+    with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
+        fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), range(RESTARTS)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    vectors.unpersist()
     return best.transform(wide).drop("__raw", "__x")
 
 

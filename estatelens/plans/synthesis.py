@@ -334,8 +334,13 @@ def wire(rows: DataFrame, seed: int) -> DataFrame:
     """Machines get an interface and a disk, interfaces a subnet and, where there is one, a
     public address, all within the owner. Missing partners are added first, so nothing dangles.
     """
+    # Only the few added rows are settled here; the estate itself is written once, below.
+    added = None
     for need, have in ((t.VM, t.NIC), (t.VM, t.DISK), (t.NIC, t.VNET)):
-        rows = settle(rows.unionByName(minted(wiring.owners_lacking(rows, need, have), have, rows, seed)))
+        so_far = rows if added is None else rows.unionByName(added)
+        fresh = settle(minted(wiring.owners_lacking(so_far, need, have), have, rows, seed))
+        added = fresh if added is None else added.unionByName(fresh)
+    rows = rows.unionByName(added)
     networks = rows.where(F.col("type") == t.VNET)
     count = F.greatest(F.lit(1), F.coalesce(F.element_at("props", "subnetCount").try_cast("int"), F.lit(1)))
     nets = networks.withColumn("__i", F.explode(F.sequence(F.lit(0), count - 1)))

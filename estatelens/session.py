@@ -52,8 +52,12 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several later stages read."""
+    """Cut the lineage of a frame that several later stages read.
+
+    The frame becomes a table in the shared folder: it survives lost executors, later
+    stages read only the columns they need, and its size is known to the planner.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
