@@ -58,47 +58,89 @@ def _nested(profile: DataFrame, section: str, outer: str = "key1", inner: str =
     return rows.agg(F.map_from_entries(F.collect_list(F.struct(outer, "m")))).scalar()
 
 
+def _type_map(profile: DataFrame) -> Column:
+    """Types with their frequency and the value shares of their fields."""
+    types = profile.where(F.col("section") == "resource_types").select(
+        F.col("key1").alias("type"), F.col("value").alias("frequency"))
+    shaped = profile.where(F.col("section") == "type_shapes").groupBy(
+        F.split("key1", "\\|")[0].alias("part"), F.split("key1", "\\|")[1].alias("type"), F.col("key2").alias("field")
+    ).agg(F.map_from_entries(F.collect_list(F.struct("key3", "value"))).alias("shares"))
+    for part in ("properties", "sku"):
+        fields = shaped.where(F.col("part") == part).groupBy("type").agg(
+            F.map_from_entries(F.collect_list(F.struct("field", "shares"))).alias(part))
+        types = types.join(fields, "type", "left")
+    kinds = shaped.where(F.col("part") == "kind").select("type", F.col("shares").alias("kind"))
+    entry = F.struct(
+        "frequency", F.col("properties").alias("property_distributions"), F.col("sku").alias("sku_distributions"),
+        F.col("kind").alias("kind_distributions"))
+    return types.join(kinds, "type", "left").agg(F.map_from_entries(F.collect_list(F.struct(F.col("type"), entry)))).scalar()
+
+
+def _measured(profile: DataFrame, section: str, measures: list[str]) -> DataFrame:
+    return profile.where(F.col("section") == section).groupBy(F.col("key1").alias("id")).agg(
+        *[F.max(F.when(F.col("key2") == m, F.col("value"))).alias(m) for m in measures])
+
+
+def _archetype_array(profile: DataFrame) -> Column:
+    stats = ("mean", "std", "min", "max")
+    counts = [f"{c}_{m}" for c in ("rg_count", "resource_count") for m in stats]
+    rows = _measured(profile, "archetypes", ["weight", "tag_density_mean", "tag_density_std", *counts])
+    places = profile.where(F.col("section") == "archetype_locations").groupBy(F.col("key1").alias("id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("key2", "value"))).alias("location_distribution"))
+
+    def of(c: str) -> Column:
+        return F.struct(*[F.col(f"{c}_{m}").alias(m) for m in stats])
+
+    entry = F.struct(
+        "id", "weight", of("rg_count").alias("resource_group_count"), of("resource_count").alias("resource_count"),
+        "location_distribution",
+        F.struct(F.col("tag_density_mean").alias("mean"), F.col("tag_density_std").alias("std")).alias("tag_density"))
+    return rows.join(places, "id", "left").agg(F.collect_list(entry)).scalar()
+
+
 def _template_array(profile: DataFrame) -> Column:
-    of = lambda section: profile.where(F.col("section") == section)
-    stats = of("templates").groupBy(F.col("key1").alias("id")).agg(
-        *[F.max(F.when(F.col("key2") == m, F.col("value"))).alias(m) for m in ("weight", "mean", "std", "min", "max", "empty_share")])
-    types = of("template_types").groupBy(F.col("key1").alias("id")).agg(F.sort_array(F.collect_list("key2")).alias("type_set"))
-    weights = of("template_type_weights").groupBy(F.col("key1").alias("id")).agg(
+    stats = _measured(profile, "templates", ["weight", "mean", "std", "min", "max", "empty_share"])
+    types = profile.where(F.col("section") == "template_types").groupBy(F.col("key1").alias("id")).agg(
+        F.sort_array(F.collect_list("key2")).alias("type_set"))
+    weights = profile.where(F.col("section") == "template_type_weights").groupBy(F.col("key1").alias("id")).agg(
         F.map_from_entries(F.collect_list(F.struct("key2", "value"))).alias("type_weights"))
-    rows = stats.join(types, "id", "left").join(weights, "id", "left")
     entry = F.struct(
         "id", "weight", "type_set", F.struct("mean", "std", "min", "max").alias("resource_count"), "type_weights", "empty_share")
-    return rows.agg(F.sort_array(F.collect_list(F.struct("id", F.to_json(entry).alias("json"))))["json"]).scalar()
+    return stats.join(types, "id", "left").join(weights, "id", "left").agg(F.collect_list(entry)).scalar()
+
+
+def _cost_map(profile: DataFrame) -> Column:
+    rows = _measured(profile, "cost_distributions", ["mu", "sigma", "shape", "scale", "sample_count"])
+    family = F.when(F.col("shape").isNotNull(), "gamma").otherwise("lognormal")
+    entry = F.struct(
+        family.alias("distribution"), "mu", "sigma", "shape", "scale", F.col("sample_count").cast("bigint").alias("sample_count"))
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id"), entry)))).scalar()
 
 
 def profile_document(profile: DataFrame, version: str = "1.2") -> DataFrame:
-    """One nested row with the main sections of a profile.
+    """One nested row with every section the document format knows.
 
-    A document is one value, so it is only built below a checked number of entries.
+    A document is one value, so it is only built below a checked number of entries; the
+    long form has no such bound.
     """
     n = profile.count()
     if n > MAX_DOCUMENT_ENTRIES:
         raise TooLarge(f"{n} entries do not fit one document")
     flat = profile.agg(
         _shares("source_stats").alias("source_stats"),
-        _shares("resource_types").alias("types"),
         _shares("tag_key_frequencies").alias("key_frequencies"),
         _shares("tag_value_cardinality").alias("value_cardinality"),
         _shares("untagged_rate_by_type").alias("untagged_rate_by_type"),
         _shares("naming_patterns").alias("pattern_frequencies"),
         _shares("violation_rates").alias("type_frequencies"),
     )
-    template = (
-        "id: string, weight: double, type_set: array<string>, "
-        f"resource_count: {STATS}, type_weights: {SHARES}, empty_share: double")
-    listed = F.concat(F.lit("["), F.array_join(_template_array(profile), ","), F.lit("]"))
-    templates = F.from_json(listed, f"array<struct<{template}>>")
     return flat.select(
         F.lit(version).alias("version"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("extracted_at"),
         F.transform_values("source_stats", lambda _, v: v.cast("bigint")).alias("source_stats"),
-        F.transform_values("types", lambda _, v: F.struct(v.alias("frequency"))).alias("resource_type_distributions"),
-        templates.alias("resource_group_templates"),
+        _type_map(profile).alias("resource_type_distributions"),
+        _template_array(profile).alias("resource_group_templates"),
+        _archetype_array(profile).alias("subscription_archetypes"),
         F.struct(
             "key_frequencies", _nested(profile, "tag_value_distributions").alias("value_distributions"),
             _nested(profile, "tag_key_cooccurrence").alias("key_cooccurrence"),
@@ -110,6 +152,7 @@ def profile_document(profile: DataFrame, version: str = "1.2") -> DataFrame:
             "pattern_frequencies", _nested(profile, "naming_positions").alias("position_token_classes"),
         ).alias("naming_conventions"),
         F.struct("type_frequencies").alias("governance_violations"),
+        _cost_map(profile).alias("cost_distributions"),
     )
 
 
