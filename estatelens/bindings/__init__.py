@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "serving", "audits", "streams", "changes", "whole", "synthetic")
+MODULES = ("profiling", "serving", "audits", "streams", "changes", "whole", "synthetic", "renames")
 
 
 def all_queries():

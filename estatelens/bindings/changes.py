@@ -221,11 +221,10 @@ def chained_batches(spark, folder):
     first = first_batch(spark, folder, "chaos")
     second = drift.apply_changes(
         first.snapshot, first.batch, first.records, SECOND, "temporal", first.batch.agg(F.max("applied_at")).scalar())
-    pair = first.batch.select(F.lit(1).alias("one"), F.col("result_fingerprint").alias("left_at"), F.col("seq").alias("s1")).join(
-        second.batch.select(F.lit(1).alias("one"), "parent_fingerprint", "result_fingerprint", F.col("seq").alias("s2")), "one")
-    return pair.select(
-        F.lit(2).cast("long").alias("batches"), (F.col("left_at") == F.col("parent_fingerprint")).alias("chained"),
-        (F.col("parent_fingerprint") != F.col("result_fingerprint")).alias("changed"), F.col("s2").cast("long").alias("last_seq"))
+    left_at = first.batch.select("result_fingerprint").scalar()
+    return second.batch.select(
+        F.lit(2).cast("long").alias("batches"), (left_at == F.col("parent_fingerprint")).alias("chained"),
+        (F.col("parent_fingerprint") != F.col("result_fingerprint")).alias("changed"), F.col("seq").cast("long").alias("last_seq"))
 
 
 ORIGINAL = (

@@ -149,6 +149,10 @@ def resource_path(
     split = type_segments(type_name)
     segments = split["segments"]
     own = col(name).cast("string")
+    # Most types have one segment; theirs is a plain concatenation.
+    single = F.concat_ws(
+        "/", group_path(owner, group), F.lit("providers"), canonical_namespace(type_name), own
+    )
     levels = F.greatest(F.size(segments), F.lit(1))
     given = F.lit(None).cast("array<string>")
     if parents is not None:
@@ -160,9 +164,10 @@ def resource_path(
     )
     typed = F.when(F.size(segments) > 0, segments).otherwise(F.array(F.lit("")))
     tail = F.array_join(F.zip_with(typed, names, lambda s, n: F.concat_ws("/", s, n)), "/")
-    return F.concat_ws(
+    nested = F.concat_ws(
         "/", group_path(owner, group), F.lit("providers"), split["namespace"], tail
     )
+    return F.when(col(type_name).rlike("^[^/]+/[^/]+$"), single).otherwise(nested)
 
 
 def ancestor_paths(path: ColumnOrName) -> Column:

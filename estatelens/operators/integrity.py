@@ -68,7 +68,7 @@ def removable(rows: DataFrame, references: list[DataFrame], key: str = "id") ->
     Each id's ancestor paths are written out once and matched by equality, so finding
     parents needs no prefix comparison between rows.
     """
-    parents = rows.select(F.explode(ancestor_paths(key)).alias(key)).distinct()
+    parents = rows.select(F.explode(ancestor_paths(key)).alias(key))
     named = reduce(
         DataFrame.union, [r.select(F.col(r.columns[0]).alias(key)) for r in references], parents
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,15 +23,15 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def with_group_total(df: DataFrame, value: str, total: str, by: list[str]) -> DataFrame:
-    """Add the sum of ``value`` per group.
+    """Add the sum of ``value`` per group of a counted frame.
 
-    The totals are aggregated and joined back rather than computed over a window, so a
-    group with very many rows is never gathered in one task.
+    The frame holds one row per label, so a group is as long as its vocabulary however
+    many rows stand behind it. Without groups the total comes from a subquery, so the
+    frame is not gathered in one task.
     """
     if not by:
         return df.withColumn(total, scalar(df.agg(F.sum(value))))
-    totals = df.groupBy(*by).agg(F.sum(value).alias(total))
-    return join_same(df, totals, by)
+    return df.withColumn(total, F.sum(value).over(Window.partitionBy(*by)))
 
 
 def join_salted(

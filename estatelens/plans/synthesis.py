@@ -28,6 +28,7 @@ from estatelens.operators.ranking import keyed_rank
 from estatelens.session import settle
 
 OWNER = "subscription_id"
+MAX_TAG_KEYS = 20_000
 
 
 @dataclass(frozen=True)
@@ -279,8 +280,12 @@ def shape_properties(rows: DataFrame) -> DataFrame:
 def draw_tags(rows: DataFrame, profile: DataFrame, seed: int) -> DataFrame:
     """Keys by frequency, capped by the owner's tag density, values by histogram.
 
-    A key without publishable values gets one of five synthetic ones.
+    A key without publishable values gets one of five synthetic ones. Every row looks at
+    every key, so the key list travels to all tasks and its length is checked.
     """
+    n_keys = _section(profile, "tag_key_frequencies").limit(MAX_TAG_KEYS + 1).count()
+    if n_keys > MAX_TAG_KEYS:
+        raise ValueError(f"more than {MAX_TAG_KEYS} tag keys; profile with an allow-list of keys")
     frequencies = _section(profile, "tag_key_frequencies").select(F.col("key1").alias("key"), F.col("value").alias("share"))
     listed = _section(profile, "tag_value_distributions").select(
         F.col("key1").alias("key"), F.col("key2").alias("label"), F.col("value").alias("weight"))
