@@ -184,7 +184,8 @@ def sample_changes(
     counted = hits.groupBy("drift_code").agg(F.count(F.lit(1)).alias("eligible"))
     quota, target = planned_count(intensity, F.col("eligible"))
     plan = counted.withColumn("target", target).withColumn("quota", quota)
-    return sample_exactly(hits, plan, ["drift_code"], [key], seed, "drift"), plan
+    # One row per code of the registry.
+    return sample_exactly(hits, F.broadcast(plan), ["drift_code"], [key], seed, "drift"), plan
 
 
 def _delta(change: Change, position: int, before: Column, after: Column) -> Column:

@@ -9,6 +9,9 @@ texts and terms meet by an equality join on one token per term, the rarest one i
 texts. Terms of one single token need nothing further; the others are verified in the
 candidate texts. Terms without any identifier character meet texts through the short
 separator runs. The term list is a frame of any size; nothing is compiled from it.
+
+A list that is counted and found short travels to the texts, and no text or token is
+shuffled; a long one is met by shuffling the tokens, hot ones spread by a salt.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ from pyspark.sql import functions as F
 from estatelens.catalogues import words
 from estatelens.functions.jsonmaps import json_map
 from estatelens.functions.text import is_identifier_term, is_listed
+from estatelens.session import settle
 from .joins import join_salted
 
 IDENT = "[\\p{L}\\p{N}_]"
 IDENT_RUN = IDENT + "+"
 OTHER_RUN = "[^\\p{L}\\p{N}_]+"
 EDGE = "\u0000"
+SHORT_LIST = 100_000
 
 
 def _runs(text: Column, pattern: str) -> Column:
@@ -49,14 +54,24 @@ def _terms(terms: DataFrame, term: str) -> DataFrame:
 
 def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
     """Distinct (key, term) of every leaked term."""
-    wanted = _terms(terms, term).withColumn("parts", F.array_distinct(_runs(F.col("term"), IDENT_RUN)))
+    # Read several times below, and its size decides how texts and terms meet.
+    wanted = settle(
+        _terms(terms, term).withColumn("parts", F.array_distinct(_runs(F.col("term"), IDENT_RUN)))
+    )
+    short = wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST
     worded = wanted.where(F.size("parts") > 0)
-    # Only texts without NULLs, and per text each token once.
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    tokens = rows.select("key", F.explode(F.array_distinct(_runs(F.col("text"), IDENT_RUN))).alias("token"))
+    found = F.explode(F.array_distinct(_runs(F.col("text"), IDENT_RUN))).alias("token")
+    tokens = rows.select("key", found)
 
     exploded = worded.select("term", F.explode("parts").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    # How many texts hold each token that some term has.
+    asked = exploded.select("token").distinct()
+    spread = (
+        tokens.join(F.broadcast(asked) if short else asked, "token", "left_semi")
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("texts"))
+    )
     # The rarest token of a term decides in which texts it can stand; a token that is in
     # no text rules the term out.
     anchored = (
@@ -69,10 +84,15 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
         .where(F.col("texts") > 0)
         .select("term", "token")
     )
-    met = join_salted(tokens, anchored, "token", ["key"])
-    single = met.where(F.col("term") == F.col("token")).select("key", "term")
-    longer = met.where(F.col("term") != F.col("token")).select("key", "term")
-    verified = longer.join(rows, "key").where(_stands_in(F.col("text"), F.col("term"))).select("key", "term")
+    alone = F.col("term") == F.col("token")
+    if short:
+        met = rows.select("key", "text", found).join(F.broadcast(anchored), "token")
+        worded_hits = met.where(alone | _stands_in(F.col("text"), F.col("term"))).select("key", "term")
+    else:
+        met = join_salted(tokens, anchored, "token", ["key"])
+        longer = met.where(~alone).select("key", "term").join(rows, "key")
+        worded_hits = met.where(alone).select("key", "term").unionByName(
+            longer.where(_stands_in(F.col("text"), F.col("term"))).select("key", "term"))
 
     bare = wanted.where(F.size("parts") == 0).select("term")
     longest = bare.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).scalar()
@@ -93,8 +113,8 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
         .select("key", F.substring(F.col("gap"), F.col("start"), F.col("size")).alias("term"))
         .distinct()
     )
-    separators = pieces.join(bare, "term").select("key", "term")
-    return single.unionByName(verified).unionByName(separators).distinct()
+    separators = pieces.join(F.broadcast(bare) if short else bare, "term").select("key", "term")
+    return worded_hits.unionByName(separators).distinct()
 
 
 def leaks(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:

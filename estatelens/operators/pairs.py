@@ -56,7 +56,7 @@ def pair_counts(
         members = members.join(frequent, "item", "left_semi")
     sets = (
         members.groupBy(*group_cols)
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
         .where(F.size("items") > 1)
         .groupBy("items")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_same
-
 STEPS_PER_OCTAVE = 64
 
 
@@ -60,8 +58,10 @@ def order_statistics(
             wanted, lambda w: (w["rank"] > low) & (w["rank"] <= F.col("__hi"))
         ).alias("__wanted"),
     ).where(F.size("__wanted") > 0)
-    fine = join_same(counted, targets, [*groups, "__b"])
-    climbing = Window.partitionBy(*groups, "__b").orderBy("__v").rowsBetween(
+    # One struct key, which compares NULLs as equal, serves the join and the window.
+    key = F.struct(*groups, "__b").alias("__key")
+    fine = counted.select("*", key).join(targets.select(key, "n", "__low", "__wanted"), "__key")
+    climbing = Window.partitionBy("__key").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     fine = fine.withColumn("__cum", F.col("__low") + F.sum("__k").over(climbing))

@@ -28,26 +28,37 @@ def split_top(df: DataFrame, n: int, order: list[Column], key: str) -> tuple[Dat
     return top, rest
 
 
-def rank_in_buckets(
-    df: DataFrame, groups: list[str], bucket: str, order: list[Column], rank: str = "rank"
-) -> DataFrame:
-    """Exact 1-based rank within each group, where ``bucket`` rises with ``order``.
+def _with_offsets(df: DataFrame, groups: list[str], bucket: str) -> DataFrame:
+    """Add to each row how many rows of its group lie in earlier buckets.
 
-    Bucket sizes are counted first and turned into offsets, so the window sorts one
-    bucket at a time: a hot group is shared by as many tasks as it has buckets.
+    Group and bucket are one struct key, which compares NULLs as equal; joining and
+    ranking on the same key need one shuffle between them.
     """
+    keyed = df.withColumn("__key", F.struct(*groups, bucket))
     sizes = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("__size"))
     below = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = sizes.select(
-        *groups, bucket, (F.sum("__size").over(below) - F.col("__size")).alias("__offset")
+        F.struct(*groups, bucket).alias("__key"),
+        (F.sum("__size").over(below) - F.col("__size")).alias("__offset"),
     )
-    within = Window.partitionBy(*groups, bucket).orderBy(*order)
+    return keyed.join(offsets, "__key")
+
+
+def rank_in_buckets(
+    df: DataFrame, groups: list[str], bucket: str, order: list[Column], rank: str = "rank"
+) -> DataFrame:
+    """Exact 1-based rank within each group, where ``bucket`` rises with ``order``.
+
+    Bucket sizes are counted first and turned into offsets, so the window sorts one
+    bucket at a time: a hot group is shared by as many tasks as it has buckets.
+    """
+    within = Window.partitionBy("__key").orderBy(*order)
     return (
-        join_same(df, offsets, [*groups, bucket])
+        _with_offsets(df, groups, bucket)
         .withColumn(rank, F.col("__offset") + F.row_number().over(within))
-        .drop("__offset")
+        .drop("__offset", "__key")
     )
 
 
@@ -69,21 +80,14 @@ def keyed_rank(
     hashed = df.withColumn("__order", F.shiftrightunsigned(h, 1)).withColumn(
         "__bucket", F.shiftrightunsigned(h, 64 - HASH_BUCKET_BITS).cast("int")
     )
-    sizes = hashed.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    below = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    offsets = sizes.select(
-        *groups, "__bucket", (F.sum("__size").over(below) - F.col("__size")).alias("__offset")
-    )
-    placed = join_same(hashed, offsets, [*groups, "__bucket"])
+    placed = _with_offsets(hashed, groups, "__bucket")
     if at_most is not None:
         placed = placed.where(F.col("__offset") < at_most)
-    within = Window.partitionBy(*groups, "__bucket").orderBy("__order", *key)
+    within = Window.partitionBy("__key").orderBy("__order", *key)
     ranked = placed.withColumn(rank, F.col("__offset") + F.row_number().over(within))
     if at_most is not None:
         ranked = ranked.where(F.col(rank) <= at_most)
-    return ranked.drop("__order", "__bucket", "__offset")
+    return ranked.drop("__order", "__bucket", "__offset", "__key")
 
 
 def sample_exactly(
@@ -92,7 +96,8 @@ def sample_exactly(
 ) -> DataFrame:
     """Exactly ``quota`` rows of each group, chosen by seed and key alone.
 
-    ``quotas`` has one row per group with a ``quota`` column.
+    ``quotas`` has one row per group with a ``quota`` column. Where the groups are few,
+    hand it over marked for broadcast, so that no row moves to meet its quota.
     """
     wanted = join_same(df, quotas.select(*groups, "quota"), groups)
     return keyed_rank(wanted, groups, key, seed, purpose, "rank", F.col("quota")).drop(

@@ -57,3 +57,12 @@ def test_a_leak_is_reported_by_length_only(spark):
 def test_a_hot_token_gives_every_hit(spark):
     texts = [f"the cat {i}" for i in range(500)] + ["another"]
     assert len(run(spark, texts, ["the", "the cat", "cat 7", "missing one"])) == 1001
+
+
+def test_long_lists_give_the_same_hits(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab_/-. 1") for _ in range(rng.randrange(25))) for _ in range(800)]
+    terms = {"".join(rng.choice("ab_/-. 1") for _ in range(1 + rng.randrange(6))) for _ in range(80)}
+    short = run(spark, texts, terms)
+    monkeypatch.setattr(leaks, "SHORT_LIST", 0)
+    assert run(spark, texts, terms) == short
