@@ -59,9 +59,9 @@ def order_statistics(
         ).alias("__wanted"),
     ).where(F.size("__wanted") > 0)
     # One struct key, which compares NULLs as equal, serves the join and the window.
-    key = F.struct(*groups, "__b").alias("__key")
-    fine = counted.select("*", key).join(targets.select(key, "n", "__low", "__wanted"), "__key")
-    climbing = Window.partitionBy("__key").orderBy("__v").rowsBetween(
+    key = F.struct(*groups, "__b").alias("__spot")
+    fine = counted.select("*", key).join(targets.select(key, "n", "__low", "__wanted"), "__spot")
+    climbing = Window.partitionBy("__spot").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     fine = fine.withColumn("__cum", F.col("__low") + F.sum("__k").over(climbing))

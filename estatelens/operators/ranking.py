@@ -34,16 +34,16 @@ def _with_offsets(df: DataFrame, groups: list[str], bucket: str) -> DataFrame:
     Group and bucket are one struct key, which compares NULLs as equal; joining and
     ranking on the same key need one shuffle between them.
     """
-    keyed = df.withColumn("__key", F.struct(*groups, bucket))
+    keyed = df.withColumn("__place", F.struct(*groups, bucket))
     sizes = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("__size"))
     below = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = sizes.select(
-        F.struct(*groups, bucket).alias("__key"),
+        F.struct(*groups, bucket).alias("__place"),
         (F.sum("__size").over(below) - F.col("__size")).alias("__offset"),
     )
-    return keyed.join(offsets, "__key")
+    return keyed.join(offsets, "__place")
 
 
 def rank_in_buckets(
@@ -54,11 +54,11 @@ def rank_in_buckets(
     Bucket sizes are counted first and turned into offsets, so the window sorts one
     bucket at a time: a hot group is shared by as many tasks as it has buckets.
     """
-    within = Window.partitionBy("__key").orderBy(*order)
+    within = Window.partitionBy("__place").orderBy(*order)
     return (
         _with_offsets(df, groups, bucket)
         .withColumn(rank, F.col("__offset") + F.row_number().over(within))
-        .drop("__offset", "__key")
+        .drop("__offset", "__place")
     )
 
 
@@ -83,11 +83,11 @@ def keyed_rank(
     placed = _with_offsets(hashed, groups, "__bucket")
     if at_most is not None:
         placed = placed.where(F.col("__offset") < at_most)
-    within = Window.partitionBy("__key").orderBy("__order", *key)
+    within = Window.partitionBy("__place").orderBy("__order", *key)
     ranked = placed.withColumn(rank, F.col("__offset") + F.row_number().over(within))
     if at_most is not None:
         ranked = ranked.where(F.col(rank) <= at_most)
-    return ranked.drop("__order", "__bucket", "__offset", "__key")
+    return ranked.drop("__order", "__bucket", "__offset", "__place")
 
 
 def sample_exactly(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from estatelens.catalogues import types as catalogue
 from estatelens.catalogues import words
+from estatelens.functions.jsonmaps import json_map
 from estatelens.functions.text import canonical_namespace
-from .histogram import check_floor, fold_other, json_histogram, shares
+from .histogram import check_floor, fold_other, shares, value_counts
 from .ranking import top_n
 
 
@@ -38,16 +39,28 @@ def type_shapes(
     rows = resources.withColumn("type", canonical_namespace("type")).join(
         F.broadcast(leading), "type", "left_semi"
     )
-    parts = [
-        json_histogram(rows, "properties", ["type"], _allowed("type", property_fields))
-        .withColumn("part", F.lit("properties")),
-        json_histogram(rows, "sku", ["type"], F.col("field").isin(*sku_fields))
-        .withColumn("part", F.lit("sku")),
-        rows.where(F.col("kind").isNotNull())
-        .groupBy("type", F.lit("kind").alias("field"), F.col("kind").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("part", F.lit("kind")),
-    ]
-    counted = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kind = F.array(F.struct(F.lit("kind").alias("key"), F.col("kind").alias("value")))
+    labelled = F.concat(
+        _part("properties", F.map_entries(json_map("properties"))),
+        _part("sku", F.map_entries(json_map("sku"))),
+        _part("kind", F.when(F.col("kind").isNotNull(), kind)),
+    )
+    part = F.col("part")
+    listed = (
+        ((part == "properties") & _allowed("type", property_fields))
+        | ((part == "sku") & F.col("field").isin(*sku_fields))
+        | ((part == "kind") & F.col("field").isin(*catalogue.KIND_FIELDS))
+    )
     by = ["part", "type", "field"]
+    counted = value_counts(rows.select("type", F.inline(labelled)).where(listed), *by, "value")
     return shares(fold_other(counted, "value", min_size, by, null_label=words.NULL_LABEL), by)
+
+
+def _part(name: str, entries: Column) -> Column:
+    """Entries of one object as (part, field, value); none for a missing object."""
+    shape = "array<struct<part: string, field: string, value: string>>"
+    named = F.transform(
+        entries,
+        lambda e: F.struct(F.lit(name).alias("part"), e["key"].alias("field"), e["value"].alias("value")),
+    )
+    return F.coalesce(named.cast(shape), F.array().cast(shape))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estatelens.catalogues import words
 from estatelens.functions.text import canonical_namespace, is_identifier_key
+from estatelens.session import settle
 from .histogram import check_floor, shares
 from .joins import scalar
 from .ranking import split_top
@@ -87,7 +88,8 @@ def templates(
     type and reach the floor stand alone, everything else goes into one folded template.
     """
     check_floor(min_size)
-    comps = _compositions(sets)
+    # One row per distinct composition, read four times below.
+    comps = settle(_compositions(sets))
     total = scalar(comps.agg(F.sum("n")))
     leading, behind = split_top(comps, top, [F.desc("n"), F.asc("comp")], "comp")
     stands = (F.col("n") >= min_size) & (F.size("comp") > 0)

@@ -103,6 +103,8 @@ def build_profile(
     frequencies = histogram.type_frequencies(histogram.value_counts(rows, "type"), min_size)
     shaped = shapes.type_shapes(rows, frequencies, min_size, property_fields)
     values = tags.tag_value_counts(rows)
+    # A row carries a key once, so its values' counts add up to the key's.
+    keys = values.groupBy("key").agg(F.sum("n").alias("n"))
     sets = templates.group_type_sets(rows, scan["resource_groups"])
     standing, mass = templates.templates(sets, min_size)
     patterns, positions = names.name_patterns(rows, "name", min_size)
@@ -114,7 +116,7 @@ def build_profile(
         counted("resources", "total_resources"),
         _entries(frequencies, "resource_types", "share", "type"),
         _entries(shaped, "type_shapes", "share", F.concat_ws("|", "part", "type"), "field", "value"),
-        _entries(tags.key_frequencies(histogram.key_counts(rows, "tags"), total), "tag_key_frequencies", "share", "key"),
+        _entries(tags.key_frequencies(keys, total), "tag_key_frequencies", "share", "key"),
         _entries(tags.value_shares(values, min_size), "tag_value_distributions", "share", "key", "value"),
         _entries(pairs.key_cooccurrence(pairs.key_pair_counts(rows, "tags"), min_size), "tag_key_cooccurrence", "share", "source", "target"),
         _entries(tags.value_cardinality(values, min_size), "tag_value_cardinality", "cardinality", "key"),

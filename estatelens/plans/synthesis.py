@@ -153,8 +153,8 @@ def resize(rows: DataFrame, groups: DataFrame, profile: DataFrame, target: int,
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     excess, deficit = sampling.resize_plan(total, target)
     if excess:
-        keyed = rows.withColumn("__key", F.concat_ws("/", OWNER, "nth", "place"))
-        return sampling.trim(keyed, [OWNER, "nth"], "__key", excess, seed).drop("__key")
+        keyed = rows.withColumn("__drawn_key", F.concat_ws("/", OWNER, "nth", "place"))
+        return sampling.trim(keyed, [OWNER, "nth"], "__drawn_key", excess, seed).drop("__drawn_key")
     if deficit and total:
         quotas = sampling.pad_quotas(sizes, [OWNER, "nth"], deficit, seed)
         padded = groups.join(quotas, [OWNER, "nth"])

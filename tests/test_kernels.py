@@ -221,3 +221,11 @@ def test_nothing_is_drawn_twice_for_one_key(spark):
     df = spark.range(1000).select(keyed.keyed_uuid(1, "u", "id").alias("u"))
     assert df.distinct().count() == 1000
     assert df.where(~F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).isEmpty()
+
+
+def test_resizing_reaches_the_band_both_ways(spark):
+    assert sampling.resize_plan(1000, 1000) == sampling.resize_plan(1049, 1000) == sampling.resize_plan(1000, 0) == (0, 0)
+    assert sampling.resize_plan(2000, 1000) == (960, 0)
+    assert sampling.resize_plan(500, 1000) == (0, 460)
+    rows = spark.range(300).withColumn("g", F.col("id") % 7).withColumn("__key", F.col("id"))
+    assert sampling.trim(rows, ["g"], "__key", 100, 1).count() == 200

@@ -231,3 +231,15 @@ def test_defects_can_be_found_again(spark, built):
     served = changed.withColumn("properties", synthesis.json_object(F.col("props")))
     found = {(r.id, r.code) for r in governance.evaluate(served).collect()}
     assert found == {(r.resource_id, r.violation_type) for r in violations.collect()} and len(found) > 500
+
+
+@pytest.mark.parametrize("target", [150, 1500])
+def test_synthetic_rows_are_trimmed_or_padded(spark, built, target):
+    frame, _, _ = built
+    owners = synthesis.settle(synthesis.make_owners(spark, frame, 20, 4))
+    groups = synthesis.settle(synthesis.name_groups(synthesis.make_groups(owners, frame, 4)))
+    drawn = synthesis.draw_rows(groups, frame, 4)
+    before = drawn.count()
+    resized = synthesis.resize(drawn, groups, frame, target, 4)
+    assert abs(resized.count() - target) <= 0.05 * target < abs(before - target)
+    assert resized.groupBy("subscription_id", "nth", "place").count().where("count > 1").isEmpty()
