@@ -192,9 +192,15 @@ broken AS (SELECT id, unnest(codes) AS code FROM (SELECT o_orderkey AS id, list_
 SEVERITY = "CASE WHEN code IN ('STORAGE_NO_ENCRYPTION', 'STORAGE_PUBLIC_ACCESS', 'NSG_OPEN_SSH', 'NSG_OPEN_RDP', 'NSG_OPEN_ALL', 'SQL_NO_TDE') THEN 'High' WHEN code LIKE 'TAG%' OR code = 'VM_NO_BACKUP' THEN 'Low' ELSE 'Medium' END"
 
 
-@query("broken_rules", with_views(BROKEN) + f"SELECT id, code, {SEVERITY} AS severity FROM broken")
+@query(
+    "broken_rules",
+    with_views(BROKEN)
+    + f"SELECT id, code, {SEVERITY} AS severity, CASE WHEN code LIKE 'NSG%' THEN '{{\"path\":\"properties.securityRules\"}}' "
+    "WHEN code = 'TAG_MISSING_ENV' THEN '{\"path\":\"tags.environment\"}' ELSE '' END AS detail FROM broken",
+)
 def broken_rules(spark, folder):
-    return governance.evaluate(governed_rows(spark, folder))
+    shown = F.col("code").startswith("NSG") | (F.col("code") == "TAG_MISSING_ENV")
+    return governance.evaluate(governed_rows(spark, folder)).withColumn("detail", F.when(shown, F.col("detail")).otherwise(""))
 
 
 @query(

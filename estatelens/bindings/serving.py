@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import periods, text
 from estatelens.functions.jsonmaps import json_map
 from estatelens.operators import (
-    costs, dimensions, governance, integrity, paging, predicates, serving,
+    costs, dimensions, governance, integrity, listing, paging, predicates, serving,
 )
 from estatelens.operators.histogram import value_counts
 from . import tables as b
@@ -279,6 +279,48 @@ def assignment_listing(spark, folder):
     return predicates.assignment_rows(assignment_rows(spark, folder))
 
 
+@query(
+    "owner_listing",
+    "SELECT '/subscriptions/' || c_custkey AS id, CAST(c_custkey AS VARCHAR) AS subscription_id, c_name AS display_name, "
+    "CASE WHEN c_acctbal < 0 THEN 'Disabled' ELSE 'Enabled' END AS state, 'tenant-' || c_nationkey AS tenant_id, "
+    "'RoleBased' AS authorization_source, 'Off' AS spending_limit FROM customer",
+)
+def owner_listing(spark, folder):
+    owners = b.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("subscription_id"), F.col("c_name").alias("display_name"),
+        F.when(F.col("c_acctbal") < 0, "Disabled").otherwise("Enabled").alias("state"),
+        F.concat(F.lit("tenant-"), "c_nationkey").alias("tenant_id"), F.lit("RoleBased").alias("authorization_source"),
+        F.lit("Off").alias("spending_limit"))
+    return listing.owner_rows(owners)
+
+
+@query(
+    "group_listing",
+    "SELECT DISTINCT '/subscriptions/' || o_custkey || '/resourceGroups/' || o_orderpriority AS id, o_orderpriority AS name, "
+    "'Microsoft.Resources/resourceGroups' AS type, 'eastus' AS location, '{}' AS tags, '{\"provisioningState\":\"Succeeded\"}' AS properties FROM orders",
+)
+def group_listing(spark, folder):
+    groups = b.estate_groups(spark, folder).withColumns({
+        "location": F.lit("eastus"), "tags": F.lit("{}"), "provisioning_state": F.lit("Succeeded")})
+    return listing.group_rows(groups)
+
+
+@query(
+    "resource_listing",
+    with_views(b.BILLED)
+    + "SELECT resource_id AS id, p_name AS name, CASE lower(type) WHEN 'microsoft.compute/disks' THEN 'Microsoft.Compute/disks' ELSE type END AS type, "
+    "'eastus' AS location, '{}' AS tags, '(none)' AS sku, '(none)' AS kind, CASE p_size % 3 WHEN 0 THEN '{\"a\":1}' ELSE '{}' END AS properties "
+    "FROM billed JOIN part ON p_partkey = resource_id",
+)
+def resource_listing(spark, folder):
+    sizes = b.table(spark, folder, "part").select(F.col("p_partkey").alias("resource_id"), "p_name", "p_size")
+    rows = b.billed_parts(spark, folder).drop("tags").join(sizes, "resource_id").select(
+        F.col("resource_id").alias("id"), F.col("p_name").alias("name"), "type", F.lit("eastus").alias("location"),
+        F.lit("{}").alias("tags"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("kind"),
+        F.when(F.col("p_size") % 3 == 0, '{"a":1}').when(F.col("p_size") % 3 == 1, "null").alias("properties"))
+    return listing.resource_rows(rows).na.fill("(none)", ["sku", "kind"])
+
+
 @query(
     "over_privileged",
     with_views(ASSIGNED)

@@ -24,7 +24,7 @@ class Rule:
     expected_rate: float
     severity: str
     broken: Callable[[], Column]
-    detail: str = ""
+    looks_at: str
 
 
 def check_rules(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
@@ -73,23 +73,23 @@ def _open_port(port: str) -> Callable[[], Column]:
 # --- fixed values: must equal the reference's for right results ---------------------
 RULES = check_rules((
     Rule("STORAGE_NO_ENCRYPTION", t.STORAGE, 0.08, "High",
-         _equals("encryption.services.blob.enabled", "false")),
-    Rule("STORAGE_PUBLIC_ACCESS", t.STORAGE, 0.05, "High", _equals("allowBlobPublicAccess", "true")),
-    Rule("STORAGE_HTTP_ALLOWED", t.STORAGE, 0.03, "Medium", _equals("supportsHttpsTrafficOnly", "false")),
-    Rule("STORAGE_OLD_TLS", t.STORAGE, 0.04, "Medium", _equals("minimumTlsVersion", "TLS1_0")),
-    Rule("NSG_OPEN_SSH", t.NSG, 0.06, "High", _open_port("22")),
-    Rule("NSG_OPEN_RDP", t.NSG, 0.04, "High", _open_port("3389")),
-    Rule("NSG_OPEN_ALL", t.NSG, 0.02, "High", _open_port("*")),
-    Rule("KV_NO_SOFT_DELETE", t.KEY_VAULT, 0.07, "Medium", _equals("enableSoftDelete", "false")),
-    Rule("KV_NO_PURGE_PROTECT", t.KEY_VAULT, 0.10, "Medium", _equals("enablePurgeProtection", "false")),
-    Rule("VM_NO_BACKUP", t.VM, 0.15, "Low", _equals("_noRecoveryServicesLink", "true")),
-    Rule("TAG_MISSING_ENV", ANY_TYPE, 0.12, "Low", _no_tag("environment")),
-    Rule("TAG_MISSING_OWNER", ANY_TYPE, 0.18, "Low", _no_tag("owner")),
-    Rule("TAG_MISSING_COSTCENTER", ANY_TYPE, 0.15, "Low", _no_tag("costCenter")),
-    Rule("SQL_NO_AUDIT", t.SQL_SERVER, 0.10, "Medium", _equals("auditingSettings.state", "Disabled")),
-    Rule("SQL_NO_TDE", t.SQL_DATABASE, 0.05, "High", _equals("transparentDataEncryption", "Disabled")),
-    Rule("AKS_RBAC_DISABLED", t.AKS, 0.08, "Medium", _equals("enableRBAC", "false")),
-    Rule("DISK_UNENCRYPTED", t.DISK, 0.06, "High", _equals("encryption.enabled", "false")),
+         _equals("encryption.services.blob.enabled", "false"), "properties.encryption.services.blob.enabled"),
+    Rule("STORAGE_PUBLIC_ACCESS", t.STORAGE, 0.05, "High", _equals("allowBlobPublicAccess", "true"), "properties.allowBlobPublicAccess"),
+    Rule("STORAGE_HTTP_ALLOWED", t.STORAGE, 0.03, "Medium", _equals("supportsHttpsTrafficOnly", "false"), "properties.supportsHttpsTrafficOnly"),
+    Rule("STORAGE_OLD_TLS", t.STORAGE, 0.04, "Medium", _equals("minimumTlsVersion", "TLS1_0"), "properties.minimumTlsVersion"),
+    Rule("NSG_OPEN_SSH", t.NSG, 0.06, "High", _open_port("22"), "properties.securityRules"),
+    Rule("NSG_OPEN_RDP", t.NSG, 0.04, "High", _open_port("3389"), "properties.securityRules"),
+    Rule("NSG_OPEN_ALL", t.NSG, 0.02, "High", _open_port("*"), "properties.securityRules"),
+    Rule("KV_NO_SOFT_DELETE", t.KEY_VAULT, 0.07, "Medium", _equals("enableSoftDelete", "false"), "properties.enableSoftDelete"),
+    Rule("KV_NO_PURGE_PROTECT", t.KEY_VAULT, 0.10, "Medium", _equals("enablePurgeProtection", "false"), "properties.enablePurgeProtection"),
+    Rule("VM_NO_BACKUP", t.VM, 0.15, "Low", _equals("_noRecoveryServicesLink", "true"), "properties._noRecoveryServicesLink"),
+    Rule("TAG_MISSING_ENV", ANY_TYPE, 0.12, "Low", _no_tag("environment"), "tags.environment"),
+    Rule("TAG_MISSING_OWNER", ANY_TYPE, 0.18, "Low", _no_tag("owner"), "tags.owner"),
+    Rule("TAG_MISSING_COSTCENTER", ANY_TYPE, 0.15, "Low", _no_tag("costCenter"), "tags.costCenter"),
+    Rule("SQL_NO_AUDIT", t.SQL_SERVER, 0.10, "Medium", _equals("auditingSettings.state", "Disabled"), "properties.auditingSettings.state"),
+    Rule("SQL_NO_TDE", t.SQL_DATABASE, 0.05, "High", _equals("transparentDataEncryption", "Disabled"), "properties.transparentDataEncryption"),
+    Rule("AKS_RBAC_DISABLED", t.AKS, 0.08, "Medium", _equals("enableRBAC", "false"), "properties.enableRBAC"),
+    Rule("DISK_UNENCRYPTED", t.DISK, 0.06, "High", _equals("encryption.enabled", "false"), "properties.encryption.enabled"),
 ))
 VM_PUBLIC_IP = ("VM_PUBLIC_IP", 0.08, "Medium")
 CODES = tuple(r.code for r in RULES) + (VM_PUBLIC_IP[0],)
@@ -100,11 +100,17 @@ def _eligible(rule: Rule) -> Column:
 
 
 def evaluate(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, code, severity) of every broken rule, all rules in one scan."""
+    """(id, code, severity, detail) of every broken rule, all rules in one scan.
+
+    The detail names the field the rule looks at.
+    """
     hits = F.array(*[
         F.when(
             _eligible(r) & r.broken(),
-            F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity")),
+            F.struct(
+                F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"),
+                F.to_json(F.struct(F.lit(r.looks_at).alias("path"))).alias("detail"),
+            ),
         )
         for r in rules
     ])

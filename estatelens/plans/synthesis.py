@@ -23,7 +23,7 @@ from estatelens.functions.periods import DEFAULT_PERIODS, day_periods, month_per
 from estatelens.functions.text import canonical_namespace, group_path, resource_path, typed_value
 from estatelens.operators import governance, renaming, sampling, wiring
 from estatelens.operators.coherence import match_archetype
-from estatelens.operators.joins import beside
+from estatelens.operators.joins import beside, small
 from estatelens.operators.ranking import keyed_rank
 from estatelens.session import settle
 
@@ -67,8 +67,7 @@ def make_owners(spark: SparkSession, profile: DataFrame, n: int, seed: int) -> D
     kinds = _stats(profile, "archetypes", "archetype", measures)
     base = spark.range(n).withColumn(OWNER, keyed_uuid(seed, "owner", "id"))
     chosen = sampling.choose(base, kinds, [], uniform(seed, "archetype", "id"), "archetype", "archetype", "weight")
-    # As many archetypes as clusters.
-    detailed = chosen.join(F.broadcast(kinds.drop("weight")), "archetype", "left")
+    detailed = chosen.join(small(kinds.drop("weight")), "archetype", "left")
     count = normal_count(
         F.coalesce("rg_count_mean", F.lit(1.0)), F.coalesce("rg_count_std", F.lit(0.0)), normal(seed, "groups", "id"),
         F.coalesce("rg_count_min", F.lit(1.0)), F.coalesce("rg_count_max", F.lit(1.0)))
@@ -97,9 +96,8 @@ def make_groups(owners: DataFrame, profile: DataFrame, seed: int) -> DataFrame:
     rows = sampling.choose(rows, places, ["archetype"], uniform(seed, "location", *key), "location", keep_other=True)
     drawn = F.when(F.col("location") == words.OTHER, words.DEFAULT_REGION).otherwise(F.col("location"))
     rows = rows.withColumn("location", F.coalesce(drawn, F.lit(words.DEFAULT_REGION)))
-    # About thirty templates.
-    rows = rows.join(F.broadcast(stats.drop("weight")), "template", "left").join(
-        F.broadcast(template_labels(profile)), "template", "left")
+    rows = rows.join(small(stats.drop("weight")), "template", "left").join(
+        small(template_labels(profile)), "template", "left")
     size = F.greatest(F.lit(1), skewed_count(
         F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(0.0)), normal(seed, "size", *key),
         F.coalesce("min", F.lit(0.0)), F.coalesce("max", F.lit(0.0))))
@@ -211,9 +209,7 @@ def _drawn_fields(seed: int, purpose: str) -> Column:
 
 
 def draw_fields(rows: DataFrame, profile: DataFrame, part: str, out: str, seed: int) -> DataFrame:
-    # One row per frequent type: fifteen at most.
-    table = F.broadcast(_field_table(profile, part))
-    return rows.join(table, "type", "left").withColumn(out, _drawn_fields(seed, part)).drop("fields")
+    return rows.join(small(_field_table(profile, part), 1000), "type", "left").withColumn(out, _drawn_fields(seed, part)).drop("fields")
 
 
 # --- fixed values: must equal the reference's for right results ---------------------
@@ -569,11 +565,17 @@ def finished(rows: DataFrame) -> DataFrame:
 
 
 def synthesise(
-    spark: SparkSession, profile: DataFrame, n_owners: int, n_rows: int, seed: int = 42, granularity: str = "monthly",
-    as_of: dt.date = dt.date(2024, 1, 1), over_privilege_rate: float = 0.05, rates: dict[str, float] | None = None,
+    spark: SparkSession, profile: DataFrame, n_owners: int | None = None, n_rows: int | None = None, seed: int = 42,
+    granularity: str = "monthly", as_of: dt.date = dt.date(2024, 1, 1), over_privilege_rate: float = 0.05, rates: dict[str, float] | None = None,
 ) -> Synthetic:
-    """All estate tables of about ``n_rows`` resources under ``n_owners`` owners."""
+    """All estate tables of about ``n_rows`` resources under ``n_owners`` owners.
+
+    The counts default to those of the profiled scan.
+    """
     profile = settle(profile)
+    seen = {r.key1: int(r.value) for r in _section(profile, "source_stats").limit(10).collect()}
+    n_owners = seen["total_subscriptions"] if n_owners is None else n_owners
+    n_rows = seen["total_resources"] if n_rows is None else n_rows
     owners = settle(make_owners(spark, profile, n_owners, seed))
     groups = settle(name_groups(make_groups(owners, profile, seed)))
     drawn = draw_rows(groups, profile, seed)

@@ -233,7 +233,7 @@ def test_defects_can_be_found_again(spark, built):
     assert found == {(r.resource_id, r.violation_type) for r in violations.collect()} and len(found) > 500
 
 
-@pytest.mark.parametrize("target", [150, 1500])
+@pytest.mark.parametrize("target", [100, 1500])
 def test_synthetic_rows_are_trimmed_or_padded(spark, built, target):
     frame, _, _ = built
     owners = synthesis.settle(synthesis.make_owners(spark, frame, 20, 4))
