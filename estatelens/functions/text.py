@@ -14,6 +14,11 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c: ColumnOrName) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(c), "^\\s+|\\s+$", "")
+
+
 def _has_path_marker(lowered: Column) -> Column:
     found = F.lit(False)
     for marker in words.PATH_MARKERS:
@@ -23,12 +28,12 @@ def _has_path_marker(lowered: Column) -> Column:
 
 def is_identifier_key(key: ColumnOrName) -> Column:
     """A tag key shaped like an id: hidden prefix, path, UUID, long hex or ``ns:`` prefix."""
-    k = F.trim(col(key))
+    k = stripped(key)
     lowered = F.lower(k)
     hidden = F.lit(False)
     for prefix in words.HIDDEN_KEY_PREFIXES:
         hidden = hidden | lowered.startswith(prefix)
-    namespaced = F.trim(F.regexp_extract(k, "^([^:]*):", 1)) != ""
+    namespaced = stripped(F.regexp_extract(k, "^([^:]*):", 1)) != ""
     return (
         hidden
         | _has_path_marker(lowered)
@@ -52,7 +57,7 @@ def is_identifier_token(token: ColumnOrName) -> Column:
 
 def is_identifier_value(value: ColumnOrName) -> Column:
     """A tag value shaped like an id, or too long to be an enumeration label."""
-    v = F.trim(col(value))
+    v = stripped(value)
     return is_identifier_token(v) | (F.char_length(v) > words.MAX_TAG_VALUE_LENGTH)
 
 
@@ -68,7 +73,7 @@ def is_identifier_term(value: ColumnOrName) -> Column:
 
 def is_listed(value: ColumnOrName, names) -> Column:
     """Trimmed, case-insensitive membership in a fixed list."""
-    return F.lower(F.trim(col(value))).isin(sorted({n.lower() for n in names}))
+    return F.lower(stripped(value)).isin(sorted({n.lower() for n in names}))
 
 
 def canonical_namespace(type_name: ColumnOrName) -> Column:

@@ -19,6 +19,7 @@ from .joins import scalar
 DEFAULT_K = 5
 RESTARTS = 10
 PARALLEL_STARTS = 5
+OWNERS_PER_PARTITION = 50_000
 
 
 def cluster_owners(
@@ -35,15 +36,22 @@ def cluster_owners(
     ]).fit(settled).transform(settled)
     if k == 1:
         return settled.withColumn("cluster", F.lit(0))
-    # One row per owner; every iteration of every start passes over them.
-    vectors = wide.select("__x").persist()
+    # One row per owner; every iteration of every start passes over them. Starting points
+    # are drawn per partition, so the layout is made a function of the owners alone.
+    parts = 8 + n // OWNERS_PER_PARTITION
+    vectors = (
+        wide.select(owner, "__x").repartition(parts, owner).sortWithinPartitions(owner).select("__x").persist()
+    )
     def fit(start: int):
         return KMeans(k=k, seed=seed + start, featuresCol="__x", predictionCol="cluster").fit(vectors)
 
     # The starts are independent jobs, so a few of them run side by side.
     with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
         fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), range(RESTARTS)))
-    best = min(fits, key=lambda m: m.summary.trainingCost)
+    # Starts that end in the same clusters differ in the last digits of their cost only;
+    # the first of them is taken, so the numbering does not depend on those digits.
+    costs = [float(f"{m.summary.trainingCost:.9e}") for m in fits]
+    best = fits[costs.index(min(costs))]
     vectors.unpersist()
     return best.transform(wide).drop("__raw", "__x")
 

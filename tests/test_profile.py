@@ -105,6 +105,19 @@ def test_more_clusters_than_owners(spark):
     assert clustered.count() == 8
 
 
+def test_clusters_do_not_depend_on_partitions(spark):
+    columns = ["x", "y"]
+    # Irregular points, so that no two groupings cost the same.
+    owners = spark.range(400).select(
+        F.col("id").cast("string").alias("o"), ((F.col("id") % 4) * 10 + F.pmod(F.xxhash64(F.col("id") + 7), F.lit(997)) / 499).alias("x"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 37).alias("y"))
+
+    def run(parts):
+        return {r.o: r.cluster for r in clusters.cluster_owners(owners.repartition(parts), "o", columns, 4).collect()}
+
+    assert run(1) == run(9)
+
+
 def test_a_profile_without_terms_is_refused(spark):
     scan, _ = planted(spark)
     with pytest.raises(plan.TermListRequired):
