@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
-
 
 def session(app: str = "estatelens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; anything in ``conf`` wins."""
@@ -31,19 +28,15 @@ def session(app: str = "estatelens", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own; on a cluster a missing
-    setting is an error, because a machine-local folder would not survive a lost node.
+    Only a local master may fall back to a folder of its own, in its warehouse; on a
+    cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="estatelens-")
-    return _own_folder[app]
+    return spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/working"
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
