@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import decontamination, exact, extraction, mixing, quality, sharding, simhash, toxicity
+from estatelens.llm import decontamination, exact, extraction, mixing, quality, secrets, sharding, simhash, toxicity, warc
 from estatelens.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +58,16 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.page_texts(table(spark, folder, "pages"))
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
+ORACLES["op9_warc"] = warc.ARCHIVED_SQL
+
+
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.document_secrets(table(spark, folder, "documents"))
