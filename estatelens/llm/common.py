@@ -27,9 +27,10 @@ def ranged(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
     The place orders the whole table: its upper bits (from 33 on) number the range, the
     lower ones the row within it. The last sort key tells equal rows apart, so copies of one
-    row never have to fit into one range.
+    row never have to fit into one range. The rows are settled first, since cutting ranges
+    reads them twice.
     """
-    spread = df.withColumn(position, F.monotonically_increasing_id())
+    spread = settle(df).withColumn(position, F.monotonically_increasing_id())
     spread = spread.repartitionByRange(*keys, position).sortWithinPartitions(*keys, position)
     return settle(spread.withColumn(position, F.monotonically_increasing_id()))
 
