@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +18,13 @@ from estatelens.session import settle
 EXAMPLES = 4000  # labelled examples of each class in the index, at most
 TERMS = 1500  # terms of the index, at most
 LEAST_G = 15.0  # log-likelihood ratio by which a term must be more frequent in toxic examples
+LEAST_LIFT = 4.0  # times by which its share of toxic examples must exceed that of the others
 PREFIXES = (4, 5, 6)  # word beginnings that are terms besides whole words, so inflected words meet
 NEIGHBOURS = 15
 BLOCK = 64
 POWER = 3  # of the cosine in a vote, so that far examples hardly count
-SMOOTHING = 0.75  # votes that the class share without any term counts for
+SMOOTHING = 1.0  # votes that the class share without any term counts for
+REMEMBERED = 20_000  # vectors whose result a task keeps
 WORDS = re.compile(r"\w+")
 
 
@@ -74,8 +77,8 @@ class Index:
     """A block-max inverted index over unit vectors of the labelled examples."""
 
     idf: np.ndarray
-    starts: np.ndarray  # of each term's postings
-    examples: np.ndarray  # of the postings, ascending within a term
+    starts: np.ndarray  # terms x blocks + 1: where the term's postings of the block begin
+    examples: np.ndarray  # of the postings, by term and ascending
     weights: np.ndarray
     bounds: np.ndarray  # terms x blocks: the largest weight of the term in the block
     ids: np.ndarray
@@ -95,8 +98,10 @@ class Index:
         weight = weight / norm[owner] if n else weight
         by = np.lexsort((owner, term))
         owner, term, weight = owner[by], term[by], weight[by]
-        starts = np.searchsorted(term, np.arange(len(idf) + 1))
-        bounds = np.zeros((len(idf), -(-max(n, 1) // BLOCK)))
+        n_blocks = -(-max(n, 1) // BLOCK)
+        edges = (np.arange(len(idf))[:, None] * n_blocks + np.arange(n_blocks + 1)).astype(np.int64)
+        starts = np.searchsorted(term * n_blocks + owner // BLOCK, edges).astype(np.int32)
+        bounds = np.zeros((len(idf), n_blocks))
         np.maximum.at(bounds, (term, owner // BLOCK), weight)
         toxic = np.array([r[2] for r in rows], dtype=np.float64)
         per = np.array([share[r[2]] for r in rows], dtype=np.float64)
@@ -115,17 +120,20 @@ class Index:
         q = (1 + np.log(counts)) * self.idf[terms]
         q /= math.sqrt(q @ q)
         bound = q @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-12 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), q.tolist()):
-                lo, hi = self.starts[t], self.starts[t + 1]
-                a, z = np.searchsorted(self.examples[lo:hi], (b * BLOCK, (b + 1) * BLOCK)) + lo
-                sums[self.examples[a:z] - b * BLOCK] += w * self.weights[a:z]
-            found = np.nonzero(sums > 1e-12)[0]
-            best = sorted(best + [(-round(float(sums[i]), 12), b * BLOCK + int(i)) for i in found])[:k]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 1e-12]
+        near, at, step = np.zeros((0, 2)), 0, 1
+        while at < len(order) and not (len(near) == k and bound[order[at]] < -near[-1, 0] - 1e-12):
+            taken = order[at:at + step]  # steps double, so bounds that do not prune cost few rounds
+            at, step = at + len(taken), 2 * step
+            lo, hi = self.starts[terms][:, taken].ravel(), self.starts[terms][:, taken + 1].ravel()
+            long = hi - lo
+            place = np.repeat(lo - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(long.sum())
+            found, which = np.unique(self.examples[place], return_inverse=True)
+            sums = np.bincount(which, weights=np.repeat(np.repeat(q, len(taken)), long) * self.weights[place], minlength=len(found))
+            near = np.concatenate([near, np.stack([-np.round(sums, 12), found], axis=1)])
+            near = near[np.lexsort((near[:, 1], near[:, 0]))][:k]
+        best = [(s, int(e)) for s, e in near.tolist()]
         return [(-s, e) for s, e in best]
 
     def score(self, vector: list[int]) -> tuple[float, list[tuple[float, int]]]:
@@ -158,7 +166,8 @@ def selected_terms(texts: DataFrame) -> dict[str, int]:
     base = n1 / (n1 + n0)
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
     g = 2 * (part(F.col("yes"), base) + part(F.col("n") - F.col("yes"), 1 - base))
-    kept = counts.withColumn("g", F.round(g, 6)).where((F.col("yes") > F.col("n") * base) & (F.col("g") >= LEAST_G))
+    lift = (F.col("yes") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("yes") + 0.5) / (n0 + 1))
+    kept = counts.withColumn("g", F.round(g, 6)).where((lift >= LEAST_LIFT) & (F.col("g") >= LEAST_G))
     rows = kept.orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect()
     return {r["term"]: i for i, r in enumerate(rows)}
 
@@ -196,15 +205,19 @@ def scored(docs: DataFrame, examples: DataFrame, id_: str = "doc_id", text: str
     index = spark.sparkContext.broadcast(Index.built([(r["_id"], list(r["vector"]), r["toxic"]) for r in known], idf, share))
 
     @F.pandas_udf("score double, near array<struct<cosine:double,id:long,toxic:int>>")
-    def each(found: pd.Series) -> pd.DataFrame:
-        held, seen, out = index.value, {}, []
-        for v in found:
-            key = tuple(v)
-            if key not in seen:
-                score, near = held.score(list(key))
-                seen[key] = score, [{"cosine": s, "id": int(held.ids[e]), "toxic": int(held.toxic[e])} for s, e in near]
-            out.append(seen[key])
-        return pd.DataFrame({"score": [s for s, _ in out], "near": [n for _, n in out]})
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held, seen = index.value, {}
+        for part in parts:
+            out = []
+            for v in part:
+                key = tuple(v)
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    score, near = held.score(list(key))
+                    seen[key] = score, [{"cosine": s, "id": int(held.ids[e]), "toxic": int(held.toxic[e])} for s, e in near]
+                out.append(seen[key])
+            yield pd.DataFrame({"score": [s for s, _ in out], "near": [n for _, n in out]})
 
     return rows.withColumn("_out", each("vector")).select(F.col("_id").alias(id_), F.col("_out.score").alias("score"), F.col("_out.near").alias("evidence"))
 
