@@ -24,6 +24,7 @@ SHARD_BYTES = 64 << 20  # of payload that one task writes
 ROLL_BYTES = 16 << 20  # compressed size from which a file is closed
 DATE = "2024-01-01T00:00:00Z"  # of every record, so that reruns write the same bytes
 LEVEL = 6
+MOST_TASKS = 50_000  # that read files; with more files a task reads several
 
 MANIFEST = "file string, shard long, part int, records long, bytes long, sha256 string"
 
@@ -67,7 +68,21 @@ def header_value(value: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", value or "")
 
 
-def written(rows: Iterator[dict], folder: str, roll: int, level: int = LEVEL) -> Iterator[tuple]:
+def packed(data: bytes, level: int = LEVEL) -> bytes:
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=level, mtime=0) as z:
+        z.write(data)
+    return out.getvalue()
+
+
+@F.pandas_udf("binary")
+def responses(page_id: pd.Series, url: pd.Series, html: pd.Series) -> pd.Series:
+    """Each row as a packed response record; page ids come as text."""
+    blank = lambda v: None if pd.isna(v) else v
+    return pd.Series([packed(record(blank(p), blank(u), h.encode("utf-8"), 0, "", None, None, 0)) for p, u, h in zip(page_id, url, html)])
+
+
+def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
     """Write a shard's sorted records and give a manifest row for each file.
 
     Each record is a gzip member of its own. A file is written under a name that no other
@@ -95,11 +110,12 @@ def written(rows: Iterator[dict], folder: str, roll: int, level: int = LEVEL) ->
             out = system.open_output_stream(state["temporary"], compression=None)
         key = (row["_page_id"], row["_digest"], row["_type"])
         seen = {"key": key, "nth": seen["nth"] + 1 if seen["key"] == key else 0}
-        payload = None if row["html"] is None else row["html"].encode("utf-8")
-        packed = io.BytesIO()
-        with gzip.GzipFile(fileobj=packed, mode="wb", compresslevel=level, mtime=0) as z:
-            z.write(record(row["_page_id"], row["url"], payload, row["_size"], row["_digest"], row["_refers_to"], row["_refers_url"], seen["nth"]))
-        data = packed.getvalue()
+        data = row["member"]
+        if data is None:
+            data = packed(record(row["_page_id"], row["url"], None, row["_size"], row["_digest"], row["_refers_to"], row["_refers_url"], seen["nth"]))
+        elif seen["nth"]:  # a repeated row is a record of its own, with an id of its own
+            payload = gzip.decompress(data).split(b"\r\n\r\n", 2)[2][:-4]
+            data = packed(record(row["_page_id"], row["url"], payload, 0, "", None, None, seen["nth"]))
         out.write(data)
         digest.update(data)
         state["records"] += 1
@@ -152,12 +168,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shar
     steps = plan(named, least, shard_bytes)
     system, root = opened(folder)
     system.create_dir(root, recursive=True)
-    rows = named.select("url", whole_text("html").alias("html"), "_file", "_row").join(steps, ["_file", "_row"])
-    # a revisit's payload stays here: its digest and length are known
-    rows = rows.withColumn("html", F.when(F.col("_type") == "response", F.col("html")))
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_page_id", "_digest", "_file", "_row")
-    text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas has no whole numbers beside nulls
-    rows = rows.select("url", "html", "_size", "_digest", "_shard", "_type", "_refers_url", text("_page_id"), text("_refers_to"))
+    text = lambda c: F.col(c).cast("string")  # noqa: E731  pandas has no whole numbers beside nulls
+    # records are packed before they are shuffled, which moves less than half of the bytes
+    rows = named.select("url", responses(text("page_id"), "url", whole_text("html")).alias("member"), "_file", "_row").join(steps, ["_file", "_row"])
+    rows = rows.withColumn("member", F.when(F.col("_type") == "response", F.col("member")))
+    n_shards = (steps.agg(F.max("_shard")).first()[0] or 0) + 1
+    rows = rows.repartitionById(n_shards, F.col("_shard").cast("int")).sortWithinPartitions("_page_id", "_digest", "_file", "_row")
+    rows = rows.select("url", "member", "_size", "_digest", "_shard", "_type", "_refers_url", text("_page_id").alias("_page_id"), text("_refers_to").alias("_refers_to"))
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
@@ -201,6 +218,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     refers to. Without ``payloads`` the payload column is null.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "sha256")
+    n = min(max(1, manifest.count()), MOST_TASKS)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = opened(folder)
@@ -226,7 +244,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
                 yield pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.repartition("file").mapInPandas(read, READ)
+    return manifest.repartition(n).mapInPandas(read, READ)
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
