@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import running, whole_text, with_row_id
@@ -75,11 +75,15 @@ def packed(data: bytes, level: int = LEVEL) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("binary")
-def responses(page_id: pd.Series, url: pd.Series, html: pd.Series) -> pd.Series:
+def responses(page_id: Column, url: str, html: Column) -> Column:
     """Each row as a packed response record; page ids come as text."""
-    blank = lambda v: None if pd.isna(v) else v
-    return pd.Series([packed(record(blank(p), blank(u), h.encode("utf-8"), 0, "", None, None, 0)) for p, u, h in zip(page_id, url, html)])
+
+    @F.pandas_udf("binary")
+    def each(ids: pd.Series, urls: pd.Series, pages: pd.Series) -> pd.Series:
+        blank = lambda v: None if pd.isna(v) else v
+        return pd.Series([packed(record(blank(p), blank(u), h.encode("utf-8"), 0, "", None, None, 0)) for p, u, h in zip(ids, urls, pages)], dtype=object)
+
+    return each(page_id, url, html)
 
 
 def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
