@@ -116,7 +116,7 @@ def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
         seen = {"key": key, "nth": seen["nth"] + 1 if seen["key"] == key else 0}
         data = row["member"]
         if data is None:
-            data = packed(record(row["_page_id"], row["url"], None, row["_size"], row["_digest"], row["_refers_to"], row["_refers_url"], seen["nth"]))
+            data = packed(record(row["_page_id"], row["url"], None, row["_size"], bytes(row["_digest"]).hex(), row["_refers_to"], row["_refers_url"], seen["nth"]))
         elif seen["nth"]:  # a repeated row is a record of its own, with an id of its own
             payload = gzip.decompress(data).split(b"\r\n\r\n", 2)[2][:-4]
             data = packed(record(row["_page_id"], row["url"], payload, 0, "", None, None, seen["nth"]))
@@ -141,13 +141,13 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     """
     html = whole_text("html")
     rows = settle(pages.select(
-        F.col("page_id").alias("_page_id"), F.sha1(html.cast("binary")).alias("_digest"),
+        F.col("page_id").alias("_page_id"), F.unhex(F.sha1(html.cast("binary"))).alias("_digest"),
         F.octet_length(html).cast("long").alias("_size"), F.col("url").alias("_url"), "_file", "_row"))
     big = F.col("_size") >= least
     # larger ids first, then the earlier row: the least of negated ids, null ids last
     order = F.struct(F.col("_page_id").isNull().alias("z"), (-F.col("_page_id")).alias("i"), F.col("_file").alias("f"), F.col("_row").alias("r"), F.col("_url").alias("u"))
     kept = rows.where(big).groupBy("_digest", "_size").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    marked = rows.join(kept.select("_digest", "_size", "_best"), ["_digest", "_size"], "left")
+    marked = rows.drop("_url").join(kept.select("_digest", "_size", "_best"), ["_digest", "_size"], "left")
     is_best = (F.col("_best.f") == F.col("_file")) & (F.col("_best.r") == F.col("_row"))
     revisit = F.col("_best").isNotNull() & ~is_best
     marked = marked.select(
@@ -157,7 +157,7 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     placed = running(marked, ["_page_id", "_digest", "_file", "_row"], {"_before": "_stored", "_nth": "1"})
     # revisits have hardly any bytes: a shard holds so many records at most
     shard = F.expr(f"_before div {shard_bytes}L + _nth div {max(1, shard_bytes // 256)}L")
-    return settle(placed.withColumn("_shard", shard).drop("_before", "_nth", "_stored"))
+    return settle(placed.withColumn("_shard", shard).drop("_before", "_nth", "_stored", "_n"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
