@@ -9,6 +9,7 @@ import os
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ SHARD_BYTES = 64 << 20  # of payload that one task writes
 ROLL_BYTES = 16 << 20  # compressed size from which a file is closed
 DATE = "2024-01-01T00:00:00Z"  # of every record, so that reruns write the same bytes
 LEVEL = 6
+MOST_SHARDS = 20_000  # whose first keys every task holds
 MOST_TASKS = 50_000  # that read files; with more files a task reads several
 
 MANIFEST = "file string, shard long, part int, records long, bytes long, sha256 string"
@@ -75,15 +77,26 @@ def packed(data: bytes, level: int = LEVEL) -> bytes:
     return out.getvalue()
 
 
-def responses(page_id: Column, url: str, html: Column) -> Column:
-    """Each row as a packed response record; page ids come as text."""
+def place_of(page_id: str | int | None, digest: bytes, file: str, row: int) -> tuple:
+    """The sort key of a row, null ids first."""
+    return (page_id is not None, int(page_id or 0), bytes(digest), file, int(row))
 
-    @F.pandas_udf("binary")
-    def each(ids: pd.Series, urls: pd.Series, pages: pd.Series) -> pd.Series:
+
+def responses(begins, page_id: Column, url: str, html: Column) -> Column:
+    """Each row as a packed response record, with its digest and its shard among those that begin at ``begins``."""
+
+    @F.pandas_udf("member binary, digest binary, shard long")
+    def each(ids: pd.Series, urls: pd.Series, pages: pd.Series, files: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        out, starts = [], begins.value
         blank = lambda v: None if pd.isna(v) else v
-        return pd.Series([packed(record(blank(p), blank(u), h.encode("utf-8"), 0, "", None, None, 0)) for p, u, h in zip(ids, urls, pages)], dtype=object)
+        for p, u, h, f, r in zip(ids, urls, pages, files, rows):
+            payload = h.encode("utf-8")
+            digest = hashlib.sha1(payload).digest()
+            shard = starts[bisect_right(starts, place_of(blank(p), digest, f, r), key=lambda s: s[0]) - 1][1]
+            out.append((packed(record(blank(p), blank(u), payload, 0, "", None, None, 0)), digest, shard))
+        return pd.DataFrame(out, columns=["member", "digest", "shard"])
 
-    return each(page_id, url, html)
+    return each(page_id, url, html, "_file", "_row")
 
 
 def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
@@ -116,7 +129,7 @@ def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
         seen = {"key": key, "nth": seen["nth"] + 1 if seen["key"] == key else 0}
         data = row["member"]
         if data is None:
-            data = packed(record(row["_page_id"], row["url"], None, row["_size"], bytes(row["_digest"]).hex(), row["_refers_to"], row["_refers_url"], seen["nth"]))
+            data = packed(record(row["_page_id"], row["url"], None, int(row["_size"]), bytes(row["_digest"]).hex(), row["_refers_to"], row["_refers_url"], seen["nth"]))
         elif seen["nth"]:  # a repeated row is a record of its own, with an id of its own
             payload = gzip.decompress(data).split(b"\r\n\r\n", 2)[2][:-4]
             data = packed(record(row["_page_id"], row["url"], payload, 0, "", None, None, seen["nth"]))
@@ -137,12 +150,15 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     Payloads are equal if their SHA-1 and length are. Of equal payloads of ``least`` bytes
     or more, the row with the largest page_id (null ids last; of equal ids the first row)
     is the response. Rows are sorted by page_id and digest over the whole table, and a new
-    shard begins each ``shard_bytes`` of payload, so shards depend on the rows alone.
+    shard begins each ``shard_bytes`` of payload, so shards depend on the rows alone. Beyond
+    about MOST_SHARDS shards these are larger instead.
     """
     html = whole_text("html")
     rows = settle(pages.select(
         F.col("page_id").alias("_page_id"), F.unhex(F.sha1(html.cast("binary"))).alias("_digest"),
         F.octet_length(html).cast("long").alias("_size"), F.col("url").alias("_url"), "_file", "_row"))
+    total = rows.agg(F.sum(F.greatest("_size", F.lit(256)))).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     big = F.col("_size") >= least
     # larger ids first, then the earlier row: the least of negated ids, null ids last
     order = F.struct(F.col("_page_id").isNull().alias("z"), (-F.col("_page_id")).alias("i"), F.col("_file").alias("f"), F.col("_row").alias("r"), F.col("_url").alias("u"))
@@ -153,11 +169,11 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     marked = marked.select(
         "_file", "_row", "_page_id", "_digest", "_size", F.when(revisit, "revisit").otherwise("response").alias("_type"),
         F.when(revisit, -F.col("_best.i")).alias("_refers_to"), F.when(revisit, F.col("_best.u")).alias("_refers_url"),
-        F.when(revisit, 0).otherwise(F.col("_size")).cast("long").alias("_stored"))
-    placed = running(marked, ["_page_id", "_digest", "_file", "_row"], {"_before": "_stored", "_nth": "1"})
-    # revisits have hardly any bytes: a shard holds so many records at most
-    shard = F.expr(f"_before div {shard_bytes}L + _nth div {max(1, shard_bytes // 256)}L")
-    return settle(placed.withColumn("_shard", shard).drop("_before", "_nth", "_stored", "_n"))
+        F.greatest("_size", F.lit(256)).cast("long").alias("_stored"))
+    placed = running(marked, ["_page_id", "_digest", "_file", "_row"], {"_before": "_stored"})
+    # a record counts 256 bytes at least, so a shard also has a bounded number of records
+    shard = F.expr(f"_before div {shard_bytes}L")
+    return settle(placed.withColumn("_shard", shard).drop("_before", "_stored", "_n"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
@@ -172,19 +188,31 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shar
     steps = plan(named, least, shard_bytes)
     system, root = opened(folder)
     system.create_dir(root, recursive=True)
-    text = lambda c: F.col(c).cast("string")  # noqa: E731  pandas has no whole numbers beside nulls
-    # records are packed before they are shuffled, which moves less than half of the bytes
-    rows = named.select("url", responses(text("page_id"), "url", whole_text("html")).alias("member"), "_file", "_row").join(steps, ["_file", "_row"])
-    rows = rows.withColumn("member", F.when(F.col("_type") == "response", F.col("member")))
-    n_shards = (steps.agg(F.max("_shard")).first()[0] or 0) + 1
-    rows = rows.repartitionById(n_shards, F.col("_shard").cast("int")).sortWithinPartitions("_page_id", "_digest", "_file", "_row")
-    rows = rows.select("url", "member", "_size", "_digest", "_shard", "_type", "_refers_url", text("_page_id").alias("_page_id"), text("_refers_to").alias("_refers_to"))
+    # what each shard begins with, as every task's map from rows to shards
+    key = F.struct("_page_id", "_digest", "_file", "_row")
+    firsts = steps.groupBy("_shard").agg(F.min(key).alias("k")).orderBy("_shard").collect()
+    begins = spark.sparkContext.broadcast([(place_of(*r["k"]), r["_shard"]) for r in firsts])
+    # records are packed before they move, and move once: a row's plan comes just before its record
+    made = named.select(
+        F.col("page_id").alias("_page_id"), "url", "_file", "_row", F.lit(1).alias("_side"),
+        responses(begins, F.col("page_id").cast("string"), "url", whole_text("html")).alias("_r"))
+    made = made.select("*", F.col("_r.digest").alias("_digest"), F.col("_r.shard").alias("_shard"), F.col("_r.member").alias("member")).drop("_r")
+    rows = made.unionByName(steps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    n_shards = firsts[-1]["_shard"] + 1 if firsts else 1
+    rows = rows.repartitionById(n_shards, F.col("_shard").cast("int")).sortWithinPartitions("_page_id", "_digest", "_file", "_row", "_side")
+    text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas has no whole numbers beside nulls
+    rows = rows.select("_side", text("_page_id"), "url", "member", "_digest", "_shard", "_type", text("_size"), text("_refers_to"), "_refers_url")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
+            known = {}
             for part in parts:
-                for row in zip(*(part[c] for c in part.columns)):
-                    yield {k: None if pd.isna(v) else v for k, v in zip(part.columns, row)}
+                for values in zip(*(part[c] for c in part.columns)):
+                    row = {k: None if pd.isna(v) else v for k, v in zip(part.columns, values)}
+                    if row["_side"] == 0:
+                        known = row
+                    else:
+                        yield known | {"url": row["url"], "member": row["member"] if known["_type"] == "response" else None}
 
         for line in written(each(), folder, roll):
             yield pd.DataFrame([line], columns=["file", "shard", "part", "records", "bytes", "sha256"])
