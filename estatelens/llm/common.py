@@ -65,12 +65,12 @@ def running(df: DataFrame, keys: list[str], amounts: dict[str, str], within: lis
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """The rows with `_file` and `_row`, which name a row for good, also among repeated rows.
+    """The rows with `__file` and `__row`, which name a row for good, also among repeated rows.
 
     A frame read from files is identified by file and row number, which do not depend on
     how the read is split; any other frame is settled first.
     """
     try:
-        return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:
-        return settle(docs).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return settle(docs).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))

@@ -147,7 +147,7 @@ def mixed(df: DataFrame, members: str, size: str, order: list[str], quota, copie
     half = F.floor(F.col(size) / 2)
     levels = F.array(*[F.lit(k).cast("long") for k in range(copies)])
     middle = lambda k: k * F.col("_total") + F.col("_at") + half
-    route = F.transform(levels, lambda k: F.filter("_ends", lambda e: middle(k) < e["until"])[0]["source"])
+    route = F.transform(levels, lambda k: F.get(F.filter("_ends", lambda e: middle(k) < e["until"]), F.lit(0))["source"])
     reach = F.element_at("_ends", -1)["until"]
     n = F.size(F.filter(levels, lambda k: middle(k) < reach))
     n = F.when((F.col(size) > 0) & F.col("_ends").isNotNull(), n).otherwise(0)
@@ -193,8 +193,8 @@ def _mixed_documents(documents: DataFrame, weights, share, most, seed, *also: st
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """The documents of the mix with their columns as they are, each as often as it is taken."""
     named = with_row_id(docs)
-    plain = named.select("doc_id", "source", "text", "_file", "_row")
-    copies = _mixed_documents(plain, weights, share, most, seed, "_file", "_row").where("copies > 0").select("_file", "_row", "copies")
-    out = named.join(copies.withColumnRenamed("copies", "_copies"), ["_file", "_row"])
-    each = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return out.select(*docs.columns, each).drop("_copy")
+    plain = named.select("doc_id", "source", "text", "__file", "__row")
+    copies = _mixed_documents(plain, weights, share, most, seed, "__file", "__row").where("copies > 0").select("__file", "__row", "copies")
+    out = named.join(copies.withColumnRenamed("copies", "__copies"), ["__file", "__row"])
+    each = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
+    return out.select(*docs.columns, each).drop("__copy")

@@ -25,7 +25,7 @@ TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_LENGTH},}}={{0,2}}"
 RATE = 0.01  # of false discoveries within a band of lengths
 LEAST_RANDOM = 0.001  # p-value below which a token is not random
 TEXT_REPEATS = 0.065  # chance that two letters of ordinary text are equal
-TEXT_SWITCHES = 2.0  # mean changes between letters, digits and signs in an ordinary token
+TEXT_SWITCHES = 2.0  # mean changes between letters and digits in an ordinary token
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings by what their tokens match, narrowest first, each with its alphabet in order.
@@ -101,8 +101,8 @@ def tested(tokens: DataFrame) -> DataFrame:
     alphabet, Wald-Wolfowitz runs about the alphabet's middle, and serial correlation of
     neighbours. ``p_text`` is the chance that an ordinary token of this length scores as
     randomly as this: ordinary text repeats its letters more often (by an excess of the
-    chi-squared score that grows with the length) and changes between letters, digits and
-    signs seldom.
+    chi-squared score that grows with the length) and changes between letters and digits
+    seldom.
     """
     body = F.rtrim(F.col("token"), F.lit("="))
     rows = tokens.withColumn("body", body).withColumn("n", F.char_length("body").cast("double"))
@@ -127,7 +127,7 @@ def tested(tokens: DataFrame) -> DataFrame:
     worst = F.least(upper_tail(F.col("z_chi")), 2 * upper_tail(F.abs("z_runs")), 2 * upper_tail(F.abs("z_serial")))
     rows = rows.withColumn("p_random", F.least(F.lit(1.0), 3 * worst))
     # ordinary text
-    kinds = F.translate("body", LOWER + LOWER.upper() + DIGITS + "+/-_", "l" * 52 + "d" * 10 + "s" * 4)
+    kinds = F.translate("body", LOWER + LOWER.upper() + DIGITS + "+/-_", "l" * 52 + "d" * 10)  # signs go
     rows = rows.withColumn("kinds", F.split(kinds, ""))
     switches = F.expr("size(filter(zip_with(slice(kinds, 1, size(kinds) - 1), slice(kinds, 2, size(kinds)), (x, y) -> x <> y), b -> b))")
     excess = F.greatest(F.lit(0.0), F.col("n") * (F.col("a") * TEXT_REPEATS - 1) / F.sqrt(2 * (F.col("a") - 1)))

@@ -139,7 +139,7 @@ def sharded_documents(docs: DataFrame, n_shards: int = 8, seed: int = 42) -> Dat
     named = with_row_id(docs)
     rows = named.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size"), F.crc32(whole_text("text").cast("binary")).alias("_crc"),
-        F.xxhash64("text").alias("_hash"), "_file", "_row")
-    placed = sharded(rows, ["doc_id", "_size", "_crc", "_hash", "_file", "_row"], n_shards, seed).select("_file", "_row", "shard", "slot")
+        F.xxhash64("text").alias("_hash"), "__file", "__row")
+    placed = sharded(rows, ["doc_id", "_size", "_crc", "_hash", "__file", "__row"], n_shards, seed).select("__file", "__row", "shard", "slot")
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return named.select(*keep, "_file", "_row").join(placed, ["_file", "_row"]).drop("_file", "_row")
+    return named.select(*keep, "__file", "__row").join(placed, ["__file", "__row"]).drop("__file", "__row")

@@ -96,7 +96,7 @@ def responses(begins, page_id: Column, url: str, html: Column) -> Column:
             out.append((packed(record(blank(p), blank(u), payload, 0, "", None, None, 0)), digest, shard))
         return pd.DataFrame(out, columns=["member", "digest", "shard"])
 
-    return each(page_id, url, html, "_file", "_row")
+    return each(page_id, url, html, "__file", "__row")
 
 
 def written(rows: Iterator[dict], folder: str, roll: int) -> Iterator[tuple]:
@@ -156,21 +156,21 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     html = whole_text("html")
     rows = settle(pages.select(
         F.col("page_id").alias("_page_id"), F.unhex(F.sha1(html.cast("binary"))).alias("_digest"),
-        F.octet_length(html).cast("long").alias("_size"), F.col("url").alias("_url"), "_file", "_row"))
+        F.octet_length(html).cast("long").alias("_size"), F.col("url").alias("_url"), "__file", "__row"))
     total = rows.agg(F.sum(F.greatest("_size", F.lit(256)))).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     big = F.col("_size") >= least
     # larger ids first, then the earlier row: the least of negated ids, null ids last
-    order = F.struct(F.col("_page_id").isNull().alias("z"), (-F.col("_page_id")).alias("i"), F.col("_file").alias("f"), F.col("_row").alias("r"), F.col("_url").alias("u"))
+    order = F.struct(F.col("_page_id").isNull().alias("z"), (-F.col("_page_id")).alias("i"), F.col("__file").alias("f"), F.col("__row").alias("r"), F.col("_url").alias("u"))
     kept = rows.where(big).groupBy("_digest", "_size").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
     marked = rows.drop("_url").join(kept.select("_digest", "_size", "_best"), ["_digest", "_size"], "left")
-    is_best = (F.col("_best.f") == F.col("_file")) & (F.col("_best.r") == F.col("_row"))
+    is_best = (F.col("_best.f") == F.col("__file")) & (F.col("_best.r") == F.col("__row"))
     revisit = F.col("_best").isNotNull() & ~is_best
     marked = marked.select(
-        "_file", "_row", "_page_id", "_digest", "_size", F.when(revisit, "revisit").otherwise("response").alias("_type"),
+        "__file", "__row", "_page_id", "_digest", "_size", F.when(revisit, "revisit").otherwise("response").alias("_type"),
         F.when(revisit, -F.col("_best.i")).alias("_refers_to"), F.when(revisit, F.col("_best.u")).alias("_refers_url"),
         F.greatest("_size", F.lit(256)).cast("long").alias("_stored"))
-    placed = running(marked, ["_page_id", "_digest", "_file", "_row"], {"_before": "_stored"})
+    placed = running(marked, ["_page_id", "_digest", "__file", "__row"], {"_before": "_stored"})
     # a record counts 256 bytes at least, so a shard also has a bounded number of records
     shard = F.expr(f"_before div {shard_bytes}L")
     return settle(placed.withColumn("_shard", shard).drop("_before", "_stored", "_n"))
@@ -189,17 +189,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shar
     system, root = opened(folder)
     system.create_dir(root, recursive=True)
     # what each shard begins with, as every task's map from rows to shards
-    key = F.struct("_page_id", "_digest", "_file", "_row")
+    key = F.struct("_page_id", "_digest", "__file", "__row")
     firsts = steps.groupBy("_shard").agg(F.min(key).alias("k")).orderBy("_shard").collect()
     begins = spark.sparkContext.broadcast([(place_of(*r["k"]), r["_shard"]) for r in firsts])
     # records are packed before they move, and move once: a row's plan comes just before its record
     made = named.select(
-        F.col("page_id").alias("_page_id"), "url", "_file", "_row", F.lit(1).alias("_side"),
+        F.col("page_id").alias("_page_id"), "url", "__file", "__row", F.lit(1).alias("_side"),
         responses(begins, F.col("page_id").cast("string"), "url", whole_text("html")).alias("_r"))
     made = made.select("*", F.col("_r.digest").alias("_digest"), F.col("_r.shard").alias("_shard"), F.col("_r.member").alias("member")).drop("_r")
     rows = made.unionByName(steps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     n_shards = firsts[-1]["_shard"] + 1 if firsts else 1
-    rows = rows.repartitionById(n_shards, F.col("_shard").cast("int")).sortWithinPartitions("_page_id", "_digest", "_file", "_row", "_side")
+    rows = rows.repartitionById(n_shards, F.col("_shard").cast("int")).sortWithinPartitions("_page_id", "_digest", "__file", "__row", "_side")
     text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas has no whole numbers beside nulls
     rows = rows.select("_side", text("_page_id"), "url", "member", "_digest", "_shard", "_type", text("_size"), text("_refers_to"), "_refers_url")
 
