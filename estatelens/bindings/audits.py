@@ -221,6 +221,17 @@ def missing_tags(spark, folder):
     return governance.evaluate(governed_rows(spark, folder), rules).select("id", "code")
 
 
+def machines_and_interfaces(spark, folder):
+    machines = b.estate_rows(spark, folder).select(
+        F.concat(F.lit("vm-"), "number").alias("id"), "type",
+        F.concat(F.lit('{"networkProfile":{"networkInterfaces":[{"id":"nic-'), "subscription_id", F.lit('"}]}}')).alias("properties"))
+    public = F.when(F.col("c_nationkey") % 2 == 0, '"publicIPAddress":{"id":"ip"}').otherwise('"subnet":{"id":"net"}')
+    interfaces = b.table(spark, folder, "customer").select(
+        F.concat(F.lit("nic-"), "c_custkey").alias("id"), F.lit(t.NIC).alias("type"),
+        F.concat(F.lit('{"ipConfigurations":[{"properties":{'), public, F.lit("}}]}")).alias("properties"))
+    return machines.union(interfaces)
+
+
 @query(
     "rule_rates",
     with_views(
@@ -232,10 +243,13 @@ def missing_tags(spark, folder):
   ('TAG_MISSING_COSTCENTER', -1, 0.15), ('SQL_NO_AUDIT', 4, 0.10), ('SQL_NO_TDE', 5, 0.05), ('AKS_RBAC_DISABLED', 3, 0.08), ('DISK_UNENCRYPTED', -2, 0.06))""",
         "x AS (SELECT r.code, CAST(coalesce((SELECT sum(n) FROM e WHERE e.i = r.i OR r.i = -1), 0) AS BIGINT) AS eligible, "
         "(SELECT count(*) FROM broken WHERE broken.code = r.code) AS hits, CAST(expected AS DOUBLE) AS expected_rate FROM r)")
-    + "SELECT code, eligible, hits, coalesce(round(hits / nullif(eligible, 0), 9), -1.0) AS rate, expected_rate FROM x",
+    + "SELECT code, eligible, hits, coalesce(round(hits / nullif(eligible, 0), 9), -1.0) AS rate, expected_rate FROM x "
+    "UNION ALL SELECT 'VM_PUBLIC_IP', count(*), count(*) FILTER (c_nationkey % 2 = 0), coalesce(round(avg((c_nationkey % 2 = 0)::INT), 9), -1.0), 0.08::DOUBLE "
+    "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 8 = 7",
 )
 def rule_rates(spark, folder):
-    return governance.rates(governed_rows(spark, folder)).withColumn(
+    found = governance.rates(governed_rows(spark, folder)).unionByName(governance.public_machine_rate(machines_and_interfaces(spark, folder)))
+    return found.withColumn(
         "rate", F.round(F.coalesce("rate", F.lit(-1.0)), 9))
 
 
@@ -245,14 +259,7 @@ def rule_rates(spark, folder):
     "WHERE o_orderkey % 8 = 7 AND c_nationkey % 2 = 0",
 )
 def public_machines(spark, folder):
-    machines = b.estate_rows(spark, folder).select(
-        F.concat(F.lit("vm-"), "number").alias("id"), "type",
-        F.concat(F.lit('{"networkProfile":{"networkInterfaces":[{"id":"nic-'), "subscription_id", F.lit('"}]}}')).alias("properties"))
-    public = F.when(F.col("c_nationkey") % 2 == 0, '"publicIPAddress":{"id":"ip"}').otherwise('"subnet":{"id":"net"}')
-    interfaces = b.table(spark, folder, "customer").select(
-        F.concat(F.lit("nic-"), "c_custkey").alias("id"), F.lit(t.NIC).alias("type"),
-        F.concat(F.lit('{"ipConfigurations":[{"properties":{'), public, F.lit("}}]}")).alias("properties"))
-    return governance.public_machines(machines.union(interfaces)).withColumn(
+    return governance.public_machines(machines_and_interfaces(spark, folder)).withColumn(
         "id", F.substring("id", 4, 20).cast("long"))
 
 
@@ -300,12 +307,12 @@ def off_pattern_names(spark, folder):
 
 @query(
     "off_catalogue_sizes",
-    "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT CAST(l_quantity AS INT) FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.06 AND l_quantity < 40)",
+    "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT CASE WHEN l_returnflag = 'R' AND l_discount >= 0.06 AND l_quantity < 40 THEN CAST(l_quantity AS INT) ELSE -1 END FROM lineitem)",
 )
 def off_catalogue_sizes(spark, folder):
-    known = b.table(spark, folder, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.06 AND l_quantity < 40")
-    return governance.off_catalogue(
-        b.table(spark, folder, "part"), "p_size", known.select(F.col("l_quantity").cast("int").alias("p_size"))).select("p_partkey")
+    offered = F.expr("l_returnflag = 'R' AND l_discount >= 0.06 AND l_quantity < 40")
+    known = b.table(spark, folder, "lineitem").select(F.when(offered, F.col("l_quantity").cast("int")).otherwise(-1).alias("p_size"))
+    return governance.off_catalogue(b.table(spark, folder, "part"), "p_size", known).select("p_partkey")
 
 
 # --- identifiers and leaks: FN-01, FN-02, LEK-01..03, SET-01 ----------------------------
@@ -398,7 +405,8 @@ def identifier_terms(spark, folder):
     columns = [
         (t_("customer"), "c_name"), (t_("supplier"), "s_name"), (t_("part"), "p_name"), (t_("orders"), "o_orderkey"),
         (t_("orders"), "o_orderstatus"), (t_("events").select(F.concat(F.lit("user-"), "user_id").alias("u")), "u")]
-    clean = t_("part").where("p_size > 45").select("p_partkey", F.concat(F.lit("<"), "p_name", F.lit(">")).alias("note"))
+    name = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise("")
+    clean = t_("part").select("p_partkey", F.concat(F.lit("<"), name, F.lit(">")).alias("note"))
     return leaks.build_terms(columns, [(t_("events"), "props")], (clean, "p_partkey", "note"))
 
 

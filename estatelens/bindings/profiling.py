@@ -182,7 +182,8 @@ VALUE_FLOOR = 4000
     + "SELECT key, value, round(n / sum(n) OVER (PARTITION BY key), 9) AS share FROM f",
 )
 def tag_value_shares(spark, folder):
-    return tags.value_shares(tag_value_counts(spark, folder), VALUE_FLOOR).select("key", "value", share())
+    counts = tags.tag_value_counts(b.scan_rows(spark, folder, "tags"), keys=words.VALUE_TAG_KEYS)
+    return tags.value_shares(counts, VALUE_FLOOR).select("key", "value", share())
 
 
 @query(
@@ -599,11 +600,13 @@ def generic_tags(spark, folder):
 
 @query(
     "completed_owners",
-    "SELECT DISTINCT owner FROM (SELECT c_custkey AS owner FROM customer WHERE c_mktsegment = 'BUILDING' "
+    "SELECT DISTINCT owner FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS owner FROM customer "
     "UNION ALL SELECT o_custkey FROM orders)",
 )
 def completed_owners(spark, folder):
-    declared = b.table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("owner"))
+    """Every third customer is declared under another key, so its orders' owner is missing."""
+    key = F.col("c_custkey")
+    declared = b.table(spark, folder, "customer").select(F.when(key % 3 == 0, key + 1_000_000_000).otherwise(key).alias("owner"))
     children = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("owner"))
     return complete_parents(children, declared, "owner")
 

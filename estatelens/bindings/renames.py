@@ -39,9 +39,9 @@ def rewritten_references(spark, folder):
     json = F.concat(
         F.lit('{"own":"/subscriptions/'), "o_custkey", F.lit("/resourceGroups/"), "o_orderpriority",
         F.lit('/x","other":"/subscriptions/0/resourceGroups/5-LOW/y"}'))
-    renames = b.table(spark, folder, "customer").where("c_custkey <> 0").select(
+    renames = b.table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("subscription_id"), F.lit("5-LOW").alias("old_name"),
-        F.concat(F.lit("low-"), "c_custkey").alias("new_name"))
+        F.when(F.col("c_custkey") == 0, "5-LOW").otherwise(F.concat(F.lit("low-"), "c_custkey")).alias("new_name"))
     return renaming.rewrite_column(orders.select("o_orderkey", json.alias("json")), "o_orderkey", "json", renames)
 
 

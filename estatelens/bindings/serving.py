@@ -617,12 +617,20 @@ def estate_metadata(spark, folder):
 
 # --- integrity: CHK-01, CHK-02, JON-09, JON-13 ----------------------------------------
 
-NODES = "nodes AS (SELECT 'part-' || p_partkey AS id FROM part WHERE p_size <> 17 UNION ALL SELECT 'supplier-' || s_suppkey FROM supplier WHERE s_nationkey <> 4)"
+# Rows that others refer to in vain are kept under a key of their own.
+APART = 1_000_000_000
+NODES = (
+    f"nodes AS (SELECT 'part-' || (p_partkey + CASE WHEN p_size = 17 THEN {APART} ELSE 0 END) AS id FROM part "
+    f"UNION ALL SELECT 'supplier-' || (s_suppkey + CASE WHEN s_nationkey = 4 THEN {APART} ELSE 0 END) FROM supplier)")
+
+
+def moved(key, where):
+    return F.col(key) + F.when(where, APART).otherwise(0)
 
 
 def node_rows(spark, folder):
-    parts = b.table(spark, folder, "part").where("p_size <> 17").select(F.concat(F.lit("part-"), "p_partkey").alias("id"))
-    return parts.union(b.table(spark, folder, "supplier").where("s_nationkey <> 4").select(F.concat(F.lit("supplier-"), "s_suppkey")))
+    parts = b.table(spark, folder, "part").select(F.concat(F.lit("part-"), moved("p_partkey", F.col("p_size") == 17)).alias("id"))
+    return parts.union(b.table(spark, folder, "supplier").select(F.concat(F.lit("supplier-"), moved("s_suppkey", F.col("s_nationkey") == 4))))
 
 
 @query(
@@ -639,10 +647,10 @@ def dangling_edges(spark, folder):
     with_views(ASSIGNED)
     + "SELECT CAST(o_orderkey AS VARCHAR) AS assignment_id, 'scope' AS reason FROM assigned WHERE scope NOT IN ("
     "SELECT '/subscriptions/' || c_custkey FROM customer UNION ALL SELECT '/subscriptions/' || o_custkey || '/resourceGroups/' || o_orderpriority FROM orders) "
-    "UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'principal' FROM assigned WHERE principal_oid NOT IN (SELECT 'p-' || c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
+    f"UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'principal' FROM assigned WHERE principal_oid NOT IN (SELECT 'p-' || (c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN {APART} ELSE 0 END) FROM customer)",
 )
 def dangling_scopes(spark, folder):
-    principals = b.table(spark, folder, "customer").where("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("p-"), "c_custkey").alias("oid"))
+    principals = b.table(spark, folder, "customer").select(F.concat(F.lit("p-"), moved("c_custkey", F.col("c_mktsegment") == "BUILDING")).alias("oid"))
     return integrity.dangling_scopes(
         assignment_rows(spark, folder), principals, b.estate_owners(spark, folder), b.estate_groups(spark, folder),
         b.estate_rows(spark, folder)).select("assignment_id", "reason")
@@ -652,16 +660,19 @@ def dangling_scopes(spark, folder):
     "removable_rows",
     "SELECT '/c/' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey <> 3 "
     "UNION ALL SELECT '/c/' || o_custkey || '/o/' || o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) "
-    "UNION ALL SELECT DISTINCT '/c/' || o_custkey || '/o/' || o_orderkey || '/l/' || l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 25",
+    "UNION ALL SELECT DISTINCT '/c/' || o_custkey || CASE WHEN l_quantity > 25 THEN '/o/' ELSE '/z/' END || o_orderkey || '/l/' || l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 def removable_rows(spark, folder):
+    """Lines of small quantity hang beside their order, so some orders have nothing below."""
     customers, orders = b.table(spark, folder, "customer"), b.table(spark, folder, "orders")
     order_path = F.concat(F.lit("/c/"), "o_custkey", F.lit("/o/"), "o_orderkey")
-    lines = b.table(spark, folder, "lineitem").where("l_quantity > 25").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = b.table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    place = F.when(F.col("l_quantity") > 25, "/o/").otherwise("/z/")
+    line_path = F.concat(F.lit("/c/"), "o_custkey", place, "o_orderkey", F.lit("/l/"), "l_linenumber")
     rows = (
         customers.select(F.concat(F.lit("/c/"), "c_custkey").alias("id"))
         .union(orders.select(order_path))
-        .union(lines.select(F.concat(order_path, F.lit("/l/"), "l_linenumber")).distinct()))
+        .union(lines.select(line_path).distinct()))
     references = [
         customers.where("c_nationkey = 3").select(F.concat(F.lit("/c/"), "c_custkey")),
         orders.where("o_orderstatus = 'F'").select(order_path),

@@ -1,4 +1,4 @@
-"""Synthetic estates drawn from the profile of the given tables."""
+"""Seeded draws over the given tables."""
 
 from __future__ import annotations
 
@@ -6,91 +6,13 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.keyed import bernoulli, normal, normal_count, skewed_count, uniform
 from estatelens.functions.periods import month_periods
-from estatelens.operators import governance, integrity, sampling
-from estatelens.operators.serving import totals
-from estatelens.plans import synthesis
-from estatelens.sources import estate as estate_io
+from estatelens.operators import sampling
 from . import tables as b
-from . import whole
 from .registry import query, with_views
 
 SEED = 42
 
 
-def estate(spark, folder):
-    """An estate as large as the tables: a resource per order, an owner per customer."""
-    def write(path):
-        n_owners = b.table(spark, folder, "customer").count()
-        n_rows = b.table(spark, folder, "orders").count()
-        made = synthesis.synthesise(spark, whole.written_profile(spark, folder), n_owners, n_rows, SEED)
-        estate_io.write_estate(made.tables, path)
-
-    return estate_io.read_estate(spark, whole._once(spark, folder, "synthetic", write))
-
-
-@query("synthetic_totals")
-def synthetic_totals(spark, folder):
-    return totals(estate(spark, folder))
-
-
-@query(
-    "synthetic_size_within_band",
-    "SELECT true AS owners_exact, true AS rows_in_band, true AS ids_unique FROM (SELECT count(*) FROM orders)",
-)
-def synthetic_size_within_band(spark, folder):
-    """Drawn rows (without the subnets and partners added later) against their target."""
-    made = estate(spark, folder)
-    target = b.table(spark, folder, "orders").agg(F.count(F.lit(1))).scalar()
-    owners = b.table(spark, folder, "customer").agg(F.count(F.lit(1))).scalar()
-    drawn = made["resources"].where(F.col("managed_by").isNull() & ~F.col("name").endswith("m001"))
-    ids = made["resources"].groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
-    return drawn.agg(F.count(F.lit(1)).alias("n")).select(
-        (made["subscriptions"].agg(F.count(F.lit(1))).scalar() == owners).alias("owners_exact"),
-        F.col("n").between(target * 0.95, target * 1.05).alias("rows_in_band"), (ids == 1).alias("ids_unique"))
-
-
-@query(
-    "synthetic_dangling",
-    "SELECT 0::BIGINT AS edges, 0::BIGINT AS self_edges, 0::BIGINT AS references, 0::BIGINT AS scopes FROM (SELECT count(*) FROM orders)",
-)
-def synthetic_dangling(spark, folder):
-    """Edges, nested references and role scopes that lead nowhere: there must be none."""
-    made = estate(spark, folder)
-    n = F.count(F.lit(1))
-    edges = integrity.dangling(made["dependencies"], made["resources"]).agg(n).scalar()
-    own = made["dependencies"].where(F.col("source_subscription") == F.col("target_subscription")).agg(n).scalar()
-    refs = integrity.referenced_ids(made["resources"]).join(made["resources"].select("id"), "id", "left_anti").agg(n).scalar()
-    scopes = integrity.dangling_scopes(
-        made["role_assignments"], made["principals"], made["subscriptions"], made["resource_groups"], made["resources"]).agg(n).scalar()
-    return spark.range(1).select(
-        edges.alias("edges"), own.alias("self_edges"), refs.alias("references"), scopes.alias("scopes"))
-
-
-@query("synthetic_types")
-def synthetic_types(spark, folder):
-    return estate(spark, folder)["resources"].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("synthetic_edges")
-def synthetic_edges(spark, folder):
-    return estate(spark, folder)["dependencies"].groupBy("dependency_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("synthetic_defects")
-def synthetic_defects(spark, folder):
-    """Defects found by the rules beside the defects put in."""
-    made = estate(spark, folder)
-    rows = made["resources"].withColumn("tags", F.from_json("tags", "map<string,string>"))
-    found = governance.evaluate(rows).groupBy("code").agg(F.count(F.lit(1)).alias("found"))
-    put_in = made["violations"].groupBy(F.col("violation_type").alias("code")).agg(F.count(F.lit(1)).alias("injected"))
-    return put_in.join(found, "code", "full").na.fill(0, ["found", "injected"])
-
-
-@query("synthetic_roles")
-def synthetic_roles(spark, folder):
-    return estate(spark, folder)["role_assignments"].groupBy("role_definition_id", "principal_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- single draws over the given tables: SAM-01..05, SAM-09 -----------------------------
 
 @query("drawn_locations")

@@ -174,6 +174,20 @@ def public_machines(rows: DataFrame) -> DataFrame:
     ).select("id", F.lit(code).alias("code"), F.lit(severity).alias("severity"))
 
 
+def public_machine_rate(rows: DataFrame, expected: float | None = None) -> DataFrame:
+    """The rate of machines with a public address, in the columns of `rates`.
+
+    The defect lies in another row, so it takes a join that the one-row rules do not.
+    """
+    machines = rows.where(F.col("type") == t.VM).agg(F.count(F.lit(1)).alias("eligible"))
+    hits = public_machines(rows).agg(F.count(F.lit(1))).scalar()
+    code, usual, _ = VM_PUBLIC_IP
+    return machines.select(
+        F.lit(code).alias("code"), "eligible", hits.alias("hits"),
+        F.when(F.col("eligible") > 0, hits / F.col("eligible")).alias("rate"),
+        F.lit(float(usual if expected is None else expected)).alias("expected_rate"))
+
+
 def without_link(rows: DataFrame, links: DataFrame, key: str = "id") -> DataFrame:
     """Rows no link mentions, e.g. machines without a backup."""
     return rows.join(links.select(key).distinct(), key, "left_anti")

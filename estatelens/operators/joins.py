@@ -47,14 +47,6 @@ def join_salted(
     return salted.join(repeated, [on, "__salt"]).drop("__salt")
 
 
-def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it is small, else as it is.
-
-    The count stops at the limit, so a large frame costs no more than the limit.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row frame beside every row."""
     only = one_row.limit(1).withColumn("__one", F.lit(1))

@@ -10,8 +10,8 @@ texts. Terms of one single token need nothing further; the others are verified i
 candidate texts. Terms without any identifier character meet texts through the short
 separator runs. The term list is a frame of any size; nothing is compiled from it.
 
-A list that is counted and found short travels to the texts, and no text or token is
-shuffled; a long one is met by shuffling the tokens, hot ones spread by a salt.
+Texts are met by their distinct tokens, hot ones spread by a salt; whether a side is small
+enough to travel is left to the planner, which knows the settled list's bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ IDENT = "[\\p{L}\\p{N}_]"
 IDENT_RUN = IDENT + "+"
 OTHER_RUN = "[^\\p{L}\\p{N}_]+"
 EDGE = "\u0000"
-SHORT_LIST = 100_000
 
 
 def _runs(text: Column, pattern: str) -> Column:
@@ -54,11 +53,10 @@ def _terms(terms: DataFrame, term: str) -> DataFrame:
 
 def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
     """Distinct (key, term) of every leaked term."""
-    # Read several times below, and its size decides how texts and terms meet.
+    # Read several times below.
     wanted = settle(
         _terms(terms, term).withColumn("parts", F.array_distinct(_runs(F.col("term"), IDENT_RUN)))
     )
-    short = wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST
     worded = wanted.where(F.size("parts") > 0)
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = F.explode(F.array_distinct(_runs(F.col("text"), IDENT_RUN))).alias("token")
@@ -68,7 +66,7 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     # How many texts hold each token that some term has.
     asked = exploded.select("token").distinct()
     spread = (
-        tokens.join(F.broadcast(asked) if short else asked, "token", "left_semi")
+        tokens.join(asked, "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("texts"))
     )
@@ -85,16 +83,14 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
         .select("term", "token")
     )
     alone = F.col("term") == F.col("token")
-    if short:
-        met = rows.select("key", "text", found).join(F.broadcast(anchored), "token")
-        worded_hits = met.where(alone | _stands_in(F.col("text"), F.col("term"))).select("key", "term")
-    else:
-        met = join_salted(tokens, anchored, "token", ["key"])
-        longer = met.where(~alone).select("key", "term").join(rows, "key")
-        worded_hits = met.where(alone).select("key", "term").unionByName(
-            longer.where(_stands_in(F.col("text"), F.col("term"))).select("key", "term"))
+    met = join_salted(tokens, anchored, "token", ["key"])
+    longer = met.where(~alone).select("key", "term").join(rows, "key")
+    worded_hits = met.where(alone).select("key", "term").unionByName(
+        longer.where(_stands_in(F.col("text"), F.col("term"))).select("key", "term")).distinct()
 
     bare = wanted.where(F.size("parts") == 0).select("term")
+    if bare.isEmpty():
+        return worded_hits
     longest = bare.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).scalar()
     edged = F.concat(F.lit(EDGE), F.col("text"), F.lit(EDGE))
     gaps = rows.select("key", F.explode(F.array_distinct(_runs(edged, OTHER_RUN))).alias("gap"))
@@ -113,7 +109,7 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
         .select("key", F.substring(F.col("gap"), F.col("start"), F.col("size")).alias("term"))
         .distinct()
     )
-    separators = pieces.join(F.broadcast(bare) if short else bare, "term").select("key", "term")
+    separators = pieces.join(bare, "term").select("key", "term")
     return worded_hits.unionByName(separators).distinct()
 
 

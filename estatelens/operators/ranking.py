@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from estatelens.functions.keyed import key_hash
 from .joins import join_same
 
-HASH_BUCKET_BITS = 12
+LEAST_BUCKET_BITS = 12
+BUCKET_ROWS = 10_000  # of a group that one window sorts, about
 
 
 def top_n(df: DataFrame, n: int, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -74,11 +75,14 @@ def keyed_rank(
     """Rank rows of each group in a seeded pseudo-random order of their keys.
 
     With ``at_most`` only rows of rank <= ``at_most`` are returned; whole buckets beyond
-    it are dropped before any row is sorted.
+    it are dropped before any row is sorted. The buckets are cut so fine that even a group
+    with all rows leaves about BUCKET_ROWS to each.
     """
     h = key_hash(seed, purpose, *groups, *key)
+    n = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    bits = F.greatest(F.lit(LEAST_BUCKET_BITS), F.ceil(F.log2(n / BUCKET_ROWS))).cast("int")
     hashed = df.withColumn("__order", F.shiftrightunsigned(h, 1)).withColumn(
-        "__bucket", F.shiftrightunsigned(h, 64 - HASH_BUCKET_BITS).cast("int")
+        "__bucket", F.call_function("shiftrightunsigned", h, F.lit(64) - bits)
     )
     placed = _with_offsets(hashed, groups, "__bucket")
     if at_most is not None:

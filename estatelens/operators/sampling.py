@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from estatelens.catalogues import words
 from estatelens.functions.keyed import key_hash, normal, uniform
-from .joins import beside, join_same, scalar, small
+from .joins import beside, join_same, scalar
 from .ranking import keyed_rank, rank_in_buckets
 
 SLOTS = 256
@@ -61,7 +61,7 @@ def choose(
         .agg(F.sort_array(F.collect_list(F.struct("high", F.col(label).alias("label")))).alias("__spans"))
     )
     drawn = df.withColumn("__u", u).withColumn("__slot", F.floor(F.col("__u") * SLOTS).cast("int"))
-    joined = join_same(drawn, small(slots), [*by, "__slot"], "left")
+    joined = join_same(drawn, slots, [*by, "__slot"], "left")
     ahead = F.filter("__spans", lambda s: s["high"] > F.col("__u"))
     picked = F.coalesce(F.get(ahead, F.lit(0)), F.element_at("__spans", -1))["label"]
     return joined.withColumn(out, picked).drop("__u", "__slot", "__spans")
@@ -111,7 +111,7 @@ def cost_facts(
     table = fits.select("type", *[c.alias(f"__{n}") for n, c in columns.items()])
     known = table.where(F.col("type") != default_type).withColumn("__known", F.lit(True))
     default = table.where(F.col("type") == default_type).drop("type")
-    rows = resources.select(key, owner, "type").join(small(known), "type", "left")
+    rows = resources.select(key, owner, "type").join(known, "type", "left")
     mapped = rows.where(F.col("__known"))
     if not default.isEmpty():
         others = rows.where(F.col("__known").isNull()).select(key, owner, "type")

@@ -13,9 +13,12 @@ from estatelens.functions.text import (
 from .histogram import check_floor, fold_other, shares
 
 
-def tag_value_counts(df: DataFrame, tags: str = "tags") -> DataFrame:
-    """Rows per (key, value)."""
-    pairs = df.where(F.col(tags).isNotNull()).select(F.explode(json_map(tags)).alias("key", "value"))
+def tag_value_counts(df: DataFrame, tags: str = "tags", keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows per (key, value); with ``keys`` only of listed keys, cut before they are counted."""
+    entries = json_map(tags)
+    if keys is not None:
+        entries = F.map_filter(entries, lambda k, _: is_listed(k, keys))
+    pairs = df.where(F.col(tags).isNotNull()).select(F.explode(entries).alias("key", "value"))
     return pairs.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,4 +1,4 @@
-"""Wiring resources to each other inside an owner, and edges across owners.
+"""Wiring resources to each other inside an owner.
 
 Pools are numbered inside their owner bucket by bucket, and a row picks its partner by
 number, so owner, type and number together are the join key: a hot owner's rows spread
@@ -7,23 +7,14 @@ over as many tasks as its pool has members.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.catalogues import types as t
 from estatelens.functions.keyed import key_hash
-from .joins import beside
-from .ranking import keyed_rank, top_n
+from .ranking import keyed_rank
 
 OWNER = "subscription_id"
 
-# --- fixed values: must equal the reference's for right results ---------------------
-HUBS, SPOKES = (5, 8), (10, 30)
-VAULT_HOSTS, VAULT_CONSUMERS = (3, 5), (20, 50)
-LOG_HOSTS, LOG_CONSUMERS = (1, 3), 100
-REGISTRY_HOSTS = (1, 2)
-ENDPOINT_TARGETS = (t.STORAGE, t.SQL_SERVER, t.KEY_VAULT)
-
 
 def numbered_pool(rows: DataFrame, type_name: str, seed: int) -> DataFrame:
     """(owner, number, member, size) of one type's rows, numbered from 1 per owner."""
@@ -40,108 +31,3 @@ def pick_partner(rows: DataFrame, pool: DataFrame, seed: int, purpose: str, out:
         "__number", F.pmod(key_hash(seed, purpose, "id"), F.col("size")) + 1)
     members = pool.select(OWNER, F.col("number").alias("__number"), F.col("member").alias(out))
     return sized.join(members, [OWNER, "__number"], "left").drop("size", "__number")
-
-
-def owners_lacking(rows: DataFrame, need: str, have: str) -> DataFrame:
-    """Owners with rows of one type but none of another, with the group of a needy row."""
-    needy = rows.where(F.col("type") == need).groupBy(OWNER).agg(
-        F.min_by(F.struct("resource_group_name", "location"), "id").alias("g"))
-    return needy.join(rows.where(F.col("type") == have).select(OWNER).distinct(), OWNER, "left_anti").select(OWNER, "g.*")
-
-
-def first_of_type(rows: DataFrame, type_name: str) -> DataFrame:
-    return rows.where(F.col("type") == type_name).groupBy(OWNER).agg(F.min("id").alias("anchor"))
-
-
-def pick_owners(owners: DataFrame, n: int, seed: int, purpose: str) -> DataFrame:
-    """``n`` owners in a seeded order, numbered from 1."""
-    hashed = owners.select(OWNER).withColumn("__h", key_hash(seed, purpose, OWNER))
-    return top_n(hashed, n, [F.asc("__h"), F.asc(OWNER)], "nth").drop("__h")
-
-
-def _edge(kind: str, source: Column, target: Column, source_owner: Column, target_owner: Column) -> list[Column]:
-    return [
-        F.lit(kind).alias("dependency_type"), source.alias("source_resource_id"), target.alias("target_resource_id"),
-        source_owner.alias("source_subscription"), target_owner.alias("target_subscription"),
-    ]
-
-
-def _consumers(owners: DataFrame, hosts: DataFrame, n: int, seed: int, purpose: str) -> DataFrame:
-    free = owners.select(OWNER).join(F.broadcast(hosts.select(OWNER)), OWNER, "left_anti")  # a few hosts
-    return pick_owners(free, n, seed, purpose)
-
-
-def _numbered(anchors: DataFrame) -> DataFrame:
-    """A handful of host anchors, numbered by id, with their number."""
-    ordered = top_n(anchors, 64, [F.asc("anchor")], "slot")
-    return beside(ordered, ordered.agg(F.max("slot").alias("slots"))).select(
-        F.col(OWNER).alias("host"), "anchor", "slot", "slots")
-
-
-def _to_hosts(rows: DataFrame, hosts: DataFrame, seed: int, purpose: str, key: str) -> DataFrame:
-    """Each row with one of the hosts."""
-    slots = hosts.agg(F.max("slots").alias("slots"))
-    numbered = beside(rows, slots).withColumn(
-        "slot", (F.pmod(key_hash(seed, purpose, key), F.col("slots")) + 1).cast("int")).drop("slots")
-    return numbered.join(F.broadcast(hosts.select("host", "anchor", "slot")), "slot").drop("slot")
-
-
-def hub_edges(owners: DataFrame, hubs: DataFrame, networks: DataFrame, seed: int) -> DataFrame:
-    """Network peerings from each hub to its own 10 to 30 spokes."""
-    listed = hubs.join(networks, OWNER).agg(
-        F.collect_list(F.struct(F.col(OWNER).alias("hub"), F.col("anchor").alias("hub_net"))).alias("hubs"))
-    free = owners.select(OWNER).join(F.broadcast(hubs.select(OWNER)), OWNER, "left_anti")
-    # At most eight hubs, so every owner is offered to at most eight.
-    offered = beside(free, listed).select(OWNER, F.inline("hubs"))
-    low, high = SPOKES
-    wanted = F.lit(low) + F.pmod(key_hash(seed, "spokes", "hub"), F.lit(high - low + 1))
-    spokes = keyed_rank(offered, ["hub"], [OWNER], seed, "spoke", "rank", wanted)
-    return spokes.join(networks, OWNER).select(
-        *_edge("vnet-peering", F.col("hub_net"), F.col("anchor"), F.col("hub"), F.col(OWNER)))
-
-
-def shared_edges(
-    kind: str, owners: DataFrame, hosts: DataFrame, anchors: DataFrame, sources: DataFrame, n: int, seed: int
-) -> DataFrame:
-    """Edges from ``n`` consumers' first resource to one of the hosts' anchors."""
-    targets = _numbered(hosts.select(OWNER).join(anchors, OWNER))
-    consumers = _consumers(owners, hosts, n, seed, f"{kind}/consumer").join(sources, OWNER)
-    return _to_hosts(consumers, targets, seed, f"{kind}/target", OWNER).select(
-        *_edge(kind, F.col("source"), F.col("anchor"), F.col(OWNER), F.col("host")))
-
-
-def registry_edges(rows: DataFrame, hosts: DataFrame, anchors: DataFrame, seed: int) -> DataFrame:
-    """Every cluster outside the registry owners pulls from one of the registries."""
-    targets = _numbered(hosts.select(OWNER).join(anchors, OWNER))
-    clusters = rows.where(F.col("type") == t.AKS).select(OWNER, "id").join(
-        F.broadcast(hosts.select(OWNER)), OWNER, "left_anti")
-    return _to_hosts(clusters, targets, seed, "registry", "id").select(
-        *_edge("shared-acr", F.col("id"), F.col("anchor"), F.col(OWNER), F.col("host")))
-
-
-def endpoint_plan(rows: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
-    """One private endpoint per target type: its target, and the consumer that hosts it."""
-    plan = None
-    for type_name in ENDPOINT_TARGETS:
-        order = key_hash(seed, f"endpoint/{type_name}", "id")
-        target = rows.where(F.col("type") == type_name).select(
-            "id", F.col(OWNER).alias("target_owner"), order.alias("h")).orderBy("h", "id").limit(1)
-        hosts = groups.groupBy(OWNER).agg(F.min_by(F.struct("name", "location"), "name").alias("g"))
-        offered = beside(hosts, target.select(F.col("id").alias("target"), "target_owner")).where(
-            F.col(OWNER) != F.col("target_owner"))
-        chosen = offered.withColumn("h", key_hash(seed, f"consumer/{type_name}", OWNER)).orderBy("h", OWNER).limit(1)
-        part = chosen.select(
-            F.lit(type_name).alias("target_type"), "target", "target_owner", OWNER,
-            F.col("g.name").alias("resource_group_name"), F.col("g.location").alias("location"))
-        plan = part if plan is None else plan.unionByName(part)
-    return plan
-
-
-def clamped(owners: int) -> list[tuple[str, int, int]]:
-    """(what, asked for, possible) of every host and consumer count."""
-    asked = [
-        ("hubs", HUBS[1]), ("shared vault owners", VAULT_HOSTS[1]), ("log owners", LOG_HOSTS[1]),
-        ("registry owners", REGISTRY_HOSTS[1]), ("log consumers", LOG_CONSUMERS),
-    ]
-    return [(what, n, min(n, owners)) for what, n in asked]
-

@@ -6,9 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.plans import profile as plan
-from estatelens.plans import synthesis
-from estatelens.operators import clusters, costs, governance, integrity, tags
-from estatelens.sources import estate as estate_io
+from estatelens.operators import clusters, costs, tags
 from estatelens.sources import profiles, scan as scan_io
 
 VM = "microsoft.compute/virtualmachines"
@@ -201,58 +199,3 @@ def test_cost_query_guards(spark):
     with pytest.raises(ValueError):
         costs.cost_query(bills, rows, "MonthToDate", today, by_id * 3)
     assert costs.cost_query(bills, rows, "TheLastMonth", today).first().total == 0.0
-
-
-@pytest.fixture(scope="module")
-def made(spark, built):
-    frame, _, _ = built
-    return synthesis.synthesise(spark, frame, 12, 600, seed=3)
-
-
-def test_synthetic_estate_is_sound(spark, made, tmp_path):
-    rows = made.tables["resources"]
-    estate_io.check_references(made.tables)
-    assert integrity.referenced_ids(rows).join(rows.select("id"), "id", "left_anti").isEmpty()
-    assert rows.count() == rows.select("id").distinct().count()
-    assert made.tables["resource_groups"].groupBy("subscription_id", "name").count().where("count > 1").isEmpty()
-    drawn = rows.where("managed_by IS NULL AND name NOT LIKE '%m001'").count()
-    assert 570 <= drawn <= 630
-    texts = rows.select("properties", "type", "location").collect()
-    assert all(json.loads(r.properties) is not None for r in texts)
-    assert not any("__other__" in (r.properties + r.type + r.location) or "__misc__" in r.type for r in texts)
-    assert [what for what, asked, got in made.clamped if got < asked] == ["log consumers"]
-
-
-def test_synthesis_is_a_function_of_the_seed(spark, built, made):
-    frame, _, _ = built
-    again = synthesis.synthesise(spark, frame.repartition(3), 12, 600, seed=3)
-    for name in ("resources", "dependencies", "violations", "role_assignments"):
-        a, b = made.tables[name], again.tables[name]
-        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
-
-
-def test_defects_can_be_found_again(spark, built):
-    frame, _, _ = built
-    rows = spark.range(400).select(
-        F.concat(F.lit("r"), "id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in (
-            "Microsoft.Storage/storageAccounts", "Microsoft.Network/networkSecurityGroups", "Microsoft.KeyVault/vaults")]),
-            (F.col("id") % 3 + 1).cast("int")).alias("type"),
-        F.create_map(F.lit("environment"), F.lit("x"), F.lit("owner"), F.lit("y"), F.lit("costCenter"), F.lit("z")).alias("tags"),
-        F.from_json(F.lit("{}"), "map<string,string>").alias("props"), F.lit(None).cast("string").alias("nic_id"),
-        F.lit(False).alias("has_address"))
-    changed, violations = synthesis.inject_defects(rows, 5, {code: 0.5 for code in governance.CODES})
-    served = changed.withColumn("properties", synthesis.json_object(F.col("props")))
-    found = {(r.id, r.code) for r in governance.evaluate(served).collect()}
-    assert found == {(r.resource_id, r.violation_type) for r in violations.collect()} and len(found) > 500
-
-
-@pytest.mark.parametrize("target", [100, 1500])
-def test_synthetic_rows_are_trimmed_or_padded(spark, built, target):
-    frame, _, _ = built
-    owners = synthesis.settle(synthesis.make_owners(spark, frame, 20, 4))
-    groups = synthesis.settle(synthesis.name_groups(synthesis.make_groups(owners, frame, 4)))
-    drawn = synthesis.draw_rows(groups, frame, 4)
-    before = drawn.count()
-    resized = synthesis.resize(drawn, groups, frame, target, 4)
-    assert abs(resized.count() - target) <= 0.05 * target < abs(before - target)
-    assert resized.groupBy("subscription_id", "nth", "place").count().where("count > 1").isEmpty()
