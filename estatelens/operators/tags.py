@@ -10,6 +10,7 @@ from estatelens.functions.jsonmaps import json_map
 from estatelens.functions.text import (
     canonical_namespace, is_identifier_key, is_identifier_value, is_listed,
 )
+from estatelens.session import settle
 from .histogram import check_floor, fold_other, shares
 
 
@@ -33,9 +34,10 @@ def value_shares(value_counts: DataFrame, min_size: int) -> DataFrame:
     """Value distribution of each allow-listed key.
 
     Rare and identifier-shaped values are folded; a key that still shows more than 40
-    values is left out.
+    values is left out. The counts are settled first: a filter on keys would else be tried
+    on every row before it is counted.
     """
-    allowed = value_counts.where(
+    allowed = settle(value_counts).where(
         ~is_identifier_key("key") & is_listed("key", words.VALUE_TAG_KEYS)
     )
     folded = fold_other(allowed, "value", min_size, ["key"], also=is_identifier_value("value"))
