@@ -17,12 +17,12 @@ from .registry import query, with_views
 BATCH = "00000000-0000-4000-8000-000000000001"
 SECOND = "00000000-0000-4000-8000-000000000002"
 NO_BATCHES = (
-    "batch_id string, drift_type string, seed long, applied_at timestamp, reverted_at timestamp, "
+    "batch_id string, drift_type string, seed long, options string, applied_at timestamp, reverted_at timestamp, "
     "parent_fingerprint string, result_fingerprint string, seq long"
 )
 NO_RECORDS = (
     "resource_id string, subscription_id string, drift_code string, field_path string, before string, "
-    "after string, record_id long, batch_id string"
+    "after string, record_id long, batch_id string, metadata string"
 )
 
 
@@ -30,12 +30,12 @@ def state(spark, folder):
     return b.estate_rows(spark, folder).select(*drift.STATE_COLUMNS)
 
 
-def first_batch(spark, folder, kind):
+def first_batch(spark, folder, kind, **more):
     """The whole estate changed by every code of a kind."""
     rows = state(spark, folder)
     applied_at = rows.agg(F.max(drift.HIDE_PATH)).scalar()
     return drift.apply_changes(
-        rows, spark.createDataFrame([], NO_BATCHES), spark.createDataFrame([], NO_RECORDS), BATCH, kind, applied_at)
+        rows, spark.createDataFrame([], NO_BATCHES), spark.createDataFrame([], NO_RECORDS), BATCH, kind, applied_at, **more)
 
 
 # --- fingerprints: AGG-34, AGG-35 -------------------------------------------------------
@@ -232,9 +232,9 @@ ORIGINAL = (
     "coalesce(tls, '(none)') AS tls, CAST(1 + (tls IS NOT NULL)::INT AS BIGINT) AS fields FROM estate")
 
 
-def reverted(spark, folder, kind):
+def reverted(spark, folder, kind, **more):
     nothing = F.lit("(none)")
-    applied = first_batch(spark, folder, kind)
+    applied = first_batch(spark, folder, kind, **more)
     return drift.restore(applied.snapshot, applied.records, BATCH).select(
         "id", F.col(drift.HIDE_PATH).isNotNull().alias("hidden"),
         F.coalesce(F.element_at("tags", "environment"), nothing).alias("environment"),
@@ -254,6 +254,44 @@ def reverted_temporal(spark, folder):
     return reverted(spark, folder, "temporal")
 
 
+@query("reverted_lifecycle", with_views(b.ESTATE) + ORIGINAL)
+def reverted_lifecycle(spark, folder):
+    """Changed fields, rows that go and rows that come, all in one batch, and undone."""
+    referenced = b.estate_rows(spark, folder).where(F.col("amount") > 100000).select("id")
+    groups = b.estate_groups(spark, folder).withColumn("location", F.lit("eastus"))
+    return reverted(spark, folder, "chaos", references=[referenced], disappear=120, groups=groups, appear=40, seed=3)
+
+
+@query(
+    "guarded_revert",
+    with_views(
+        b.ESTATE, f"chaos AS ({delta_sql(CHAOS)})", f"later AS ({delta_sql(TEMPORAL)})",
+        # The first batch takes away every environment, so the second finds none to change.
+        "n AS (SELECT (SELECT count(*) FROM chaos) AS c, (SELECT count(*) FROM later WHERE drift_code <> 'DRIFT_TAG_CHURN') AS t)")
+    + f"SELECT '{BATCH}' AS batch_id, 1::BIGINT AS seq, c AS records, 'blocked' AS before, 'reverted' AS after, c > 0 AND t > 0 AS refused, c > 0 AS restored FROM n "
+    f"UNION ALL SELECT '{SECOND}', 2, t, 'free', 'reverted', c > 0 AND t > 0, t > 0 FROM n",
+)
+def guarded_revert(spark, folder):
+    """Two batches reverted newest first, after the older one was refused; their records stay."""
+    first = first_batch(spark, folder, "chaos")
+    at = first.batch.agg(F.max("applied_at")).scalar()
+    second = drift.apply_changes(first.snapshot, first.batch, first.records, SECOND, "temporal", at)
+    batches, records = first.batch.unionByName(second.batch), first.records.unionByName(second.records)
+    before = drift.revert_states(batches, records).withColumnRenamed("state", "before")
+    try:
+        drift.revert(second.snapshot, batches, records, BATCH, at)
+        refused = False
+    except drift.RevertError:
+        refused = True
+    one, marked = drift.revert(second.snapshot, batches, records, SECOND, at)
+    none, marked = drift.revert(one, marked, records, BATCH, at)
+    found = F.when(F.col("batch_id") == SECOND, drift.visible_fingerprint(one)).otherwise(drift.visible_fingerprint(none))
+    after = drift.revert_states(marked, records).select("batch_id", F.col("state").alias("after"))
+    return drift.batch_log(marked, records).join(before.drop("seq"), "batch_id").join(after, "batch_id").select(
+        "batch_id", F.col("seq").cast("long").alias("seq"), "records", "before", "after", F.lit(refused).alias("refused"),
+        (found == F.col("parent_fingerprint")).alias("restored"))
+
+
 @query(
     "disappearing_rows",
     with_views(b.ESTATE) + "SELECT 120::BIGINT AS n, 0::BIGINT AS referenced, 120::BIGINT AS known FROM (SELECT count(*) FROM estate)",
@@ -323,6 +361,30 @@ def blocking_batches(spark, folder):
     return integrity.blocking_batches(*change_log(spark, folder), "b-1998").select("batch_id")
 
 
+@query(
+    "batch_detail",
+    with_views(LOG, "mine AS (SELECT *, row_number() OVER (ORDER BY record_id) AS i, count(*) OVER () AS n FROM records WHERE batch_id = 'b-1998' AND record_id > 50)")
+    + "SELECT batch_id, seq, reverted, record_id, resource_id, field, CASE WHEN n > 20 THEN (SELECT max(record_id) FROM mine WHERE i <= 20) ELSE -1 END AS next_after "
+    "FROM batches JOIN mine USING (batch_id) WHERE i <= 20",
+)
+def batch_detail(spark, folder):
+    return drift.batch_detail(*change_log(spark, folder), "b-1998", 50, 20).select(
+        "batch_id", F.col("seq").cast("long").alias("seq"), F.col("reverted_at").isNotNull().alias("reverted"), "record_id",
+        "resource_id", "field", F.coalesce("next_after", F.lit(-1)).alias("next_after"))
+
+
+@query(
+    "revert_states",
+    with_views(LOG, "touched AS (SELECT DISTINCT batch_id, resource_id FROM records)")
+    + "SELECT batch_id, seq, CASE WHEN reverted THEN 'reverted' WHEN EXISTS (SELECT 1 FROM touched t JOIN touched u USING (resource_id) "
+    "JOIN batches n ON n.batch_id = u.batch_id WHERE t.batch_id = b.batch_id AND n.seq > b.seq AND NOT n.reverted) THEN 'blocked' ELSE 'free' END AS state "
+    "FROM batches b",
+)
+def revert_states(spark, folder):
+    states = drift.revert_states(*change_log(spark, folder))
+    return states.select("batch_id", F.col("seq").cast("long").alias("seq"), "state")
+
+
 @query(
     "resource_history",
     with_views(LOG) + "SELECT record_id, batch_id, field, (SELECT max(record_id) FROM (SELECT record_id FROM records WHERE resource_id = 'c-7' AND record_id > 100 ORDER BY 1 LIMIT 5)) AS next_after "

@@ -279,6 +279,34 @@ def assignment_listing(spark, folder):
     return predicates.assignment_rows(assignment_rows(spark, folder))
 
 
+def sql_uuid(text):
+    """The hex digits of a text's MD5 in the groups of a UUID."""
+    cuts = ", '-', ".join(f"substr(md5({text}), {start}, {n})" for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"concat({cuts})"
+
+
+AFTER = "10000000-0000-0000-0000-000000000000"
+UUID_PAGE = f"""
+page AS (SELECT {sql_uuid("CAST(o_orderkey AS VARCHAR)")} AS name, principal_oid AS principal_id, scope
+  FROM assigned WHERE subscription_id = (SELECT CAST(min(o_custkey) AS VARCHAR) FROM orders)),
+ahead AS (SELECT *, row_number() OVER (ORDER BY name) AS i, count(*) OVER () AS left_over FROM page WHERE name > '{AFTER}')
+"""
+
+
+@query(
+    "assignment_page",
+    with_views(ASSIGNED, UUID_PAGE)
+    + "SELECT name, principal_id, scope, CASE WHEN left_over > 5 THEN (SELECT max(name) FROM ahead WHERE i <= 5) ELSE '' END AS next_after "
+    "FROM ahead WHERE i <= 5",
+)
+def assignment_page(spark, folder):
+    """The assignments of the first owner behind a UUID, five to a page."""
+    rows = assignment_rows(spark, folder).withColumn("assignment_id", F.expr(sql_uuid("assignment_id")))
+    owner = b.table(spark, folder, "orders").agg(F.min("o_custkey")).first()[0]
+    return predicates.assignment_page(rows, str(owner), AFTER.upper(), 5).select(
+        "name", "principal_id", "scope", F.coalesce("next_after", F.lit("")).alias("next_after"))
+
+
 @query(
     "owner_listing",
     "SELECT '/subscriptions/' || c_custkey AS id, CAST(c_custkey AS VARCHAR) AS subscription_id, c_name AS display_name, "

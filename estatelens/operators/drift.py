@@ -2,11 +2,13 @@
 
 A snapshot has ``id``, ``subscription_id``, ``type``, the maps ``tags``, ``sku`` and
 ``properties`` (field to text, nested values as JSON text), ``kind`` and
-``drift_deleted_at``. Nothing is written here, so a dry run is simply not writing.
+``drift_deleted_at``. The estate itself is never written here, so a dry run is simply not
+writing what comes back.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,8 +22,10 @@ from estatelens.functions.jsonmaps import (
 )
 from estatelens.functions.keyed import keyed_letters
 from estatelens.functions.text import resource_path
+from estatelens.session import settle
 from .fingerprint import fingerprint
 from .integrity import blocking_batches, removable
+from .paging import page
 from .ranking import keyed_rank, planned_count, rank_in_buckets, sample_exactly, top_n
 
 ANY_TYPE = "*"
@@ -245,16 +249,11 @@ def _folded(changes: list[Change], on: dict[str, Column]) -> tuple[dict[str, Col
     return columns, F.filter(F.array(*deltas), lambda d: d.isNotNull())
 
 
-def compute_deltas(
-    rows: DataFrame, kind: str, codes=None, types=None, intensity: float = 1.0, seed: int = 0,
-    changes: tuple[Change, ...] = CHANGES, key: str = "id",
-) -> tuple[DataFrame, DataFrame]:
-    """The changed rows and one delta per (row, code), codes applied in sorted order.
-
-    Which rows are eligible is read off the state the batch starts from; no change of a
-    kind makes another of the kind apply or not apply. Intensity 1 takes every eligible
-    row and needs no shuffle at all.
-    """
+def _changed_rows(
+    rows: DataFrame, kind: str, codes, types, intensity: float, seed: int,
+    changes: tuple[Change, ...], key: str,
+) -> DataFrame:
+    """The rows after the changes, each with its deltas in ``__deltas``."""
     chosen = _chosen(kind, codes, changes)
     if not chosen:
         raise ValueError(f"no change of kind {kind!r} is selected")
@@ -272,13 +271,26 @@ def compute_deltas(
     touched = F.lit(False)
     for hit in on.values():
         touched = touched | hit
-    logged = marked.select(
-        F.col(key).alias("resource_id"), "subscription_id", F.inline(deltas)
-    )
-    changed = marked.withColumns(
-        {c: F.when(touched, new).otherwise(F.col(c)) for c, new in columns.items()}
-    ).drop("__codes")
-    return changed, logged
+    after = {c: F.when(touched, new).otherwise(F.col(c)) for c, new in columns.items()}
+    return marked.withColumns({**after, "__deltas": deltas}).drop("__codes")
+
+
+def _split(changed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    logged = changed.select(F.col(key).alias("resource_id"), "subscription_id", F.inline("__deltas"))
+    return changed.drop("__deltas"), logged
+
+
+def compute_deltas(
+    rows: DataFrame, kind: str, codes=None, types=None, intensity: float = 1.0, seed: int = 0,
+    changes: tuple[Change, ...] = CHANGES, key: str = "id",
+) -> tuple[DataFrame, DataFrame]:
+    """The changed rows and one delta per (row, code), codes applied in sorted order.
+
+    Which rows are eligible is read off the state the batch starts from; no change of a
+    kind makes another of the kind apply or not apply. Intensity 1 takes every eligible
+    row and needs no shuffle at all.
+    """
+    return _split(_changed_rows(rows, kind, codes, types, intensity, seed, changes, key), key)
 
 
 def disappearing(rows: DataFrame, references: list[DataFrame], count: int, seed: int) -> DataFrame:
@@ -352,13 +364,16 @@ def apply_changes(
     """One change batch: the new snapshot, the batch row and its records.
 
     Hidden rows are left alone. The batch carries fingerprints of what could be seen
-    before and after, so consecutive batches chain.
+    before and after, so consecutive batches chain, and the options it was made with.
+
+    The change is evaluated once: changed rows with their deltas, rows that go or come and
+    the numbered records are settled, and the result's fingerprint reads what was written.
     """
     hidden = F.col(HIDE_PATH).isNotNull()
     seen = state.where(~hidden)
-    changed, deltas = compute_deltas(seen, kind, codes, types, intensity, seed, changes)
+    changed, deltas = _split(settle(_changed_rows(seen, kind, codes, types, intensity, seed, changes, "id")), "id")
     if disappear:
-        gone = disappearing(changed, references or [], disappear, seed).select("id")
+        gone = settle(disappearing(changed, references or [], disappear, seed).select("id"))
         marks = gone.withColumn("__gone", F.lit(True))
         changed = changed.join(marks, "id", "left").withColumn(
             HIDE_PATH, F.when(F.col("__gone"), applied_at).otherwise(F.col(HIDE_PATH))
@@ -372,7 +387,7 @@ def apply_changes(
         deltas = deltas.unionByName(lost)
     snapshot = changed.unionByName(state.where(hidden))
     if appear and groups is not None:
-        minted = appearing(groups, appear, seed)
+        minted = settle(appearing(groups, appear, seed))
         snapshot = snapshot.unionByName(minted.select(*[c for c in snapshot.columns if c in minted.columns]), allowMissingColumns=True)
         deltas = deltas.unionByName(minted.select(
             F.col("id").alias("resource_id"), "subscription_id", F.lit(len(changes) + 1).alias("position"),
@@ -380,10 +395,18 @@ def apply_changes(
             F.lit(None).cast("string").alias("before"), F.lit("appear").alias("after"),
         ))
     last_record = records.agg(F.coalesce(F.max("record_id"), F.lit(0))).scalar()
-    logged = number_records(deltas, last_record).withColumn("batch_id", F.lit(batch_id)).drop("position")
+    origin = F.to_json(F.struct(F.col("drift_code"), F.lit(kind).alias("drift_type")))
+    logged = number_records(deltas, last_record).select(
+        "*", F.lit(batch_id).alias("batch_id"), origin.alias("metadata")).drop("position")
+    logged = settle(logged)
+    if disappear or appear:
+        snapshot = settle(snapshot)
+    options = {
+        "intensity": intensity, "resource_types": types and list(types), "codes": codes and list(codes),
+        "disappear": disappear, "appear": appear}
     fresh = state.sparkSession.range(1).select(
         F.lit(batch_id).alias("batch_id"), F.lit(kind).alias("drift_type"),
-        F.lit(seed).cast("long").alias("seed"), applied_at.alias("applied_at"),
+        F.lit(seed).cast("long").alias("seed"), F.lit(json.dumps(options)).alias("options"), applied_at.alias("applied_at"),
         F.lit(None).cast("timestamp").alias("reverted_at"),
         visible_fingerprint(state).alias("parent_fingerprint"),
         visible_fingerprint(snapshot).alias("result_fingerprint"),
@@ -467,6 +490,31 @@ def batch_log(batches: DataFrame, records: DataFrame) -> DataFrame:
     return batches.join(counted, "batch_id", "left").na.fill(0, ["records"]).orderBy("seq")
 
 
+def batch_detail(batches: DataFrame, records: DataFrame, batch_id, after: int | None = None, top: int | None = None) -> DataFrame:
+    """One batch beside a page of its records in record order, with the cursor to go on from.
+
+    A batch without records behind the cursor is one row, an unknown batch none.
+    """
+    mine = page(records.where(F.col("batch_id") == batch_id), "record_id", after, top)
+    return batches.where(F.col("batch_id") == batch_id).join(mine, "batch_id", "left").orderBy("record_id")
+
+
+def revert_states(batches: DataFrame, records: DataFrame) -> DataFrame:
+    """(batch_id, seq, state) of every batch: ``reverted``, ``blocked`` by a newer one, or ``free``.
+
+    A batch is blocked if a newer batch that is in force changed any of its rows. Each row
+    keeps only the newest such batch, so batches are never paired with one another.
+    """
+    known = batches.select("batch_id", "seq", F.col("reverted_at").isNotNull().alias("__done"))
+    touched = records.select("batch_id", "resource_id").distinct().join(known, "batch_id")
+    newest = touched.where(~F.col("__done")).groupBy("resource_id").agg(F.max("seq").alias("__newest"))
+    blocked = touched.join(newest, "resource_id").where(F.col("__newest") > F.col("seq")).select("batch_id").distinct()
+    marked = known.join(blocked.withColumn("__blocked", F.lit(True)), "batch_id", "left")
+    return marked.select(
+        "batch_id", "seq",
+        F.when(F.col("__done"), "reverted").when(F.col("__blocked"), "blocked").otherwise("free").alias("state"))
+
+
 def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change, field, before, after): rows added and removed, and each changed field.
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import UUID
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .paging import page
+
 # --- fixed values: must equal the reference's for right results ---------------------
 MAX_TERM_CHARS = 200
 SEVERITIES = ("high", "medium", "low")
@@ -127,6 +130,19 @@ def assignments(
     return rows
 
 
+def assignment_page(
+    df: DataFrame, owner: str, after: str | None = None, top: int | None = None,
+    principal: str | None = None, at_scope: bool = False,
+) -> DataFrame:
+    """A page of an owner's assignments in order of their UUID.
+
+    UUIDs are kept in lower case, whose text order is their value order; a cursor that is
+    none is an error.
+    """
+    cursor = None if after is None else str(UUID(after))
+    return page(assignment_rows(assignments(df, owner, principal, at_scope)), "name", cursor, top)
+
+
 def assignment_rows(df: DataFrame) -> DataFrame:
     """Served columns of role assignments: full id and role id scoped to the owner."""
     return df.select(

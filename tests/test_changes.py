@@ -1,6 +1,7 @@
 """Change batches: guards, round trips, determinism."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,12 @@ from estatelens.catalogues import types as t
 from estatelens.operators import drift, fingerprint
 
 
+def now_value():
+    return dt.datetime(2024, 1, 1)
+
+
 def now():
-    return F.lit(dt.datetime(2024, 1, 1))
+    return F.lit(now_value())
 
 
 def estate(spark, n=40):
@@ -104,6 +109,26 @@ def test_revert_guards(spark):
     assert content(state) == content(rows)
 
 
+def test_a_batch_is_read_with_its_records(spark):
+    done = drift.apply_changes(estate(spark), *empty(spark), "b1", "chaos", now(), codes=["DRIFT_KV_NO_SOFT_DELETE"], seed=4)
+    row = done.batch.first()
+    assert json.loads(row.options) == {
+        "intensity": 1.0, "resource_types": None, "codes": ["DRIFT_KV_NO_SOFT_DELETE"], "disappear": 0, "appear": 0}
+    got = drift.batch_detail(done.batch, done.records, "b1", 3, 4).collect()
+    assert [r.record_id for r in got] == [4, 5, 6, 7] and {r.next_after for r in got} == {7} and {r.seed for r in got} == {4}
+    assert json.loads(got[0].metadata) == {"drift_code": "DRIFT_KV_NO_SOFT_DELETE", "drift_type": "chaos"}
+    assert [r.record_id for r in drift.batch_detail(done.batch, done.records, "b1", 99).collect()] == [None]
+    assert drift.batch_detail(done.batch, done.records, "b9").count() == 0
+
+
+def test_revert_states(spark):
+    batches = spark.createDataFrame(
+        [("a", 1, None), ("b", 2, None), ("c", 3, now_value()), ("d", 4, None)], "batch_id string, seq int, reverted_at timestamp")
+    records = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "batch_id string, resource_id string")
+    got = {r.batch_id: r.state for r in drift.revert_states(batches, records).collect()}
+    assert got == {"a": "blocked", "b": "free", "c": "reverted", "d": "free"}
+
+
 def test_batches_chain(spark):
     rows = estate(spark)
     first = drift.apply_changes(rows, *empty(spark), "b1", "chaos", now())
