@@ -86,6 +86,7 @@ audited AS (SELECT token,
   CAST(count(*) FILTER (empty) AS BIGINT) AS empty, CAST(count(*) FILTER (NOT empty) AS BIGINT) AS nonempty,
   CAST(count(*) FILTER (NOT empty AND generic AND looks NOT IN ('shared', 'core')) AS BIGINT) AS contents_semantic,
   CAST(count(*) FILTER (NOT empty AND NOT generic AND kept <> token) AS BIGINT) AS unconfirmed,
+  CAST(count(*) FILTER (NOT empty AND NOT generic AND NOT known) AS BIGINT) AS unknown_token,
   CAST(count(*) FILTER (NOT empty AND known AND anchored) AS BIGINT) AS with_anchor,
   CAST(count(*) FILTER (NOT empty AND known AND NOT anchored) AS BIGINT) AS anchorless,
   CAST(count(*) FILTER (NOT empty AND known AND NOT anchored AND token <> 'monitoring') AS BIGINT) AS anchorless_needed,
@@ -129,6 +130,31 @@ def unconfirmed_examples(spark, folder):
     return coherence.examples(groups.withColumn("resource_group", F.concat_ws("/", "owner", "resource_group")))
 
 
+FAULTS = """
+faults AS (
+  SELECT 'empty' AS kind, '' AS scope, 5 AS most, token, name, '' AS instead FROM named WHERE empty AND NOT generic
+  UNION ALL SELECT 'unconfirmed', '', 5, token, name, kept FROM named WHERE NOT empty AND NOT generic AND kept <> token
+  UNION ALL SELECT 'anchorless', token, 5, token, name, '' FROM named WHERE NOT empty AND known AND NOT anchored
+  UNION ALL SELECT 'cross', token, 3, token, name, looks FROM named
+    WHERE NOT empty AND NOT generic AND looks <> token AND looks NOT IN ('shared', 'core')),
+contents AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) || '/' || o_orderpriority AS name, %s AS type
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+placed AS (SELECT *, row_number() OVER (PARTITION BY kind, scope ORDER BY name, token) AS i FROM faults)
+""" % ("CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONTENT_TYPES.items()) + " ELSE p_type END")
+
+
+@query(
+    "audit_examples",
+    with_views(b.DECLARED_GROUPS, CLAIMED, "named AS (SELECT *, owner || '/' || resource_group AS name FROM judged)", FAULTS)
+    + "SELECT kind, token, name, instead, coalesce((SELECT string_agg(type, ',' ORDER BY type) FROM (SELECT type FROM contents c WHERE c.name = p.name "
+    "ORDER BY type LIMIT 6)), '') AS types FROM placed p WHERE i <= most",
+)
+def audit_examples(spark, folder):
+    groups = claimed_groups(spark, folder)
+    found = coherence.audit_examples(groups.withColumn("resource_group", F.concat_ws("/", "owner", "resource_group")))
+    return found.select("kind", "token", "name", F.coalesce("instead", F.lit("")).alias("instead"), F.array_join("types", ",").alias("types"))
+
+
 @query("token_coverage", with_views(b.DECLARED_GROUPS, CLAIMED) + "SELECT token, count(*) AS n FROM groups GROUP BY 1")
 def token_coverage(spark, folder):
     return coherence.token_coverage(claimed_groups(spark, folder), "token")

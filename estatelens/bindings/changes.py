@@ -484,17 +484,50 @@ def scan_read_back(spark, folder):
     return totals(scan_io.load_scan(spark, target))
 
 
+def content(df):
+    """Rows and the sum of their hashes over all columns, whatever their order."""
+    hashed = F.xxhash64(*[F.col(c) if t[:3] != "map" else F.to_json(c) for c, t in sorted(df.dtypes)])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(hashed.cast("decimal(38,0)")).alias("h"))
+
+
+def compared(written, read):
+    """(table, n, same): rows read back, and whether each column's values are those that were written."""
+    out = None
+    for name, df in written.items():
+        held = set(read[name].columns) >= set(df.columns)
+        back = content(read[name].select(*df.columns)) if held else read[name].limit(0).agg(F.lit(0).alias("n"), F.lit(-1).alias("h"))
+        one = content(df).select(F.col("n").alias("n0"), F.col("h").alias("h0")).join(back).select(
+            F.lit(name).alias("table"), "n", ((F.col("n") == F.col("n0")) & F.col("h").eqNullSafe(F.col("h0")) & (F.col("n") > 0)).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "estate_read_back",
     with_views(b.ESTATE)
-    + "SELECT 'resources' AS \"table\", count(*) AS n FROM estate UNION ALL SELECT 'subscriptions', count(*) FROM customer "
-    "UNION ALL SELECT 'resource_groups', count(*) FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) "
-    "UNION ALL SELECT 'cost_records', count(*) FROM (SELECT DISTINCT l_orderkey, date_trunc('month', l_shipdate) FROM lineitem)",
+    + "SELECT 'resources' AS \"table\", count(*) AS n, true AS same FROM estate UNION ALL SELECT 'subscriptions', count(*), true FROM customer "
+    "UNION ALL SELECT 'resource_groups', count(*), true FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) "
+    "UNION ALL SELECT 'cost_records', count(*), true FROM (SELECT DISTINCT l_orderkey, date_trunc('month', l_shipdate) FROM lineitem)",
 )
 def estate_read_back(spark, folder):
-    target = scratch_path(spark, "estate")
-    estate_io.write_estate(estate_tables(spark, folder), target)
-    return totals(estate_io.read_estate(spark, target))
+    """Every table written and read, compared over all columns (sums of costs in whole cents)."""
+    target, tables = scratch_path(spark, "estate"), estate_tables(spark, folder)
+    tables["cost_records"] = tables["cost_records"].withColumn("cost_amount", F.round("cost_amount", 2))
+    estate_io.write_estate(tables, target)
+    return compared(tables, estate_io.read_estate(spark, target))
+
+
+@query(
+    "owner_read_back",
+    with_views(b.ESTATE)
+    + "SELECT id FROM estate WHERE id LIKE '/subscriptions/' || (SELECT min(o_custkey) FROM orders) || '/%'",
+)
+def owner_read_back(spark, folder):
+    """One owner's rows out of an estate of few buckets."""
+    target, tables = scratch_path(spark, "estate"), estate_tables(spark, folder)
+    estate_io.write_estate({"resources": tables["resources"]}, target, buckets=5)
+    owner = b.table(spark, folder, "orders").agg(F.min("o_custkey")).first()[0]
+    return estate_io.owner_rows(spark, target, str(owner)).select("id")
 
 
 @query(

@@ -123,8 +123,8 @@ def event_stream(spark, folder):
 
 @query("streamed_totals", with_views(b.REQUESTS) + "SELECT status, route, count(*) AS n FROM requests GROUP BY 1, 2")
 def streamed_totals(spark, folder):
-    sink = streaming.Sink(spark, "totals")
-    return sink.drain(streaming.running_totals(event_stream(spark, folder), "status", "route"), "complete").latest()
+    sink = streaming.Sink(spark, scratch_path(spark, "totals"))
+    return sink.replace(streaming.running_totals(event_stream(spark, folder), "status", "route")).latest()
 
 
 @query(
@@ -133,8 +133,8 @@ def streamed_totals(spark, folder):
     + "SELECT CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS second, count(*) AS count, max(latency) AS max FROM requests GROUP BY 1",
 )
 def streamed_windows(spark, folder):
-    sink = streaming.Sink(spark, "windows")
-    sink.drain(streaming.latency_windows(event_stream(spark, folder), "ts", "latency"), "update")
+    sink = streaming.Sink(spark, scratch_path(spark, "windows"))
+    sink.update(streaming.latency_windows(event_stream(spark, folder), "ts", "latency"), ["window_start"])
     return sink.updated(["window_start"]).select(
         F.unix_seconds("window_start").alias("second"), "count", "max")
 
@@ -150,11 +150,11 @@ def streamed_windows(spark, folder):
 def streamed_late_requests(spark, folder):
     """Two arrivals, the second of them mostly too late for its windows."""
     arrivals = scratch_path(spark, "arrivals")
-    rows, sink = b.requests(spark, folder), streaming.Sink(spark, "late")
+    rows, sink = b.requests(spark, folder), streaming.Sink(spark, scratch_path(spark, "late"))
     for parity in (0, 1):
         rows.where(F.col("event_id") % 2 == parity).write.mode("append").parquet(arrivals)
         stream = streaming.read_events(spark, arrivals)
-        sink.drain(streaming.latency_windows(stream, "ts", "latency", "1 hour"), "update")
+        sink.update(streaming.latency_windows(stream, "ts", "latency", "1 hour"), ["window_start"])
     return sink.updated(["window_start"]).select(
         (F.unix_seconds("window_start") / HOUR).cast("long").alias("hour"), "count", "max")
 
@@ -166,7 +166,7 @@ def streamed_late_requests(spark, folder):
     "QUALIFY position <= 2000",
 )
 def streamed_ring(spark, folder):
-    ring = streaming.keep_ring(streaming.Sink(spark, "ring"), event_stream(spark, folder))
+    ring = streaming.keep_ring(streaming.Sink(spark, scratch_path(spark, "ring")), event_stream(spark, folder))
     return streaming.numbered_ring(ring).select("event_id", "route", F.col("position").cast("long").alias("position"))
 
 

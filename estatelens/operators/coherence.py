@@ -6,7 +6,7 @@ itself: matching needs no join and no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.catalogues import archetypes as catalogue
@@ -19,6 +19,8 @@ MAX_CROSS_PERCENT = 1.0
 MIN_GROUPS_AUDITED = 1
 MIN_ROLE_GROUPS_AUDITED = 1
 EXAMPLES = 5
+CROSS_EXAMPLES = 3
+EXAMPLE_TYPES = 6
 
 
 class Evidence:
@@ -150,11 +152,8 @@ def confirm_archetype(
     return evidence.drop(rows)
 
 
-def audit(
-    groups: DataFrame, token: str = "token", types: str = "type_set",
-    entries: tuple[Archetype, ...] = ARCHETYPES,
-) -> DataFrame:
-    """Per claimed token: how many groups, and how their contents compare with the claim."""
+def _judged(groups: DataFrame, token: str, types: str, entries: tuple[Archetype, ...], *keep: str) -> tuple[DataFrame, dict[str, Column]]:
+    """One row per row of ``groups`` with its verdicts, and the conditions that are counted."""
     evidence = Evidence(entries)
     everywhere = {t.lower() for t in catalogue.UBIQUITOUS_TYPES}
 
@@ -168,6 +167,7 @@ def audit(
     claim = F.col("token")
     rows = evidence.add(groups.withColumn("token", F.col(token)), types).select(
         "token",
+        *keep,
         "__empty",
         _looks_like(evidence).alias("__looks"),
         _confirmation(evidence, claim)["token"].alias("__kept"),
@@ -184,11 +184,12 @@ def audit(
     same = F.col("__looks") == F.col("token")
     known_claim = claims & F.col("__known")
     anchored, needs = F.col("__anchored"), F.col("__needs")
-    measures = {
+    return rows, {
         "empty": F.col("__empty"),
         "nonempty": full,
         "contents_semantic": full & F.col("__generic") & ~looks_generic,
         "unconfirmed": claims & (F.col("__kept") != F.col("token")),
+        "unknown_token": claims & ~F.col("__known"),
         "with_anchor": known_claim & anchored,
         "anchorless": known_claim & ~anchored,
         "anchorless_needed": known_claim & ~anchored & needs,
@@ -199,7 +200,54 @@ def audit(
         "thin": claims & ~same & looks_generic,
         "cross": claims & ~same & ~looks_generic,
     }
-    return rows.groupBy("token").agg(*[F.count_if(c).alias(name) for name, c in measures.items()])
+
+
+def audit(
+    groups: DataFrame, token: str = "token", types: str = "type_set",
+    entries: tuple[Archetype, ...] = ARCHETYPES,
+) -> DataFrame:
+    """Per claimed token: how many groups, and how their contents compare with the claim.
+
+    Groups with the same claim and the same types are judged once.
+    """
+    alike = groups.groupBy(F.col(token).alias("__token"), F.col(types).alias("__types")).agg(F.count(F.lit(1)).alias("__n"))
+    rows, measures = _judged(alike, "__token", "__types", entries, "__n")
+    return rows.groupBy("token").agg(*[
+        F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0)).alias(name) for name, c in measures.items()])
+
+
+def audit_examples(
+    groups: DataFrame, token: str = "token", types: str = "type_set", name: str = "resource_group",
+    entries: tuple[Archetype, ...] = ARCHETYPES, limit: int = EXAMPLES, cross_limit: int = CROSS_EXAMPLES,
+) -> DataFrame:
+    """(kind, token, name, instead, types): the first groups by name of each kind of fault.
+
+    Empty groups under a claim, unconfirmed and undeclared ones: ``limit`` in all; groups
+    without their anchor: ``limit`` per token; contents of another shape: ``cross_limit``
+    per token. ``instead`` is the token that the contents back or look like, ``types`` the
+    first few types. Only the first rows of each task reach the shuffle.
+    """
+    rows, measures = _judged(groups, token, types, entries, name, types)
+    claim_over_nothing = F.col("__empty") & ~F.col("__generic") & (F.col("token") != "?")
+    none = F.lit(None).cast("string")
+    kinds = [
+        ("empty", claim_over_nothing, none, False), ("unconfirmed", measures["unconfirmed"], F.col("__kept"), False),
+        ("anchorless", measures["anchorless"], none, True), ("cross", measures["cross"], F.col("__looks"), True),
+        ("undeclared", measures["undeclared_ubiquitous"], none, False)]
+    marks = F.array(*[
+        F.when(c, F.struct(
+            F.lit(kind).alias("kind"), instead.alias("instead"),
+            (F.col("token") if per_token else F.lit("")).alias("__scope")))
+        for kind, c, instead, per_token in kinds])
+    found = rows.select(
+        "token", F.col(name).alias("name"), F.slice(F.sort_array(F.array_distinct(types)), 1, EXAMPLE_TYPES).alias("types"),
+        F.inline(F.filter(marks, lambda m: m.isNotNull())))
+    place = F.row_number().over(Window.partitionBy("kind", "__scope").orderBy("name", "token"))
+    allowed = F.when(F.col("kind") == "cross", cross_limit).otherwise(limit)
+    return (
+        found.withColumn("__i", place)
+        .where((F.col("__i") <= max(limit, cross_limit)) & (F.col("__i") <= allowed))
+        .select("kind", "token", "name", "instead", "types"))
 
 
 def examples(

@@ -15,7 +15,7 @@ from .joins import beside, join_same, scalar
 from .ranking import keyed_rank, rank_in_buckets
 
 SLOTS = 256
-GAMMA_TRIES = 6
+GAMMA_TRIES = 64
 
 # --- fixed values: must equal the reference's for right results ---------------------
 TOLERANCE = 0.05
@@ -77,23 +77,25 @@ def expand(df: DataFrame, count: str, position: str) -> DataFrame:
 def gamma(shape: Column, scale: Column, seed: int, purpose: str, *key) -> Column:
     """Gamma draw by the Marsaglia-Tsang method, tries keyed by their number.
 
-    A try succeeds in more than 95 of 100 cases; after the last one the cube of a normal
-    variate that the method starts from is used as it is. Shapes below 1 are drawn one
-    higher and scaled down.
+    A try succeeds in more than 95 of 100 cases, and later ones are only evaluated where
+    the earlier ones failed; that all of them fail is less likely than 1e-80. A rejected
+    value is never used. Shapes below 1 are drawn one higher and scaled down.
     """
     low = shape < 1
     k = F.when(low, shape + 1).otherwise(shape)
     d = k - F.lit(1.0 / 3.0)
     c = F.lit(1.0) / F.sqrt(F.lit(9.0) * d)
-    tries = []
-    cube = F.lit(None).cast("double")
-    for i in range(GAMMA_TRIES):
-        z = normal(seed, f"{purpose}/gamma{i}", *key)
+
+    def attempt(number: Column) -> Column:
+        z = normal(seed, f"{purpose}/gamma", number, *key)
         cube = F.pow(F.lit(1.0) + c * z, F.lit(3.0))
-        u = F.lit(1.0) - uniform(seed, f"{purpose}/accept{i}", *key)
+        u = F.lit(1.0) - uniform(seed, f"{purpose}/accept", number, *key)
         fits = (cube > 0) & (F.log(u) < z * z / 2 + d - d * cube + d * F.log(F.greatest(cube, F.lit(1e-300))))
-        tries.append(F.when(fits, d * cube))
-    value = F.coalesce(*tries, d * F.greatest(cube, F.lit(0.0)))
+        return F.when(fits, d * cube)
+
+    later = F.sequence(F.lit(1), F.lit(GAMMA_TRIES))
+    none = F.lit(None).cast("double")
+    value = F.coalesce(attempt(F.lit(0)), F.aggregate(later, none, lambda got, i: F.coalesce(got, attempt(i))))
     boost = F.when(low, F.pow(F.lit(1.0) - uniform(seed, f"{purpose}/boost", *key), F.lit(1.0) / shape)).otherwise(1.0)
     return value * boost * scale
 

@@ -54,3 +54,26 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.getFileStatus(where).isFile()
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    files, where = _hadoop(spark, path)
+    if not files.exists(where):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)

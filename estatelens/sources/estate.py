@@ -14,7 +14,8 @@ ORDER = (
     "cost_records", "principals", "role_assignments", "drift_batches", "drift_records",
 )
 PARTITIONED = {"cost_records": ["billing_period"]}
-BUCKETS = 64
+BUCKETS = 64  # of owners, unless the writer names another number
+LAYOUT = "layout"  # keeps the number of buckets beside the tables
 
 
 class EstateError(ValueError):
@@ -32,11 +33,12 @@ def check_references(tables: dict[str, DataFrame]) -> None:
         raise EstateError("a role assignment has an unknown scope or principal")
 
 
-def write_estate(tables: dict[str, DataFrame], folder: str, force: bool = False) -> None:
+def write_estate(tables: dict[str, DataFrame], folder: str, force: bool = False, buckets: int = BUCKETS) -> None:
     """Replace the whole estate; a target that holds rows is refused unless forced.
 
-    Resources are partitioned by a hash of their owner and sorted by owner, so reads of
-    one owner skip the other files; costs are partitioned by period.
+    Resources are partitioned by a hash of their owner into ``buckets``, which are split
+    into ranges of owner and id, so reads of one owner skip the other buckets and, within
+    the bucket, the files of other ranges; costs are partitioned by period.
     """
     spark = next(iter(tables.values())).sparkSession
     check_references(tables)
@@ -47,14 +49,15 @@ def write_estate(tables: dict[str, DataFrame], folder: str, force: bool = False)
             continue
         df, partitions = tables[name], PARTITIONED.get(name, [])
         if name == "resources":
-            df = df.withColumn("owner_bucket", F.pmod(F.xxhash64("subscription_id"), F.lit(BUCKETS)).cast("int"))
+            df = df.withColumn("owner_bucket", F.pmod(F.xxhash64("subscription_id"), F.lit(buckets)).cast("int"))
             partitions = ["owner_bucket"]
-        if partitions:
+            order = ["owner_bucket", "subscription_id", "id"]
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            spark.createDataFrame([(name, buckets)], "table string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{LAYOUT}")
+        elif partitions:
             # Adaptive execution splits a hot partition over several tasks and files, and
             # joins small ones.
             df = df.hint("rebalance", *[F.col(c) for c in partitions])
-        if name == "resources":
-            df = df.sortWithinPartitions("owner_bucket", "subscription_id", "id")
         df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{folder}/{name}")
 
 
@@ -75,8 +78,9 @@ def read_estate(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def owner_rows(resources_path: str, spark: SparkSession, owner: str) -> DataFrame:
-    """One owner's rows, reading only that owner's bucket."""
-    rows = spark.read.parquet(resources_path)
-    bucket = F.pmod(F.xxhash64(F.lit(owner)), F.lit(BUCKETS)).cast("int")
+def owner_rows(spark: SparkSession, folder: str, owner: str) -> DataFrame:
+    """One owner's resources, reading only that owner's bucket."""
+    buckets = spark.read.parquet(f"{folder}/{LAYOUT}").where(F.col("table") == "resources").first()["buckets"]
+    rows = spark.read.parquet(f"{folder}/resources")
+    bucket = F.pmod(F.xxhash64(F.lit(owner)), F.lit(buckets)).cast("int")
     return rows.where((F.col("owner_bucket") == bucket) & (F.col("subscription_id") == owner)).drop("owner_bucket")
