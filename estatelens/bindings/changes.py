@@ -173,7 +173,14 @@ def sampled_change_counts(spark, folder):
     return counted.join(plan.select("drift_code", F.col("quota").alias("rows")), "drift_code")
 
 
-@query("sampled_deltas")
+@query(
+    "sampled_deltas",
+    with_views(
+        b.ESTATE, f"every AS ({delta_sql(CHAOS)})",
+        "drawn AS (SELECT *, count(*) OVER (PARTITION BY drift_code) AS n, "
+        "row_number() OVER (PARTITION BY drift_code ORDER BY substr(md5('11:drift:' || drift_code || ':' || id), 1, 15), id) AS i FROM every)",
+        "deltas AS (SELECT * FROM drawn WHERE i <= round_even(0.25 * n, 0))") + SHOWN,
+)
 def sampled_deltas(spark, folder):
     seen = state(spark, folder).where(F.col(drift.HIDE_PATH).isNull())
     return shown(drift.compute_deltas(seen, "chaos", intensity=0.25, seed=11)[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from estatelens.functions.keyed import bernoulli, normal, normal_count, skewed_count, uniform
@@ -13,9 +15,27 @@ from .registry import query, with_views
 SEED = 42
 
 
+def sql_uniform(purpose, key, seed=SEED):
+    """The draw of `keyed.uniform` in SQL."""
+    return f"((CAST('0x' || substr(md5('{seed}:{purpose}:' || {key}), 1, 15) AS UBIGINT) // 128) / 9007199254740992.0::DOUBLE)"
+
+
+def sql_normal(purpose, key):
+    return (
+        f"(sqrt(-2 * ln(1 - {sql_uniform(purpose + '/radius', key)})) * cos({2 * math.pi!r}::DOUBLE * {sql_uniform(purpose + '/angle', key)}))")
+
+
 # --- single draws over the given tables: SAM-01..05, SAM-09 -----------------------------
 
-@query("drawn_locations")
+@query(
+    "drawn_locations",
+    with_views(
+        b.SCAN, "h AS (SELECT o_orderpriority AS p, location AS label, count(*) AS w FROM scan GROUP BY 1, 2)",
+        "c AS (SELECT p, label, sum(w) OVER (PARTITION BY p ORDER BY label) / sum(w) OVER (PARTITION BY p) AS high FROM h)",
+        f"d AS (SELECT o_orderkey, o_orderpriority AS p, {sql_uniform('place', 'o_orderkey')} AS u FROM orders)",
+        "drawn AS (SELECT o_orderkey, d.p, arg_min(label, high) AS location FROM d LEFT JOIN c ON c.p = d.p AND high > u GROUP BY 1, 2)")
+    + "SELECT p AS o_orderpriority, location, count(*) AS n FROM drawn GROUP BY 1, 2",
+)
 def drawn_locations(spark, folder):
     """A location for every order, drawn from the suppliers' nations per priority."""
     hist = b.scan_rows(spark, folder, "resource_group", "location").groupBy(
@@ -25,7 +45,14 @@ def drawn_locations(spark, folder):
     return rows.groupBy("o_orderpriority", "location").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("drawn_counts")
+@query(
+    "drawn_counts",
+    # The lognormal draw of mean 20 and deviation 40 has a log-variance of ln 5.
+    f"WITH z AS (SELECT o_orderpriority, {sql_normal('z', 'o_orderkey')} AS z, {sql_uniform('flip', 'o_orderkey')} AS u FROM orders) "
+    "SELECT o_orderpriority, round(avg(greatest(0, least(60, round_even(20 + 4 * z, 0)))), 4) AS a, "
+    "round(avg(greatest(0, round_even(exp(ln(20) - ln(5) / 2 + sqrt(ln(5)) * z), 0))), 4) AS c, "
+    "round(avg((u < 0.25)::INT), 4) AS p FROM z GROUP BY 1",
+)
 def drawn_counts(spark, folder):
     """Normal, lognormal and Bernoulli draws for every order, with their averages."""
     z = normal(SEED, "z", "o_orderkey")

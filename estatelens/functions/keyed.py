@@ -14,8 +14,17 @@ from pyspark.sql import functions as F
 from .text import ColumnOrName, col
 
 
+HEX_DIGITS = 15  # of the digest, which are 60 bits
+
+
 def key_hash(seed: int, purpose: str, *key: ColumnOrName) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit(purpose), *[col(k) for k in key])
+    """60 random bits at the top of a long: the first digits of an MD5 of the key as text.
+
+    Any SQL engine has MD5, so a draw can be recomputed elsewhere.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *[col(k).cast("string") for k in key])
+    digits = F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 64 - 4 * HEX_DIGITS)
 
 
 def uniform(seed: int, purpose: str, *key: ColumnOrName) -> Column:
@@ -74,7 +83,7 @@ def pick(labels: Column, cumulative: Column, u: Column) -> Column:
 def pick_word(words, seed: int, purpose: str, *key: ColumnOrName) -> Column:
     """One entry of a fixed word list, each equally likely."""
     vocabulary = F.array(*[F.lit(w) for w in words])
-    index = F.pmod(key_hash(seed, purpose, *key), F.lit(len(words))).cast("int")
+    index = F.pmod(F.shiftrightunsigned(key_hash(seed, purpose, *key), 4), F.lit(len(words))).cast("int")
     return F.element_at(vocabulary, index + 1)
 
 
@@ -104,9 +113,9 @@ def keyed_uuid(seed: int, purpose: str, *key: ColumnOrName) -> Column:
 
 
 def keyed_letters(n: int, seed: int, purpose: str, *key: ColumnOrName) -> Column:
-    """``n`` lower-case letters."""
+    """``n`` lower-case letters, at most eleven."""
     h = key_hash(seed, purpose, *key)
     letters = [
-        F.char(F.pmod(F.shiftrightunsigned(h, 5 * i), F.lit(26)) + F.lit(97)) for i in range(n)
+        F.char(F.pmod(F.shiftrightunsigned(h, 4 + 5 * i), F.lit(26)) + F.lit(97)) for i in range(n)
     ]
     return F.concat(*letters)

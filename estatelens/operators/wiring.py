@@ -28,6 +28,6 @@ def pick_partner(rows: DataFrame, pool: DataFrame, seed: int, purpose: str, out:
     """Add a random member of the owner's pool to each row; NULL where the pool is empty."""
     sizes = pool.where(F.col("number") == 1).select(OWNER, "size")
     sized = rows.join(sizes, OWNER, "left").withColumn(
-        "__number", F.pmod(key_hash(seed, purpose, "id"), F.col("size")) + 1)
+        "__number", F.pmod(F.shiftrightunsigned(key_hash(seed, purpose, "id"), 4), F.col("size")) + 1)
     members = pool.select(OWNER, F.col("number").alias("__number"), F.col("member").alias(out))
     return sized.join(members, [OWNER, "__number"], "left").drop("size", "__number")
