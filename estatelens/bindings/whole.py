@@ -151,10 +151,10 @@ def profile_leaks(spark, folder):
 
 @query("profile_document_read_back")
 def profile_document_read_back(spark, folder):
-    """The profile as one nested JSON document, and back to the long form."""
+    """The profile as a JSON document in lines, and back to the long form."""
     path = scratch_path(spark, "document")
-    profiles.profile_document(written_profile(spark, folder)).write.json(path)
-    return shown(profiles.read_document(spark, path))
+    profiles.document_lines(written_profile(spark, folder)).write.text(path)
+    return shown(profiles.read_document(spark, path, lines=True))
 
 
 @query("owner_archetypes")

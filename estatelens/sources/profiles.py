@@ -1,4 +1,4 @@
-"""Profiles on disk: long rows, and the nested JSON document."""
+"""Profiles on disk: long rows, the nested JSON document, and the same document in lines."""
 
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ def _measured(profile: DataFrame, section: str, measures: list[str]) -> DataFram
         *[F.max(F.when(F.col("key2") == m, F.col("value"))).alias(m) for m in measures])
 
 
-def _archetype_array(profile: DataFrame) -> Column:
+def _archetype_rows(profile: DataFrame) -> DataFrame:
     stats = ("mean", "std", "min", "max")
     counts = [f"{c}_{m}" for c in ("rg_count", "resource_count") for m in stats]
     rows = _measured(profile, "archetypes", ["weight", "tag_density_mean", "tag_density_std", *counts])
@@ -95,10 +95,10 @@ def _archetype_array(profile: DataFrame) -> Column:
         "id", "weight", of("rg_count").alias("resource_group_count"), of("resource_count").alias("resource_count"),
         "location_distribution",
         F.struct(F.col("tag_density_mean").alias("mean"), F.col("tag_density_std").alias("std")).alias("tag_density"))
-    return rows.join(places, "id", "left").agg(F.collect_list(entry)).scalar()
+    return rows.join(places, "id", "left").select(entry.alias("entry"))
 
 
-def _template_array(profile: DataFrame) -> Column:
+def _template_rows(profile: DataFrame) -> DataFrame:
     stats = _measured(profile, "templates", ["weight", "mean", "std", "min", "max", "empty_share"])
     types = profile.where(F.col("section") == "template_types").groupBy(F.col("key1").alias("id")).agg(
         F.sort_array(F.collect_list("key2")).alias("type_set"))
@@ -106,26 +106,82 @@ def _template_array(profile: DataFrame) -> Column:
         F.map_from_entries(F.collect_list(F.struct("key2", "value"))).alias("type_weights"))
     entry = F.struct(
         "id", "weight", "type_set", F.struct("mean", "std", "min", "max").alias("resource_count"), "type_weights", "empty_share")
-    return stats.join(types, "id", "left").join(weights, "id", "left").agg(F.collect_list(entry)).scalar()
+    return stats.join(types, "id", "left").join(weights, "id", "left").select(entry.alias("entry"))
 
 
-def _cost_map(profile: DataFrame) -> Column:
+def _cost_rows(profile: DataFrame) -> DataFrame:
     rows = _measured(profile, "cost_distributions", ["mu", "sigma", "shape", "scale", "sample_count"])
     family = F.when(F.col("shape").isNotNull(), "gamma").otherwise("lognormal")
     entry = F.struct(
         family.alias("distribution"), "mu", "sigma", "shape", "scale", F.col("sample_count").cast("bigint").alias("sample_count"))
-    return rows.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id"), entry)))).scalar()
+    return rows.select("id", entry.alias("entry"))
+
+
+# Where the document keeps a section of single values, and one of values by two keys.
+SINGLE = {
+    "source_stats": "source_stats", "tag_key_frequencies": "tag_distributions.key_frequencies",
+    "tag_value_cardinality": "tag_distributions.value_cardinality",
+    "untagged_rate_by_type": "tag_distributions.untagged_rate_by_type",
+    "naming_patterns": "naming_conventions.pattern_frequencies", "violation_rates": "governance_violations.type_frequencies",
+}
+WHOLE_NUMBERS = ("source_stats", "tag_value_cardinality")
+DOUBLE = {
+    "tag_value_distributions": "tag_distributions.value_distributions", "tag_key_cooccurrence": "tag_distributions.key_cooccurrence",
+    "type_cooccurrence": "resource_type_cooccurrence", "naming_positions": "naming_conventions.position_token_classes",
+}
+SHAPES = {"properties": "property_distributions", "sku": "sku_distributions"}
+
+
+def _at(path: str, value: Column) -> Column:
+    """JSON of a document that holds one value at ``path``."""
+    for name in reversed(path.split(".")):
+        value = F.struct(value.alias(name))
+    return F.to_json(value)
+
+
+def document_lines(profile: DataFrame, version: str = "1.2") -> DataFrame:
+    """The document as JSON lines (``value``): each a document with one entry of one section.
+
+    Together they say what the nested document says, and a profile of any size can be
+    written so: only one template, archetype or cost fit is ever put together.
+    """
+    section, value = F.col("section"), F.col("value")
+    types = "resource_type_distributions"
+    lines = [F.when(section == "resource_types", _at(types, F.create_map("key1", F.struct(value.alias("frequency")))))]
+    for name, path in SINGLE.items():
+        held = value.cast("bigint") if name in WHOLE_NUMBERS else value
+        lines.append(F.when(section == name, _at(path, F.create_map("key1", held))))
+    for name, path in DOUBLE.items():
+        lines.append(F.when(section == name, _at(path, F.create_map("key1", F.create_map("key2", value)))))
+    part, type_ = F.split("key1", "\\|")[0], F.split("key1", "\\|")[1]
+    for name, field in SHAPES.items():
+        shares = F.create_map("key2", F.create_map("key3", value))
+        lines.append(F.when((section == "type_shapes") & (part == name), _at(types, F.create_map(type_, F.struct(shares.alias(field))))))
+    kinds = F.struct(F.create_map("key3", value).alias("kind_distributions"))
+    lines.append(F.when((section == "type_shapes") & (part == "kind"), _at(types, F.create_map(type_, kinds))))
+    head = profile.sparkSession.range(1).select(F.to_json(F.struct(
+        F.lit(version).alias("version"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("extracted_at"))).alias("value"))
+    parts = [
+        profile.select(F.coalesce(*lines).alias("value")).where("value IS NOT NULL"),
+        _template_rows(profile).select(_at("resource_group_templates", F.array("entry")).alias("value")),
+        _archetype_rows(profile).select(_at("subscription_archetypes", F.array("entry")).alias("value")),
+        _cost_rows(profile).select(_at("cost_distributions", F.create_map("id", "entry")).alias("value")),
+    ]
+    for lines_of_part in parts:
+        head = head.unionByName(lines_of_part)
+    return head
 
 
 def profile_document(profile: DataFrame, version: str = "1.2") -> DataFrame:
     """One nested row with every section the document format knows.
 
     A document is one value, so it is only built below a checked number of entries; the
-    long form has no such bound.
+    long form and `document_lines` have no such bound.
     """
     n = profile.count()
     if n > MAX_DOCUMENT_ENTRIES:
-        raise TooLarge(f"{n} entries do not fit one document")
+        raise TooLarge(f"{n} entries do not fit one document; write its lines")
     flat = profile.agg(
         _shares("source_stats").alias("source_stats"),
         _shares("tag_key_frequencies").alias("key_frequencies"),
@@ -139,8 +195,8 @@ def profile_document(profile: DataFrame, version: str = "1.2") -> DataFrame:
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("extracted_at"),
         F.transform_values("source_stats", lambda _, v: v.cast("bigint")).alias("source_stats"),
         _type_map(profile).alias("resource_type_distributions"),
-        _template_array(profile).alias("resource_group_templates"),
-        _archetype_array(profile).alias("subscription_archetypes"),
+        _template_rows(profile).agg(F.collect_list("entry")).scalar().alias("resource_group_templates"),
+        _archetype_rows(profile).agg(F.collect_list("entry")).scalar().alias("subscription_archetypes"),
         F.struct(
             "key_frequencies", _nested(profile, "tag_value_distributions").alias("value_distributions"),
             _nested(profile, "tag_key_cooccurrence").alias("key_cooccurrence"),
@@ -152,13 +208,13 @@ def profile_document(profile: DataFrame, version: str = "1.2") -> DataFrame:
             "pattern_frequencies", _nested(profile, "naming_positions").alias("position_token_classes"),
         ).alias("naming_conventions"),
         F.struct("type_frequencies").alias("governance_violations"),
-        _cost_map(profile).alias("cost_distributions"),
+        _cost_rows(profile).agg(F.map_from_entries(F.collect_list(F.struct("id", "entry")))).scalar().alias("cost_distributions"),
     )
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The long form of a nested profile document, checked before it is used."""
-    doc = spark.read.schema(DOCUMENT).json(path, multiLine=True)
+def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The long form of a profile document, nested or in lines, checked before it is used."""
+    doc = spark.read.schema(DOCUMENT).json(path, multiLine=not lines)
     none = F.lit(None).cast("string")
 
     def rows(df: DataFrame, section: str, value, *keys) -> DataFrame:

@@ -145,10 +145,14 @@ def test_broken_profiles_are_refused(spark, built):
             plan.check_profile(bad)
 
 
-def test_document_round_trip(spark, built, tmp_path):
+@pytest.mark.parametrize("lines", [False, True])
+def test_document_round_trip(spark, built, tmp_path, lines):
     frame, _, _ = built
-    profiles.profile_document(frame).coalesce(1).write.json(str(tmp_path / "d"))
-    back = profiles.read_document(spark, str(tmp_path / "d"))
+    if lines:
+        profiles.document_lines(frame).write.text(str(tmp_path / "d"))
+    else:
+        profiles.profile_document(frame).coalesce(1).write.json(str(tmp_path / "d"))
+    back = profiles.read_document(spark, str(tmp_path / "d"), lines)
     same = frame.where(~F.col("section").isin("coverage", "location_distribution", "topology"))
     assert back.exceptAll(same).isEmpty()
     assert same.exceptAll(back).isEmpty()
