@@ -26,7 +26,7 @@ from estatelens.session import settle
 from .fingerprint import fingerprint
 from .integrity import blocking_batches, removable
 from .paging import page
-from .ranking import keyed_rank, planned_count, rank_in_buckets, sample_exactly, top_n
+from .ranking import keyed_rank, planned_count, rank_in_buckets, rank_in_ranges, sample_exactly
 
 ANY_TYPE = "*"
 APPEAR, DISAPPEAR = "DRIFT_APPEAR", "DRIFT_DISAPPEAR"
@@ -303,10 +303,10 @@ def appearing(groups: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` new untagged rows, dealt to the groups in turn by name.
 
     ``groups`` has subscription_id, name and location. No more than ``count`` groups can
-    get a row, so no more are numbered.
+    get a row, so no others are kept.
     """
-    dealt = top_n(groups, count, [F.asc("name"), F.asc("subscription_id")], "turn")
-    held = F.broadcast(dealt.withColumnRenamed("name", "resource_group"))  # at most ``count`` rows
+    dealt = rank_in_ranges(groups, [], ["name", "subscription_id"], "turn").where(F.col("turn") <= count)
+    held = dealt.withColumnRenamed("name", "resource_group")
     groups_in_turn = dealt.agg(F.max("turn")).scalar()
     spark = groups.sparkSession
     minted = spark.range(count).withColumn("turn", F.col("id") % groups_in_turn + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.functions.keyed import key_hash
+from estatelens.session import settle
 from .joins import join_same
 
 LEAST_BUCKET_BITS = 12
@@ -24,8 +25,7 @@ def top_n(df: DataFrame, n: int, order: list[Column], rank: str = "rank") -> Dat
 def split_top(df: DataFrame, n: int, order: list[Column], key: str) -> tuple[DataFrame, DataFrame]:
     """The top rows and the remainder, for folding. ``key`` identifies a row."""
     top = top_n(df, n, order)
-    # At most n keys, so the broadcast is bounded by the argument.
-    rest = df.join(F.broadcast(top.select(key)), key, "left_anti")
+    rest = df.join(top.select(key), key, "left_anti")
     return top, rest
 
 
@@ -63,6 +63,16 @@ def rank_in_buckets(
     )
 
 
+def rank_in_ranges(df: DataFrame, groups: list[str], order: list[str], rank: str = "rank") -> DataFrame:
+    """Exact 1-based rank within each group by any columns, ``order`` telling all rows apart.
+
+    The rows are cut into even ranges of (groups, order) and settled with their range's
+    number, which serves as the bucket: one group may fill any number of ranges.
+    """
+    cut = df.repartitionByRange(*groups, *order).withColumn("__range", F.spark_partition_id())
+    return rank_in_buckets(settle(cut), groups, "__range", [F.asc(c) for c in order], rank).drop("__range")
+
+
 def keyed_rank(
     df: DataFrame,
     groups: list[str],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from estatelens.catalogues import words
 from estatelens.functions.keyed import key_hash, normal, uniform
 from .joins import beside, join_same, scalar
-from .ranking import keyed_rank, rank_in_buckets
+from .ranking import keyed_rank, rank_in_buckets, rank_in_ranges
 
 SLOTS = 256
 GAMMA_TRIES = 64
@@ -170,25 +170,25 @@ def resize_plan(total: int, target: int) -> tuple[int, int]:
 def next_free(names: DataFrame, scope: list[str], stem: str, taken: DataFrame, key: str, out: str) -> DataFrame:
     """Give each row the first unused number behind its stem, two digits or more.
 
-    ``taken`` has the scope columns and ``name``. Free numbers up to the largest one
-    needed are listed per stem and dealt out by rank.
+    ``taken`` has the scope columns and ``name``; ``key`` tells the rows of a stem apart
+    and orders them. The j-th used number u has u - j free ones below it, so a row in
+    place n stands behind the used ones with u - j < n: put in line with them, its rank is
+    its number. Ranks are counted in ranges, so one stem may hold all rows.
     """
-    within = Window.partitionBy(*scope, stem).orderBy(key)
-    asked = names.withColumn("__nth", F.row_number().over(within))
+    spot = [*scope, stem]
+    asked = rank_in_ranges(names, spot, [key], "__nth")
     number = F.regexp_extract("name", "^(.*-)([0-9]+)$", 2)
     used = taken.select(
         *scope, F.regexp_extract("name", "^(.*-)([0-9]+)$", 1).alias(stem), number.try_cast("long").alias("__number"), "name"
-    ).where(F.col("__number").isNotNull())
+    ).where(F.col("__number") > 0)
     # Only numbers written the way they would be written here can collide.
-    used = used.where(F.col("name") == F.concat(F.col(stem), _padded(F.col("__number")))).select(*scope, stem, "__number").distinct()
-    need = asked.groupBy(*scope, stem).agg(F.count(F.lit(1)).alias("__need"))
-    held = used.groupBy(*scope, stem).agg(F.count(F.lit(1)).alias("__held"))
-    numbers = need.join(held, [*scope, stem], "left").select(
-        *scope, stem, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__need") + F.coalesce("__held", F.lit(0)))).alias("__number"))
-    free = numbers.join(used, [*scope, stem, "__number"], "left_anti").withColumn(
-        "__nth", F.row_number().over(Window.partitionBy(*scope, stem).orderBy("__number")))
-    return asked.join(free, [*scope, stem, "__nth"]).withColumn(
-        out, F.concat(F.col(stem), _padded(F.col("__number")))).drop("__nth", "__number")
+    used = used.where(F.col("name") == F.concat(F.col(stem), _padded(F.col("__number")))).select(*spot, "__number").distinct()
+    used = rank_in_ranges(used, spot, ["__number"], "__j").select(
+        *spot, (F.col("__number") - F.col("__j")).alias("__at"), F.col("__number").alias("__tie"), F.lit(True).alias("__used"))
+    line = asked.withColumns({"__at": F.col("__nth"), "__tie": F.lit(0).cast("long"), "__used": F.lit(False)}).unionByName(
+        used, allowMissingColumns=True)
+    placed = rank_in_ranges(line, spot, ["__at", "__used", "__tie"], "__number").where(~F.col("__used"))
+    return placed.withColumn(out, F.concat(F.col(stem), _padded(F.col("__number")))).select(*names.columns, out)
 
 
 def _padded(number: Column) -> Column:

@@ -229,3 +229,12 @@ def test_resizing_reaches_the_band_both_ways(spark):
     assert sampling.resize_plan(500, 1000) == (0, 460)
     rows = spark.range(300).withColumn("g", F.col("id") % 7).withColumn("__key", F.col("id"))
     assert sampling.trim(rows, ["g"], "__key", 100, 1).count() == 200
+
+
+def test_one_stem_holds_all_names(spark):
+    names = spark.range(3000).select(F.lit("o").alias("o"), F.lit("vm-").alias("stem"), F.col("id").alias("k"))
+    held = [n for n in range(1, 4000) if n % 7 in (1, 2) or 500 < n < 900]
+    taken = spark.createDataFrame([("o", f"vm-{n:02d}") for n in held] + [("o", "vm-3"), ("p", "vm-03"), ("o", "db-03")], "o string, name string")
+    got = [(r.k, r.name) for r in sampling.next_free(names, ["o"], "stem", taken, "k", "name").collect()]
+    free = (n for n in range(1, 10000) if n not in set(held))
+    assert sorted(got) == [(k, f"vm-{n:02d}") for k, n in zip(range(3000), free)]
