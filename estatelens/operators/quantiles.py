@@ -1,8 +1,8 @@
 """Exact order statistics without gathering a group in one task.
 
-Equal values are merged first. Values then fall into coarse buckets that keep their
-order; cumulative bucket counts show which bucket holds each wanted rank, and only
-those buckets are looked at value by value.
+Equal values are merged first. Groups and values are then cut into even ranges and
+settled; cumulative range counts show which range holds each wanted rank, and only
+those ranges are looked at value by value.
 """
 
 from __future__ import annotations
@@ -10,30 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 64
+from estatelens.session import settle
 
 
-def _coarse(value: Column) -> Column:
-    """An integer that never falls as ``value`` rises; at most about 2 x 2100 octaves."""
-    octave = F.floor(F.log2(F.abs(value)) * STEPS_PER_OCTAVE).cast("int") + F.lit(
-        1100 * STEPS_PER_OCTAVE
-    )
-    return F.when(value > 0, octave).when(value < 0, -octave).otherwise(0)
+def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Settled counts ``__k`` of each group's values ``__v``, with the number ``__b`` of their range.
+
+    Ranges rise with the value and hold about as many distinct values each, however close
+    to one another the values are; a group may fill any number of them.
+    """
+    counted = df.groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
+    return settle(counted.repartitionByRange(*groups, "__v").withColumn("__b", F.spark_partition_id()))
 
 
-def order_statistics(
-    df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column]
-) -> DataFrame:
-    """One row per group with its row count ``n`` and the value at each wanted rank.
+def order_statistics(counts: DataFrame, groups: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """One row per group of `counted_values` with its row count ``n`` and the value at each wanted rank.
 
-    Each rank is a 1-based expression over the column ``n``.
+    Each rank is a 1-based expression over the column ``n``. Nulls do not count.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__k"))
-        .withColumn("__b", _coarse(F.col("__v")))
-    )
+    counted = counts.where(F.col("__v").isNotNull())
     coarse = counted.groupBy(*groups, "__b").agg(F.sum("__k").alias("__bk"))
     upto = Window.partitionBy(*groups).orderBy("__b").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -74,21 +69,27 @@ def order_statistics(
     )
 
 
-def nearest_rank(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+def nearest_rank_of(counts: DataFrame, groups: list[str], ps: dict[str, float]) -> DataFrame:
     """Percentiles that are values of the data: rank ceil(p * n)."""
-    return order_statistics(
-        df, groups, value, {name: F.ceil(F.lit(p) * F.col("n")) for name, p in ps.items()}
-    )
+    return order_statistics(counts, groups, {name: F.ceil(F.lit(p) * F.col("n")) for name, p in ps.items()})
+
+
+def nearest_rank(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    return nearest_rank_of(counted_values(df, groups, value), groups, ps)
 
 
 def interpolated(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    return interpolated_of(counted_values(df, groups, value), groups, ps)
+
+
+def interpolated_of(counts: DataFrame, groups: list[str], ps: dict[str, float]) -> DataFrame:
     """Inclusive percentiles, linear between the two neighbouring ranks."""
     ranks: dict[str, Column] = {}
     for name, p in ps.items():
         position = F.lit(p) * (F.col("n") - 1)
         ranks[f"__lo_{name}"] = F.floor(position) + 1
         ranks[f"__hi_{name}"] = F.ceil(position) + 1
-    found = order_statistics(df, groups, value, ranks)
+    found = order_statistics(counts, groups, ranks)
     between = []
     for name, p in ps.items():
         position = F.lit(p) * (F.col("n") - 1)

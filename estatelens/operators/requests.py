@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.periods import status_class, window_cutoff
-from .quantiles import interpolated, nearest_rank
+from .quantiles import counted_values, interpolated_of, nearest_rank_of
 
 # --- fixed values: must equal the reference's for right results ---------------------
 RING = 2000
@@ -46,8 +46,9 @@ def bucket(ts: str, seconds: int) -> Column:
 def latency_series(df: DataFrame, ts: str, latency: str, seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Exact count, p50, p95 and max per non-empty bucket."""
     placed = df.select(bucket(ts, seconds).alias("bucket"), F.col(latency).alias("latency"))
-    ranks = nearest_rank(placed, ["bucket"], "latency", {"p50": 0.5, "p95": 0.95, "max": 1.0})
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
+    values = counted_values(placed, ["bucket"], "latency")
+    ranks = nearest_rank_of(values, ["bucket"], {"p50": 0.5, "p95": 0.95, "max": 1.0})
+    counts = values.groupBy("bucket").agg(F.sum("__k").alias("count"))
     return counts.join(ranks.drop("n"), "bucket", "left")
 
 
@@ -86,12 +87,11 @@ def drilldown(
 def sample_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """p50, p95, p99 by linear interpolation, with min, max and mean."""
     groups = by or []
-    ranks = interpolated(df, groups, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    stats = df.groupBy(*groups).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
-    ) if groups else df.agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
-    )
+    values = counted_values(df, groups, value)
+    ranks = interpolated_of(values, groups, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    known = F.when(F.col("__v").isNotNull(), F.col("__k"))
+    stats = values.groupBy(*groups).agg(
+        F.min("__v").alias("min"), F.max("__v").alias("max"), (F.sum(F.col("__v") * F.col("__k")) / F.sum(known)).alias("mean"))
     if groups:
         return stats.join(ranks.drop("n"), groups, "left")
     return stats.select(*[ranks.select(p).scalar().alias(p) for p in ("p50", "p95", "p99")], "*")

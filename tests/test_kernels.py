@@ -238,3 +238,18 @@ def test_one_stem_holds_all_names(spark):
     got = [(r.k, r.name) for r in sampling.next_free(names, ["o"], "stem", taken, "k", "name").collect()]
     free = (n for n in range(1, 10000) if n not in set(held))
     assert sorted(got) == [(k, f"vm-{n:02d}") for k, n in zip(range(3000), free)]
+
+
+def test_close_values_fill_many_ranges(spark):
+    """Times of one day, which differ in the last digits only."""
+    values = [1.7e9 + (i * 37 % 5000) / 10 for i in range(5000)]
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None), ("none", None)], "g string, v double")
+    # Small ranges are joined at run time, which would leave one of so few rows.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = quantiles.counted_values(df, ["g"], "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counts.groupBy("__b").count().agg(F.max("count")).first()[0] < 5000
+    found = {r.g: r for r in quantiles.nearest_rank_of(counts, ["g"], {"p50": 0.5, "p95": 0.95}).collect()}
+    assert set(found) == {"g"} and (found["g"].n, found["g"].p50, found["g"].p95) == (5000, sorted(values)[2499], sorted(values)[4749])
