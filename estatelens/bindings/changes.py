@@ -476,21 +476,6 @@ def projected_scan(spark, folder):
         groups.select(F.lit("groups"), "*"))
 
 
-@query(
-    "scan_read_back",
-    with_views(b.ESTATE)
-    + "SELECT 'resources' AS \"table\", count(*) AS n FROM estate WHERE NOT hidden UNION ALL SELECT 'subscriptions', count(*) FROM customer "
-    "UNION ALL SELECT 'resource_groups', 0 UNION ALL SELECT 'findings', 0 UNION ALL SELECT 'resource_costs', 0",
-)
-def scan_read_back(spark, folder):
-    """Two scan tables written and loaded; the optional ones are not there and come up empty."""
-    target = scratch_path(spark, "scan")
-    scan = scan_io.to_scan(estate_tables(spark, folder))
-    for name in scan_io.REQUIRED:
-        scan[name].write.parquet(f"{target}/{name}.parquet")
-    return totals(scan_io.load_scan(spark, target))
-
-
 def content(df):
     """Rows and the sum of their hashes over all columns, whatever their order."""
     hashed = F.xxhash64(*[F.col(c) if t[:3] != "map" else F.to_json(c) for c, t in sorted(df.dtypes)])
@@ -509,6 +494,24 @@ def compared(written, read):
     return out
 
 
+@query(
+    "scan_read_back",
+    with_views(b.ESTATE)
+    + "SELECT 'resources' AS \"table\", count(*) AS n, true AS same FROM estate WHERE NOT hidden UNION ALL SELECT 'subscriptions', count(*), true FROM customer "
+    "UNION ALL SELECT 'resource_groups', 0, true UNION ALL SELECT 'findings', 0, true UNION ALL SELECT 'resource_costs', 0, true",
+)
+def scan_read_back(spark, folder):
+    """Two scan tables written, loaded and compared; the optional ones are not there and come up empty."""
+    target = scratch_path(spark, "scan")
+    scan = scan_io.to_scan(estate_tables(spark, folder))
+    for name in scan_io.REQUIRED:
+        scan[name].write.parquet(f"{target}/{name}.parquet")
+    loaded = scan_io.load_scan(spark, target)
+    missing = {name: df for name, df in loaded.items() if name not in scan_io.REQUIRED}
+    return compared({name: scan[name] for name in scan_io.REQUIRED}, loaded).unionByName(
+        totals(missing).withColumn("same", F.col("n") == 0))
+
+
 @query(
     "estate_read_back",
     with_views(b.ESTATE)
