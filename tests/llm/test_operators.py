@@ -14,7 +14,7 @@ import xxhash
 
 import corpus_pipeline
 from estatelens.llm import (
-    decontamination, exact, extraction, mixing, quality, queries, secrets, sharding, simhash, toxicity, warc)
+    decontamination, exact, extraction, mixing, quality, queries, secrets, sharding, simhash, similar, toxicity, warc)
 from estatelens.llm.components import components
 from estatelens.session import scratch_path
 
@@ -180,6 +180,36 @@ def test_near_copies_match_brute_force(spark, folder, monkeypatch, crowded):
     assert len({c for _, c in got.values()}) < len(set(prints.values()))
 
 
+def test_pipeline_keeps_one_of_near_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  B")]
+    for i in range(30):
+        words = [word() for _ in range(rng.randint(60, 400))]
+        for k in range(5):  # 5-word similarities on both sides of 0.8, and chains
+            rows.append((10 * i + k, " ".join(words)))
+            for _ in range(rng.randint(1, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = word()
+    grams = {d: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for d, t in rows}
+    root = {d: d for d in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for a, b in itertools.combinations(sorted(grams), 2):
+        every = len(grams[a] | grams[b])
+        if not every or len(grams[a] & grams[b]) / every >= 0.8:
+            near += 0 < len(grams[a] ^ grams[b])
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect())
+    assert near > 20 and kept == sorted({find(d) for d in grams})
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links, "a", "b").collect()}
