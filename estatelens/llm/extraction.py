@@ -26,17 +26,29 @@ NAMES = frozenset(
     "header masthead footer sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended toolbar pagination pager skip form search".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+BESIDE = frozenset("has no not with without".split())  # a class name says by these what the page has or lacks besides the element
 KIND = frozenset("article body content entry main post story text page".split())
 
 
+def own_names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class name and id, up to a word that says what follows is another part."""
+    out = []
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        tokens = [t for t in re.split(r"[^a-z0-9]+", name) if t]
+        out.append(tokens[:next((i for i, t in enumerate(tokens) if t in BESIDE), len(tokens))])
+    return [x for x in out if x]
+
+
 class Node:
-    __slots__ = ("tag", "names", "attrs", "parent", "children", "score", "length", "links")
+    __slots__ = ("tag", "names", "sure", "attrs", "parent", "children", "score", "length", "links", "prose")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.names = frozenset(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) - {""} if attrs else frozenset()
+        named = own_names(attrs) if attrs else []
+        self.names = frozenset(t for x in named for t in x)
+        self.sure = any(NAMES.issuperset(x) for x in named)  # a whole class name says what the element is
         self.children: list[Node | str] = []
-        self.score, self.length, self.links = 0.0, 0, 0
+        self.score, self.length, self.links, self.prose = 0.0, 0, 0, 0
 
 
 def parsed(html: str) -> Node:
@@ -97,23 +109,41 @@ def below(node: Node):
         todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
 
 
-def is_apart(node: Node) -> bool:
-    """Menus, headers, footers, side bars, notices, adverts, forms, comments and hidden parts."""
+def is_gone(node: Node) -> bool:
+    """Comments and hidden parts."""
+    attrs = node.attrs
+    return bool(node.names & COMMENTS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower())
+
+
+def has_part_kind(node: Node) -> bool:
+    return node.tag in APART or node.attrs.get("role", "").lower() in ROLES
+
+
+def is_apart(node: Node, prose: int) -> bool:
+    """Menus, headers, footers, side bars, notices, adverts, forms, comments and hidden parts.
+
+    A part that only its class or id sets apart stays if it holds most of the page's prose:
+    half of it, or three quarters if a whole class name says that it is such a part.
+    """
     if node.tag in ("html", "body", "#root", "main"):
         return False
-    attrs = node.attrs
-    if node.names & COMMENTS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+    if is_gone(node):
         return True
-    named = node.tag in APART or attrs.get("role", "").lower() in ROLES or (node.names & NAMES and not node.tag == "article")
+    named = has_part_kind(node)
+    if not named and node.names & NAMES and node.tag != "article":
+        named = not node.prose or node.prose < (0.75 if node.sure else 0.5) * prose
     # a wrapper that is only named after one of its parts holds the article too
     return bool(named) and not any(x.tag in ("article", "main") and not x.names & COMMENTS for x in below(node) if x is not node)
 
 
 def pruned(root: Node) -> None:
+    for x in reversed(list(below(root))):
+        apart = x.tag == "a" or x.tag not in ("html", "body", "#root", "main") and (is_gone(x) or has_part_kind(x))
+        x.prose = 0 if apart else sum(len(c.strip()) if isinstance(c, str) else c.prose for c in x.children)
     todo = [root]
     while todo:
         x = todo.pop()
-        x.children = [c if isinstance(c, str) or not is_apart(c) else " " for c in x.children]
+        x.children = [c if isinstance(c, str) or not is_apart(c, root.prose) else " " for c in x.children]
         todo.extend(c for c in x.children if not isinstance(c, str))
 
 

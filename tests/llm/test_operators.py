@@ -312,6 +312,13 @@ def test_main_text():
     assert extraction.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("name", ["class='layout has-sidebar'", "class='content no-ads'", "class='page-with-menu-header share'", "id='search-result-page'", "class='with-comments'"])
+def test_wrappers_named_after_a_part_hold_the_article(name):
+    paragraph = "A long paragraph, with some commas, and enough words to be the text of a page."
+    page = f"<body><div class=sidebar><p>Side text, short.</p></div><div {name}><p>{paragraph}</p><p>{paragraph}</p><div class='ad'>Buy, buy</div></div><div class='cookie-notice'><p>We use cookies, and more.</p></div></body>"
+    assert extraction.main_text(page) == f"{paragraph} {paragraph}"
+
+
 def test_articles_of_pages(spark, folder):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in queries.op5_main_text(spark, folder).collect():
