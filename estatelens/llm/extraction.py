@@ -26,6 +26,8 @@ NAMES = frozenset(
     "header masthead footer sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended toolbar pagination pager skip form search".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TOP = frozenset("html body #root".split())
 BESIDE = frozenset("has no not with without".split())  # a class name says by these what the page has or lacks besides the element
 KIND = frozenset("article body content entry main post story text page".split())
 
@@ -177,11 +179,13 @@ def text_of(node: Node) -> str:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container and the siblings that go with it, in page order.
+    """The best container and what goes with it beside it and beside its parents, in page order.
 
     A paragraph has one point, one for each comma and up to three for its length. Its parent
     gets the points, the parent's parent half of them, and so on up; a container's sum is
-    discounted by its link density.
+    discounted by its link density. Headings, lists, paragraphs and sections beside the best
+    container belong to the article if they are not mostly links, whatever their length;
+    beside an <article> or <main> only what scores well or is long does.
     """
     containers: dict[int, Node] = {}
     for x in below(root):
@@ -206,13 +210,44 @@ def main_nodes(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, total(best) * 0.2)
-    out = []
-    for c in best.parent.children:
+    whole = best.tag in ("article", "main")  # says itself where the article ends
+
+    def goes_along(c: Node | str, top: bool) -> bool:
         if isinstance(c, str):
-            continue
-        if c is best or (id(c) in containers and c.tag not in INLINE and total(c) >= least and link_density(c) < 0.3):
-            out.append(c)
-        elif c.tag == "p" and c.length > 80 and link_density(c) < 0.25:
+            return not top and bool(c.strip())
+        if not c.length or link_density(c) >= 0.3:
+            return False
+        if c.tag in INLINE:
+            return not top
+        return any(x.tag in HEADINGS or x.tag in PARAGRAPHS for x in below(c))
+
+    def beside(c: Node | str, top: bool) -> bool:
+        if not whole and goes_along(c, top):
+            return True
+        if isinstance(c, str):
+            return False
+        return id(c) in containers and c.tag not in INLINE and total(c) >= least and link_density(c) < 0.3 or c.tag == "p" and c.length > 80 and link_density(c) < 0.25
+
+    out = _with(best, [best], beside)
+    at = best.parent
+    while not whole and at.tag not in TOP and at.tag not in ("article", "main"):
+        above = at.parent
+        if above.tag in TOP:  # the page's own blocks: only headings and paragraphs beside the article's wrapper
+            return _with(at, out, lambda c, top: not isinstance(c, str) and (c.tag in HEADINGS or c.tag == "p") and goes_along(c, top))
+        out, at = _with(at, out, goes_along), above
+    return out
+
+
+def _with(node: Node, nodes: list[Node], beside) -> list[Node]:
+    """``nodes``, which stand for ``node``, between those of its siblings for which ``beside`` holds."""
+    top, out = node.parent.tag in TOP, []
+    for c in node.parent.children:
+        if c is node:
+            out += nodes
+        elif beside(c, top):
+            if isinstance(c, str):
+                text, c = c, Node("span", {}, node.parent)
+                c.children.append(text)
             out.append(c)
     return out
 

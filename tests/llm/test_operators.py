@@ -319,6 +319,17 @@ def test_wrappers_named_after_a_part_hold_the_article(name):
     assert extraction.main_text(page) == f"{paragraph} {paragraph}"
 
 
+def test_short_blocks_beside_the_text_are_kept():
+    long = "A long paragraph, with some commas, and enough words to be the text of a page, and more of them. " * 4
+    inner = f"<h1>The title</h1><p>Short lead.</p><div class=body><p>{long}</p><p>{long}</p></div><ul><li>One point</li></ul><p>The end.</p>"
+    links = "<ul><li><a href=x>Other page</a></li></ul>"
+    whole = f"The title Short lead. {long}{long}One point The end."
+    for page in (f"<body><div>{inner}{links}</div>{links}<div class=footer>foot</div></body>", f"<body><h1>The title</h1><div><p>Short lead.</p><div>{inner.split('</p>', 1)[1]}</div></div>{links}</body>"):
+        assert extraction.main_text(page) == whole
+    sections = f"<div><div><h2>First</h2><p>{long}</p><p>{long}</p></div><div><h2>Second</h2><p>Few words.</p></div>{links}</div>"
+    assert extraction.main_text(f"<body>{sections}</body>") == f"First {long}{long}Second Few words."
+
+
 def test_articles_of_pages(spark, folder):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in queries.op5_main_text(spark, folder).collect():
