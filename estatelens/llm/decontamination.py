@@ -16,7 +16,8 @@ from estatelens.session import settle
 #: changed words in a window of 13 leave some place where one of the masks sees none of them.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 WINDOW = 13
-CHANGED = 2  # words of a window that may be substituted
+CHANGED = 2  # words of a window that may be substituted; shorter items may have their share of it
+FEW = 4  # words below which an item must also be half of the document's words
 BLOCK_WORDS = 500_000  # benchmark words that are held in memory at once
 WORDS = re.compile(r"\w+")
 
@@ -38,9 +39,10 @@ class Seeds:
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in alike for w in t}), 1)}
         self.texts = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in alike]
         self.factors = np.random.default_rng(17).integers(1, 1 << 63, size=window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        # texts shorter than a window are sought whole and unchanged, by a mask of their own length
+        # texts shorter than a window are sought whole, by the run of words that k changed ones leave at least
         lengths = sorted({len(t) for t in self.texts if len(t) < window})
-        self.masks = [(m, None) for m in MASKS] + [(tuple(range(n)), n) for n in lengths]
+        runs = {n: -(-(n - self.allowed(n)) // (self.allowed(n) + 1)) for n in lengths}
+        self.masks = [(m, None) for m in MASKS] + [(tuple(range(runs[n])), n) for n in lengths]
         self.tables = []
         for mask, length in self.masks:
             hashes, owners, places = [], [], []
@@ -54,6 +56,10 @@ class Seeds:
             by = np.argsort(h, kind="stable")
             self.tables.append((h[by], o[by], p[by]))
 
+    def allowed(self, n: int) -> int:
+        """How many words of an item of n words, or of a window of it, may be substituted."""
+        return self.changed * min(n, self.window) // self.window
+
     def _masked(self, ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
         n = len(ids) - mask[-1]
         if n <= 0:
@@ -89,7 +95,9 @@ class Seeds:
                 continue
             equal = (item[lo:hi] == ids[lo + shift:hi + shift]).astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(equal)])
-            need = width - self.changed if len(item) >= self.window else width
+            if len(item) < FEW and 2 * len(item) < len(ids):
+                continue
+            need = width - self.allowed(len(item))
             good = np.nonzero(sums[width:] - sums[:-width] >= need)[0]
             if len(good):
                 marks, first = covered.get(owner, (np.zeros(len(item), dtype=bool), len(ids)))
@@ -103,7 +111,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_
     """The benchmark's rows numbered, with the block each belongs to, and the blocks' numbers."""
     rows = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("item_text"))
     rows = rows.withColumn("_hash", F.xxhash64("item_text"))
-    rows = rows.withColumn("_words", F.regexp_count(whole_text("item_text"), F.lit(r"\w+")).cast("long"))
+    rows = rows.withColumn("_words", F.regexp_count(whole_text("item_text"), F.lit(r"(?U)\w+")).cast("long"))
     rows = settle(running(rows, ["item_id", "_hash"], {"number": "1", "_before": "_words"}))
     rows = rows.withColumn("block", F.expr(f"cast(_before div {block_words} as int)"))
     return rows, sorted(r[0] for r in rows.select("block").distinct().collect())
@@ -129,7 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: s
 
     An item is found in a document where a window of ``window`` words of one agrees with the
     other in all but ``changed`` words, word by word; items shorter than a window must occur
-    whole and unchanged. Words are lower-cased runs of letters, digits and underscores.
+    whole, in all but their share of ``changed`` (rounded down) words, and items of fewer
+    than FEW words must also make up half of the document's words. Words are lower-cased runs of letters, digits and underscores.
     ``covered_words`` counts the item's words within such windows, ``share`` is their part of
     the item. Fixed masks that skip some words are hashed at each place of both sides; equal
     hashes are verified along their diagonal, so nothing is reported on a hash alone.

@@ -455,6 +455,28 @@ def test_overlaps_match_brute_force(spark):
     assert decontamination.overlaps(documents, benchmark.limit(0)).count() == 0 and decontamination.overlaps(documents.limit(0), benchmark).count() == 0
 
 
+def test_items_below_a_window(spark):
+    rng = random.Random(12)
+    items, docs, expected = [(100, "yes"), (101, "oh no")], [(0, "I said yes to him and then no more"), (1, "Yes!"), (2, "oh no, oh")], {(1, 100), (2, 101)}
+    for n in range(4, 13):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for changes in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in (0, 1, 2)):
+            d = len(docs)
+            docs.append((d, " ".join(["a"] * rng.randint(0, 9) + ["other" if k in changes else w for k, w in enumerate(words)] + ["b"] * rng.randint(0, 9))))
+            if len(changes) <= 2 * n // 13:
+                expected.add((d, n))
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(documents, benchmark).collect()} == expected
+    assert {r["doc_id"] for r in decontamination.decontaminated(documents, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
+def test_blocks_count_words_of_any_script(spark):
+    benchmark = spark.createDataFrame([(i, "слово за словом 文字 " * 5) for i in range(8)], "item_id long, text string")
+    rows, numbers = decontamination.blocks(benchmark, "item_id", "text", block_words=40)
+    assert len(numbers) == 4 and {r["_words"] for r in rows.collect()} == {20}
+
+
 # --- 9 archives -------------------------------------------------------------------------
 
 
