@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found through a table of distances to reference fingerprints."""
+"""SimHash near-duplicates, found through equal blocks of fingerprint bits."""
 
 from __future__ import annotations
 
@@ -68,14 +68,11 @@ def finer(mask: int, distance: int) -> list[int]:
 def near_pairs(prints: DataFrame, distance: int = 3, n_references: int = 8) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints ``fp`` that differ in at most ``distance`` bits.
 
-    The pivot table holds each fingerprint's Hamming distance to every reference. By the
-    triangle inequality a linked pair's distances to a reference differ by ``distance`` at
-    most: pairs whose largest coordinate difference is above are discarded, the rest are
-    verified bit by bit. Pairs to test come from references that differ in one bit: the
-    difference of the distances to two such references is that bit of the fingerprint, so
-    equal coordinates for a block of references are equal bits, and are computed as such.
-    Of BLOCKS blocks a linked pair has all but ``distance`` equal, so it meets under one of
-    the keys of such block sets.
+    Pairs to test come from blocks of bits: of BLOCKS blocks a linked pair has all but
+    ``distance`` equal, so it meets under one of the keys of such block sets. The join also
+    tests each fingerprint's Hamming distances to the references: by the triangle inequality
+    those of a linked pair differ by ``distance`` at most. This is no part of the search and
+    discards nothing that the exact count of differing bits would not.
 
     A key that CROWDED or more fingerprints share is not joined: its fingerprints move to
     keys that also fix blocks of the bits still free, until no key is crowded or no bit is
