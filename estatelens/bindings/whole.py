@@ -142,10 +142,15 @@ def profile_review(spark, folder):
 )
 def profile_leaks(spark, folder):
     """The names of nations and customers as terms, against the published locations."""
+    return profile_leaks_by_section(spark, folder).where(F.col("section") == "location_distribution")
+
+
+@query("profile_leaks_by_section")
+def profile_leaks_by_section(spark, folder):
+    """The names of nations and customers as terms, against every string of the profile."""
     terms = b.table(spark, folder, "nation").select(F.col("n_name").alias("term")).union(
         b.table(spark, folder, "customer").select("c_name"))
-    strings = plan.profile_strings(written_profile(spark, folder))
-    found = leaks(strings, terms, "section", "text").where(F.col("section") == "location_distribution")
+    found = leaks(plan.profile_strings(written_profile(spark, folder)), terms, "section", "text")
     return found.select("section", "leaks", F.col("longest").cast("long").alias("longest"))
 
 

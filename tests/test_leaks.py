@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from estatelens.bindings import whole
 from estatelens.operators import leaks
 
 
@@ -71,3 +72,13 @@ def test_hits_do_not_depend_on_the_planner_s_joins(spark):
             assert run(spark, texts, terms) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_leaks_of_every_profile_section(spark, folder):
+    profile = whole.written_profile(spark, folder)
+    strings = {(r["section"], r[k]) for r in profile.collect() for k in ("key1", "key2", "key3") if r[k] is not None}
+    terms = {r[0] for t, c in (("nation", "n_name"), ("customer", "c_name")) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(c).collect() if r[0] and r[0].strip()}
+    found = {(s, t) for s, x in strings for t in terms if stands_in(x, t)}
+    want = {s: (len(own), max(map(len, own))) for s in {s for s, _ in found} if (own := [t for x, t in found if x == s])}
+    got = {r["section"]: (r["leaks"], r["longest"]) for r in whole.profile_leaks_by_section(spark, folder).collect()}
+    assert got == want and len(got) > 1
