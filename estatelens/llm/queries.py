@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from estatelens.llm import decontamination, exact, extraction, mixing, quality, secrets, sharding, simhash, toxicity, warc
+from estatelens.llm import bpe, decontamination, exact, extraction, mixing, quality, secrets, sharding, simhash, toxicity, warc
 from estatelens.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,9 @@ ORACLES["op9_warc"] = warc.ARCHIVED_SQL
 @query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.document_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.document_tokens(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
