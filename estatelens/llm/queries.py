@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import bpe, decontamination, exact, extraction, mixing, quality, secrets, sharding, simhash, toxicity, warc
+from estatelens.llm import bpe, decontamination, exact, extraction, mixing, negatives, quality, secrets, sharding, simhash, toxicity, warc
 from estatelens.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -77,3 +77,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.document_tokens(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mined(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = negatives.MINED_SQL
