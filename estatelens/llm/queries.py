@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from estatelens.llm import bpe, decontamination, exact, extraction, mixing, negatives, quality, secrets, sharding, simhash, toxicity, warc
+from estatelens.llm import alignment, bpe, decontamination, exact, extraction, mixing, negatives, quality, secrets, sharding, simhash, toxicity, warc
 from estatelens.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -85,3 +85,9 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_hard_negatives"] = negatives.MINED_SQL
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.document_alignment(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN)
