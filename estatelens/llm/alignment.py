@@ -9,53 +9,52 @@ groups' token ranges.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from estatelens.llm.common import array_column, in_slices
 from estatelens.session import settle
 
-GROUP = 128  # texts encoded at once
-KEPT, KEPT_CHARS = 1 << 16, 64  # encoded pre-tokens a worker remembers, and the longest of them
+NEVER = float("inf")
+LONG = 1 << 15  # characters from which the rank library's pattern search could run out of stack on one run of spaces
 SENT_ROWS = 1 << 20  # pair counts sent to every task; more are joined by shuffling
 SALTS = 16  # ways in which the links of one pair are split in that join
 WIDE = 1 << 12  # pairs of a group from which equal ids are counted first
 
 
 def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
-    """The places, in each of two ascending lists, of the numbers that both hold."""
+    """How many numbers of each ascending list end at or before each number that both hold."""
     in_short, in_long, at, n = [], [], 0, len(long)
-    for place, x in enumerate(short):
-        if at == n:
-            break
-        if long[at] < x:
+    here = long[0] if n else NEVER
+    for place, x in enumerate(short, 1):
+        if here < x:
             step = 1
             while at + step < n and long[at + step] < x:
                 step <<= 1
             at = bisect_left(long, x, at + (step >> 1) + 1, min(at + step, n))
-            if at == n:
-                break
-        if long[at] == x:
+            here = long[at] if at < n else NEVER
+        if here == x:
+            at += 1
             in_short.append(place)
             in_long.append(at)
-            at += 1
+            here = long[at] if at < n else NEVER
     return in_short, in_long
 
 
 def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of each side end at or before each common end."""
-    x, y = gallop(a, b) if len(a) <= len(b) else gallop(b, a)[::-1]
-    return [i + 1 for i in x], [i + 1 for i in y]
+    """How many tokens of each side end at or before each common end; the shorter list drives the search."""
+    return gallop(a, b) if len(a) <= len(b) else gallop(b, a)[::-1]
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -69,81 +68,119 @@ def byte_level_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+@lru_cache(2)
+def merges_by_rank(data: str) -> bool:
+    """Whether merging by ids gives the same as the merge list of a byte-level BPE in JSON.
+
+    A merge list joins only the pairs that it names; merging by rank joins whatever makes a
+    token, the lowest id first. The two agree if the list makes tokens in the order of
+    their ids, and if merging a token's own bytes by lower ids ends at the pair that the
+    list names for it: what lies in the bytes of a token is merged alike wherever it stands.
+    """
+    model, letters = json.loads(data)["model"], byte_level_bytes()
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if any(i >= j for i, j in zip(ids, ids[1:])) or len(ids) + len(letters) != len(model["vocab"]):
+        return False
+    for (left, right), top in zip(pairs, ids):
+        parts = list(left + right)
+        while len(parts) > 2:
+            rank, i = min((model["vocab"].get(a + b, top), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank >= top:
+                return False
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [left, right]:
+            return False
+    return True
+
+
 class ByteLevel:
-    """A byte-level BPE tokenizer from its JSON file. Pre-tokens that repeat are encoded once."""
+    """A byte-level BPE tokenizer from its JSON file; strings of special tokens are plain text.
+
+    If merging by ranks is known to give the same (``by_rank``, for a tokenizer that splits
+    texts by ``pattern``), texts below LONG characters are encoded that way, which is faster.
+    """
 
-    def __init__(self, data: str, pattern: str):
-        self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
-        letters, vocabulary = byte_level_bytes(), self.tokenizer.get_vocab(with_added_tokens=True)
+    def __init__(self, data: str, pattern: str, by_rank: bool = False):
+        self.whole = Tokenizer.from_str(data)
+        self.whole.encode_special_tokens = True
+        letters, vocabulary = byte_level_bytes(), self.whole.get_vocab(with_added_tokens=True)
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.split, self.known = regex.compile(pattern).findall, {}
-
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; a pre-token's ids do not depend on what is around it."""
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        split = [self.split(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, s))) for s in split]
-        for piece in new:
-            if len(piece) > KEPT_CHARS:
-                del self.known[piece]
-        return out
+        ranks = {self.tokens[i]: i for i in self.whole.get_vocab(with_added_tokens=False).values()}
+        self.ranked = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if by_rank else None
+
+    def encoded(self, text: str) -> list[int]:
+        if self.ranked is not None and len(text) < LONG:
+            return self.ranked.encode_ordinary(" " + text)
+        return self.whole.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces:
-    """A SentencePiece tokenizer from its model file."""
+    """A SentencePiece tokenizer from its model file; it puts the space before a text itself."""
 
     def __init__(self, data: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        byte = regex.compile("<0x([0-9A-F]{2})>").fullmatch
-        self.tokens = [bytes([int(m[1], 16)]) if (m := byte(p)) else p.replace("▁", " ").encode() for p in names]
+        names = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        self.tokens = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(names)]
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encoded(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
-@lru_cache(2)
-def _byte_level(data: str, pattern: str) -> ByteLevel:
-    return ByteLevel(data, pattern)
+class Sides:
+    """Two tokenizers over the same texts."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.sides = [(side, np.array([len(t) for t in side.tokens], dtype=np.int64)) for side in (a, b)]
+
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(A ids, B ids, A's ranks of the common ends, B's) of each text.
+
+        Texts that are null or empty, or whose tokens' bytes are not a space and the text,
+        have no tokens.
+        """
+        none = np.zeros(0, dtype=np.int32)
+        for text in texts:
+            ids, ends = [], []
+            for side, size in self.sides if text else ():
+                found = side.encoded(text)
+                if b"".join(map(side.tokens.__getitem__, found)) != b" " + text.encode():
+                    break
+                ids.append(np.array(found, dtype=np.int32))
+                ends.append(np.cumsum(size[ids[-1]]).tolist())
+            else:
+                if text:
+                    yield *ids, *(np.array(e, dtype=np.int32) for e in common_ends(*ends))
+                    continue
+            yield none, none, none, none
 
 
 @lru_cache(2)
-def _pieces(data: bytes) -> Pieces:
-    return Pieces(data)
+def _sides(a: str, b: bytes, pattern: str, by_rank: bool) -> Sides:
+    return Sides(ByteLevel(a, pattern, by_rank), Pieces(b))
 
 
-def aligned(texts: list[str | None], a: ByteLevel, b: Pieces) -> Iterator[tuple[list, list, list, list]]:
-    """(A ids, B ids, A's ranks of the common ends, B's) of each text.
+@lru_cache(2)
+def _marked(n: int) -> np.ndarray:
+    """A row of characters, padded with zeros, for each number below ``n`` followed by a comma, a bar or a semicolon."""
+    return np.array([f"{i}{mark}" for i in range(n) for mark in ",|;"], dtype=np.bytes_).view(np.uint8).reshape(3 * n, -1)
 
-    A reads a space and the text, B reads the text and adds the space. Texts that are null
-    or empty, or whose tokens' bytes are not the space and the text, have no tokens.
-    """
-    sizes_a, sizes_b = np.array([len(t) for t in a.tokens]), np.array([len(t) for t in b.tokens])
-    token_a, token_b = a.tokens.__getitem__, b.tokens.__getitem__
-    for at in range(0, len(texts), GROUP):
-        group = [t or "" for t in texts[at:at + GROUP]]
-        for text, x, y in zip(group, a.encoded([" " + t for t in group]), b.encoded(group)):
-            whole = b" " + text.encode()
-            if not text or b"".join(map(token_a, x)) != whole or b"".join(map(token_b, y)) != whole:
-                yield [], [], [], []
-                continue
-            yield x, y, *common_ends(np.cumsum(sizes_a[x]).tolist(), np.cumsum(sizes_b[y]).tolist())
-
-
-def group_text(x, y, to_x, to_y) -> str:
+
+def group_text(x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) -> str:
     """The groups as `a1,a2|b1;a3|b2,b3`: ids in order, A's before B's."""
-    x, y = list(map(str, x)), list(map(str, y))
-    out, i, j = [], 0, 0
-    for k, m in zip(to_x, to_y):
-        out.append(f"{x[i]}|{y[j]}" if k - i == m - j == 1 else ",".join(x[i:k]) + "|" + ",".join(y[j:m]))
-        i, j = k, m
-    return ";".join(out)
+    if not len(to_x):
+        return ""
+    na, nb = np.diff(to_x, prepend=0), np.diff(to_y, prepend=0)
+    code = np.empty(len(x) + len(y), dtype=np.int64)
+    before_a, before_b = np.repeat(to_y - nb, na), np.repeat(to_x, nb)  # tokens of the other side that stand before
+    code[np.arange(len(x)) + before_a] = 3 * x.astype(np.int64)
+    code[np.arange(len(y)) + before_b] = 3 * y.astype(np.int64)
+    code[to_x + to_y - nb - 1] += 1
+    code[to_x + to_y - 1] += 2
+    text = _marked((int(max(x.max(), y.max())) >> 16) + 1 << 16)[code].ravel()
+    return text[text != 0].tobytes().decode()[:-1]
 
 
 def linked(x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +198,9 @@ def linked(x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) ->
     begin = np.repeat(begin_y, na)
     left = np.repeat(x, per_x)
     place = np.arange(len(left)) - np.repeat(np.cumsum(per_x) - per_x, per_x)
-    keys, times = np.unique(left.astype(np.int64) << 32 | y[np.repeat(begin, per_x) + place], return_counts=True)
+    keys = np.sort(left.astype(np.int64) << 32 | y[np.repeat(begin, per_x) + place])
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys, times = keys[begins], np.diff(begins, append=len(keys))
     if not slim.all():
         keys, times = [keys], [times]
         for g in np.flatnonzero(~slim):
@@ -174,43 +213,39 @@ def linked(x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray) ->
     return keys >> 32, keys & 0xFFFFFFFF, times
 
 
+TOKENS = "a array<int>, b array<int>, a_ends array<int>, b_ends array<int>"
+LINKS = "n_a long, n_b long, n_groups long, n_links long, groups string, link_a array<int>, link_b array<int>, times array<long>"
+
+
 class Tokenizers:
     """Two tokenizers from their files, which the driver reads and sends to each executor once."""
 
     def __init__(self, spark: SparkSession, byte_level: str, pieces: str, pattern: str):
-        self.a, self.b = spark.sparkContext.broadcast(Path(byte_level).read_text("utf-8")), spark.sparkContext.broadcast(Path(pieces).read_bytes())
-        self.pattern = pattern
+        data = Path(byte_level).read_text("utf-8")
+        self.files = spark.sparkContext.broadcast((data, Path(pieces).read_bytes(), pattern, merges_by_rank(data)))
 
-    def alignment(self, text: str | Column) -> Column:
-        """Struct (a, b, a_ends, b_ends): ids of each side, and how many of them end at or before each common end."""
-        a, b, pattern = self.a, self.b, self.pattern
+    def alignments(self, df: DataFrame, text: str) -> DataFrame:
+        """The columns of ``df`` but ``text``, with TOKENS: ids of each side, and how many of them end at or before each common end."""
+        files = self.files
 
-        @F.pandas_udf("a array<int>, b array<int>, a_ends array<int>, b_ends array<int>")
-        def each(texts: pd.Series) -> pd.DataFrame:
-            rows = aligned(list(texts), _byte_level(a.value, pattern), _pieces(b.value))
-            arrays = [[np.array(v, dtype=np.int32) for v in row] for row in rows]
-            return pd.DataFrame({name: pd.Series([r[i] for r in arrays], dtype=object) for i, name in enumerate(("a", "b", "a_ends", "b_ends"))})
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            return [array_column(side, pa.int32()) for side in zip(*_sides(*files.value).aligned(texts))]
 
-        return each(text)
+        return in_slices(df, text, TOKENS, make)
 
+    def links(self, df: DataFrame, text: str) -> DataFrame:
+        """The columns of ``df`` but ``text``, with LINKS: sizes, the groups as text, and each linked pair once with how often it is linked."""
 
-def links(a: str, b: str, a_ends: str, b_ends: str) -> Column:
-    """Struct (groups, n_links, link_a, link_b, times) of an alignment: its groups as text, and each linked pair once."""
+        files = self.files
 
-    @F.pandas_udf("groups string, n_links long, link_a array<int>, link_b array<int>, times array<long>")
-    def each(a: pd.Series, b: pd.Series, a_ends: pd.Series, b_ends: pd.Series) -> pd.DataFrame:
-        groups, n, left, right, times = [], [], [], [], []
-        for row in zip(a, b, a_ends, b_ends):
-            groups.append(group_text(*(v.tolist() for v in row)))
-            i, j, k = linked(*row)
-            n.append(int(k.sum()))
-            left.append(i.astype(np.int32))
-            right.append(j.astype(np.int32))
-            times.append(k.astype(np.int64))
-        arrays = {"link_a": left, "link_b": right, "times": times}
-        return pd.DataFrame({"groups": groups, "n_links": n, **{k: pd.Series(v, dtype=object) for k, v in arrays.items()}})
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            rows = [(row, linked(*row)) for row in _sides(*files.value).aligned(texts)]
+            sizes = [[len(r[i]) for r, _ in rows] for i in range(3)] + [[int(k[2].sum()) for _, k in rows]]
+            groups = pa.array([group_text(*r) for r, _ in rows], type=pa.string())
+            pairs = [array_column([k[i] for _, k in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+            return [*(pa.array(s, type=pa.int64()) for s in sizes), groups, *pairs]
 
-    return each(a, b, a_ends, b_ends)
+        return in_slices(df, text, LINKS, make)
 
 
 def pair_counts(each: DataFrame) -> DataFrame:
@@ -246,12 +281,10 @@ def document_alignment(documents: DataFrame, byte_level: str, pieces: str, patte
     an empty table gives an empty result. Columns other than doc_id and text are not read.
     """
     both = Tokenizers(documents.sparkSession, byte_level, pieces, pattern)
-    rows = documents.select("doc_id", both.alignment("text").alias("s")).select("doc_id", "s.*")
-    rows = rows.withColumn("l", links("a", "b", "a_ends", "b_ends"))
-    size = lambda c: F.size(c).cast("long")
+    rows = both.links(documents.select("doc_id", "text"), "text")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     each = settle(rows.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), size("a").alias("n_a"), size("b").alias("n_b"), size("a_ends").alias("n_groups"),
-        "l.n_links", F.when(F.size("a") > 0, F.sha2("l.groups", 256)).otherwise("").alias("groups_sha256"), "l.link_a", "l.link_b", "l.times"))
+        "doc_id", F.monotonically_increasing_id().alias("row"), "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "link_a", "link_b", "times"))
     sums = link_sums(each, pair_counts(each), sent_rows)
     zero = F.lit(0).cast("long")
     return each.drop("link_a", "link_b", "times").join(sums, "row", "left").select(

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from estatelens.session import settle
 
@@ -22,6 +27,33 @@ def whole_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def array_column(rows: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of lists, one for each row; the rows are numpy arrays or lists of numbers."""
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    values = np.concatenate(rows) if len(rows) and offsets[-1] else np.zeros(0)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, type=kind, safe=False))
+
+
+def in_slices(df: DataFrame, text: str, added: str, make: Callable[[list], list[pa.Array]], rows: int = 128) -> DataFrame:
+    """The columns of ``df`` but ``text``, and the columns ``added`` (a schema) that ``make`` gives for a list of texts.
+
+    Python workers take ``rows`` rows at a time and hand their results on, so results never
+    pile up however much larger than the texts they are.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*kept, *T._parse_datatype_string(added).fields])
+    names = schema.fieldNames()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                new = make(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new], names=names)
+
+    return df.mapInArrow(each, schema)
+
+
 def ranged(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The rows sorted by ``keys`` over all partitions, settled, with their place in ``position``.
 

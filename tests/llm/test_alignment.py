@@ -1,12 +1,12 @@
 """Token alignment against brute force over byte offsets."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -15,12 +15,6 @@ from estatelens.llm import alignment, queries
 FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-@pytest.fixture(scope="module")
-def sides():
-    return (alignment.ByteLevel(open(FILES[0], encoding="utf-8").read(), public_tokenizers.PATTERN),
-            alignment.Pieces(open(FILES[1], "rb").read()))
-
-
 def brute(rows):
     """The rows of the query: every offset compared, every pair of a group written out."""
     whole = Tokenizer.from_file(FILES[0])
@@ -76,7 +70,7 @@ def test_gallop_equals_intersection():
         short, long = (sorted(rng.sample(range(top), rng.randint(0, min(top, n)))) for n in (20, 300))
         x, y = alignment.gallop(short, long)
         both = sorted(set(short) & set(long))
-        assert [short[i] for i in x] == both == [long[i] for i in y]
+        assert [short[i - 1] for i in x] == both == [long[i - 1] for i in y]
         x, y = alignment.common_ends(long, short)
         assert [long[i - 1] for i in x] == both == [short[i - 1] for i in y]
 
@@ -90,7 +84,7 @@ def test_gallop_compares_few_numbers():
             return list.__getitem__(self, i)
 
     long = Counted(range(100_000))
-    assert alignment.gallop([10, 50_000, 99_999], long) == ([0, 1, 2], [10, 50_000, 99_999])
+    assert alignment.gallop([10, 50_000, 99_999], long) == ([1, 2, 3], [11, 50_001, 100_000])
     assert Counted.reads < 150
 
 
@@ -110,16 +104,25 @@ def test_wide_groups_count_like_slim_ones(monkeypatch):
             assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == want and (np.diff(a << 32 | b) > 0).all()
 
 
-def test_pre_tokens_encode_as_within_the_text(sides, monkeypatch):
-    monkeypatch.setattr(alignment, "KEPT", 50)
-    whole = Tokenizer.from_file(FILES[0])
-    whole.encode_special_tokens = True
-    rng = random.Random(5)
-    alphabet = "abcdefgh  '\n\t0123.,!é漢字\U0001F600▁\x00\x1c　́АБВ"
-    texts = ["<|endoftext|>", "a<|endoftext|> b", "", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 150))) for _ in range(300))]
-    for at in range(0, len(texts), 40):
-        part = texts[at:at + 40]
-        assert sides[0].encoded(part) == [whole.encode(t, add_special_tokens=False).ids for t in part]
+def test_merging_by_rank_is_the_merge_list():
+    data = open(FILES[0], encoding="utf-8").read()
+    assert alignment.merges_by_rank(data)
+    side, rng = alignment.ByteLevel(data, public_tokenizers.PATTERN, by_rank=True), random.Random(5)
+    alphabet = "abcdefgh    '\n\t0123.,!é漢字\U0001F600\x00\x1c\u3000\u0301АБВﬁ"
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "a ", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 150))) for _ in range(600))]
+    for text in [*texts, *("".join(rng.choice("abcdeinorst") for _ in range(200)) for _ in range(600))]:
+        assert side.encoded(text) == side.whole.encode(" " + text, add_special_tokens=False).ids
+    assert len(side.encoded(" " * 500_000 + "a")) == 500_001
+
+
+def test_merge_lists_that_ranks_do_not_give_are_told_apart():
+    def said(merges, tokens):
+        vocabulary = {c: b for c, b in alignment.byte_level_bytes().items()} | {t: 256 + i for i, t in enumerate(tokens)}
+        return alignment.merges_by_rank(json.dumps({"model": {"vocab": vocabulary, "merges": merges}}))
+
+    assert said([["b", "c"], ["a", "bc"]], ["bc", "abc"]) and said(["b c", "a bc"], ["bc", "abc"])
+    assert not said([["a", "b"], ["b", "c"], ["a", "bc"]], ["ab", "bc", "abc"])  # ranks reach abc from ab
+    assert not said([["a", "b"], ["b", "c"]], ["bc", "ab"])  # not in the order of ids
 
 
 ROWS = [
@@ -138,3 +141,10 @@ def test_awkward_rows_clashing_columns_and_both_joins(spark):
 def test_the_query_equals_brute_force(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert found(queries.QUERIES["op13_token_alignment"](spark, folder)) == brute(rows)
+
+
+def test_alignments_slice_the_tokens(spark):
+    both = alignment.Tokenizers(spark, *FILES, public_tokenizers.PATTERN)
+    rows = both.alignments(spark.createDataFrame(ROWS, "doc_id long, text string"), "text").collect()
+    for r in rows:
+        assert len(r["a_ends"]) == len(r["b_ends"]) and (not r["a"] or (r["a_ends"][-1], r["b_ends"][-1]) == (len(r["a"]), len(r["b"])))
