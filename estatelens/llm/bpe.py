@@ -1,27 +1,33 @@
 """Byte-level BPE encoding and decoding by merge ranks.
 
-A pre-token's bytes are a linked list. Its mergeable pairs wait in a queue with a bucket of
+The bytes of pre-tokens are a linked list. Mergeable pairs wait in a queue with a bucket of
 list positions for each rank; a bitmap over the buckets, with a bitmap over its words and so
-on, finds the lowest rank by find-first-set on each level. Work for a pre-token of n bytes is
-of the order n log n, however long it is.
+on, finds the lowest rank by find-first-set on each level. Work for n bytes is of the order
+n log n, however long a pre-token is.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estatelens.llm.common import array_column, in_slices
+
 WORD_BITS = 6  # a word of the bitmap has 64 bits
-KEPT, KEPT_CHARS = 1 << 17, 64  # encoded pre-tokens a worker remembers, and the longest of them
+NONE = -1  # no rank, no id
+KEPT, KEPT_CHARS = 1 << 18, 32  # encoded pre-tokens a worker remembers, and the longest of them
+GROUP, TOGETHER = 128, 1 << 18  # texts split at once, and bytes of pre-tokens from which a list is merged
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -30,7 +36,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions in buckets by rank; `pop` gives the first position of the lowest rank.
+    """Buckets of positions by rank; `lowest` finds the first bucket that holds something.
 
     ``levels[0]`` has one bit for each rank, set while its bucket holds something; each
     further level has one bit for each word below it, set while that word is not zero.
@@ -45,77 +51,120 @@ class RankQueue:
             if size == 1:
                 break
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         for level in self.levels:
-            word, bit = rank >> WORD_BITS, 1 << (rank & 63)
+            word = rank >> WORD_BITS
             was = level[word]
-            level[word] = was | bit
+            level[word] = was | 1 << (rank & 63)
             if was:
                 break
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
+    def push(self, rank: int, position: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.open(rank, [position])
+        else:
+            bucket.append(position)
+
+    def lowest(self) -> int | None:
+        """The lowest rank with a bucket: the first set bit of each level, from the top down."""
         if not self.levels[-1][0]:
             return None
         rank = 0
         for level in reversed(self.levels):
             word = level[rank]
             rank = rank << WORD_BITS | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self._empty(rank)
-        return rank, position
-
-    def _empty(self, rank: int) -> None:
-        del self.buckets[rank]
+        return rank
+
+    def take(self, rank: int) -> list[int]:
+        """Remove a rank's bucket and give its positions in order."""
+        bucket = self.buckets.pop(rank)
         for level in self.levels:
             word = rank >> WORD_BITS
             level[word] &= ~(1 << (rank & 63))
             if level[word]:
                 break
             rank = word
+        bucket.sort()
+        return bucket
 
 
-def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token: the pair of the lowest rank, and of these the first, is merged until none is left.
+def merged(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray, queue: RankQueue) -> list[tuple[int, ...]]:
+    """The ids of each pre-token: the pair of the lowest rank, and of these the first, is merged until none is left.
 
-    ``queue`` must be empty, and is again at the end. An entry is stale, and skipped, if
-    the pair at its position has another rank by now: a pair's bytes only ever grow, so no
-    pair gets a rank that it had before.
+    The pre-tokens lie end to end in one linked list and share the queue; no pair reaches
+    over an end, so they do not affect each other. ``pairs`` has the rank of each pair of
+    bytes, or NONE. A bucket is worked off from left to right; if a merge makes a pair of a
+    lower rank, the rest of the bucket waits until that one is done. An entry is stale, and
+    skipped, if the pair at its position has another rank by now: a pair's bytes only ever
+    grow, so no pair gets a rank that it had before. ``queue`` must be empty, and is again
+    at the end.
     """
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_at = [ranks.get(piece[i:i + 2]) for i in range(n - 1)] + [None]
-    for i, rank in enumerate(rank_at):
-        if rank is not None:
-            queue.push(rank, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
-        if rank_at[i] != rank:
-            continue
-        gone = after[i]
-        end = after[i] = after[gone]
-        rank_at[gone] = None
-        rank_at[i] = ranks.get(piece[i:after[end]]) if end < n else None
-        if end < n:
-            before[end] = i
-            if rank_at[i] is not None:
-                queue.push(rank_at[i], i)
-        if (h := before[i]) >= 0:
-            rank_at[h] = ranks.get(piece[h:end])
-            if rank_at[h] is not None:
-                queue.push(rank_at[h], h)
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i:after[i]]])
-        i = after[i]
-    return ids
+    data = b"".join(pieces)
+    n = len(data)
+    octets = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
+    ends = np.cumsum([len(p) for p in pieces])
+    first = bytearray(n + 1)  # whether a pre-token begins at a position
+    first[0] = 1
+    for end in ends.tolist():
+        first[end] = 1
+    filled = np.full(n, NONE, dtype=np.int32)
+    filled[:-1] = pairs[octets[:-1] << 8 | octets[1:]]
+    filled[ends - 1] = NONE
+    waiting = np.flatnonzero(filled != NONE)
+    waiting = waiting[np.argsort(filled[waiting], kind="stable")]
+    cuts = np.flatnonzero(np.diff(filled[waiting], prepend=NONE))
+    for part in np.split(waiting, cuts[1:]) if len(waiting) else []:
+        queue.open(int(filled[part[0]]), part.tolist())
+    rank_at, id_at = array("i", filled.tobytes()), array("i", [ranks[bytes([b])] for b in range(256)])
+    id_at = array("i", np.frombuffer(id_at, dtype=np.int32)[octets].tobytes())
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    get, buckets, open_ = ranks.get, queue.buckets, queue.open
+    while (rank := queue.lowest()) is not None:
+        bucket = queue.take(rank)
+        for place, i in enumerate(bucket, 1):
+            if rank_at[i] != rank:
+                continue
+            gone = after[i]
+            end = after[i] = after[gone]
+            rank_at[gone] = NONE
+            id_at[gone] = NONE
+            id_at[i] = rank
+            low = rank
+            new = NONE
+            if not first[end]:
+                before[end] = i
+                new = get(data[i:after[end]], NONE)
+                if new != NONE:
+                    if (held := buckets.get(new)) is None:
+                        open_(new, [i])
+                    else:
+                        held.append(i)
+                    if new < low:
+                        low = new
+            rank_at[i] = new
+            if not first[i]:
+                h = before[i]
+                new = rank_at[h] = get(data[h:end], NONE)
+                if new != NONE:
+                    if (held := buckets.get(new)) is None:
+                        open_(new, [h])
+                    else:
+                        held.append(h)
+                    if new < low:
+                        low = new
+            if low < rank:
+                for left in bucket[place:]:
+                    queue.push(rank, left)
+                break
+    ids = np.frombuffer(id_at, dtype=np.int32)
+    kept = ids != NONE
+    counts = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])].tolist()
+    ids = ids[kept].tolist()
+    return [tuple(ids[a:b]) for a, b in zip(counts, counts[1:])]
 
 
 class Encoder:
@@ -125,25 +174,44 @@ class Encoder:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"{len(missing)} bytes have no rank")
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.pairs = np.full(1 << 16, NONE, dtype=np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8")
-        whole = self.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(merged(data, self.ranks, self.queue))
-        if len(piece) <= KEPT_CHARS:
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of pre-tokens into ``known``, as many at once as TOGETHER bytes hold."""
+        some, size = {}, 0
+        for piece in pieces:
+            data = piece.encode("utf-8")
+            whole = self.ranks.get(data)
+            if whole is not None:
+                self.known[piece] = (whole,)
+                continue
+            some[piece] = data
+            size += len(data)
+            if size >= TOGETHER:
+                self.known.update(zip(some, merged(list(some.values()), self.ranks, self.pairs, self.queue)))
+                some, size = {}, 0
+        if some:
+            self.known.update(zip(some, merged(list(some.values()), self.ranks, self.pairs, self.queue)))
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, GROUP texts at a time; null counts as empty."""
+        texts = iter(texts)
+        while group := [self.split(t or "") for t in islice(texts, GROUP)]:
             if len(self.known) >= KEPT:
                 self.known.clear()
-            self.known[piece] = ids
-        return ids
-
-    def text(self, text: str | None) -> array:
-        ids, known = array("i"), self.known
-        for piece in self.split(text or ""):
-            found = known.get(piece)
-            ids.extend(self.piece(piece) if found is None else found)
-        return ids
+            pieces = set().union(*group).difference(self.known)
+            self.learn(pieces)
+            known = self.known.__getitem__
+            for split in group:
+                yield np.fromiter(chain.from_iterable(map(known, split)), dtype=np.int32)
+            for piece in pieces:
+                if len(piece) > KEPT_CHARS:
+                    del self.known[piece]
 
 
 class Decoder:
@@ -183,7 +251,7 @@ class Vocabulary:
         @F.pandas_udf("array<int>")
         def each(texts: pd.Series) -> pd.Series:
             encoder = _encoder(data.value, pattern)
-            return pd.Series([np.frombuffer(ids, dtype="int32") if (ids := encoder.text(t)) else np.zeros(0, "int32") for t in texts], dtype=object)
+            return pd.Series(list(encoder.texts(texts)), dtype=object)
 
         return each(text)
 
@@ -198,6 +266,16 @@ class Vocabulary:
 
         return each(ids)
 
+    def tokens(self, df: DataFrame, text: str) -> DataFrame:
+        """The columns of ``df`` but ``text``, with `ids` as `encoded` gives them and `bytes`, what these ids decode to."""
+        data, pattern = self.data, self.pattern
+
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            ids, decoder = list(_encoder(data.value, pattern).texts(texts)), _decoder(data.value)
+            return [array_column(ids, pa.int32()), pa.array([decoder.ids(i.tolist()) for i in ids], type=pa.binary())]
+
+        return in_slices(df, text, "ids array<int>, bytes binary", make)
+
 
 def document_tokens(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: the ids of the whole text, and what they decode to.
@@ -208,8 +286,7 @@ def document_tokens(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     result; columns other than doc_id and text are not read.
     """
     words = Vocabulary(documents.sparkSession, path, pattern)
-    rows = documents.select("doc_id", words.encoded("text").alias("ids"))
-    rows = rows.select("doc_id", "ids", words.decoded("ids").alias("bytes"))
+    rows = words.tokens(documents.select("doc_id", "text"), "text")
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -40,21 +40,20 @@ def plainly_merged(piece, ranks):
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
 
-def test_queue_gives_the_first_position_of_the_lowest_rank():
-    rng, queue, held = random.Random(1), bpe.RankQueue(300_000), set()
+def test_queue_gives_the_lowest_rank_and_its_positions_in_order():
+    rng, queue, held = random.Random(1), bpe.RankQueue(300_000), {}
     for _ in range(4000):
         if held and rng.random() < 0.45:
             top = min(held)
-            assert queue.pop() == top
-            held.remove(top)
+            assert queue.lowest() == top and queue.take(top) == sorted(held.pop(top))
         else:
-            entry = (rng.choice([0, 63, 64, 4095, 4096, 262_143, 262_144, 299_999, rng.randrange(300_000)]), rng.randrange(10 ** 6))
-            if entry not in held:
-                held.add(entry)
-                queue.push(*entry)
+            rank = rng.choice([0, 63, 64, 4095, 4096, 262_143, 262_144, 299_999, rng.randrange(300_000)])
+            position = rng.randrange(10 ** 6)
+            held.setdefault(rank, []).append(position)
+            queue.push(rank, position)
     while held:
-        held.remove(queue.pop())
-    assert queue.pop() is None and not queue.buckets and not any(map(any, queue.levels))
+        assert queue.take(queue.lowest()) == sorted(held.pop(min(held)))
+    assert queue.lowest() is None and not queue.buckets and not any(map(any, queue.levels))
 
 
 def test_merges_equal_plain_search_also_where_a_merge_allows_a_lower_rank():
@@ -64,35 +63,37 @@ def test_merges_equal_plain_search_also_where_a_merge_allows_a_lower_rank():
         tokens = list({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(25)})
         rng.shuffle(tokens)  # a longer token may rank below its parts
         ranks |= {t: 256 + i for i, t in enumerate(tokens)}
-        queue = bpe.RankQueue(len(ranks))
-        for _ in range(20):
-            piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 60)))
-            assert bpe.merged(piece, ranks, queue) == plainly_merged(piece, ranks)
+        encoder = bpe.Encoder(ranks, r"\S+")
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 60))) for _ in range(30)]
+        found = bpe.merged(pieces, ranks, encoder.pairs, encoder.queue)
+        assert [list(ids) for ids in found] == [plainly_merged(p, ranks) for p in pieces]
 
 
 def test_texts_equal_the_library(library):
     encoder, rng = bpe.Encoder(RANKS, public_tokenizers.PATTERN), random.Random(5)
-    alphabet = "abcdefgh  '\n\t0123.,!é漢字\U0001F600▁\x00\x1c　́АБВ"
-    texts = ["", " ", "  a", "a  ", "it's  we'll\n\n x", "<|endoftext|>", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(400))]
-    for text in texts:
-        ids = encoder.text(text).tolist()
-        assert ids == library.encode_ordinary(text)
-        assert bpe.Decoder(RANKS).ids(ids) == text.encode()
+    alphabet = "abcdefgh  '\n\t0123.,!é漢字\U0001F600▁\x00\x1c\u3000\u0301АБВ"
+    texts = ["", " ", "  a", "a  ", "it's  we'll\n\n x", "<|endoftext|>", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(900))]
+    for text, ids in zip(texts, encoder.texts(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+        assert bpe.Decoder(RANKS).ids(ids.tolist()) == text.encode()
 
 
 def test_long_pre_tokens(library):
     rng = random.Random(7)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
-    for text in ("x" * 30_000, " " * 20_000, "".join(rng.choice("abcdefghijklmnop") for _ in range(60_000)), "漢" * 5_000, "=-" * 9_000):
-        assert encoder.text(text).tolist() == library.encode_ordinary(text)
+    texts = ["x" * 30_000, " " * 20_000, "".join(rng.choice("abcdefghijklmnop") for _ in range(600_000)), "漢" * 5_000, "=-" * 9_000]
+    assert [ids.tolist() for ids in encoder.texts(texts)] == [library.encode_ordinary(t) for t in texts]
     assert not any(len(k) > bpe.KEPT_CHARS for k in encoder.known)
 
 
 def test_what_is_remembered_is_bounded(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
+    monkeypatch.setattr(bpe, "GROUP", 2)
+    monkeypatch.setattr(bpe, "TOGETHER", 16)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
-    text = " ".join(f"word{i} other" for i in range(50))
-    assert encoder.text(text).tolist() == library.encode_ordinary(text) and len(encoder.known) <= 5
+    texts = [f"wordy{i} others{i % 7}" for i in range(50)]
+    assert [ids.tolist() for ids in encoder.texts(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert len(encoder.known) <= 5 + 4
 
 
 def test_awkward_rows_and_clashing_columns(spark, library):
