@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,13 +95,29 @@ def running(df: DataFrame, keys: list[str], amounts: dict[str, str], within: lis
     return joined.select(*kept, *[(rows[n] + carried[f"_c_{n}"]).alias(n) for n in amounts])
 
 
+ROW = ("__file", "__row")  # what names a row for good; a given column of such a name gives way
+
+
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """The rows with `__file` and `__row`, which name a row for good, also among repeated rows.
+    """``row`` (a struct of the columns) with `__file` and `__row`, which name a row for good, also among repeated rows.
 
-    A frame read from files is identified by file and row number, which do not depend on
-    how the read is split; any other frame is settled first.
+    A row read from a file is named by the file's whole path and its number there, which do
+    not depend on how the read is split. That holds for a plain scan of files only: rows
+    of any other frame (joined, exploded, drawn, made from data) are settled first. The
+    given columns lie within ``row``, so no name of theirs can clash.
     """
-    try:
-        return docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return settle(docs).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    if not _is_scan(docs):
+        docs = settle(docs)
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(given, meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of the frame is one row of a file: columns chosen or renamed from one scan, rows perhaps filtered."""
+    plan = getattr(df, "_jdf", None) and df._jdf.queryExecution().analyzed()
+    if not plan or not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and plan.metadataOutput().size() > 0 and "row_index" in str(plan.metadataOutput().apply(0).dataType().catalogString())

@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import WORD, running, with_row_id
+from estatelens.llm.common import ROW, WORD, running, with_row_id
 from estatelens.session import settle
 
 Pattern = tuple  # the sorted sources that a document belongs to
@@ -125,6 +125,8 @@ def mixed(df: DataFrame, members: str, size: str, order: list[str], quota, copie
     `running`), also for one pattern with all rows. Rows equal in ``order`` share their
     place in the seeded order and may swap. Empty tables give empty results.
     """
+    if clash := {"_pattern", "_draw", "_at", "_p", "_total", "_ends", "_place", "_part", "copies", "taken", "routes"} & set(df.columns):
+        raise ValueError(f"rename the columns {sorted(clash)}: the mix uses these names")
     spark = df.sparkSession
     rows = df.withColumn("_pattern", F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast(df.schema[members].dataType)))))
     rows = rows.withColumn("_draw", F.xxhash64(F.lit(seed).cast("long"), *order))
@@ -193,8 +195,8 @@ def _mixed_documents(documents: DataFrame, weights, share, most, seed, *also: st
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """The documents of the mix with their columns as they are, each as often as it is taken."""
     named = with_row_id(docs)
-    plain = named.select("doc_id", "source", "text", "__file", "__row")
-    copies = _mixed_documents(plain, weights, share, most, seed, "__file", "__row").where("copies > 0").select("__file", "__row", "copies")
-    out = named.join(copies.withColumnRenamed("copies", "__copies"), ["__file", "__row"])
-    each = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    return out.select(*docs.columns, each).drop("__copy")
+    plain = named.select("row.doc_id", "row.source", "row.text", *ROW)
+    copies = _mixed_documents(plain, weights, share, most, seed, *ROW).where("copies > 0").select(*ROW, "copies")
+    out = named.join(copies, list(ROW))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return out.select("row", each).select("row.*")

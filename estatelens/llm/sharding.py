@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import running, whole_text, with_row_id
+from estatelens.llm.common import ROW, running, whole_text, with_row_id
 from estatelens.session import settle
 
 ROUNDS = 8
@@ -137,9 +137,10 @@ def sharded_documents(docs: DataFrame, n_shards: int = 8, seed: int = 42) -> Dat
     Columns of the documents named shard or slot give way.
     """
     named = with_row_id(docs)
+    text = F.col("row.text")
     rows = named.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size"), F.crc32(whole_text("text").cast("binary")).alias("_crc"),
-        F.xxhash64("text").alias("_hash"), "__file", "__row")
-    placed = sharded(rows, ["doc_id", "_size", "_crc", "_hash", "__file", "__row"], n_shards, seed).select("__file", "__row", "shard", "slot")
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return named.select(*keep, "__file", "__row").join(placed, ["__file", "__row"]).drop("__file", "__row")
+        F.col("row.doc_id").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_size"),
+        F.crc32(whole_text(text).cast("binary")).alias("_crc"), F.xxhash64(text).alias("_hash"), *ROW)
+    placed = sharded(rows, ["doc_id", "_size", "_crc", "_hash", *ROW], n_shards, seed).select(*ROW, "shard", "slot")
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return named.join(placed, list(ROW)).select(*keep, "shard", "slot")

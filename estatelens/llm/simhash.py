@@ -140,7 +140,8 @@ def one_of_each(docs: DataFrame, id_: str = "doc_id", text: str = "text", distan
     Null ids come last; of rows with the same id one stays. Columns stay as they are.
     """
     named = with_row_id(docs)
-    found = grouped(named.select(F.col(id_).alias("id"), F.col(text).alias("text"), "__file", "__row"), "id", "text", distance, width)
+    rows = named.select(F.col(f"row.`{id_}`").alias("id"), F.col(f"row.`{text}`").alias("text"), "__file", "__row")
+    found = grouped(rows, "id", "text", distance, width)
     best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "__file", "__row"))
     stay = found.groupBy("root").agg(best.alias("best")).select("best.__file", "best.__row")
-    return named.join(stay, ["__file", "__row"], "left_semi").select(*docs.columns)
+    return named.join(stay, ["__file", "__row"], "left_semi").select("row.*")

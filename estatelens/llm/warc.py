@@ -160,15 +160,15 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BY
     total = rows.agg(F.sum(F.greatest("_size", F.lit(256)))).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     big = F.col("_size") >= least
-    # larger ids first, then the earlier row: the least of negated ids, null ids last
-    order = F.struct(F.col("_page_id").isNull().alias("z"), (-F.col("_page_id")).alias("i"), F.col("__file").alias("f"), F.col("__row").alias("r"), F.col("_url").alias("u"))
+    # larger ids first, then the earlier row: the least of complemented ids, null ids last
+    order = F.struct(F.col("_page_id").isNull().alias("z"), F.bitwise_not("_page_id").alias("i"), F.col("__file").alias("f"), F.col("__row").alias("r"), F.col("_url").alias("u"))
     kept = rows.where(big).groupBy("_digest", "_size").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
     marked = rows.drop("_url").join(kept.select("_digest", "_size", "_best"), ["_digest", "_size"], "left")
     is_best = (F.col("_best.f") == F.col("__file")) & (F.col("_best.r") == F.col("__row"))
     revisit = F.col("_best").isNotNull() & ~is_best
     marked = marked.select(
         "__file", "__row", "_page_id", "_digest", "_size", F.when(revisit, "revisit").otherwise("response").alias("_type"),
-        F.when(revisit, -F.col("_best.i")).alias("_refers_to"), F.when(revisit, F.col("_best.u")).alias("_refers_url"),
+        F.when(revisit, F.bitwise_not("_best.i")).alias("_refers_to"), F.when(revisit, F.col("_best.u")).alias("_refers_url"),
         F.greatest("_size", F.lit(256)).cast("long").alias("_stored"))
     placed = running(marked, ["_page_id", "_digest", "__file", "__row"], {"_before": "_stored"})
     # a record counts 256 bytes at least, so a shard also has a bounded number of records
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, shar
     Parquet in ``folder``/manifest: files it does not list are no part of the archive.
     """
     spark = pages.sparkSession
-    named = with_row_id(pages.select("page_id", "url", "html"))
+    named = with_row_id(pages.select("page_id", "url", "html")).select("row.*", "__file", "__row")
     steps = plan(named, least, shard_bytes)
     system, root = opened(folder)
     system.create_dir(root, recursive=True)
