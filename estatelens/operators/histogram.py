@@ -25,9 +25,14 @@ def check_floor(min_size: int) -> int:
     return min_size
 
 
-def value_counts(df: DataFrame, *cols: str) -> DataFrame:
+def rows_of(weight: str | None = None) -> Column:
+    """How many rows a group holds; with ``weight``, of a frame whose rows stand for that many."""
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))
+
+
+def value_counts(df: DataFrame, *cols: str, weight: str | None = None) -> DataFrame:
     """Rows per value; NULL is a value."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*cols).agg(rows_of(weight).alias("n"))
 
 
 def drop_small(df: DataFrame, min_size: int, count: str = "n") -> DataFrame:
@@ -114,14 +119,14 @@ def key_counts(df: DataFrame, json_col: str) -> DataFrame:
 
 
 def pivot_counts(
-    df: DataFrame, row: str, column: str, values: list, prefix: str = "loc__"
+    df: DataFrame, row: str, column: str, values: list, prefix: str = "loc__", weight: str | None = None
 ) -> DataFrame:
     """One count column per value, zeros where a pair does not occur, columns sorted.
 
     The value list is an argument, so no extra job looks for the values; the pairs are
     counted before the pivot, so a hot row value does not reach one task row by row.
     """
-    pairs = value_counts(df, row, column)
+    pairs = value_counts(df, row, column, weight=weight)
     return pairs.groupBy(row).agg(
         *[
             F.coalesce(F.sum(F.when(F.col(column) == v, F.col("n"))), F.lit(0)).alias(

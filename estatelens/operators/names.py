@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.text import classify_name, name_pattern
-from .histogram import fold_other, shares
+from .histogram import fold_other, shares, value_counts
 
 
 def name_patterns(df: DataFrame, name: str, min_size: int) -> tuple[DataFrame, DataFrame]:
@@ -14,12 +14,13 @@ def name_patterns(df: DataFrame, name: str, min_size: int) -> tuple[DataFrame, D
 
     Names shrink to counted class sequences first; positions are read off those.
     """
-    sequences = (
-        df.where(F.col(name).isNotNull())
-        .groupBy(classify_name(name).alias("classes"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("classes").isNotNull())
-    )
+    named = df.where(F.col(name).isNotNull())
+    return sequence_shares(value_counts(named.select(classify_name(name).alias("classes")), "classes"), min_size)
+
+
+def sequence_shares(sequences: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """The same from counted class sequences (classes, n)."""
+    sequences = sequences.where(F.col("classes").isNotNull())
     patterns = sequences.groupBy(name_pattern("classes").alias("pattern")).agg(
         F.sum("n").alias("n")
     )

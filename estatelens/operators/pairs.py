@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.jsonmaps import json_map
 from estatelens.functions.text import canonical_namespace, is_identifier_key
-from .histogram import check_floor, shares
+from estatelens.session import settle
+from .histogram import check_floor, shares, value_counts
 
 
 def _pairs_of(items: Column) -> Column:
@@ -65,14 +66,31 @@ def pair_counts(
     return counted if min_size is None else counted.where(F.col("n") >= min_size)
 
 
-def key_pair_counts(df: DataFrame, json_col: str) -> DataFrame:
-    """In how many rows each unordered pair of keys of a JSON object occurs."""
-    sets = (
-        df.where(F.col(json_col).isNotNull())
-        .groupBy(F.sort_array(F.map_keys(json_map(json_col))).alias("items"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def key_pair_counts(
+    df: DataFrame, json_col: str, min_size: int | None = None, weight: str | None = None
+) -> DataFrame:
+    """In how many rows each unordered pair of keys of a JSON object occurs.
+
+    Rows shrink to counted key sets first. Under a floor, keys that fewer rows carry leave
+    the sets before any pair is written, since no pair that holds one can reach it, and
+    sets that are equal then are merged again; pairs below the floor are left out.
+    """
+    keys = F.sort_array(F.map_keys(json_map(json_col))).alias("items")
+    kept = [weight] if weight else []
+    sets = value_counts(df.where(F.col(json_col).isNotNull()).select(*kept, keys), "items", weight=weight)
+    if min_size is None:
+        return pairs_in_sets(sets, "items")
+    sets = settle(sets.where(F.size("items") > 1))
+    members = sets.select("items", "n", F.explode("items").alias("item"))
+    frequent = members.groupBy("item").agg(F.sum("n").alias("rows")).where(F.col("rows") >= check_floor(min_size))
+    cut = (
+        members.join(frequent.select("item"), "item", "left_semi")
+        .groupBy("items", "n")
+        .agg(F.sort_array(F.collect_list("item")).alias("cut"))
+        .groupBy("cut")
+        .agg(F.sum("n").alias("n"))
     )
-    return pairs_in_sets(sets, "items")
+    return pairs_in_sets(cut, "cut").where(F.col("n") >= min_size)
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:

@@ -39,9 +39,11 @@ def type_shapes(
     rows = resources.withColumn("type", canonical_namespace("type")).join(
         F.broadcast(leading), "type", "left_semi"
     )
+    # Fields that no type lists go before entries are made of them.
+    wanted = sorted({name for names in property_fields.values() for name in names})
     kind = F.array(F.struct(F.lit("kind").alias("key"), F.col("kind").alias("value")))
     labelled = F.concat(
-        _part("properties", F.map_entries(json_map("properties"))),
+        _part("properties", F.map_entries(F.map_filter(json_map("properties"), lambda k, _: k.isin(*wanted)))),
         _part("sku", F.map_entries(json_map("sku"))),
         _part("kind", F.when(F.col("kind").isNotNull(), kind)),
     )

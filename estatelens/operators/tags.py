@@ -11,16 +11,19 @@ from estatelens.functions.text import (
     canonical_namespace, is_identifier_key, is_identifier_value, is_listed,
 )
 from estatelens.session import settle
-from .histogram import check_floor, fold_other, shares
+from .histogram import check_floor, fold_other, rows_of, shares, value_counts
 
 
-def tag_value_counts(df: DataFrame, tags: str = "tags", keys: tuple[str, ...] | None = None) -> DataFrame:
+def tag_value_counts(
+    df: DataFrame, tags: str = "tags", keys: tuple[str, ...] | None = None, weight: str | None = None
+) -> DataFrame:
     """Rows per (key, value); with ``keys`` only of listed keys, cut before they are counted."""
     entries = json_map(tags)
     if keys is not None:
         entries = F.map_filter(entries, lambda k, _: is_listed(k, keys))
-    pairs = df.where(F.col(tags).isNotNull()).select(F.explode(entries).alias("key", "value"))
-    return pairs.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = [weight] if weight else []
+    pairs = df.where(F.col(tags).isNotNull()).select(*kept, F.explode(entries).alias("key", "value"))
+    return value_counts(pairs, "key", "value", weight=weight)
 
 
 def key_frequencies(key_counts: DataFrame, total) -> DataFrame:
@@ -59,11 +62,14 @@ def value_cardinality(value_counts: DataFrame, min_size: int) -> DataFrame:
     return clean.groupBy("key").agg(F.count_if(reaches).alias("cardinality"))
 
 
-def tag_coverage(df: DataFrame, type_col: str = "type", tags: str = "tags") -> DataFrame:
+def tag_coverage(
+    df: DataFrame, type_col: str = "type", tags: str = "tags", weight: str | None = None
+) -> DataFrame:
     """Rows and rows with a non-empty tag object, per type."""
     tagged = F.coalesce(F.size(F.map_keys(json_map(tags))) > 0, F.lit(False))
     return df.groupBy(F.col(type_col).alias("type")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(tagged).alias("tagged")
+        rows_of(weight).alias("total"),
+        (F.count_if(tagged) if weight is None else F.sum(F.when(tagged, F.col(weight)).otherwise(0))).alias("tagged"),
     )
 
 
@@ -81,16 +87,17 @@ def untagged_rates(coverage: DataFrame) -> DataFrame:
 
 
 def owner_features(
-    df: DataFrame, owner: str = "subscription_id", group: str = "resource_group", tags: str = "tags"
+    df: DataFrame, owner: str = "subscription_id", group: str = "resource_group", tags: str = "tags",
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows, distinct groups and mean number of tag keys per owner.
 
     Rows are first summed per (owner, group), so a hot owner reaches the second step as
     one row per group.
     """
-    keys = F.coalesce(F.size(F.map_keys(json_map(tags))), F.lit(0))
+    keys = F.greatest(F.coalesce(F.size(F.map_keys(json_map(tags))), F.lit(0)), F.lit(0))
     per_group = df.groupBy(owner, group).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(keys, F.lit(0))).alias("keys")
+        rows_of(weight).alias("rows"), F.sum(keys if weight is None else keys * F.col(weight)).alias("keys")
     )
     return per_group.groupBy(owner).agg(
         F.sum("rows").alias("resource_count"),

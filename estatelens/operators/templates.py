@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estatelens.catalogues import words
 from estatelens.functions.text import canonical_namespace, is_identifier_key
 from estatelens.session import settle
-from .histogram import check_floor, shares
+from .histogram import check_floor, rows_of, shares
 from .joins import scalar
 from .ranking import split_top
 
@@ -19,6 +19,7 @@ def group_type_sets(
     owner: str = "subscription_id",
     group: str = "resource_group",
     type_col: str = "type",
+    weight: str | None = None,
 ) -> DataFrame:
     """Sorted distinct types and row count of each group, true empties included.
 
@@ -29,7 +30,7 @@ def group_type_sets(
         F.col(owner).alias("owner"),
         F.lower(F.col(group)).alias("group_key"),
         F.col(type_col).alias("type"),
-    ).agg(F.count(F.lit(1)).alias("rows"), F.min(group).alias("name"))
+    ).agg(rows_of(weight).alias("rows"), F.min(group).alias("name"))
     found = per_type.groupBy("owner", "group_key").agg(
         F.sort_array(F.collect_list("type")).alias("type_set"),
         F.sum("rows").alias("resource_count"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.catalogues.types import TOPOLOGY_DEFAULTS
+from .histogram import value_counts
 
 REFERENCE = "/subscriptions/([0-9a-zA-Z-]+)/"
 
@@ -16,12 +17,17 @@ def cross_refs(df: DataFrame, text: str = "properties", owner: str = "subscripti
     The references are counted per (source, target) pair before they are counted again,
     so no single task sees every referring row.
     """
+    return crossings(value_counts(df.select(F.col(owner).alias("source"), other_owner(text, owner).alias("target")), "source", "target"))
+
+
+def other_owner(text: str, owner: str) -> Column:
+    """The owner that a text names first, if it is another one."""
     referred = F.regexp_extract(F.col(text), REFERENCE, 1)
-    signal = df.select(
-        F.col(owner).alias("source"),
-        F.when((referred != "") & (referred != F.col(owner)), referred).alias("target"),
-    )
-    pairs = signal.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return F.when((referred != "") & (referred != F.col(owner)), referred)
+
+
+def crossings(pairs: DataFrame) -> DataFrame:
+    """The signal from counted (source, target, n); a null target is a row that names no other owner."""
     crossing = F.col("target").isNotNull()
     return pairs.agg(
         F.coalesce(F.sum(F.when(crossing, F.col("n"))), F.lit(0)).alias("cross_ref_resources"),

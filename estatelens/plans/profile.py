@@ -1,21 +1,24 @@
 """The statistical profile of a scan.
 
-A profile is one long frame ``(section, key1, key2, key3, value)``. Every section is its
-own branch over the scan that reads only the columns it needs; one job computes them all,
-and nothing is collected.
+A profile is one long frame ``(section, key1, key2, key3, value)``. The rows are read three
+times: once into a lattice of partial counts, from which every count section is rolled up,
+once for the values of properties, and once to meet their costs. One job computes all
+sections, and nothing is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.catalogues import types as catalogue
 from estatelens.catalogues import words
 from estatelens.operators import (
-    clusters, costs, findings, governance, histogram, names, pairs, shapes, tags, templates, topology,
+    clusters, costs, findings, governance, histogram, lattice, names, pairs, shapes, tags, templates, topology,
 )
 from estatelens.operators.joins import scalar
 from estatelens.operators.leaks import refuse_leaks
@@ -62,11 +65,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def archetype_entries(scan: dict[str, DataFrame], min_size: int, k: int, locations: list[str]) -> DataFrame:
-    """Owner archetypes; ``locations`` are the values to spread over feature columns."""
-    rows = scan["resources"]
-    wide = histogram.pivot_counts(rows, "subscription_id", "location", locations)
-    features = tags.owner_features(rows).join(wide, "subscription_id")
+def archetype_entries(rows: DataFrame, min_size: int, k: int, locations: list[str]) -> DataFrame:
+    """Owner archetypes from the lattice; ``locations`` are the values to spread over feature columns."""
+    wide = histogram.pivot_counts(rows, "subscription_id", "location", locations, weight="n")
+    features = tags.owner_features(rows, weight="n").join(wide, "subscription_id")
     columns = ["resource_count", "rg_count", "tag_density", *[f"loc__{v}" for v in sorted(locations)]]
     clustered = clusters.cluster_owners(features, "subscription_id", columns, k)
     found = max(1, min(k, clustered.count()))
@@ -95,34 +97,41 @@ def build_profile(
     if terms is None and not allow_no_terms:
         raise TermListRequired("give a term list, or allow profiling without one")
     rows = scan["resources"]
-    total = scalar(rows.agg(F.count(F.lit(1))))
+    base = lattice.row_lattice(rows)
+    # Clustering is many short jobs over few rows, so it runs beside the other sections.
+    beside = ThreadPoolExecutor(1)
+    owners = None if k is None else beside.submit(
+        inheritable_thread_target(rows.sparkSession)(archetype_entries), base, min_size, k, locations or [])
+    # JSON texts are parsed once for each type that carries them.
+    tagged = settle(lattice.rolled_up(base, "type", "tags"))
+    total = scalar(tagged.agg(histogram.rows_of("n")))
 
     def counted(name: str, label: str) -> DataFrame:
         return _entries(scan[name].agg(F.count(F.lit(1)).alias("n")), "source_stats", "n", F.lit(label))
 
-    frequencies = histogram.type_frequencies(histogram.value_counts(rows, "type"), min_size)
+    frequencies = histogram.type_frequencies(lattice.rolled_up(tagged, "type"), min_size)
     shaped = shapes.type_shapes(rows, frequencies, min_size, property_fields)
-    values = tags.tag_value_counts(rows)
+    values = settle(tags.tag_value_counts(tagged, weight="n"))
     # A row carries a key once, so its values' counts add up to the key's.
     keys = values.groupBy("key").agg(F.sum("n").alias("n"))
-    sets = templates.group_type_sets(rows, scan["resource_groups"])
+    sets = templates.group_type_sets(base, scan["resource_groups"], weight="n")
     standing, mass = templates.templates(sets, min_size)
-    patterns, positions = names.name_patterns(rows, "name", min_size)
+    patterns, positions = names.sequence_shares(settle(lattice.rolled_up(base, "classes")), min_size)
     samples = costs.cost_samples(scan["resource_costs"], rows)
     by_template = standing.select("id", F.explode("type_set").alias("type"))
     sections = [
         counted("subscriptions", "total_subscriptions"),
         counted("resource_groups", "total_resource_groups"),
-        counted("resources", "total_resources"),
+        _entries(tagged.agg(histogram.rows_of("n").alias("n")), "source_stats", "n", F.lit("total_resources")),
         _entries(frequencies, "resource_types", "share", "type"),
         _entries(shaped, "type_shapes", "share", F.concat_ws("|", "part", "type"), "field", "value"),
         _entries(tags.key_frequencies(keys, total), "tag_key_frequencies", "share", "key"),
         _entries(tags.value_shares(values, min_size), "tag_value_distributions", "share", "key", "value"),
-        _entries(pairs.key_cooccurrence(pairs.key_pair_counts(rows, "tags"), min_size), "tag_key_cooccurrence", "share", "source", "target"),
+        _entries(pairs.key_cooccurrence(pairs.key_pair_counts(tagged, "tags", min_size, weight="n"), min_size), "tag_key_cooccurrence", "share", "source", "target"),
         _entries(tags.value_cardinality(values, min_size), "tag_value_cardinality", "cardinality", "key"),
-        _entries(tags.untagged_rates(tags.tag_coverage(rows)), "untagged_rate_by_type", "rate", "type"),
+        _entries(tags.untagged_rates(tags.tag_coverage(tagged, weight="n")), "untagged_rate_by_type", "rate", "type"),
         _entries(
-            pairs.cooccurrence(pairs.pair_counts(rows, ["subscription_id", "resource_group"], "type", min_size), min_size),
+            pairs.cooccurrence(pairs.pair_counts(base, ["subscription_id", "resource_group"], "type", min_size), min_size),
             "type_cooccurrence", "share", "source", "target"),
         _entries(patterns, "naming_patterns", "share", "pattern"),
         _entries(positions, "naming_positions", "share", "position", "token_class"),
@@ -130,18 +139,18 @@ def build_profile(
         _entries(by_template, "template_types", F.lit(1.0), "id", "type"),
         _entries(mass, "template_type_weights", "share", F.lit(words.MISC), "type"),
         _entries(
-            histogram.location_shares(histogram.value_counts(rows, "location"), min_size),
+            histogram.location_shares(lattice.rolled_up(base, "location"), min_size),
             "location_distribution", "share", "location"),
-        _entries(topology.topology_odds(topology.cross_refs(rows)), "topology", "value", "pattern", "measure"),
+        _entries(topology.topology_odds(topology.crossings(lattice.rolled_up(base, "subscription_id", "target").withColumnRenamed("subscription_id", "source"))), "topology", "value", "pattern", "measure"),
         _entries(
             findings.violation_rates(scan["findings"], total, min_size, governance.CODES, finding_codes),
             "violation_rates", "rate", "code"),
         _melted(costs.lognormal_fit(samples, "monthly_cost", min_size), "cost_distributions", "type", ["mu", "sigma", "sample_count"]),
     ]
-    if k is not None:
-        sections.append(archetype_entries(scan, min_size, k, locations or []))
     # A few thousand rows that the verdicts, checks, leak scan and writers all read again.
     profile = settle(_union(sections))
+    if owners is not None:
+        profile = profile.unionByName(settle(owners.result()))
     no_costs = scalar(scan["resource_costs"].limit(1).agg(F.count(F.lit(1)))) == 0
     return profile.unionByName(coverage(profile, no_costs))
 

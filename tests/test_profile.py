@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.plans import profile as plan
-from estatelens.operators import clusters, costs, tags
+from estatelens.operators import clusters, costs, histogram, lattice, names, pairs, tags, templates, topology
 from estatelens.sources import profiles, scan as scan_io
 
 VM = "microsoft.compute/virtualmachines"
@@ -203,3 +203,54 @@ def test_cost_query_guards(spark):
     with pytest.raises(ValueError):
         costs.cost_query(bills, rows, "MonthToDate", today, by_id * 3)
     assert costs.cost_query(bills, rows, "TheLastMonth", today).first().total == 0.0
+
+
+def test_the_lattice_counts_like_the_rows(spark):
+    scan, n = planted(spark)
+    rows = scan["resources"].unionByName(scan["resources"].limit(7).withColumn("tags", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string")))
+    base = lattice.row_lattice(rows)
+    assert base.agg(F.sum("n")).first()[0] == n + 7 and base.count() < n
+
+    def same(a, b):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+    same(histogram.value_counts(rows, "type", "location"), lattice.rolled_up(base, "type", "location"))
+    same(tags.tag_value_counts(rows), tags.tag_value_counts(base, weight="n"))
+    same(tags.tag_coverage(rows), tags.tag_coverage(base, weight="n"))
+    same(tags.owner_features(rows), tags.owner_features(base, weight="n"))
+    same(templates.group_type_sets(rows, scan["resource_groups"]), templates.group_type_sets(base, scan["resource_groups"], weight="n"))
+    same(histogram.pivot_counts(rows, "subscription_id", "location", ["eastus2"]), histogram.pivot_counts(base, "subscription_id", "location", ["eastus2"], weight="n"))
+    crossed = lattice.rolled_up(base, "subscription_id", "target").withColumnRenamed("subscription_id", "source")
+    same(topology.cross_refs(rows), topology.crossings(crossed))
+    for a, b in zip(names.name_patterns(rows, "name", 5), names.sequence_shares(lattice.rolled_up(base, "classes"), 5)):
+        same(a, b)
+    empty = lattice.row_lattice(rows.limit(0))
+    assert empty.count() == 0 and topology.crossings(lattice.rolled_up(empty, "subscription_id", "target").withColumnRenamed("subscription_id", "source")).first()["total_resources"] == 0
+
+
+def test_a_profile_reads_the_rows_three_times(spark, tmp_path, monkeypatch):
+    scan, _ = planted(spark)
+    scan["resources"].write.parquet(str(tmp_path / "resources"))
+    scan["resources"] = spark.read.parquet(str(tmp_path / "resources"))
+    read = []
+    for module in {plan, lattice, tags, templates, pairs}:
+        if hasattr(module, "settle"):
+            def counted(df, settle=module.settle):
+                leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+                found = [leaves.apply(i) for i in range(leaves.size())]
+                scans = [x.output().toString() for x in found if x.nodeName() == "LogicalRelation"]
+                read.extend(x for x in scans if "properties" in x or "resource_id" in x)
+                return settle(df)
+            monkeypatch.setattr(module, "settle", counted)
+    plan.build_profile(scan, 5, allow_no_terms=True, property_fields=FIELDS).count()
+    assert len(read) <= 3
+
+
+def test_key_pairs_under_a_floor(spark):
+    objects = [{f"k{i}": 1 for i in range(300)}] + [{"a": 1, "b": 2, f"rare{i}": 3} for i in range(6)] + [{"a": 1}, {}, {"b": 1, "a": 2}]
+    df = spark.createDataFrame([(json.dumps(o),) for o in objects] + [(None,)], "tags string")
+    pruned = pairs.key_pair_counts(df, "tags", 5)
+    assert sorted(map(tuple, pruned.select("a", "b", "n").collect())) == [("a", "b", 7)]
+    assert sorted(map(tuple, pairs.key_pair_counts(df, "tags").where("n >= 5").select("a", "b", "n").collect())) == [("a", "b", 7)]
+    wide = spark.createDataFrame([(json.dumps({f"k{i}": 1 for i in range(10_000)}),)] * 3, "tags string")
+    assert pairs.key_pair_counts(wide, "tags", 5).count() == 0  # fifty million pairs are never written
