@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from estatelens.functions import periods, text
 from estatelens.functions.jsonmaps import json_map
 from estatelens.operators import (
-    costs, dimensions, governance, integrity, listing, paging, predicates, serving,
+    costs, dimensions, governance, integrity, listing, paging, predicates, serving, trigrams,
 )
 from estatelens.operators.histogram import value_counts
+from estatelens.session import scratch_path
+from estatelens.sources import paged
 from . import tables as b
 from .registry import query, with_views
 
@@ -191,6 +193,20 @@ def search_by_owner_name(spark, folder):
     return predicates.search(served(spark, folder), b.estate_owners(spark, folder), "er#00000001").select("id")
 
 
+@query(
+    "indexed_search",
+    with_views(b.ESTATE)
+    + "SELECT id FROM estate JOIN customer ON o_custkey = c_custkey WHERE NOT hidden AND "
+    "(contains(lower(name), 'es-12') OR contains(lower(type), 'es-12') OR contains(lower(c_name), 'es-12'))",
+)
+def indexed_search(spark, folder):
+    """The search through an index written beside the rows."""
+    path, columns = scratch_path(spark, "search"), ["name", "type", "display_name"]
+    rows = predicates.visible(served(spark, folder)).join(b.estate_owners(spark, folder).select("subscription_id", "display_name"), "subscription_id", "left")
+    trigrams.write_index(rows.select("id", *columns), path, columns, "id")
+    return trigrams.search(spark, path, "ES-12*", columns).select("id")
+
+
 OWNED = "owned AS (SELECT v.*, e.subscription_id FROM violations v LEFT JOIN (SELECT name, subscription_id FROM estate) e ON v.resource_id = e.name)"
 
 
@@ -568,6 +584,35 @@ def text_key_page(spark, folder):
     return paging.page(predicates.visible(served(spark, folder)).select("id"), "id", "/subscriptions/12/", 50)
 
 
+@query(
+    "indexed_page",
+    with_views(b.ESTATE)
+    + "SELECT id, (SELECT max(id) FROM (SELECT id FROM estate WHERE NOT hidden AND id > '/subscriptions/12/' ORDER BY id LIMIT 50)) AS next_after, "
+    "(SELECT count(*) FROM estate WHERE NOT hidden AND id > '/subscriptions/12/') AS behind "
+    "FROM estate WHERE NOT hidden AND id > '/subscriptions/12/' ORDER BY id LIMIT 50",
+)
+def indexed_page(spark, folder):
+    """The page of a table written in ranges of its key, with how many rows lie behind the cursor."""
+    path, after = scratch_path(spark, "paged"), "/subscriptions/12/"
+    paged.write_paged(predicates.visible(served(spark, folder)).select("id"), path, "id")
+    behind = paged.rows_behind(spark, path, "id", after)
+    return paged.paged(spark, path, "id", after, 50).withColumn("behind", F.lit(behind).cast("long"))
+
+
+@query(
+    "indexed_groups_preview",
+    "SELECT name, subscription_id FROM (SELECT DISTINCT o_orderpriority AS name, CAST(o_custkey AS VARCHAR) AS subscription_id FROM orders) "
+    "WHERE contains(lower(name), 'high') ORDER BY 1, 2 LIMIT 50",
+)
+def indexed_groups_preview(spark, folder):
+    """The first matching groups, range by range of a table kept in their order."""
+    path = scratch_path(spark, "paged")
+    groups = b.estate_groups(spark, folder).select("name", "subscription_id", F.struct("name", "subscription_id").alias("place"))
+    paged.write_paged(groups, path, "place")
+    found = paged.first_matching(spark, path, "place", predicates.holds_term("name", "HIGH"), paging.PREVIEW_MATCHES)
+    return found.select("name", "subscription_id")
+
+
 @query(
     "owner_preview",
     "WITH r AS (SELECT o_custkey AS k, count(*) AS c FROM orders GROUP BY 1) "
