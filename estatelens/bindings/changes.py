@@ -8,22 +8,17 @@ from estatelens.functions.jsonmaps import revert_field
 from estatelens.operators import drift, fingerprint, integrity
 from estatelens.operators.paging import page
 from estatelens.operators.serving import totals
+from estatelens.plans import batches
 from estatelens.session import scratch_path
 from estatelens.sources import estate as estate_io
+from estatelens.sources import overlay
 from estatelens.sources import scan as scan_io
 from . import tables as b
 from .registry import query, with_views
 
 BATCH = "00000000-0000-4000-8000-000000000001"
 SECOND = "00000000-0000-4000-8000-000000000002"
-NO_BATCHES = (
-    "batch_id string, drift_type string, seed long, options string, applied_at timestamp, reverted_at timestamp, "
-    "parent_fingerprint string, result_fingerprint string, seq long"
-)
-NO_RECORDS = (
-    "resource_id string, subscription_id string, drift_code string, field_path string, before string, "
-    "after string, record_id long, batch_id string, metadata string"
-)
+NO_BATCHES, NO_RECORDS = batches.BATCHES, batches.RECORDS
 
 
 def state(spark, folder):
@@ -299,6 +294,61 @@ def guarded_revert(spark, folder):
         (found == F.col("parent_fingerprint")).alias("restored"))
 
 
+@query(
+    "overlaid_snapshot",
+    with_views(b.ESTATE, AFTER_CHAOS)
+    + "SELECT id, hidden, coalesce(environment, '(none)') AS environment, coalesce(tls, '(none)') AS tls, opened FROM after",
+)
+def overlaid_snapshot(spark, folder):
+    """`applied_snapshot` merged on read from a base and the changed rows."""
+    path, rows = scratch_path(spark, "store"), state(spark, folder)
+    batches.open_store(rows, path)
+    at = batches.apply_batch(spark, path, BATCH, "chaos", rows.agg(F.max(drift.HIDE_PATH)).scalar())
+    nothing = F.lit("(none)")
+    return overlay.read(spark, at, "resources").select(
+        "id", F.col(drift.HIDE_PATH).isNotNull().alias("hidden"),
+        F.coalesce(F.element_at("tags", "environment"), nothing).alias("environment"),
+        F.coalesce(F.element_at("properties", "minimumTlsVersion"), nothing).alias("tls"),
+        F.map_contains_key("properties", "securityRules").alias("opened"))
+
+
+@query(
+    "overlay_versions",
+    with_views(
+        b.ESTATE, f"chaos AS ({delta_sql(CHAOS)})", f"later AS ({delta_sql(TEMPORAL)})",
+        "n AS (SELECT (SELECT count(DISTINCT id) FROM chaos) AS rows, (SELECT count(*) FROM chaos) AS logged, "
+        "(SELECT count(DISTINCT id) FROM later) AS later_rows, (SELECT count(*) FROM later WHERE drift_code <> 'DRIFT_TAG_CHURN') AS later_logged, "
+        "(SELECT count(*) FROM estate WHERE NOT hidden) AS seen)")
+    + "SELECT 1::BIGINT AS version, 'chaos' AS step, rows AS written, logged AS records, seen, true AS exact, false AS as_before FROM n "
+    "UNION ALL SELECT 2, 'temporal', later_rows, logged + later_logged, seen, true, false FROM n "
+    "UNION ALL SELECT 3, 'compact', 0, logged + later_logged, seen, true, false FROM n "
+    "UNION ALL SELECT 4, 'revert', later_rows, logged + later_logged, seen, true, false FROM n "
+    "UNION ALL SELECT 5, 'revert', rows, logged + later_logged, seen, true, true FROM n",
+)
+def overlay_versions(spark, folder):
+    """Two batches, a compaction and both reverts: rows written by each, and whether the kept fingerprint is the one of all rows."""
+    path, rows = scratch_path(spark, "store"), state(spark, folder)
+    applied_at = rows.agg(F.max(drift.HIDE_PATH)).scalar()
+    start = batches.open_store(rows, path)
+    first = batches.apply_batch(spark, path, BATCH, "chaos", applied_at)
+    second = batches.apply_batch(spark, path, SECOND, "temporal", applied_at)
+    packed = overlay.compact(spark, second, "resources")
+    back = batches.revert_batch(spark, path, SECOND, applied_at)
+    steps = {"chaos": first, "temporal": second, "compact": packed, "revert": back}
+    parts = [*steps.items(), ("revert", batches.revert_batch(spark, path, BATCH, applied_at))]
+    out = None
+    for step, at in parts:
+        visible = overlay.read(spark, at, "resources").where(F.col(drift.HIDE_PATH).isNull())
+        kept = batches.kept_fingerprint(at)
+        part = fingerprint.fingerprint(visible, drift.STATE_COLUMNS, marks={drift.HIDE_PATH}).select(
+            F.lit(at.number).cast("long").alias("version"), F.lit(step).alias("step"),
+            F.lit(batches.written_rows(spark, at)).cast("long").alias("written"),
+            F.lit(overlay.read(spark, at, "records").count()).cast("long").alias("records"), F.col("rows").alias("seen"),
+            (F.col("fingerprint") == kept).alias("exact"), F.lit(kept == batches.kept_fingerprint(start)).alias("as_before"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "disappearing_rows",
     with_views(b.ESTATE) + "SELECT 120::BIGINT AS n, 0::BIGINT AS referenced, 120::BIGINT AS known FROM (SELECT count(*) FROM estate)",

@@ -23,10 +23,10 @@ from estatelens.functions.jsonmaps import (
 from estatelens.functions.keyed import keyed_letters
 from estatelens.functions.text import resource_path
 from estatelens.session import settle
-from .fingerprint import fingerprint
+from .fingerprint import canonical, fingerprint
 from .integrity import blocking_batches, removable
 from .paging import page
-from .ranking import keyed_rank, planned_count, rank_in_buckets, rank_in_ranges, sample_exactly
+from .ranking import keyed_rank, planned_count, rank_in_ranges, sample_exactly
 
 ANY_TYPE = "*"
 APPEAR, DISAPPEAR = "DRIFT_APPEAR", "DRIFT_DISAPPEAR"
@@ -249,7 +249,7 @@ def _folded(changes: list[Change], on: dict[str, Column]) -> tuple[dict[str, Col
     return columns, F.filter(F.array(*deltas), lambda d: d.isNotNull())
 
 
-def _changed_rows(
+def changed_rows(
     rows: DataFrame, kind: str, codes, types, intensity: float, seed: int,
     changes: tuple[Change, ...], key: str,
 ) -> DataFrame:
@@ -290,7 +290,7 @@ def compute_deltas(
     kind makes another of the kind apply or not apply. Intensity 1 takes every eligible
     row and needs no shuffle at all.
     """
-    return _split(_changed_rows(rows, kind, codes, types, intensity, seed, changes, key), key)
+    return _split(changed_rows(rows, kind, codes, types, intensity, seed, changes, key), key)
 
 
 def disappearing(rows: DataFrame, references: list[DataFrame], count: int, seed: int) -> DataFrame:
@@ -324,6 +324,12 @@ def appearing(groups: DataFrame, count: int, seed: int) -> DataFrame:
     )
 
 
+def visible_digest(state: DataFrame) -> Column:
+    """The digest of a row that can be seen, null for a hidden one."""
+    columns = [c for c in STATE_COLUMNS if c in state.columns]
+    return F.when(F.col(HIDE_PATH).isNull(), F.sha2(canonical(state, columns, marks={HIDE_PATH}), 256))
+
+
 def visible_fingerprint(state: DataFrame) -> Column:
     """Fingerprint of the rows that can be seen, as a subquery."""
     seen = state.where(F.col(HIDE_PATH).isNull())
@@ -338,14 +344,43 @@ def next_seq(batches: DataFrame, fresh: DataFrame, order: list[str]) -> DataFram
 
 
 def number_records(deltas: DataFrame, first: int | Column = 0) -> DataFrame:
-    """Record ids in order of (position, resource), counted bucket by bucket."""
-    spread = F.shiftrightunsigned(F.xxhash64("resource_id"), 52).cast("int")
-    placed = deltas.withColumn("__slot", F.col("position") * 4096 + spread)
-    ranked = rank_in_buckets(
-        placed, [], "__slot", [F.asc("resource_id"), F.asc("drift_code")], "record_id"
-    )
+    """Record ids in order of (position, resource), counted range by range."""
+    ranked = rank_in_ranges(deltas, [], ["position", "resource_id", "drift_code"], "record_id")
     start = first if isinstance(first, Column) else F.lit(first)
-    return ranked.withColumn("record_id", F.col("record_id") + start).drop("__slot")
+    return ranked.withColumn("record_id", F.col("record_id") + start)
+
+
+def lost_deltas(gone: DataFrame, position: int) -> DataFrame:
+    """Deltas of rows that go."""
+    return gone.select(
+        F.col("id").alias("resource_id"), "subscription_id", F.lit(position).alias("position"),
+        F.lit(DISAPPEAR).alias("drift_code"), F.lit(HIDE_PATH).alias("field_path"),
+        F.lit(None).cast("string").alias("before"), F.lit("drift-deleted").alias("after"),
+    )
+
+
+def minted_deltas(minted: DataFrame, position: int) -> DataFrame:
+    """Deltas of rows that come."""
+    return minted.select(
+        F.col("id").alias("resource_id"), "subscription_id", F.lit(position).alias("position"),
+        F.lit(APPEAR).alias("drift_code"), F.lit(APPEAR_PATH).alias("field_path"),
+        F.lit(None).cast("string").alias("before"), F.lit("appear").alias("after"),
+    )
+
+
+def logged_records(deltas: DataFrame, records: DataFrame, batch_id: str, kind: str) -> DataFrame:
+    """A batch's records, numbered behind those that are there."""
+    last_record = records.agg(F.coalesce(F.max("record_id"), F.lit(0))).scalar()
+    origin = F.to_json(F.struct(F.col("drift_code"), F.lit(kind).alias("drift_type")))
+    return number_records(deltas, last_record).select(
+        "*", F.lit(batch_id).alias("batch_id"), origin.alias("metadata")).drop("position")
+
+
+def options_text(intensity: float, types, codes, disappear: int, appear: int) -> str:
+    """The options a batch is made with, as they are kept with it."""
+    return json.dumps({
+        "intensity": intensity, "resource_types": types and list(types), "codes": codes and list(codes),
+        "disappear": disappear, "appear": appear})
 
 
 @dataclass(frozen=True)
@@ -371,42 +406,28 @@ def apply_changes(
     """
     hidden = F.col(HIDE_PATH).isNotNull()
     seen = state.where(~hidden)
-    changed, deltas = _split(settle(_changed_rows(seen, kind, codes, types, intensity, seed, changes, "id")), "id")
+    changed, deltas = _split(settle(changed_rows(seen, kind, codes, types, intensity, seed, changes, "id")), "id")
     if disappear:
         gone = settle(disappearing(changed, references or [], disappear, seed).select("id"))
         marks = gone.withColumn("__gone", F.lit(True))
         changed = changed.join(marks, "id", "left").withColumn(
             HIDE_PATH, F.when(F.col("__gone"), applied_at).otherwise(F.col(HIDE_PATH))
         )
-        lost = changed.where(F.col("__gone")).select(
-            F.col("id").alias("resource_id"), "subscription_id", F.lit(len(changes)).alias("position"),
-            F.lit(DISAPPEAR).alias("drift_code"), F.lit(HIDE_PATH).alias("field_path"),
-            F.lit(None).cast("string").alias("before"), F.lit("drift-deleted").alias("after"),
-        )
+        lost = lost_deltas(changed.where(F.col("__gone")), len(changes))
         changed = changed.drop("__gone")
         deltas = deltas.unionByName(lost)
     snapshot = changed.unionByName(state.where(hidden))
     if appear and groups is not None:
         minted = settle(appearing(groups, appear, seed))
         snapshot = snapshot.unionByName(minted.select(*[c for c in snapshot.columns if c in minted.columns]), allowMissingColumns=True)
-        deltas = deltas.unionByName(minted.select(
-            F.col("id").alias("resource_id"), "subscription_id", F.lit(len(changes) + 1).alias("position"),
-            F.lit(APPEAR).alias("drift_code"), F.lit(APPEAR_PATH).alias("field_path"),
-            F.lit(None).cast("string").alias("before"), F.lit("appear").alias("after"),
-        ))
-    last_record = records.agg(F.coalesce(F.max("record_id"), F.lit(0))).scalar()
-    origin = F.to_json(F.struct(F.col("drift_code"), F.lit(kind).alias("drift_type")))
-    logged = number_records(deltas, last_record).select(
-        "*", F.lit(batch_id).alias("batch_id"), origin.alias("metadata")).drop("position")
-    logged = settle(logged)
+        deltas = deltas.unionByName(minted_deltas(minted, len(changes) + 1))
+    logged = settle(logged_records(deltas, records, batch_id, kind))
     if disappear or appear:
         snapshot = settle(snapshot)
-    options = {
-        "intensity": intensity, "resource_types": types and list(types), "codes": codes and list(codes),
-        "disappear": disappear, "appear": appear}
+    options = options_text(intensity, types, codes, disappear, appear)
     fresh = state.sparkSession.range(1).select(
         F.lit(batch_id).alias("batch_id"), F.lit(kind).alias("drift_type"),
-        F.lit(seed).cast("long").alias("seed"), F.lit(json.dumps(options)).alias("options"), applied_at.alias("applied_at"),
+        F.lit(seed).cast("long").alias("seed"), F.lit(options).alias("options"), applied_at.alias("applied_at"),
         F.lit(None).cast("timestamp").alias("reverted_at"),
         visible_fingerprint(state).alias("parent_fingerprint"),
         visible_fingerprint(snapshot).alias("result_fingerprint"),

@@ -7,6 +7,8 @@ would gather them in one place.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,39 @@ def canonical(df: DataFrame, columns: list[str], cents: set[str] = frozenset(),
     return F.concat_ws(SEPARATOR, *parts)
 
 
-def _combine(digest: Column) -> list[Column]:
-    sums = [
+def piece_sums(digest: Column) -> list[Column]:
+    """How many rows have a digest, and the sum of each piece of the digests."""
+    return [F.count(digest)] + [
         F.coalesce(
             F.sum(F.conv(F.substring(digest, start, length), 16, 10).cast("decimal(20,0)")),
             F.lit(0).cast("decimal(30,0)"),
         )
         for start, length in PIECES
     ]
-    text = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[s.cast("string") for s in sums])
-    return [F.count(F.lit(1)).alias("rows"), F.sha2(text, 256).alias("fingerprint")]
+
+
+def _combine(digest: Column) -> list[Column]:
+    rows, *sums = piece_sums(digest)
+    text = F.concat_ws(":", rows.cast("string"), *[s.cast("string") for s in sums])
+    return [rows.alias("rows"), F.sha2(text, 256).alias("fingerprint")]
+
+
+def moved_sums(parent: list[int], rows: DataFrame, was: str, now: str) -> list[int]:
+    """The sums of a state whose changed rows had the digest ``was`` and have ``now``.
+
+    A null digest is a row that did not count before, or does not count any longer. The
+    sums add up, so those of the old rows are taken off and those of the new put in;
+    nothing but the changed rows is read.
+    """
+    old, new = piece_sums(F.col(was)), piece_sums(F.col(now))
+    row = rows.agg(*[c.cast("string").alias(f"s{i}") for i, c in enumerate(old + new)]).first()
+    n = len(parent)
+    return [p - int(a) + int(b) for p, a, b in zip(parent, row[:n], row[n:])]
+
+
+def digest_of(sums: list[int]) -> str:
+    """The fingerprint that belongs to a count and sums."""
+    return hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
 
 
 def fingerprint(

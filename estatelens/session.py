@@ -66,6 +66,11 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return files.getFileStatus(where).isFile()
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder; none if it is not there."""
     files, where = _hadoop(spark, path)
