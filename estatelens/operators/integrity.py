@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatelens.functions.text import ancestor_paths
+from estatelens.session import settle
 
 
 def complete_parents(children: DataFrame, declared: DataFrame, key: str = "subscription_id") -> DataFrame:
@@ -62,17 +62,38 @@ def dangling_scopes(
     return homeless.unionByName(strangers)
 
 
-def removable(rows: DataFrame, references: list[DataFrame], key: str = "id") -> DataFrame:
-    """Rows nobody refers to and that no other row lies below.
+def path_order(path: str) -> Column:
+    """A text for each path that sorts as its components do: the slash is the least character, two others are escaped."""
+    escaped = F.replace(F.replace(F.col(path), F.lit("\u0001"), F.lit("\u0001\u0002")), F.lit("\u0000"), F.lit("\u0001\u0001"))
+    return F.replace(escaped, F.lit("/"), F.lit("\u0000"))
+
 
-    Each id's ancestor paths are written out once and matched by equality, so finding
-    parents needs no prefix comparison between rows.
+def with_something_below(ids: DataFrame, key: str = "id") -> DataFrame:
+    """The ids that another id extends by further path components.
+
+    In order of components an id stands directly before everything below it, so it has
+    something below exactly if its successor extends it. The ids are cut into even ranges of
+    that order, the first id of each range is carried to the range before it, and no ancestor
+    is ever written out: neither depth nor a hot parent makes more rows. Repeated ids stand
+    together, the last of them has the successor. The empty path is nobody's parent; null
+    ids take no part.
     """
-    parents = rows.select(F.explode(ancestor_paths(key)).alias(key))
-    named = reduce(
-        DataFrame.union, [r.select(F.col(r.columns[0]).alias(key)) for r in references], parents
-    )
-    return rows.join(named.where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    slim = ids.select(F.col(key).alias("id")).where(F.col(key).isNotNull())
+    cut = settle(slim.repartitionByRange(path_order("id")).withColumn("__range", F.spark_partition_id()))
+    firsts = cut.groupBy("__range").agg(F.min_by("id", path_order("id")).alias("id"))  # one row a range
+    carried = firsts.select("__range", F.lead("id").over(Window.orderBy("__range")).alias("__next"))
+    within = Window.partitionBy("__range").orderBy("__place")
+    after = F.coalesce(F.lead("id").over(within), F.col("__next"))
+    below = (F.col("id") != "") & F.startswith(F.col("__after"), F.concat("id", F.lit("/")))
+    placed = cut.withColumn("__place", path_order("id")).join(F.broadcast(carried), "__range").withColumn("__after", after)
+    return placed.where(below).select(F.col("id").alias(key))
+
+
+def removable(rows: DataFrame, references: list[DataFrame], key: str = "id") -> DataFrame:
+    """Rows nobody refers to and that no other row lies below; rows without an id are kept."""
+    held = reduce(
+        DataFrame.union, [r.select(F.col(r.columns[0]).alias(key)) for r in references], with_something_below(rows, key))
+    return rows.join(held, key, "left_anti")
 
 
 def removable_by_keys(rows: DataFrame, references: list[DataFrame], key: str) -> DataFrame:
