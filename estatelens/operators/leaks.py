@@ -23,6 +23,7 @@ from estatelens.catalogues import words
 from estatelens.functions.jsonmaps import json_map
 from estatelens.functions.text import is_identifier_term, is_listed
 from estatelens.session import settle
+from . import bloom
 from .joins import join_salted
 
 IDENT = "[\\p{L}\\p{N}_]"
@@ -51,6 +52,18 @@ def _terms(terms: DataFrame, term: str) -> DataFrame:
     ).distinct()
 
 
+def _held_tokens(rows: DataFrame, exploded: DataFrame) -> DataFrame:
+    """Distinct (key, token) of the texts, but for tokens that a Bloom filter knows to be in no term.
+
+    They are dropped where the text is split, before anything is written or moved; of the
+    others about one in 200 passes.
+    """
+    bits = bloom.bits_for(exploded.count())
+    words = bloom.build(exploded, "token", bits)
+    found = F.explode(F.array_distinct(_runs(F.col("text"), IDENT_RUN))).alias("token")
+    return rows.select("key", found).where(bloom.might_hold(F.col("token"), words, bits))
+
+
 def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
     """Distinct (key, term) of every leaked term."""
     # Read several times below.
@@ -59,17 +72,10 @@ def leak_pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     )
     worded = wanted.where(F.size("parts") > 0)
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = F.explode(F.array_distinct(_runs(F.col("text"), IDENT_RUN))).alias("token")
-    tokens = rows.select("key", found)
-
     exploded = worded.select("term", F.explode("parts").alias("token"))
-    # How many texts hold each token that some term has.
-    asked = exploded.select("token").distinct()
-    spread = (
-        tokens.join(asked, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("texts"))
-    )
+    tokens = settle(_held_tokens(rows, exploded))
+    # How many texts hold each token; the few that no term has do no harm.
+    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
     # The rarest token of a term decides in which texts it can stand; a token that is in
     # no text rules the term out.
     anchored = (

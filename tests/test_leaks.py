@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from estatelens.bindings import whole
-from estatelens.operators import leaks
+from estatelens.operators import bloom, leaks
 
 
 def ident(c):
@@ -82,3 +83,28 @@ def test_leaks_of_every_profile_section(spark, folder):
     want = {s: (len(own), max(map(len, own))) for s in {s for s, _ in found} if (own := [t for x, t in found if x == s])}
     got = {r["section"]: (r["leaks"], r["longest"]) for r in whole.profile_leaks_by_section(spark, folder).collect()}
     assert got == want and len(got) > 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 20000])
+def test_a_filter_passes_what_it_holds_and_little_else(spark, n):
+    held = spark.range(n).select(F.concat(F.lit("held-"), "id").alias("v"))
+    bits = bloom.bits_for(n)
+    words = bloom.build(held, "v", bits)
+    assert held.where(~bloom.might_hold(F.col("v"), words, bits)).count() == 0
+    foreign = spark.range(20000).select(F.concat(F.lit("other-"), "id").alias("v"))
+    assert foreign.where(bloom.might_hold(F.col("v"), words, bits)).count() <= 20000 * 0.0075
+
+
+def test_a_filter_has_a_largest_size():
+    assert bloom.bits_for(0) == bloom.LEAST_BITS and bloom.bits_for(10 ** 12) == bloom.MOST_BITS
+    assert all(bloom.bits_for(n) >= 16 * n and bloom.bits_for(n).bit_count() == 1 for n in (1, 255, 256, 257, 10 ** 6))
+
+
+def test_tokens_of_no_term_are_dropped_where_texts_are_split(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200)) + (" needle" if i % 10 == 0 else "")) for i in range(100)], "key int, text string")
+    terms = spark.createDataFrame([("needle", "needle"), ("straw", "straw")], "term string, token string")
+    kept = leaks._held_tokens(texts, terms)
+    found = kept.collect()
+    assert sum(r.token == "needle" for r in found) == 10 and len(found) < 10 + 20000 * 0.0075
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0]
