@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from estatelens.functions.keyed import bernoulli, normal, normal_count, skewed_count, uniform
+from estatelens.functions.keyed import bernoulli, keyed_uuid, normal, normal_count, skewed_count, uniform
 from estatelens.functions.periods import month_periods
 from estatelens.operators import sampling
 from . import tables as b
@@ -103,3 +103,56 @@ def padding_quotas(spark, folder):
     quotas = sampling.pad_quotas(sizes, ["o_custkey"], deficit, SEED)
     return quotas.join(sizes, "o_custkey").groupBy("size").agg(
         F.sum(F.least(F.col("quota"), F.lit(2))).alias("at_least"), F.count(F.lit(1)).alias("groups"))
+
+
+def sql_apportioned(source, total):
+    """Largest remainders over (g, size) of ``source``."""
+    return (
+        f"SELECT g, f + (row_number() OVER (ORDER BY r DESC, g) <= t - sum(f) OVER ())::BIGINT AS quota FROM ("
+        f"SELECT g, ({total}) AS t, CAST(size AS HUGEINT) * ({total}) // (SELECT sum(size) FROM {source}) AS f, "
+        f"CAST(size AS HUGEINT) * ({total}) % (SELECT sum(size) FROM {source}) AS r FROM {source})")
+
+
+GONE = f"(SELECT CAST(count(*) - round_even(round_even(count(*) * 0.7, 0) * {1 + sampling.AIM}, 0) AS BIGINT) FROM orders)"
+SHORT = f"(SELECT CAST(round_even(round_even(count(*) * 1.3, 0) * {1 - sampling.AIM}, 0) - count(*) AS BIGINT) FROM orders)"
+
+
+@query(
+    "resized_groups",
+    "WITH every AS (SELECT o_custkey AS g, count(*) AS size FROM orders GROUP BY 1), "
+    "spare AS (SELECT o_custkey AS g, count(*) AS size FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), "
+    f"cut AS ({sql_apportioned('spare', GONE)}), added AS ({sql_apportioned('every', SHORT)}) "
+    "SELECT g AS o_custkey, CAST(size - coalesce(cut.quota, 0) AS BIGINT) AS kept, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey = g AND o_orderstatus = 'F') AS referenced, "
+    "CAST(coalesce(added.quota, 0) AS BIGINT) AS added, true AS near_less, true AS near_more "
+    "FROM every LEFT JOIN cut USING (g) LEFT JOIN added USING (g)",
+)
+def resized_groups(spark, folder):
+    """Each customer's orders in a table of 70 % and in one of 130 % of the rows; referenced orders all stay."""
+    orders = b.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    n = orders.count()
+    less, more = round(n * 0.7), round(n * 1.3)
+    kept, _ = sampling.resized(orders, ["o_custkey"], "o_orderkey", less, SEED, orders.where("o_orderstatus = 'F'"))
+    _, quotas = sampling.resized(orders, ["o_custkey"], "o_orderkey", more, SEED)
+    counts = orders.groupBy("o_custkey").agg(F.lit(0).cast("long").alias("none")).join(kept.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("kept"), F.count_if(F.col("o_orderstatus") == "F").alias("referenced")), "o_custkey", "left")
+    found = counts.join(quotas, "o_custkey", "left").select(
+        "o_custkey", *[F.coalesce(c, "none").alias(a) for c, a in (("kept", "kept"), ("referenced", "referenced"), ("quota", "added"))])
+    sums = found.agg(F.sum("kept").alias("k"), F.sum("added").alias("a"))
+    near = lambda total, target: total.between(target * 0.95, target * 1.05)
+    return found.withColumns({
+        "near_less": near(sums.select("k").scalar(), less), "near_more": near(sums.select("a").scalar() + n, more)})
+
+
+@query(
+    "drawn_ids",
+    f"WITH d AS (SELECT o_orderkey, sha256('{SEED}:resource:' || o_orderkey) AS h FROM orders) "
+    "SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || "
+    "substr('89ab', CAST(CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, "
+    "true AS shaped, true AS told_apart FROM d",
+)
+def drawn_ids(spark, folder):
+    """A seeded id of version 4 and its variant for every order, each different from the others."""
+    rows = b.table(spark, folder, "orders").select("o_orderkey", keyed_uuid(SEED, "resource", "o_orderkey").alias("id"))
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    shape = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return rows.withColumns({"shaped": F.col("id").rlike(shape), "told_apart": repeated == 1})

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from estatelens.catalogues import words
 from estatelens.functions.keyed import key_hash, normal, uniform
+from estatelens.session import settle
 from .joins import beside, join_same, scalar
-from .ranking import keyed_rank, rank_in_buckets, rank_in_ranges
+from .ranking import keyed_rank, rank_in_buckets, rank_in_ranges, sample_exactly
 
 SLOTS = 256
 GAMMA_TRIES = 64
@@ -167,6 +168,42 @@ def resize_plan(total: int, target: int) -> tuple[int, int]:
     return 0, round(target * (1 - AIM)) - total
 
 
+def apportioned(sizes: DataFrame, group: list[str], total: int, size: str = "size") -> DataFrame:
+    """``quota`` of each group with a size: shares of ``total`` by size, largest remainders rounded up.
+
+    Quotas sum to ``total`` and differ from the exact share by less than one; ties go to the
+    first group. Shares are whole numbers of 38 digits, and remainders are ranked in ranges,
+    so the groups may be many.
+    """
+    held = sizes.where(F.col(size) > 0)
+    whole = scalar(held.agg(F.sum(size).cast("decimal(19,0)")))
+    shares = settle(held.withColumn("__dealt", F.col(size).cast("decimal(18,0)") * F.lit(total).cast("decimal(18,0)")).select(
+        *group, F.call_function("div", "__dealt", whole).cast("long").alias("__floor"), (-(F.col("__dealt") % whole)).alias("__rest")))
+    left = scalar(shares.agg(F.lit(total) - F.sum("__floor")))
+    ranked = rank_in_ranges(shares, [], ["__rest", *group], "__nth")
+    quota = F.col("__floor") + (F.col("__nth") <= left).cast("long")
+    return ranked.select(*group, quota.alias("quota"))
+
+
+def resized(rows: DataFrame, group: list[str], key: str, target: int, seed: int, referenced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows trimmed to within 5 % above ``target``, and the rows each group is to get where they are too few.
+
+    Both are dealt by size, so the mix of groups stays: trimming takes rows that nobody
+    refers to, in proportion to how many of them a group has. Where fewer are free than
+    must go, all free ones go and the total stays above.
+    """
+    total = rows.count()
+    excess, deficit = resize_plan(total, target)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    if not excess:
+        return rows, apportioned(sizes, group, deficit)
+    free = rows if referenced is None else rows.join(referenced.select(key), key, "left_anti")
+    spare = free.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    quotas = apportioned(spare, group, min(excess, free.count()))
+    victims = sample_exactly(free.select(*group, key), quotas, group, [key], seed, "resize")
+    return rows.join(victims.select(key), key, "left_anti"), apportioned(sizes, group, 0)
+
+
 def next_free(names: DataFrame, scope: list[str], stem: str, taken: DataFrame, key: str, out: str) -> DataFrame:
     """Give each row the first unused number behind its stem, two digits or more.
 
