@@ -401,6 +401,43 @@ def test_directory_splits_overfull_buckets(spark):
         assert sum(lo <= h < hi for lo, hi in spans) == 1
 
 
+def test_rows_are_looked_up_in_their_bucket_only(spark, monkeypatch):
+    """A small capacity makes many buckets and slices; without a bucket's files its rows find nothing."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 300}" if i % 3 else "copied  everywhere"[: 17 + i % 2]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    made, look = exact.written_index, exact.looked_up
+
+    def written(texts, buckets, digest):
+        seen.update(buckets=buckets, path=made(texts, buckets, digest))
+        return seen["path"]
+
+    def looked(rows, texts, buckets, index):
+        seen.update(rows=rows, texts=texts, index=index)
+        return look(rows, texts, buckets, index)
+
+    monkeypatch.setattr(exact, "written_index", written)
+    monkeypatch.setattr(exact, "looked_up", looked)
+    out = {r["doc_id"]: tuple(r) for r in exact.exact_groups(docs, "doc_id", "text", capacity=10).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join(t.split()), []).append((-len(t), i))
+    for members in groups.values():
+        for _, i in members:
+            assert out[i][1:4] == (min(members)[1], len(members), min(members)[1] == i)
+    buckets = [tuple(r) for r in seen["buckets"].collect()]
+    assert len(buckets) > 16 and max(r[2] for r in buckets) > 100  # the hot bucket is merged in slices
+    assert seen["index"].count() == len(groups)
+    places = [r[:2] for r in buckets]
+    one = exact.read_index(spark, seen["path"], seen["index"].schema, places[:1])
+    assert all(f"/depth={places[0][0]}/bucket={places[0][1]}/" in f for f in one.inputFiles())
+    without = exact.read_index(spark, seen["path"], seen["index"].schema, places[1:])
+    missing = exact.placed(seen["rows"], seen["buckets"]).where((F.col("depth") == places[0][0]) & (F.col("bucket") == places[0][1])).count()
+    assert missing and look(seen["rows"], seen["texts"], seen["buckets"], without).count() == len(rows) - missing
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, folder, name):
     got = queries.QUERIES[name](spark, folder).collect()
