@@ -13,9 +13,9 @@ from estatelens.operators import (
 )
 from estatelens.operators.histogram import value_counts
 from estatelens.session import scratch_path
-from estatelens.sources import paged
+from estatelens.sources import bucketed, paged
 from . import tables as b
-from .registry import query, with_views
+from .registry import ORACLES, query, with_views
 
 TODAY = dt.date(1998, 7, 15)
 SINCE, UNTIL = "1997-08-01", "1998-07-15"
@@ -511,6 +511,40 @@ def owner_metrics(spark, folder):
     }
 
 
+def stored_by(spark, key, tables):
+    folder = scratch_path(spark, "bucketed")
+    bucketed.write_bucketed(tables, folder, key)
+    return bucketed.read_bucketed(spark, folder)
+
+
+@query("stored_rollup", ORACLES["owner_rollup"])
+def stored_rollup(spark, folder):
+    """The roll-up from tables in buckets of owners."""
+    metrics = {name: df.select("subscription_id") for name, df in owner_metrics(spark, folder).items()}
+    parts = stored_by(spark, "subscription_id", {"owners": b.estate_owners(spark, folder).select("subscription_id"), **metrics})
+    return bucketed.on_both(parts, lambda t: serving.owner_rollup(t["owners"], {m: t[m] for m in metrics}))
+
+
+@query("stored_cost_facts", ORACLES["cost_facts"])
+def stored_cost_facts(spark, folder):
+    """Cost rows with their resource, from tables in buckets of resources."""
+    parts = stored_by(spark, "resource_id", {"costs": b.cost_rows(spark, folder), "resources": b.billed_parts(spark, folder)})
+    facts = bucketed.on_both(
+        parts, lambda t: serving.cost_facts(t["costs"], t["resources"], dt.date(1996, 1, 1), dt.date(1996, 6, 1), "7"))
+    return facts.groupBy("type", "resource_group", F.col("billing_period").cast("string").alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_amount"), 2).alias("cost"))
+
+
+@query("stored_violations", ORACLES["violations_with_owner"])
+def stored_violations(spark, folder):
+    """Violations with their owner, from tables in buckets of resources."""
+    owners = b.estate_rows(spark, folder).select(F.col("name").alias("resource_id"), "subscription_id")
+    parts = stored_by(spark, "resource_id", {"violations": b.violation_rows(spark, folder), "resources": owners})
+    found = bucketed.on_both(
+        parts, lambda t: serving.violations_with_owner(t["violations"], t["resources"].withColumnRenamed("resource_id", "id")))
+    return found.select("id", "violation_type", "severity", F.coalesce("subscription_id", F.lit("(gone)")).alias("owner"))
+
+
 SUMMARY = """
 r AS (SELECT subscription_id AS k, count(*) AS c FROM estate WHERE NOT hidden GROUP BY 1),
 g AS (SELECT subscription_id AS k, count(DISTINCT resource_group_name) AS c FROM estate GROUP BY 1),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estatelens.functions.periods import status_class
-from estatelens.operators import requests as r
-from estatelens.session import scratch_path
+from estatelens.operators import latencies, requests as r
+from estatelens.session import scratch_path, settle
 from estatelens.streaming import requests as streaming
 from . import tables as b
 from .registry import query, with_views
@@ -179,3 +179,45 @@ def streamed_ring(spark, folder):
 def streamed_history(spark, folder):
     windows = streamed_windows(spark, folder).withColumnRenamed("second", "bucket")
     return r.history(windows).na.fill(-1.0, ["max"])
+
+
+def slot_ends(value: str) -> str:
+    """SQL for the bounds of the slot of a value of 0 or more: seven leading bits of thousandths."""
+    n = f"CAST(floor({value} * 1000.0::DOUBLE) AS BIGINT)"
+    shift = f"CAST(greatest(length(bin({n})) - 7, 0) AS BIGINT)"
+    return f"(({n} >> {shift}) << {shift}) / 1000.0::DOUBLE AS {value}_low, ((({n} >> {shift}) + 1) << {shift}) / 1000.0::DOUBLE AS {value}_high"
+
+
+WANTED = {"p50": 0.5, "p95": 0.95}
+MINUTES = """
+exact AS (SELECT CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS bucket, count(*) AS count, max(latency) AS max,
+  quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95 FROM requests GROUP BY 1),
+minutes AS (SELECT bucket, count, max, """ + slot_ends("p50") + ", " + slot_ends("p95") + " FROM exact)"
+
+
+def streamed_seconds(spark, folder):
+    sink = streaming.Sink(spark, scratch_path(spark, "histograms"))
+    sink.update(streaming.latency_histograms(event_stream(spark, folder), "ts", "latency"), ["window_start", "slot"])
+    return sink.updated(["window_start", "slot"])
+
+
+def minute_percentiles(spark, folder):
+    minute = F.floor(F.unix_seconds("window_start") / 60).cast("bigint").alias("bucket")
+    return latencies.percentiles(latencies.merged(streamed_seconds(spark, folder), [minute]), ["bucket"], WANTED)
+
+
+@query("streamed_minute_percentiles", with_views(b.REQUESTS, MINUTES) + "SELECT * FROM minutes")
+def streamed_minute_percentiles(spark, folder):
+    """Seconds' histograms from the stream, merged into minutes; the SQL takes the slots of the exact percentiles."""
+    return minute_percentiles(spark, folder)
+
+
+@query(
+    "streamed_percentile_history",
+    with_views(b.REQUESTS, MINUTES)
+    + "SELECT h.bucket, coalesce(count, 0) AS count, coalesce(max, -1) AS max, coalesce(p95_low, -1) AS p95_low, coalesce(p95_high, -1) AS p95_high "
+    "FROM (SELECT unnest(generate_series((SELECT max(bucket) FROM minutes) - 299, (SELECT max(bucket) FROM minutes))) AS bucket) h LEFT JOIN minutes USING (bucket)",
+)
+def streamed_percentile_history(spark, folder):
+    found = r.history(settle(minute_percentiles(spark, folder).drop("p50_low", "p50_high")))
+    return found.na.fill(-1.0, ["max", "p95_low", "p95_high"])

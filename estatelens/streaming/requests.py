@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estatelens.operators import latencies
 from estatelens.operators.requests import RING, newest
 from estatelens.session import drop_path, is_file, list_folders
 
@@ -132,6 +133,19 @@ def latency_windows(
     )
 
 
+def latency_histograms(
+    events: DataFrame, ts: str, latency: str, size: str = BUCKET, lateness: str = LATENESS
+) -> DataFrame:
+    """(window_start, slot, n, max): the mergeable histogram of each tumbling window.
+
+    The state is one count for each slot of a window that is not empty. Windows can be
+    merged into longer ones after the stream, with percentiles within the slots' bounds.
+    """
+    timed = events.withColumn("__at", F.col(ts).cast("timestamp")).withWatermark("__at", lateness)
+    found = latencies.histogram(timed, [F.window("__at", size).alias("w")], latency)
+    return found.select(F.col("w.start").alias("window_start"), "slot", "n", "max")
+
+
 def keep_ring(sink: Sink, events: DataFrame, n: int = RING) -> DataFrame:
     """The newest ``n`` events seen so far, merged batch by batch; never more than 2n rows."""
     def merge(rows: DataFrame, batch: int) -> DataFrame:
