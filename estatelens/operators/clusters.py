@@ -8,10 +8,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.catalogues import words
+from estatelens.functions.keyed import uniform
 from estatelens.session import settle
 from .histogram import check_floor, location_shares
 from .joins import scalar
@@ -20,13 +22,37 @@ DEFAULT_K = 5
 RESTARTS = 10
 PARALLEL_STARTS = 5
 OWNERS_PER_PARTITION = 50_000
+CORESET = 50_000  # owners expected in the coreset at most
+
+
+def coreset(points: DataFrame, owner: str, x: str, size: int = CORESET, seed: int = 42) -> DataFrame:
+    """(owner, x, weight): owners that stand for all owners in a fit of clusters.
+
+    An owner's chance is half an even share of ``size`` and half its share of the squared
+    distances from the mean, which is 0 for standardised features, so far owners are nearly
+    sure to be in; its weight is one over its chance. Weighted costs are right on average
+    for any centres. The draw depends on seed and owner only. Up to ``size`` / 2 owners
+    all are in, with weight 1.
+    """
+    square = F.aggregate(F.transform(vector_to_array(x), lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
+    # Sums of squares in whole millionths do not depend on the order in which they are added up.
+    far = points.select(owner, x, F.floor(square * 1e6).cast("decimal(38,0)").alias("__far"))
+    n, total = far.agg(F.count(F.lit(1)), F.sum("__far")).first()
+    share = F.lit(0.5 / max(n, 1)) + F.col("__far").cast("double") / F.lit(2.0 * float(total or 1))
+    drawn = far.withColumn("__chance", F.least(F.lit(1.0), F.lit(float(size)) * share))
+    drawn = drawn.where(uniform(seed, "coreset", owner) < F.col("__chance"))
+    return drawn.select(owner, x, (F.lit(1.0) / F.col("__chance")).alias("weight"))
 
 
 def cluster_owners(
-    features: DataFrame, owner: str, columns: list[str], k: int = DEFAULT_K, seed: int = 42
+    features: DataFrame, owner: str, columns: list[str], k: int = DEFAULT_K, seed: int = 42, size: int = CORESET
 ) -> DataFrame:
-    """Each owner with its cluster: standardised features, best of ten starts by cost."""
-    # Ten fits read the features again and again, so their lineage is cut once.
+    """Each owner with its cluster: standardised features, best of ten starts by cost.
+
+    The starts run on a weighted coreset of the owners, about ``size`` of them however many
+    there are; one pass over all owners then gives each its cluster.
+    """
+    # Scaling, drawing and the last pass read the features, so their lineage is cut once.
     settled = settle(features)
     n = settled.count()
     k = max(1, min(int(k), n))
@@ -36,14 +62,15 @@ def cluster_owners(
     ]).fit(settled).transform(settled)
     if k == 1:
         return settled.withColumn("cluster", F.lit(0))
-    # One row per owner; every iteration of every start passes over them. Starting points
-    # are drawn per partition, so the layout is made a function of the owners alone.
-    parts = 8 + n // OWNERS_PER_PARTITION
+    # Starting points are drawn per partition, so the layout is made a function of the
+    # owners alone.
+    parts = 8 + min(n, size) // OWNERS_PER_PARTITION
     vectors = (
-        wide.select(owner, "__x").repartition(parts, owner).sortWithinPartitions(owner).select("__x").persist()
+        coreset(wide, owner, "__x", size, seed).repartition(parts, owner).sortWithinPartitions(owner)
+        .select("__x", "weight").persist()
     )
     def fit(start: int):
-        return KMeans(k=k, seed=seed + start, featuresCol="__x", predictionCol="cluster").fit(vectors)
+        return KMeans(k=k, seed=seed + start, featuresCol="__x", predictionCol="cluster", weightCol="weight").fit(vectors)
 
     # The starts are independent jobs, so a few of them run side by side.
     with ThreadPoolExecutor(PARALLEL_STARTS) as pool:
