@@ -108,3 +108,16 @@ def test_tokens_of_no_term_are_dropped_where_texts_are_split(spark):
     assert sum(r.token == "needle" for r in found) == 10 and len(found) < 10 + 20000 * 0.0075
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Subquery")[0]
+
+
+def test_neither_texts_nor_terms_travel_whole_through_the_driver(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) + " -- / " for _ in range(300)]
+    terms = vocabulary[:200] + [f"{a} {b}" for a, b in zip(vocabulary, vocabulary[7:])] + ["--", "/"]
+    want = {(i, w) for i, s in enumerate(texts) for w in terms if stands_in(s, w)}
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    pairs = leaks.leak_pairs(t, spark.createDataFrame([(x,) for x in terms], "term string"), "id", "text")
+    assert {(r.key, r.term) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Subqueries")[0]
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
