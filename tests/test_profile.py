@@ -254,3 +254,17 @@ def test_key_pairs_under_a_floor(spark):
     assert sorted(map(tuple, pairs.key_pair_counts(df, "tags").where("n >= 5").select("a", "b", "n").collect())) == [("a", "b", 7)]
     wide = spark.createDataFrame([(json.dumps({f"k{i}": 1 for i in range(10_000)}),)] * 3, "tags string")
     assert pairs.key_pair_counts(wide, "tags", 5).count() == 0  # fifty million pairs are never written
+
+
+def test_owner_costs_have_no_row_limit(spark, tmp_path):
+    from estatelens.bindings import serving
+
+    owners = 1200
+    spark.range(owners).select(
+        F.col("id").alias("l_partkey"), F.lit("1998-07-03").cast("date").alias("l_shipdate"), F.lit(2.5).alias("l_extendedprice"),
+        F.col("id").alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(owners).select(
+        F.col("id").alias("p_partkey"), F.lit("SMALL").alias("p_type"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"),
+        F.lit("n").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r["SubscriptionId"], r["total"]) for r in serving.cost_by_owner_month_to_date(spark, str(tmp_path)).collect()}
+    assert found == {(str(i), 2.5) for i in range(owners)}
