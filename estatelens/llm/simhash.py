@@ -35,6 +35,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of given 64-bit shingle hashes, as a signed long; zero for none."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[at:at + CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(text: str | Column, width: int = 3) -> Column:
     """The fingerprint of each text; null counts as empty and gives zero."""
 

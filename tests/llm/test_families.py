@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from estatelens.llm import similar
 
 
@@ -48,3 +50,52 @@ def test_a_family_is_found_through_its_centre(spark, monkeypatch):
     kept = sorted(r["doc_id"] for r in similar.one_of_each(docs).collect())
     assert kept == sorted({find(i) for i in ids})
     assert sum(counted) < 400 * 399 / 2 / 4, counted
+
+
+def test_a_family_without_links_does_not_measure_all_its_pairs(spark, monkeypatch):
+    # four changes and more leave a similarity of 0.7 to the base at most, and of 0.5 between two copies, which mostly share a bucket
+    rows = [(i, t) for i, t in family(300, 120, 2, 5)[:1]] + [(i, t) for i, t in family(301, 120, 9, 5)[1:] if similar.similarity(
+        similar.shingle_set(t), similar.shingle_set(family(1, 120, 1, 5)[0][1])) < 0.75]
+    assert len(rows) > 150
+    rows += [(1000, rows[5][1] + " tail"), (1001, rows[7][1] + " other")]
+    counted, plain = [], similar.measured
+
+    def measured(pairs, texts, width):
+        counted.append(pairs.count())
+        return plain(pairs, texts, width)
+
+    monkeypatch.setattr(similar, "measured", measured)
+    kept = {r["doc_id"] for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - {1000, 1001}
+    assert sum(counted) < 10 * len(rows), counted
+
+
+def test_wide_sketches_of_similar_sets_differ_in_few_bits():
+    rng = np.random.default_rng(4)
+    apart = []
+    for n in (9, 18, 90, 900):
+        for _ in range(100):
+            every = rng.integers(0, 1 << 63, size=n + n // 9, dtype=np.uint64)  # 8 of 10 parts in both sets
+            edge = n // 9
+            a, b = similar.wide_sketch(every[edge:]), similar.wide_sketch(every[:-edge])
+            apart.append(int(np.bitwise_count((a ^ b).view("u8")).sum()))
+    assert max(apart) <= similar.MOST and abs(np.mean(apart) - 0.1 * similar.WIDE) < 3
+    far = [similar.wide_sketch(rng.integers(0, 1 << 63, size=50, dtype=np.uint64)) for _ in range(2)]
+    assert int(np.bitwise_count((far[0] ^ far[1]).view("u8")).sum()) > 2 * similar.MOST
+    assert len(similar.wide_sketch(np.zeros(0, dtype="<u8"))) == similar.WIDE // 64
+
+
+def test_simhash_pairs_are_sought_and_verified(spark, monkeypatch):
+    # without bands only the fingerprints can find the copies
+    rows = [(1, " ".join(f"w{i}" for i in range(3000))), (2, " ".join(f"w{i}" for i in range(3001))), (3, "something else altogether is written here")]
+    monkeypatch.setattr(similar, "bands", lambda hashes: [])
+    monkeypatch.setattr(similar.simhash, "CROWDED", 3)
+    sets = [similar.shingle_set(t) for _, t in rows]
+    prints = [similar.simhash.majority(s) for s in sets]
+    frame = spark.createDataFrame([(bytes([i]), len(s), f) for i, (s, f) in enumerate(zip(sets, prints))], "node binary, size long, fp long")
+    found = {(bytes(r["a"]), bytes(r["b"])) for r in similar.fingerprint_pairs(frame).collect()}
+    assert found == {(b"\x00", b"\x01")}
+    counted, plain = [], similar.fingerprint_pairs
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda sets: counted.append(1) or plain(sets))
+    similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert counted == [1]
