@@ -12,8 +12,9 @@ import base64
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 from pathlib import Path
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from estatelens.llm.common import array_column, in_slices
 WORD_BITS = 6  # a word of the bitmap has 64 bits
 NONE = -1  # no rank, no id
 KEPT, KEPT_CHARS = 1 << 18, 32  # encoded pre-tokens a worker remembers, and the longest of them
+ID = Struct("=i")
 GROUP, TOGETHER = 128, 1 << 18  # texts split at once, and bytes of pre-tokens from which a list is merged
 
 
@@ -92,8 +94,8 @@ class RankQueue:
         return bucket
 
 
-def merged(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray, queue: RankQueue) -> list[tuple[int, ...]]:
-    """The ids of each pre-token: the pair of the lowest rank, and of these the first, is merged until none is left.
+def merged(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray, queue: RankQueue) -> list[memoryview]:
+    """The ids of each pre-token, as 32-bit numbers: the pair of the lowest rank, and of these the first, is merged until none is left.
 
     The pre-tokens lie end to end in one linked list and share the queue; no pair reaches
     over an end, so they do not affect each other. ``pairs`` has the rank of each pair of
@@ -163,8 +165,8 @@ def merged(pieces: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray, queu
     ids = np.frombuffer(id_at, dtype=np.int32)
     kept = ids != NONE
     counts = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])].tolist()
-    ids = ids[kept].tolist()
-    return [tuple(ids[a:b]) for a, b in zip(counts, counts[1:])]
+    ids = memoryview(ids[kept])
+    return [ids[a:b] for a, b in zip(counts, counts[1:])]
 
 
 class Encoder:
@@ -179,7 +181,7 @@ class Encoder:
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, so a text's ids are joined without looking at each
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pre-tokens into ``known``, as many at once as TOGETHER bytes hold."""
@@ -188,15 +190,19 @@ class Encoder:
             data = piece.encode("utf-8")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.known[piece] = (whole,)
+                self.known[piece] = ID.pack(whole)
                 continue
             some[piece] = data
             size += len(data)
             if size >= TOGETHER:
-                self.known.update(zip(some, merged(list(some.values()), self.ranks, self.pairs, self.queue)))
+                self.keep(some)
                 some, size = {}, 0
         if some:
-            self.known.update(zip(some, merged(list(some.values()), self.ranks, self.pairs, self.queue)))
+            self.keep(some)
+
+    def keep(self, some: dict[str, bytes]) -> None:
+        found = merged(list(some.values()), self.ranks, self.pairs, self.queue)
+        self.known.update(zip(some, map(memoryview.tobytes, found)))
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, GROUP texts at a time; null counts as empty."""
@@ -208,7 +214,7 @@ class Encoder:
             self.learn(pieces)
             known = self.known.__getitem__
             for split in group:
-                yield np.fromiter(chain.from_iterable(map(known, split)), dtype=np.int32)
+                yield np.frombuffer(b"".join(map(known, split)), dtype=np.int32)
             for piece in pieces:
                 if len(piece) > KEPT_CHARS:
                     del self.known[piece]

@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from estatelens.llm import bpe, queries
@@ -120,3 +122,14 @@ def test_columns_round_trip_and_unknown_ids(spark):
 def test_the_query_equals_the_library(spark, folder, library):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     assert digests(queries.QUERIES["op11_byte_bpe"](spark, folder).collect()) == expected(library, docs)
+
+
+def test_known_pieces_are_kept_as_packed_ids():
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    texts = ["the cat, the hat", "", None, "qzxv qzxv the"]
+    found = list(encoder.texts(texts))
+    assert [f.dtype for f in found] == [np.int32] * 4 and [len(f) for f in found][1:3] == [0, 0]
+    for text, ids in zip(texts, found):
+        pieces = regex.findall(public_tokenizers.PATTERN, text or "")
+        assert ids.tolist() == [i for p in pieces for i in plainly_merged(p.encode(), RANKS)]
+        assert all(isinstance(encoder.known[p], bytes) and len(encoder.known[p]) % 4 == 0 for p in pieces)
