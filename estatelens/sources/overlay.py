@@ -108,7 +108,8 @@ def newest_changes(spark: SparkSession, at: Version, name: str) -> DataFrame:
     if len(table.changes) == 1:
         return held.drop(CHANGE)
     rest = [c for c in schema.names if c not in (table.key, CHANGE)]
-    return held.groupBy(table.key).agg(F.max_by(F.struct(*rest), CHANGE).alias("__row")).select(table.key, "__row.*")
+    # Column by column, so that a reader of a few columns moves no others.
+    return held.groupBy(table.key).agg(*[F.max_by(c, CHANGE).alias(c) for c in rest])
 
 
 def read(spark: SparkSession, at: Version, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,13 @@ def test_kept_fingerprints_over_random_batches(spark, tmp_path):
         assert batches.kept_fingerprint(at) == seen_fingerprint(overlay.read(spark, at, "resources")), turn
     with pytest.raises(drift.RevertError):
         batches.revert_batch(spark, path, "b99", now())
+
+
+def test_reading_a_few_columns_moves_no_others(spark, tmp_path):
+    at = overlay.create(str(tmp_path / "s"), {"t": (spark.createDataFrame([(0, 0, "w0", None)], "id long, v long, wide string, m map<string,string>"), "id")})
+    for turn in (1, 2):
+        rows = spark.createDataFrame([(i, turn, f"w{turn}", None if i else {"a": str(turn)}) for i in range(turn)], "id long, v long, wide string, m map<string,string>")
+        at = overlay.commit(spark, at, {"t": overlay.stage(at, "t", rows)[0]})
+    held = overlay.read(spark, at, "t")
+    assert not re.search(r"max_by\([^)]*wide", held.select("id")._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(map(tuple, held.collect())) == [(0, 2, "w2", {"a": "2"}), (1, 2, "w2", None)]
