@@ -442,7 +442,7 @@ def test_rows_are_looked_up_in_their_bucket_only(spark, monkeypatch):
 def test_queries_match_their_sql(spark, folder, name):
     got = queries.QUERIES[name](spark, folder).collect()
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = db.sql(queries.ORACLES[name])
     names = sorted(want.columns)
